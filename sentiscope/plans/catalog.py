@@ -10,8 +10,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.dates import clean_date
+from ..functions.keys import digits_key, history_text
+from ..functions.labels import argmax, canonical_label, class_name
+from ..functions.text import clean_account, fixed_length_ids, words
+from ..operators import evaluation as ev
+from ..operators import ingest as ing
+from ..operators import labelling as lab
 from ..operators import monitoring as mon
+from ..operators import quality as qa
 from ..operators import reputation as rep
+from ..operators import review as rv
+from ..operators import scoring as sc
+from ..operators import updates as upd
+from ..schemas import POSTS, conform
 from ..sources.tables import Tables
 from . import params as P
 
@@ -169,3 +181,245 @@ def q_run_metric_series(spark, sf):
 @query("train_seconds")
 def q_train_seconds(spark, sf):
     return mon.train_seconds(Tables(spark, sf).training_runs(), P.RUN_LO, P.RUN_HI)
+
+
+# ---- evaluation on predictions (AGG-14..17, FLT-09, TOP-05) ----------------------
+
+@query("accuracy")
+def q_accuracy(spark, sf):
+    return ev.accuracy(Tables(spark, sf).predictions())
+
+
+@query("macro_f1")
+def q_macro_f1(spark, sf):
+    return ev.macro_f1(Tables(spark, sf).predictions())
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, sf):
+    return ev.confusion_matrix(Tables(spark, sf).predictions())
+
+
+@query("misclassified")
+def q_misclassified(spark, sf):
+    return ev.misclassified(Tables(spark, sf).predictions(), 10)
+
+
+@query("misclassification_rate")
+def q_misclassification_rate(spark, sf):
+    return ev.misclassification_rate(Tables(spark, sf).predictions())
+
+
+# ---- labels, splits, profiles (ML-01..03, AGG-11..13, AGG-19, DQ) -----------------
+
+def _labels(spark, sf):
+    return lab.training_labels(Tables(spark, sf).posts())
+
+
+def _split(spark, sf):
+    return lab.train_val_test_split(_labels(spark, sf), "id", P.SPLIT_SEED, P.TEST_SHARE, P.VALIDATION_SHARE)
+
+
+@query("training_labels")
+def q_training_labels(spark, sf):
+    return _labels(spark, sf)
+
+
+@query("train_val_test_split")
+def q_train_val_test_split(spark, sf):
+    return _split(spark, sf)
+
+
+@query("split_sizes")
+def q_split_sizes(spark, sf):
+    return lab.split_sizes(_split(spark, sf))
+
+
+@query("split_class_counts")
+def q_split_class_counts(spark, sf):
+    return lab.split_class_counts(_split(spark, sf))
+
+
+@query("distribution_matrix")
+def q_distribution_matrix(spark, sf):
+    return lab.distribution_matrix(_split(spark, sf))
+
+
+def _text_labels(spark, sf):
+    pt = Tables(spark, sf).posts_text().withColumn("user_feedback", F.lit(None).cast("string"))
+    return lab.training_labels(pt)
+
+
+@query("class_balance")
+def q_class_balance(spark, sf):
+    return lab.class_balance(_text_labels(spark, sf))
+
+
+@query("quality_report")
+def q_quality_report(spark, sf):
+    pt = Tables(spark, sf).posts_text().where(F.col("sentiment").isNotNull())
+    return qa.quality_report(pt.select(canonical_label(F.col("sentiment")).alias("label")))
+
+
+@query("rejects_by_reason")
+def q_rejects_by_reason(spark, sf):
+    return qa.rejects_by_reason(Tables(spark, sf).posts())
+
+
+# ---- review and updates by key (TOP-01, JON-01/02) --------------------------------
+
+@query("review_queue")
+def q_review_queue(spark, sf):
+    return rv.review_queue(Tables(spark, sf).posts(), P.REVIEW_THRESHOLD, P.REVIEW_LIMIT)
+
+
+def score_updates(posts):
+    """Two writes per pending post: a provisional one and the final one (last wins)."""
+    pending = posts.where(F.col("sentiment").isNull()).select("id")
+    k = F.col("id").cast("bigint")
+    first = pending.select("id", F.lit(1).alias("seq"), F.lit("neutral").alias("sentiment"),
+                           F.lit(0.5).alias("confidence"))
+    final = pending.select(
+        "id", F.lit(2).alias("seq"),
+        F.when(F.pmod(k, F.lit(3)) == 0, "negative").when(F.pmod(k, F.lit(3)) == 1, "neutral")
+         .otherwise("positive").alias("sentiment"),
+        (F.lit(0.6) + F.pmod(k, F.lit(40)).cast("double") / F.lit(100.0)).alias("confidence"))
+    return first.unionByName(final)
+
+
+def feedback_answers(posts):
+    """Two reviewer answers per reviewable post; the second is invalid for every fourth id."""
+    cand = posts.where(F.col("sentiment").isNotNull() & F.col("user_feedback").isNull()
+                       & (F.col("confidence") < F.lit(P.REVIEW_THRESHOLD))).select("id")
+    k = F.col("id").cast("bigint")
+    a1 = cand.select("id", F.lit(1).alias("seq"), F.pmod(k, F.lit(3)).cast("string").alias("answer"))
+    a2 = cand.select("id", F.lit(2).alias("seq"),
+                     F.when(F.pmod(k, F.lit(4)) == 0, F.lit("x"))
+                      .otherwise(F.pmod(k + 1, F.lit(3)).cast("string")).alias("answer"))
+    return a1.unionByName(a2)
+
+
+@query("apply_scores")
+def q_apply_scores(spark, sf):
+    posts = Tables(spark, sf).posts()
+    return upd.apply_scores(posts, score_updates(posts)).select("id", "sentiment", "confidence")
+
+
+@query("apply_feedback")
+def q_apply_feedback(spark, sf):
+    posts = Tables(spark, sf).posts()
+    return upd.apply_feedback(posts, feedback_answers(posts)).select("id", "user_feedback")
+
+
+# ---- ingest (FLT-07/08, JON-05..07, AGG-20) -----------------------------------------
+
+@query("keyword_match")
+def q_keyword_match(spark, sf):
+    return ing.keyword_match(Tables(spark, sf).posts_text(), ing.keyword_table(spark, P.KEYWORDS))
+
+
+@query("high_water_marks")
+def q_high_water_marks(spark, sf):
+    matched = ing.keyword_match(Tables(spark, sf).posts_text(), ing.keyword_table(spark, P.KEYWORDS))
+    return ing.high_water_marks(matched)
+
+
+@query("incremental_since_id")
+def q_incremental_since_id(spark, sf):
+    ev_ = Tables(spark, sf).raw("events")
+    seen = ev_.where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz"))
+    marks = ing.high_water_marks(seen, "event_type", "event_id")
+    return ing.since_marks(ev_.select("event_id", "event_type"), marks, "event_type", "event_id")
+
+
+@query("append_new_only")
+def q_append_new_only(spark, sf):
+    posts = Tables(spark, sf).posts()
+    known = posts.where(F.col("date") < F.lit("2024-01-20").cast("date"))
+    fresh = posts.where(F.col("date") >= F.lit("2024-01-15").cast("date"))
+    batch = fresh.unionByName(fresh.where(F.col("id").cast("bigint") % 5 == 0))
+    return ing.new_only(batch, known).select("id", "date", "sentiment")
+
+
+# ---- scalar functions and cleaning (SCL, CLN, PRJ) -----------------------------------
+
+@query("json_field")
+def q_json_field(spark, sf):
+    e = Tables(spark, sf).raw("events")
+    return e.select("event_id", F.from_json("props", "k BIGINT").getField("k").alias("k"))
+
+
+@query("argmax_label")
+def q_argmax_label(spark, sf):
+    emb = Tables(spark, sf).raw("embeddings")
+    pred = argmax(F.slice("embedding", 1, 3))
+    return emb.select("vec_id", "label", pred.alias("pred"), class_name(pred).alias("pred_name"))
+
+
+def dirty_dates(posts_text):
+    k = F.pmod(F.col("id").cast("bigint"), F.lit(8))
+    iso = F.date_format("date", "yyyy-MM-dd")
+    raw = (F.when(k % 4 == 0, F.concat(F.lit(" "), iso))
+           .when(k % 4 == 1, F.date_format("date", "dd/MM/yyyy"))
+           .when(k % 4 == 2, iso)
+           .when(k == 3, F.lit("n/a"))
+           .otherwise(F.concat(iso, F.lit(" "))))
+    return posts_text.select("id", raw.alias("raw_date"))
+
+
+@query("clean_dates")
+def q_clean_dates(spark, sf):
+    d = dirty_dates(Tables(spark, sf).posts_text())
+    return d.select("id", "raw_date", clean_date(F.col("raw_date")).alias("date"))
+
+
+def dirty_accounts(posts_text):
+    k = F.pmod(F.col("id").cast("bigint"), F.lit(4))
+    a = F.col("author_id")
+    raw = (F.when(k == 0, F.concat(F.lit(" @"), a))
+           .when(k == 1, F.concat(F.lit("@"), a, F.lit("\u200b")))
+           .when(k == 2, F.concat(F.lit("@"), a))
+           .otherwise(F.concat(F.lit("@"), a, F.lit(" \t"))))
+    return posts_text.select("id", raw.alias("raw_account"))
+
+
+@query("clean_accounts")
+def q_clean_accounts(spark, sf):
+    d = dirty_accounts(Tables(spark, sf).posts_text())
+    return (d.select(clean_account(F.col("raw_account")).alias("account"))
+            .groupBy("account").agg(F.count(F.lit(1)).alias("posts")))
+
+
+@query("conform_posts")
+def q_conform_posts(spark, sf):
+    batch = Tables(spark, sf).posts_text().select("id", "author_id", "text", "date")
+    return conform(batch, POSTS)
+
+
+@query("surrogate_keys")
+def q_surrogate_keys(spark, sf):
+    pt = Tables(spark, sf).posts_text()
+    post_key = digits_key(F.col("id"), 12, "post:")
+    return pt.select("id", post_key.alias("post_key"),
+                     digits_key(F.col("author_id"), 9, "author:").alias("author_key"),
+                     history_text(post_key).alias("edit_history_text"))
+
+
+@query("tokenize_fixed")
+def q_tokenize_fixed(spark, sf):
+    pt = Tables(spark, sf).posts_text()
+    toks = words(F.col("text"))
+    ids, mask = fixed_length_ids(toks, P.MAX_LENGTH)
+    return pt.select("id", ids.alias("input_ids"), mask.alias("attention_mask"),
+                     F.size(toks).alias("n_tokens"))
+
+
+@query("score_posts_lexicon")
+def q_score_posts_lexicon(spark, sf):
+    return sc.lexicon_scores(Tables(spark, sf).posts_text())
+
+
+@query("score_posts")
+def q_score_posts(spark, sf):
+    pending = Tables(spark, sf).posts_text().where(F.col("sentiment").isNull())
+    return sc.score_posts(pending)

@@ -144,3 +144,225 @@ SQL["train_seconds"] = runs_sql(f"""
 SELECT start_time, CAST(epoch(date_trunc('second', end_time)) - epoch(date_trunc('second', start_time)) AS BIGINT)
        AS train_seconds
 FROM training_runs WHERE {RUN_RANGE}""")
+
+
+# ---- evaluation --------------------------------------------------------------------
+
+def pred_sql(body: str, *ctes: str) -> str:
+    return with_views(body, *ctes, views=("predictions",))
+
+
+def text_sql(body: str, *ctes: str) -> str:
+    return with_views(body, *ctes, views=("posts_text",))
+
+
+NAMES = "['negative', 'neutral', 'positive']"
+
+
+def name_sql(x: str) -> str:
+    return f"CASE WHEN {x} BETWEEN 0 AND 2 THEN {NAMES}[{x} + 1] END"
+
+
+SQL["accuracy"] = pred_sql(
+    "SELECT avg(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END)::DOUBLE AS accuracy, "
+    "CAST(count(*) AS BIGINT) AS n FROM predictions")
+SQL["macro_f1"] = pred_sql(f"""
+SELECT {rnd('avg(f1)', 6)} AS macro_f1, CAST(count(*) AS BIGINT) AS classes
+FROM (SELECT c.cls,
+             CASE WHEN s.support + s.predicted > 0 THEN 2.0 * s.tp / (s.support + s.predicted) ELSE 0.0 END AS f1
+      FROM (SELECT label AS cls FROM predictions UNION SELECT pred FROM predictions) c
+      JOIN (SELECT cls, sum(tp)::DOUBLE AS tp, sum(support)::DOUBLE AS support, sum(predicted)::DOUBLE AS predicted
+            FROM (SELECT label AS cls, CASE WHEN label = pred THEN 1 ELSE 0 END AS tp, 1 AS support, 0 AS predicted
+                  FROM predictions
+                  UNION ALL
+                  SELECT pred, 0, 0, 1 FROM predictions) u GROUP BY cls) s ON c.cls = s.cls) t""")
+SQL["confusion_matrix"] = pred_sql(f"""
+SELECT label, pred, {name_sql('label')} AS label_name, {name_sql('pred')} AS pred_name, n,
+       {rnd('CAST(n AS DOUBLE) / CAST(sum(n) OVER (PARTITION BY label) AS DOUBLE)', 6)} AS share
+FROM (SELECT label, pred, CAST(count(*) AS BIGINT) AS n FROM predictions GROUP BY label, pred) c""")
+SQL["misclassified"] = pred_sql(f"""
+SELECT id, label, pred, {name_sql('label')} AS label_name, {name_sql('pred')} AS pred_name
+FROM predictions WHERE label <> pred ORDER BY id LIMIT 10""")
+SQL["misclassification_rate"] = pred_sql(f"""
+SELECT wrong, total, {rnd('100.0 * wrong / total', 2)} AS wrong_percent
+FROM (SELECT CAST(count_if(label <> pred) AS BIGINT) AS wrong, CAST(count(*) AS BIGINT) AS total FROM predictions) t""")
+
+# ---- labels and splits ---------------------------------------------------------------
+
+LABEL_CASE = """CASE coalesce(user_feedback, sentiment)
+    WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2
+    WHEN '0' THEN 0 WHEN '1' THEN 1 WHEN '2' THEN 2
+    WHEN '0.0' THEN 0 WHEN '1.0' THEN 1 WHEN '2.0' THEN 2 END"""
+LABELS_CTE = f"""labels_ AS (
+  SELECT id, label FROM (SELECT id, {LABEL_CASE} AS label FROM posts WHERE sentiment IS NOT NULL) t
+  WHERE label IS NOT NULL)"""
+SPLIT_CTE = f"""split_ AS (
+  SELECT id, label,
+         CASE WHEN rk <= t THEN 'test' WHEN rk <= t + v THEN 'validation' ELSE 'train' END AS split
+  FROM (SELECT id, label, rk, t, ceil(CAST({P.VALIDATION_SHARE} AS DOUBLE) * (CAST(n AS DOUBLE) - t)) AS v
+        FROM (SELECT id, label, rk, n, ceil(CAST({P.TEST_SHARE} AS DOUBLE) * CAST(n AS DOUBLE)) AS t
+              FROM (SELECT id, label,
+                           row_number() OVER (ORDER BY md5(id || '{P.SPLIT_SEED}'), id) AS rk,
+                           count(*) OVER () AS n
+                    FROM labels_) a) b) c)"""
+
+
+def split_sql(body: str) -> str:
+    return with_views(body, LABELS_CTE, SPLIT_CTE, views=("posts",))
+
+
+SQL["training_labels"] = with_views("SELECT id, label FROM labels_", LABELS_CTE, views=("posts",))
+SQL["train_val_test_split"] = split_sql("SELECT id, label, split FROM split_")
+SQL["split_sizes"] = split_sql(
+    "SELECT split, CAST(count(*) AS BIGINT) AS n FROM split_ GROUP BY ROLLUP (split)")
+SQL["split_class_counts"] = split_sql(
+    "SELECT split, label, CAST(count(*) AS BIGINT) AS n FROM split_ GROUP BY split, label")
+SQL["distribution_matrix"] = split_sql("""
+SELECT label,
+       CAST(count_if(split = 'train') AS BIGINT) AS train,
+       CAST(count_if(split = 'validation') AS BIGINT) AS validation,
+       CAST(count_if(split = 'test') AS BIGINT) AS test,
+       CAST(count(*) AS BIGINT) AS total
+FROM split_ GROUP BY ROLLUP (label)""")
+
+TEXT_LABEL = ("CASE sentiment WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END")
+SQL["class_balance"] = text_sql(f"""
+SELECT CAST(count(*) AS BIGINT) AS classes, min(c) AS min_class, max(c) AS max_class,
+       {rnd('CAST(max(c) AS DOUBLE) / CAST(min(c) AS DOUBLE)', 6)} AS imbalance_ratio
+FROM (SELECT {TEXT_LABEL} AS label, CAST(count(*) AS BIGINT) AS c
+      FROM posts_text WHERE sentiment IS NOT NULL GROUP BY 1) t WHERE label IS NOT NULL""")
+SQL["quality_report"] = text_sql(f"""
+SELECT rows, unmapped, classes, min_class, max_class,
+       {rnd('CAST(max_class AS DOUBLE) / CAST(min_class AS DOUBLE)', 6)} AS imbalance_ratio,
+       rows > 0 AS not_empty, unmapped = 0 AS all_mapped, classes > 1 AS multi_class,
+       coalesce(min_class >= 15, false) AS min_class_ok,
+       coalesce(CAST(max_class AS DOUBLE) / CAST(min_class AS DOUBLE) < 10, false) AS balanced
+FROM (SELECT CAST(sum(c) AS BIGINT) AS rows,
+             CAST(coalesce(sum(CASE WHEN label IS NULL THEN c END), 0) AS BIGINT) AS unmapped,
+             CAST(count_if(label IS NOT NULL) AS BIGINT) AS classes,
+             min(CASE WHEN label IS NOT NULL THEN c END) AS min_class,
+             max(CASE WHEN label IS NOT NULL THEN c END) AS max_class
+      FROM (SELECT {TEXT_LABEL} AS label, CAST(count(*) AS BIGINT) AS c
+            FROM posts_text WHERE sentiment IS NOT NULL GROUP BY 1) t) s""")
+SQL["rejects_by_reason"] = posts_sql("""
+SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT CASE WHEN date IS NULL THEN 'missing_date'
+              WHEN sentiment IS NOT NULL AND sentiment NOT IN ('negative', 'neutral', 'positive') THEN 'unknown_sentiment'
+              WHEN user_feedback IS NOT NULL AND user_feedback NOT IN ('0', '1', '2', '0.0', '1.0', '2.0') THEN 'bad_feedback'
+              ELSE 'accepted' END AS reason
+  FROM posts) t GROUP BY reason""")
+
+# ---- review and updates ----------------------------------------------------------------
+
+SQL["review_queue"] = posts_sql(f"""
+SELECT id, sentiment, confidence FROM posts
+WHERE sentiment IS NOT NULL AND confidence IS NOT NULL AND user_feedback IS NULL
+  AND confidence < {P.REVIEW_THRESHOLD}
+ORDER BY confidence ASC, id ASC LIMIT {P.REVIEW_LIMIT}""")
+SQL["apply_scores"] = posts_sql("""
+SELECT p.id, coalesce(u.sentiment, p.sentiment) AS sentiment, coalesce(u.confidence, p.confidence) AS confidence
+FROM posts p LEFT JOIN (
+  SELECT id,
+         CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN 'negative' WHEN 1 THEN 'neutral' ELSE 'positive' END AS sentiment,
+         CAST(0.6 AS DOUBLE) + CAST(CAST(id AS BIGINT) % 40 AS DOUBLE) / CAST(100 AS DOUBLE) AS confidence
+  FROM posts WHERE sentiment IS NULL) u ON p.id = u.id""")
+SQL["apply_feedback"] = posts_sql(f"""
+SELECT p.id, coalesce(u.fb, p.user_feedback) AS user_feedback
+FROM posts p LEFT JOIN (
+  SELECT id,
+         CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN CAST(CAST(id AS BIGINT) % 3 AS VARCHAR)
+              ELSE CAST((CAST(id AS BIGINT) + 1) % 3 AS VARCHAR) END AS fb
+  FROM posts
+  WHERE sentiment IS NOT NULL AND user_feedback IS NULL AND confidence < {P.REVIEW_THRESHOLD}) u ON p.id = u.id""")
+
+# ---- ingest ------------------------------------------------------------------------------
+
+KW_CTE = "kw(keyword) AS (VALUES " + ", ".join(f"('{k}')" for k in P.KEYWORDS) + ")"
+MATCH_CTE = """matched AS (
+  SELECT k.keyword, p.id FROM posts_text p JOIN kw k ON instr(lower(p.text), k.keyword) > 0
+  WHERE p.lang = 'en' AND NOT coalesce(regexp_matches(p.text, '^RT @'), false))"""
+SQL["keyword_match"] = text_sql("SELECT keyword, id FROM matched", KW_CTE, MATCH_CTE)
+SQL["high_water_marks"] = text_sql(
+    "SELECT keyword, max(CAST(id AS BIGINT)) AS last_id FROM matched GROUP BY keyword", KW_CTE, MATCH_CTE)
+SQL["incremental_since_id"] = """
+SELECT e.event_id, e.event_type FROM events e
+LEFT JOIN (SELECT event_type, max(event_id) AS m FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00'
+           GROUP BY event_type) m ON e.event_type = m.event_type
+WHERE m.m IS NULL OR e.event_id > m.m"""
+SQL["append_new_only"] = posts_sql("SELECT id, date, sentiment FROM posts WHERE date >= DATE '2024-01-20'")
+
+# ---- scalar functions and cleaning ---------------------------------------------------------
+
+SQL["json_field"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
+_lg = "list_slice(embedding, 1, 3)"
+_am = f"CAST(list_position({_lg}, list_max({_lg})) - 1 AS INTEGER)"
+SQL["argmax_label"] = f"SELECT vec_id, label, {_am} AS pred, {name_sql(_am)} AS pred_name FROM embeddings"
+SQL["clean_dates"] = text_sql("""
+SELECT id, raw_date,
+       coalesce(CAST(try_strptime(trim(raw_date), '%Y-%m-%d') AS DATE),
+                CAST(try_strptime(trim(raw_date), '%d/%m/%Y') AS DATE)) AS date
+FROM (SELECT id,
+             CASE WHEN CAST(id AS BIGINT) % 8 % 4 = 0 THEN ' ' || strftime(date, '%Y-%m-%d')
+                  WHEN CAST(id AS BIGINT) % 8 % 4 = 1 THEN strftime(date, '%d/%m/%Y')
+                  WHEN CAST(id AS BIGINT) % 8 % 4 = 2 THEN strftime(date, '%Y-%m-%d')
+                  WHEN CAST(id AS BIGINT) % 8 = 3 THEN 'n/a'
+                  ELSE strftime(date, '%Y-%m-%d') || ' ' END AS raw_date
+      FROM posts_text) t""")
+SQL["clean_accounts"] = text_sql(r"""
+SELECT regexp_replace(raw_account, '[\p{Z}\p{Cf}\t\r\n\f]', '', 'g') AS account, CAST(count(*) AS BIGINT) AS posts
+FROM (SELECT CASE CAST(id AS BIGINT) % 4
+                  WHEN 0 THEN ' @' || author_id
+                  WHEN 1 THEN '@' || author_id || chr(8203)
+                  WHEN 2 THEN '@' || author_id
+                  ELSE '@' || author_id || ' ' || chr(9) END AS raw_account
+      FROM posts_text) t GROUP BY 1""")
+SQL["conform_posts"] = text_sql("""
+SELECT id, [id] AS edit_history_tweet_ids, author_id, text, CAST(NULL AS VARCHAR) AS sentiment,
+       CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS user_feedback, date
+FROM posts_text""")
+
+
+def key_sql(natural: str, h: int, salt: str) -> str:
+    lo = 10 ** (h - 1)
+    return (f"CAST({lo} + CAST(('0x' || substr(md5('{salt}' || {natural}), 1, 15)) AS BIGINT) % {9 * lo} AS BIGINT)")
+
+
+SQL["surrogate_keys"] = text_sql(f"""
+SELECT id, {key_sql('id', 12, 'post:')} AS post_key, {key_sql('author_id', 9, 'author:')} AS author_key,
+       '[''' || CAST({key_sql('id', 12, 'post:')} AS VARCHAR) || ''']' AS edit_history_text
+FROM posts_text""")
+
+TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
+_tid = "CAST((CAST(('0x' || substr(md5(t), 1, 8)) AS BIGINT) % 262144) + 1 AS INTEGER)"
+SQL["tokenize_fixed"] = text_sql(f"""
+SELECT id,
+       list_resize(list_transform(list_slice(tok, 1, {P.MAX_LENGTH}), lambda t: {_tid}), {P.MAX_LENGTH}, 0) AS input_ids,
+       list_transform(range(1, {P.MAX_LENGTH + 1}),
+                      lambda i: CASE WHEN i <= least(len(tok), {P.MAX_LENGTH}) THEN 1 ELSE 0 END) AS attention_mask,
+       CAST(len(tok) AS INTEGER) AS n_tokens
+FROM (SELECT id, {TOKENS} AS tok FROM posts_text) t""")
+
+
+def _lex(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def lexicon_counts_sql() -> str:
+    from ..functions.text import NEGATIVE_WORDS, POSITIVE_WORDS
+    return f"""(SELECT id,
+             CAST(len(list_filter(tok, lambda x: list_contains({_lex(POSITIVE_WORDS)}, x))) AS BIGINT) AS n_pos,
+             CAST(len(list_filter(tok, lambda x: list_contains({_lex(NEGATIVE_WORDS)}, x))) AS BIGINT) AS n_neg
+      FROM (SELECT id, {TOKENS} AS tok FROM posts_text WHERE {{where}}) t) c"""
+
+
+SQL["score_posts_lexicon"] = text_sql(f"""
+SELECT id, n_pos, n_neg,
+       CASE WHEN n_pos > n_neg THEN 'positive' WHEN n_neg > n_pos THEN 'negative' ELSE 'neutral' END AS sentiment,
+       {rnd('(1.0 + abs(n_pos - n_neg)) / (2.0 + n_pos + n_neg)', 6)} AS confidence
+FROM {lexicon_counts_sql().format(where='TRUE')}""")
+_z = "[n_neg::DOUBLE, 0.5::DOUBLE, n_pos::DOUBLE]"
+SQL["score_posts"] = text_sql(f"""
+SELECT id, ['negative', 'neutral', 'positive'][k] AS sentiment, {rnd('e[k] / (e[1] + e[2] + e[3])', 6)} AS confidence
+FROM (SELECT id, e, list_position(e, list_max(e)) AS k
+      FROM (SELECT id, list_transform({_z}, lambda x: exp(x - list_max({_z}))) AS e
+            FROM {lexicon_counts_sql().format(where='sentiment IS NULL')}) a) b""")
