@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.dates import clean_date
+from ..functions.dates import clean_date, ledger_time
 from ..functions.keys import digits_key, history_text
 from ..functions.labels import argmax, canonical_label, class_name
 from ..functions.text import clean_account, fixed_length_ids, words
@@ -22,9 +22,16 @@ from ..operators import quality as qa
 from ..operators import reputation as rep
 from ..operators import review as rv
 from ..operators import scoring as sc
+from ..operators import training as tr
 from ..operators import updates as upd
-from ..schemas import POSTS, conform
+from ..schemas import DAILY_REPUTATION, POSTS, conform
+from ..session import scratch_path
+from ..sources import history_csv as hcsv
+from ..sources import search_pages as pages
+from ..sources import sinks
+from ..sources import training_logs as logs
 from ..sources.tables import Tables
+from ..streaming import jobs as stream
 from . import params as P
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -423,3 +430,186 @@ def q_score_posts_lexicon(spark, sf):
 def q_score_posts(spark, sf):
     pending = Tables(spark, sf).posts_text().where(F.col("sentiment").isNull())
     return sc.score_posts(pending)
+
+
+# ---- sources and sinks (SRC-01/03/06, SNK-01..08) ----------------------------------------
+# Keys that write use a fresh folder under the session's checkpoint dir and return
+# what they read back.
+
+@query("ingest_search_pages")
+def q_ingest_search_pages(spark, sf):
+    path = scratch_path(spark, "landing-search")
+    pages.land_search_pages(Tables(spark, sf).posts_text(), path, page_span=4)
+    return pages.posts_from_pages(pages.read_search_pages(spark, path))
+
+
+def history_rows(posts_text):
+    """Historic CSV rows derived from the documents (some days in dd/MM/yyyy)."""
+    k = F.col("id").cast("bigint")
+    raw_date = F.when(k % 10 == 0, F.date_format("date", "dd/MM/yyyy")).otherwise(
+        F.date_format("date", "yyyy-MM-dd"))
+    return posts_text.select(F.col("author_id").alias("author"),
+                             F.concat(F.lit("@"), F.col("author_id")).alias("author account"),
+                             raw_date.alias("date"), "text")
+
+
+def posts_from_history(rows):
+    """Shape historic rows into silver posts: deterministic 12/9-digit keys (PRJ-08)."""
+    natural = F.concat_ws("|", F.col("author account"), F.col("date"), F.col("text"))
+    post_key = digits_key(natural, 12, "post:").cast("string")
+    return conform(rows.select(post_key.alias("id"),
+                               digits_key(F.col("author account"), 9, "author:").cast("string").alias("author_id"),
+                               "text", clean_date(F.col("date")).alias("date")), POSTS)
+
+
+@query("ingest_history_csv")
+def q_ingest_history_csv(spark, sf):
+    path = scratch_path(spark, "landing-history")
+    hcsv.write_history_csv(history_rows(Tables(spark, sf).posts_text()), path)
+    return posts_from_history(hcsv.read_history_csv(spark, path))
+
+
+@query("training_log_rows")
+def q_training_log_rows(spark, sf):
+    path = scratch_path(spark, "training-logs")
+    logs.write_training_logs(logs.log_rows_from_runs(Tables(spark, sf).training_runs()), path)
+    rows = logs.read_training_logs(spark, path, multi_line=False)
+    return rows.select("run_time", "kind", "epoch", "step", "eval_loss", "eval_accuracy", "train_runtime")
+
+
+@query("append_posts")
+def q_append_posts(spark, sf):
+    posts = Tables(spark, sf).posts()
+    cut = F.lit("2024-01-16").cast("date")
+    path = scratch_path(spark, "posts-table")
+    early = posts.where(F.col("date") < cut)
+    late = posts.where(F.col("date") >= cut).select("id", "author_id", "date")  # a batch without scores
+    for batch in (early, late):
+        sinks.append(conform(batch, POSTS), path, partition_by="date")
+    return (sinks.read_table(spark, path, POSTS)
+            .select("id", "author_id", "date", "sentiment", "confidence", "user_feedback"))
+
+
+@query("publish_reputation")
+def q_publish_reputation(spark, sf):
+    root = scratch_path(spark, "reputation")
+    daily = rep.daily_reputation(Tables(spark, sf).posts())
+    sinks.publish(daily, root, DAILY_REPUTATION)
+    return sinks.serving(spark, root, DAILY_REPUTATION)
+
+
+def ledger_rows(runs):
+    """Ledger rows with text times (SCL-13) and evaluated rows (AGG-21)."""
+    return runs.select(
+        ledger_time(F.col("start_time")).alias("start_time"),
+        ledger_time(F.col("end_time")).alias("end_time"),
+        "eval_loss", "eval_accuracy", "eval_runtime", "eval_samples_per_second",
+        F.round(F.col("eval_runtime") * F.col("eval_samples_per_second")).cast("long").alias("eval_rows"))
+
+
+@query("append_training_run")
+def q_append_training_run(spark, sf):
+    runs = Tables(spark, sf).training_runs()
+    path = scratch_path(spark, "training-ledger")
+    cut = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    for part in (runs.where(F.col("start_time") < cut), runs.where(F.col("start_time") >= cut)):
+        sinks.append(ledger_rows(part), path)
+    return spark.read.parquet(path)
+
+
+# ---- training, evaluation, gate (ML-07..10) ------------------------------------------------
+
+def _text_split(spark, sf):
+    pt = Tables(spark, sf).posts_text().withColumn("user_feedback", F.lit(None).cast("string"))
+    labelled = lab.training_labels(pt, keep_cols=("id", "text"))
+    return lab.train_val_test_split(labelled, "id", P.SPLIT_SEED, P.TEST_SHARE, P.VALIDATION_SHARE)
+
+
+@query("train_evaluate")
+def q_train_evaluate(spark, sf):
+    _, result = tr.train_evaluate(_text_split(spark, sf))
+    return spark.createDataFrame([result], RESULT_SCHEMA)
+
+
+@query("train_gate")
+def q_train_gate(spark, sf):
+    import datetime as dt
+    start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    model, result = tr.train_evaluate(_text_split(spark, sf))
+    end = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    ledger = scratch_path(spark, "gate-ledger")
+    row = {"start_time": start, "end_time": end, **{k: result[k] for k in GATE_METRICS}}
+    sinks.append(spark.createDataFrame([row], LEDGER_SCHEMA), ledger)  # recorded before the gate (D19)
+    passed = tr.gate(result)
+    model_path = None
+    if passed:
+        model_path = scratch_path(spark, "model")
+        tr.save_model(model, model_path)
+    return spark.read.parquet(ledger).select(
+        "*", F.lit(passed).alias("passed"), F.lit(model_path).cast("string").alias("model_path"))
+
+
+GATE_METRICS = ("eval_loss", "eval_accuracy", "eval_f1", "eval_runtime", "eval_samples_per_second")
+RESULT_SCHEMA = ("eval_loss double, eval_accuracy double, eval_f1 double, eval_runtime double, "
+                 "eval_samples_per_second double, test_rows long, reg_param double, val_f1 double")
+LEDGER_SCHEMA = ("start_time timestamp_ntz, end_time timestamp_ntz, eval_loss double, eval_accuracy double, "
+                 "eval_f1 double, eval_runtime double, eval_samples_per_second double")
+
+
+# ---- streaming (STR-01..07) ---------------------------------------------------------------------
+
+def _landing(spark, sf, name="landing-posts", files_per_day=2):
+    path = scratch_path(spark, name)
+    stream.land_post_events(Tables(spark, sf).raw("events"), path, files_per_day)
+    return path
+
+
+@query("stream_ingest")
+def q_stream_ingest(spark, sf):
+    landing, sink = _landing(spark, sf), scratch_path(spark, "stream-ingest")
+    stream.stream_ingest(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=16)
+    return spark.read.schema(stream.POST_EVENT).parquet(sink).select("id", "date", "sentiment")
+
+
+@query("stream_dedup")
+def q_stream_dedup(spark, sf):
+    landing = _landing(spark, sf)
+    ev_ = Tables(spark, sf).raw("events")
+    stream.land_post_events(ev_.where(F.col("event_id") % 5 == 0), landing + "-dups", 1)
+    # The duplicates arrive as extra files in the same landing folder.
+    spark.read.parquet(landing + "-dups").write.mode("append").partitionBy("date").parquet(landing)
+    sink = scratch_path(spark, "stream-dedup")
+    stream.stream_dedup(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=16)
+    return spark.read.schema(stream.POST_EVENT).parquet(sink).select("id", "date", "sentiment")
+
+
+@query("stream_daily_counts")
+def q_stream_daily_counts(spark, sf):
+    landing, sink = _landing(spark, sf), scratch_path(spark, "stream-counts")
+    stream.stream_daily_counts(spark, landing, sink, scratch_path(spark, "ckpt"))
+    return stream.latest_counts(spark, sink)
+
+
+@query("stream_daily_reputation")
+def q_stream_daily_reputation(spark, sf):
+    landing = _landing(spark, sf)
+    silver, gold = scratch_path(spark, "stream-silver"), scratch_path(spark, "stream-gold")
+    stream.stream_daily_reputation(spark, landing, silver, gold, scratch_path(spark, "ckpt"), max_files=16)
+    return stream.latest_days(spark, gold)
+
+
+@query("stream_score")
+def q_stream_score(spark, sf):
+    landing = scratch_path(spark, "landing-text")
+    pending = Tables(spark, sf).posts_text().where(F.col("sentiment").isNull()).select("id", "text")
+    pending.repartition(4).write.parquet(landing)
+    sink = scratch_path(spark, "stream-score")
+    stream.stream_score(spark, landing, pending.schema, sink, scratch_path(spark, "ckpt"), max_files=2)
+    return spark.read.parquet(sink)
+
+
+@query("stream_closed_days")
+def q_stream_closed_days(spark, sf):
+    landing, sink = _landing(spark, sf), scratch_path(spark, "stream-closed")
+    stream.stream_closed_days(spark, landing, sink, scratch_path(spark, "ckpt"))
+    return spark.read.parquet(sink)

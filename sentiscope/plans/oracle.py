@@ -366,3 +366,51 @@ SELECT id, ['negative', 'neutral', 'positive'][k] AS sentiment, {rnd('e[k] / (e[
 FROM (SELECT id, e, list_position(e, list_max(e)) AS k
       FROM (SELECT id, list_transform({_z}, lambda x: exp(x - list_max({_z}))) AS e
             FROM {lexicon_counts_sql().format(where='sentiment IS NULL')}) a) b""")
+
+
+# ---- sources and sinks ---------------------------------------------------------------------------
+
+SQL["ingest_search_pages"] = text_sql("""
+SELECT id, [id] AS edit_history_tweet_ids, author_id, text, CAST(NULL AS VARCHAR) AS sentiment,
+       CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS user_feedback, date
+FROM posts_text WHERE lang = 'en'""")
+_raw = ("CASE WHEN CAST(id AS BIGINT) % 10 = 0 THEN strftime(date, '%d/%m/%Y') "
+        "ELSE strftime(date, '%Y-%m-%d') END")
+SQL["ingest_history_csv"] = text_sql(f"""
+SELECT CAST(pk AS VARCHAR) AS id, [CAST(pk AS VARCHAR)] AS edit_history_tweet_ids,
+       CAST(ak AS VARCHAR) AS author_id, text, CAST(NULL AS VARCHAR) AS sentiment,
+       CAST(NULL AS DOUBLE) AS confidence, CAST(NULL AS VARCHAR) AS user_feedback, date
+FROM (SELECT {key_sql("acc || '|' || raw || '|' || text", 12, 'post:')} AS pk,
+             {key_sql('acc', 9, 'author:')} AS ak, text, date
+      FROM (SELECT '@' || author_id AS acc, {_raw} AS raw, text, date FROM posts_text) a) b""")
+SQL["training_log_rows"] = runs_sql("""
+SELECT date_trunc('second', start_time) AS run_time, 'eval' AS kind, epoch, CAST(1 AS BIGINT) AS step,
+       eval_loss, eval_accuracy, CAST(NULL AS DOUBLE) AS train_runtime
+FROM training_runs
+UNION ALL
+SELECT date_trunc('second', start_time), 'summary', epoch, CAST(1 AS BIGINT), NULL, NULL,
+       CAST(epoch(date_trunc('second', end_time)) - epoch(date_trunc('second', start_time)) AS DOUBLE)
+FROM training_runs""")
+SQL["append_posts"] = posts_sql("""
+SELECT id, author_id, date,
+       CASE WHEN date < DATE '2024-01-16' THEN sentiment END AS sentiment,
+       CASE WHEN date < DATE '2024-01-16' THEN confidence END AS confidence,
+       CASE WHEN date < DATE '2024-01-16' THEN user_feedback END AS user_feedback
+FROM posts""")
+SQL["publish_reputation"] = SQL["daily_reputation"]
+SQL["append_training_run"] = runs_sql(f"""
+SELECT strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time,
+       strftime(end_time, '%Y-%m-%d %H:%M:%S') AS end_time,
+       eval_loss, eval_accuracy, eval_runtime, eval_samples_per_second,
+       CAST({rnd('eval_runtime * eval_samples_per_second', 0)} AS BIGINT) AS eval_rows
+FROM training_runs""")
+
+# ---- streaming ---------------------------------------------------------------------------------------
+
+SQL["stream_ingest"] = posts_sql("SELECT id, date, sentiment FROM posts")
+SQL["stream_dedup"] = SQL["stream_ingest"]
+SQL["stream_daily_counts"] = SQL["counts_by_day_class"]
+SQL["stream_daily_reputation"] = SQL["daily_reputation"]
+SQL["stream_score"] = SQL["score_posts"]
+SQL["stream_closed_days"] = daily_sql(
+    "SELECT * FROM daily WHERE CAST(date AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")

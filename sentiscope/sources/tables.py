@@ -17,8 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def posts_from_events(events: DataFrame) -> DataFrame:
-    """View ``posts``: one post per event; one in ten unscored, feedback in both spellings."""
+def posts_from_events(events: DataFrame, keep=()) -> DataFrame:
+    """View ``posts``: one post per event; one in ten unscored, feedback in both spellings.
+
+    ``keep`` passes further event columns through (e.g. ``ts`` for streaming).
+    """
     eid = F.col("event_id")
     unscored = eid % 10 == 7
     sentiment = (F.when(unscored, F.lit(None).cast("string"))
@@ -37,6 +40,7 @@ def posts_from_events(events: DataFrame) -> DataFrame:
         sentiment.alias("sentiment"),
         confidence.alias("confidence"),
         feedback.alias("user_feedback"),
+        *keep,
     )
 
 
