@@ -18,8 +18,12 @@ NEGATIVE_WORDS = ("bad", "terrible", "hate", "awful", "worst", "poor", "slow", "
 
 
 def words(text: Column) -> Column:
-    """Lower-cased alphanumeric words of the whole text."""
-    return F.filter(F.split(F.lower(text), WORD_SPLIT), lambda w: w != F.lit(""))
+    """Lower-cased alphanumeric words of the whole text.
+
+    Empty pieces (a separator at either end) are dropped with the built-in
+    ``array_remove`` instead of a per-token lambda.
+    """
+    return F.array_remove(F.split(F.lower(text), WORD_SPLIT), "")
 
 
 def token_id(tok: Column) -> Column:
@@ -39,10 +43,19 @@ def fixed_length_ids(tokens: Column, n: int) -> tuple[Column, Column]:
 
 
 def count_in(tokens: Column, vocab) -> Column:
+    """Number of tokens found in ``vocab`` (array form)."""
     lex = F.array(*[F.lit(w) for w in vocab])
     return F.size(F.filter(tokens, lambda w: F.array_contains(lex, w))).cast("long")
 
 
+def count_words(text: Column, vocab) -> Column:
+    """Same count as ``count_in(words(text), vocab)`` in one regex pass over the text:
+    a vocabulary word matches where it is a whole token (no letter/digit on either side)."""
+    alt = "|".join(sorted(vocab, key=lambda w: (-len(w), w)))
+    pattern = f"(?<![a-z0-9])(?:{alt})(?![a-z0-9])"
+    return F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)), F.lit(0)).cast("long")
+
+
 def clean_account(raw: Column) -> Column:
     """CLN-02: handle without blanks and invisible characters."""
     return F.regexp_replace(raw, ACCOUNT_JUNK, "")

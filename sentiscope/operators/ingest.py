@@ -26,7 +26,8 @@ def eligible_posts(posts: DataFrame, lang: str | None = "en") -> DataFrame:
 
 def keyword_table(spark, keywords) -> DataFrame:
     """SRC-02 for an in-memory list: trimmed, non-empty, lower case, distinct."""
-    df = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    lits = F.array(*[F.lit(str(k)) for k in keywords]) if keywords else F.array().cast("array<string>")
+    df = spark.range(1).select(F.explode(lits).alias("keyword"))  # JVM-side, no Python task
     return normalise_keywords(df)
 
 

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.labels import CLASS_NAMES
-from ..functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, count_in, words
+from ..functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, count_words
 
 SCORE_TYPE = "struct<label:string,score:double>"
 NEUTRAL_BIAS = 0.5
@@ -32,8 +32,8 @@ NEUTRAL_BIAS = 0.5
 
 def lexicon_scores(posts: DataFrame, text_col: str = "text") -> DataFrame:
     """ML-06: positive/negative word counts -> label and confidence."""
-    toks = words(F.col(text_col))
-    p, g = count_in(toks, POSITIVE_WORDS), count_in(toks, NEGATIVE_WORDS)
+    p = count_words(F.col(text_col), POSITIVE_WORDS)
+    g = count_words(F.col(text_col), NEGATIVE_WORDS)
     label = F.when(p > g, "positive").when(g > p, "negative").otherwise("neutral")
     conf = (F.lit(1.0) + F.abs(p - g).cast("double")) / (F.lit(2.0) + (p + g).cast("double"))
     return posts.select("id", p.alias("n_pos"), g.alias("n_neg"), label.alias("sentiment"),

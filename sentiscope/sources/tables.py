@@ -17,6 +17,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for CPU-heavy per-row work when the scan yields fewer splits
+    than the cluster's parallelism (e.g. one large row group). At scale the input
+    has far more splits than cores and this is a no-op, so no shuffle is added."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+
+
 def posts_from_events(events: DataFrame, keep=()) -> DataFrame:
     """View ``posts``: one post per event; one in ten unscored, feedback in both spellings.
 
@@ -103,7 +111,7 @@ class Tables:
         return posts_from_events(self.raw("events"))
 
     def posts_text(self) -> DataFrame:
-        return posts_text_from_documents(self.raw("documents"), self.raw("labels"))
+        return posts_text_from_documents(spread(self.raw("documents")), self.raw("labels"))
 
     def predictions(self) -> DataFrame:
         return predictions_from_events(self.raw("events"))
