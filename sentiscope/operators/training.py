@@ -6,7 +6,8 @@ fitted on the train split, one candidate per regularisation setting, the best
 one chosen on the validation split, then evaluated on the test split with the
 same metric operators used elsewhere (``evaluation``). Everything runs as
 Spark jobs over the labelled frame; nothing is collected except the one-row
-metric results.
+metric results. The handful of settings is a short driver loop of distributed
+fits over checkpointed features.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from . import evaluation as ev
+from ..session import checkpoint_root
 from ..functions.text import WORD_SPLIT
 
 # Quality gate of the retraining job.
@@ -74,7 +76,10 @@ def train_evaluate(split: DataFrame, reg_params=(0.0, 0.01), max_iter: int = 50)
     """
     data = split.select("id", "text", F.col("label").cast("double").alias("label"), "split")
     feats_model = featurizer().fit(data.where(F.col("split") == "train"))
-    feats = feats_model.transform(data).select("id", "label", "split", "features").persist()
+    # Every optimizer iteration of every setting rereads the features: write them once to
+    # the shared checkpoint folder so a lost executor does not replay scan, split and IDF.
+    checkpoint_root(split.sparkSession)
+    feats = feats_model.transform(data).select("id", "label", "split", "features").checkpoint()
     train = feats.where(F.col("split") == "train")
     val = feats.where(F.col("split") == "validation")
     test = feats.where(F.col("split") == "test")
@@ -87,7 +92,6 @@ def train_evaluate(split: DataFrame, reg_params=(0.0, 0.01), max_iter: int = 50)
     t0 = time.time()
     m = metrics(predictions(best, test))
     runtime = time.time() - t0
-    feats.unpersist()
     model = PipelineModel(stages=list(feats_model.stages) + [best])
     result = {"eval_loss": m["eval_loss"], "eval_accuracy": m["eval_accuracy"], "eval_f1": m["eval_f1"],
               "eval_runtime": runtime,

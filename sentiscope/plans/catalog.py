@@ -26,6 +26,7 @@ from ..operators import training as tr
 from ..operators import updates as upd
 from ..schemas import DAILY_REPUTATION, POSTS, conform
 from ..session import scratch_path
+from ..sources import corpus
 from ..sources import history_csv as hcsv
 from ..sources import search_pages as pages
 from ..sources import sinks
@@ -535,7 +536,9 @@ def q_train_evaluate(spark, sf):
 def q_train_gate(spark, sf):
     import datetime as dt
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
-    model, result = tr.train_evaluate(_text_split(spark, sf))
+    corpus_path = scratch_path(spark, "corpus")
+    corpus.write_split_corpus(_text_split(spark, sf), corpus_path)  # SNK-06, read back as SRC-05
+    model, result = tr.train_evaluate(corpus.read_split_corpus(spark, corpus_path))
     end = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     ledger = scratch_path(spark, "gate-ledger")
     row = {"start_time": start, "end_time": end, **{k: result[k] for k in GATE_METRICS}}

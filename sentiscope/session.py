@@ -22,6 +22,8 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Texts run up to ~20k words: keep Arrow batches for the scorer UDF bounded.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

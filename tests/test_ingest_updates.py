@@ -155,3 +155,15 @@ def test_training_log_arrays_and_run_time_from_name(spark, scratch):
     rows = logs.read_training_logs(spark, d).collect()
     assert [r.kind for r in rows] == ["step", "eval", "summary"]
     assert rows[0].run_time == dt.datetime(2025, 11, 27, 7, 52, 0)
+
+
+def test_keyword_file_and_split_corpus(spark, scratch):
+    from sentiscope.sources import corpus
+    p = os.path.join(scratch, "keywords.txt")
+    with open(p, "w") as f:
+        f.write("amazon\n  Prime Video \n\namazon\n")
+    assert sorted(r.keyword for r in corpus.read_keywords(spark, p).collect()) == ["amazon", "prime video"]
+    df = spark.createDataFrame([("1", "a", 0, "train"), ("2", "b", 1, "test")],
+                               "id string, text string, label int, split string")
+    corpus.write_split_corpus(df, f"{scratch}/corpus")
+    assert [r.id for r in corpus.read_split_corpus(spark, f"{scratch}/corpus", "test").collect()] == ["2"]
