@@ -140,8 +140,11 @@ RUN_RENAMES = {
 
 
 def latest_training_runs(runs: DataFrame, lo, hi, k: int = 10) -> DataFrame:
-    """TOP-03 + PRJ-02/06: latest runs in range, all columns, display names."""
+    """TOP-03 + PRJ-02/06 + SRT-02: latest ``k`` runs in range, all columns, display names,
+    delivered sorted by evaluation speed (ascending) as the panel shows them."""
     top = in_time_range(runs, lo, hi).orderBy(F.col("start_time").desc(), F.col("end_time").desc()).limit(k)
+    if "eval_samples_per_second" in runs.columns:
+        top = top.orderBy(F.col("eval_samples_per_second").asc(), F.col("start_time").desc())
     return top.withColumnsRenamed({k2: v for k2, v in RUN_RENAMES.items() if k2 in runs.columns})
 
 

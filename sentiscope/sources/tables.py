@@ -21,8 +21,12 @@ def spread(df: DataFrame) -> DataFrame:
     """Use every core for CPU-heavy per-row work when the scan yields fewer splits
     than the cluster's parallelism (e.g. one large row group). At scale the input
     has far more splits than cores and this is a no-op, so no shuffle is added."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+    try:
+        want = df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as is
+        return df
+    return df.repartition(want) if have < want else df
 
 
 def posts_from_events(events: DataFrame, keep=()) -> DataFrame:
