@@ -1,9 +1,14 @@
-"""Parameters of the registered queries (the panels' time pickers and job settings)."""
+"""Parameters of the registered queries (the panels' time pickers and job settings).
+
+The day and run ranges stand for the panels' time pickers over the fixture data.
+"""
 
 DAY_LO = "2024-01-08"
 DAY_HI = "2024-01-21"
 RUN_LO = "2024-01-05 00:00:00"
 RUN_HI = "2024-01-25 23:59:59"
+# Review threshold and queue length, panel row limits, split seed and
+# shares, token length of the classifier input.
 REVIEW_THRESHOLD = 0.8
 REVIEW_LIMIT = 50
 TOP_NEGATIVE = 10
