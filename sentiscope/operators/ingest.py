@@ -68,14 +68,14 @@ def keyword_match(posts: DataFrame, keywords: DataFrame, lang: str | None = "en"
 
 def high_water_marks(matched: DataFrame, key: str = "keyword", id_col: str = "id") -> DataFrame:
     """AGG-20 / D7: largest id per keyword, compared as BIGINT (19-digit ids)."""
-    return matched.groupBy(key).agg(F.max(F.col(id_col).cast("bigint")).alias("last_id"))
+    return matched.groupBy(key).agg(F.max(F.col(id_col).try_cast("bigint")).alias("last_id"))
 
 
 def since_marks(rows: DataFrame, marks: DataFrame, key: str, id_col: str) -> DataFrame:
     """FLT-08 + JON-07: keep rows above their key's mark; keys without a mark keep everything."""
     m = marks.select(F.col(key), F.col("last_id").alias("_mark"))
     return (rows.join(m, key, "left")
-            .where(F.col("_mark").isNull() | (F.col(id_col).cast("bigint") > F.col("_mark")))
+            .where(F.col("_mark").isNull() | (F.col(id_col).try_cast("bigint") > F.col("_mark")))
             .drop("_mark"))
 
 

@@ -65,7 +65,7 @@ def daily_reputation_closed(posts: DataFrame, weights=DEFAULT_WEIGHTS) -> DataFr
 
 def parse_weights(text: Column) -> Column:
     """SCL-08: ``'2,1,3'`` -> array<double>."""
-    return F.transform(F.split(F.trim(text), ","), lambda x: F.trim(x).cast("double"))
+    return F.transform(F.split(F.trim(text), ","), lambda x: F.trim(x).try_cast("double"))
 
 
 def daily_reputation_weighted_by_text(posts: DataFrame, weights_text: str = "2,1,3") -> DataFrame:

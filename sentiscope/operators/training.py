@@ -21,6 +21,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from . import evaluation as ev
+from ..functions.labels import CLASS_NAMES
 from ..session import checkpoint_root
 from ..functions.text import WORD_SPLIT
 
@@ -100,6 +101,17 @@ def train_evaluate(split: DataFrame, reg_params=(0.0, 0.01), max_iter: int = 50)
     return model, result
 
 
+def score_with_model(model: PipelineModel, posts: DataFrame) -> DataFrame:
+    """ML-05 with a fitted Spark ML model: same output as the UDF scorer
+    (lower-case label and the probability of the top class)."""
+    out = model.transform(posts.select("id", "text"))
+    probs = vector_to_array(F.col("probability"))
+    names = F.array(*[F.lit(n) for n in CLASS_NAMES])
+    pred = F.col("prediction").cast("int")
+    return out.select("id", F.element_at(names, pred + 1).alias("sentiment"),
+                      F.round(F.array_max(probs), 6).alias("confidence"))
+
+
 def gate(result: dict, threshold: float = ACCURACY_GATE) -> bool:
     """ML-10: publish only if test accuracy reaches the threshold."""
     acc = result.get("eval_accuracy")

@@ -97,6 +97,18 @@ def stream_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str,
     _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(upsert), checkpoint)
 
 
+def dedup_within_watermark(src: DataFrame, delay: str = "2 days") -> DataFrame:
+    """STR-02, bounded-state variant: a repeat of an id arriving within ``delay`` of the
+    first copy's event time is dropped; state older than the watermark is purged."""
+    return src.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["id"])
+
+
+def stream_dedup_watermark(spark: SparkSession, landing: str, sink: str, checkpoint: str,
+                           delay: str = "2 days", max_files: int | None = None) -> None:
+    out = dedup_within_watermark(post_stream(spark, landing, max_files), delay)
+    _run(out.writeStream.format("parquet").partitionBy("date").option("path", sink), checkpoint)
+
+
 # ---- STR-03: tumbling day counts per class -----------------------------------------------------
 
 COUNTS_LOG = "day date, sentiment string, count long, batch_id long"

@@ -99,3 +99,17 @@ def test_distribution_matrix_margins(spark):
     m = {r.label: r for r in lab.distribution_matrix(df).collect()}
     assert (m[0].train, m[0].test, m[0].total) == (1, 1, 2)
     assert (m[None].train, m[None].validation, m[None].test, m[None].total) == (2, 1, 1, 4)
+
+
+def test_model_scorer_shape(spark):
+    from sentiscope.operators import training as tr
+    rows = [(str(i), t, float(lbl), "train") for i, (t, lbl) in enumerate(
+        [("good great love", 2), ("bad awful hate", 0), ("the a an", 1)] * 10)]
+    df = spark.createDataFrame(rows, "id string, text string, label double, split string")
+    model = tr.featurizer(1 << 10).fit(df)
+    lr = tr.classifier(0.0, 20).fit(model.transform(df))
+    from pyspark.ml import PipelineModel
+    full = PipelineModel(stages=list(model.stages) + [lr])
+    out = {r.id: r for r in tr.score_with_model(full, df).collect()}
+    assert out["0"].sentiment == "positive" and out["1"].sentiment == "negative"
+    assert all(0.0 <= r.confidence <= 1.0 for r in out.values())

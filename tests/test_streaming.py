@@ -72,3 +72,12 @@ def test_dedup_stream_is_replay_safe(spark, scratch):
     _land_day(spark, landing, 2, [1], start_id=5)
     stream.stream_dedup(spark, landing, f"{scratch}/sink", f"{scratch}/ck", max_files=1)
     assert sorted(r.id for r in spark.read.parquet(f"{scratch}/sink").collect()) == ["0", "1", "5"]
+
+
+def test_watermark_dedup_drops_repeats_within_delay(spark, scratch):
+    landing = f"{scratch}/landing"
+    _land_day(spark, landing, 1, [1, 2], start_id=0)
+    _land_day(spark, landing, 1, [1, 2], start_id=0)
+    _land_day(spark, landing, 2, [1], start_id=5)
+    stream.stream_dedup_watermark(spark, landing, f"{scratch}/sink", f"{scratch}/ck", max_files=1)
+    assert sorted(r.id for r in spark.read.parquet(f"{scratch}/sink").collect()) == ["0", "1", "5"]
