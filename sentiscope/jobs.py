@@ -68,7 +68,10 @@ def _rewrite_days(spark: SparkSession, wh: Warehouse, changed: DataFrame) -> Non
     stage = wh.staging()
     conform(changed, POSTS).write.mode("overwrite").partitionBy("date").parquet(stage)
     staged = spark.read.schema(POSTS).parquet(stage)
-    staged.write.mode("overwrite").partitionBy("date").parquet(wh.posts)  # dynamic: only these days
+    # Dynamic overwrite is set on the writer itself: only the staged days are replaced,
+    # whatever the session default is.
+    (staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("date").parquet(wh.posts))
 
 
 def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = False) -> int:

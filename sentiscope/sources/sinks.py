@@ -53,7 +53,7 @@ def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
     fresh = spark.read.schema(df.schema).parquet(version)
     w2 = fresh.write.mode("overwrite")
     if partition_by:
-        w2 = w2.partitionBy(partition_by)
+        w2 = w2.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
     w2.parquet(f"{root}/serving")
     return version
 

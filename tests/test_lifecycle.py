@@ -46,3 +46,20 @@ def test_lifecycle(spark, scratch):
     assert 0.0 <= result["eval_accuracy"] <= 1.0
     assert (result["model_path"] is not None) == result["passed"]
     assert spark.read.parquet(wh.ledger).count() == 1
+
+
+def test_day_rewrite_is_dynamic_even_with_static_session_default(spark, scratch):
+    import datetime as dt
+    from sentiscope.schemas import POSTS, conform
+    wh = jobs.Warehouse(f"{scratch}/wh")
+    rows = [("1", dt.date(2024, 1, 1), "positive"), ("2", dt.date(2024, 1, 2), "negative")]
+    base = conform(spark.createDataFrame(rows, "id string, date date, sentiment string"), POSTS)
+    base.write.partitionBy("date").parquet(wh.posts)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    try:
+        changed = wh.read_posts(spark).where(F.col("id") == "2").withColumn("sentiment", F.lit("neutral"))
+        jobs._rewrite_days(spark, wh, changed)
+    finally:
+        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    got = {r.id: r.sentiment for r in wh.read_posts(spark).collect()}
+    assert got == {"1": "positive", "2": "neutral"}
