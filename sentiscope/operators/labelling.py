@@ -1,11 +1,14 @@
 """Training labels, the exact seeded split and split profiles (ML-01..03, AGG-11..13, AGG-19).
 
-Exact split without a global sort: rows are ordered by ``md5(key || seed)``.
-The first hex digits of that hash give up to 16^d buckets; a count per
-bucket (a table of at most 16^d rows, so its broadcast has a proven bound)
-yields each bucket's offset, and ``row_number`` inside a bucket finishes the
-global rank. Buckets are uniform because the hash is, so no task gets a hot
-group as long as keys are unique (post ids are deduplicated at ingest).
+Exact split without one big partition (a distributed ``zipWithIndex``): rows are
+sorted globally by ``(md5(key || seed), key, u)`` where ``u`` is a per-row unique
+tiebreak. Range partitioning of that sort splits any group, even a key copied
+into a third of all rows, because ``u`` differs between copies. The sorted rows
+are numbered inside their partition, checkpointed once (so every branch sees the
+same numbering, also after an executor loss), and each partition's offset comes
+from a per-partition count table whose size is bounded by the partition count
+(a proven broadcast bound). For unique keys the order is exactly
+``md5(key || seed), key``.
 """
 
 from __future__ import annotations
@@ -13,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import canonical_label, label_source
+from ..session import checkpoint_root
 
 SPLITS = ("train", "validation", "test")
 
@@ -26,19 +30,26 @@ def training_labels(posts: DataFrame, source: str = "feedback_first",
             .where(F.col("label").isNotNull()))
 
 
-def seeded_rank(df: DataFrame, key: str = "id", seed: int = 42, hex_digits: int = 4) -> DataFrame:
+def seeded_rank(df: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
     """ML-01: 1-based rank in ``md5(key || seed)`` order plus the total ``_n``."""
+    checkpoint_root(df.sparkSession)
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    x = df.withColumn("_h", h).withColumn("_b", F.conv(F.substring(h, 1, hex_digits), 16, 10).cast("int"))
-    counts = x.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    # <= 16^hex_digits rows: a single-partition window here is bounded by the bucket count.
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+    x = df.withColumn("_h", h).withColumn("_u", F.monotonically_increasing_id())
+    m = F.monotonically_increasing_id()  # after the sort: partition index in the high bits
+    numbered = (x.orderBy("_h", key, "_u")
+                .withColumn("_m", m)
+                .withColumn("_p", F.shiftright(F.col("_m"), 33))
+                .withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
+                .drop("_m", "_u")
+                .checkpoint())
+    counts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
+    # One row per partition: the single-partition window is bounded by the partition count.
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
                             F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    inside = Window.partitionBy("_b").orderBy("_h", key)
-    return (x.join(F.broadcast(offsets), "_b")
-            .withColumn("_rank", F.col("_off") + F.row_number().over(inside))
-            .drop("_h", "_b", "_off"))
+    return (numbered.join(F.broadcast(offsets), "_p")
+            .withColumn("_rank", F.col("_off") + F.col("_i") + 1)
+            .drop("_h", "_p", "_i", "_off"))
 
 
 def split_by_rank(ranked: DataFrame, test_share: float = 0.2, val_share: float = 0.1) -> DataFrame:

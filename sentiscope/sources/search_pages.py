@@ -35,14 +35,15 @@ def posts_from_pages(rows: DataFrame) -> DataFrame:
 
 
 def land_search_pages(posts_text: DataFrame, path: str, page_span: int = 4, lang: str = "en") -> None:
-    """Write search pages derived from a post table: one page per block of ``page_span`` ids.
+    """Write search pages derived from a post table: one page per block of ``page_span`` rows.
 
     The server-side filter (language) decides what lands in ``data``; a block
     without a match lands as an empty page (``result_count = 0``, no ``data``).
-    Blocks hold at most ``page_span`` rows because ids are unique, so the
-    per-page ``collect_list`` is bounded.
+    Blocks are consecutive rows of one task (row position, not key arithmetic),
+    so every page holds at most ``page_span`` rows whatever the keys look like
+    and the per-page ``collect_list`` is bounded.
     """
-    k = F.col("id").cast("bigint")
+    k = F.monotonically_increasing_id()
     post = F.struct(
         F.col("id"), F.col("text"), F.col("author_id"),
         F.date_format(F.col("date").cast("timestamp"), ISO_FORMAT).alias("created_at"),

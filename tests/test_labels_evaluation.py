@@ -39,7 +39,7 @@ def test_split_sizes_are_exact_and_add_up(spark):
 
 def test_split_rank_matches_one_global_order(spark):
     df = spark.range(500).select(F.col("id").cast("string").alias("id"))
-    ranked = lab.seeded_rank(df, "id", 42, hex_digits=2).select("id", "_rank")
+    ranked = lab.seeded_rank(df, "id", 42).select("id", "_rank")
     w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
         F.md5(F.concat(F.col("id"), F.lit("42"))), "id")
     ref = df.select("id", F.row_number().over(w).alias("_rank"))
@@ -113,3 +113,15 @@ def test_model_scorer_shape(spark):
     out = {r.id: r for r in tr.score_with_model(full, df).collect()}
     assert out["0"].sentiment == "positive" and out["1"].sentiment == "negative"
     assert all(0.0 <= r.confidence <= 1.0 for r in out.values())
+
+
+def test_split_survives_a_key_copied_into_a_third_of_the_rows(spark):
+    n = 3000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
+        (F.col("id") % 3).cast("int").alias("label")).repartition(7)
+    ranked = lab.seeded_rank(df)
+    r = ranked.agg(F.min("_rank"), F.max("_rank"), F.countDistinct("_rank"), F.max("_n")).first()
+    assert tuple(r) == (1, n, n, n)
+    sizes = {x.split: x.n for x in lab.split_sizes(lab.train_val_test_split(df)).collect()}
+    assert sizes["test"] == 600 and sizes["validation"] == 240 and sizes["train"] == 2160
