@@ -81,3 +81,15 @@ def test_watermark_dedup_drops_repeats_within_delay(spark, scratch):
     _land_day(spark, landing, 2, [1], start_id=5)
     stream.stream_dedup_watermark(spark, landing, f"{scratch}/sink", f"{scratch}/ck", max_files=1)
     assert sorted(r.id for r in spark.read.parquet(f"{scratch}/sink").collect()) == ["0", "1", "5"]
+
+
+def test_update_mode_counts_over_ordered_batches(spark, scratch):
+    landing = f"{scratch}/landing"
+    _land_day(spark, landing, 1, [1, 2, 3], start_id=0)
+    _land_day(spark, landing, 1, [4], sentiment="negative", start_id=10)
+    _land_day(spark, landing, 2, [1, 2], start_id=20)
+    stream.stream_daily_counts(spark, landing, f"{scratch}/log", f"{scratch}/ck", max_files=1)
+    got = {(r.date.day, r.sentiment): r["count"] for r in stream.latest_counts(spark, f"{scratch}/log").collect()}
+    assert got == {(1, "positive"): 3, (1, "negative"): 1, (2, "positive"): 2}
+    # three batches were logged; the read side keeps the latest count per key
+    assert spark.read.parquet(f"{scratch}/log").select("batch_id").distinct().count() == 3
