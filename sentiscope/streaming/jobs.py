@@ -86,15 +86,25 @@ def stream_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 
 # ---- STR-02: drop posts already seen ----------------------------------------------------------
 
-def stream_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                 max_files: int | None = None) -> None:
+def dedup_writer(spark: SparkSession, sink: str):
+    """``foreachBatch`` function: append only ids not stored yet on the batch's days.
+
+    A replayed batch (task or driver retry after a failure) finds its rows
+    already stored and appends nothing.
+    """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         fresh = _unseen(batch, _read_or_none(spark, sink, POST_EVENT))
         fresh.select(*POST_EVENT.fieldNames()).write.mode("append").partitionBy("date").parquet(sink)
         batch.unpersist()
 
-    _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(upsert), checkpoint)
+    return upsert
+
+
+def stream_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str,
+                 max_files: int | None = None) -> None:
+    _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(dedup_writer(spark, sink)),
+         checkpoint)
 
 
 def dedup_within_watermark(src: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -161,6 +171,18 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
     _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(upsert), checkpoint)
 
 
+def compact_log(spark: SparkSession, log: str, keys: list[str], cols: list[str], out: str) -> None:
+    """Rewrite a batch-id log as one row per key (its latest values) into a new folder.
+
+    The read side (``max_by`` over ``batch_id``) gives the same answer before and
+    after; compaction only bounds the log's growth. Readers switch to ``out``.
+    """
+    df = spark.read.parquet(log)
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols, "batch_id"), "batch_id").alias("v"))
+    (latest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols + ["batch_id"]])
+     .write.mode("overwrite").parquet(out))
+
+
 def latest_days(spark: SparkSession, gold_log: str) -> DataFrame:
     log = spark.read.parquet(gold_log)
     cols = ["positive_count", "negative_count", "neutral_count", "reputation_index"]

@@ -125,3 +125,14 @@ def test_split_survives_a_key_copied_into_a_third_of_the_rows(spark):
     assert tuple(r) == (1, n, n, n)
     sizes = {x.split: x.n for x in lab.split_sizes(lab.train_val_test_split(df)).collect()}
     assert sizes["test"] == 600 and sizes["validation"] == 240 and sizes["train"] == 2160
+
+
+def test_scorers_golden_sentences(spark):
+    from sentiscope.operators.scoring import lexicon_scores, score_posts
+    rows = [("neg", "My order was lost again and the refund is late. Worst service."),
+            ("pos", "I love this phone, the camera is amazing and the battery is great!")]
+    df = spark.createDataFrame(rows, "id string, text string")
+    for scored in (score_posts(df), lexicon_scores(df)):
+        got = {r.id: (r.sentiment, r.confidence) for r in scored.collect()}
+        assert got["neg"][0] == "negative" and got["pos"][0] == "positive"
+        assert all(0.0 < c <= 1.0 for _, c in got.values())
