@@ -34,14 +34,13 @@ def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
             partition_by: str | None = None) -> str | None:
     """SNK-03/04/05 with FLT-11 and D18.
 
-    Empty input leaves the served table as it is. Otherwise the rows are written
-    to ``root/versions/<id>`` (fixed schema on first write) and the serving copy
-    ``root/serving`` is overwritten from that version; with ``partition_by`` only
-    the partitions present in the new version are replaced.
-    Returns the version path, or None when nothing was published.
+    The rows are computed once and written to ``root/versions/<id>`` (fixed
+    schema on first write); only when that version holds rows is the serving
+    copy ``root/serving`` overwritten from it, so empty input leaves the served
+    table as it is. With ``partition_by`` only the partitions present in the new
+    version are replaced. Returns the version path, or None when nothing was
+    published.
     """
-    if df.isEmpty():
-        return None
     if schema is not None:
         df = conform(df, schema)
     version = f"{root}/versions/{uuid.uuid4().hex}"
@@ -51,6 +50,8 @@ def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
     w.parquet(version)
     spark = df.sparkSession
     fresh = spark.read.schema(df.schema).parquet(version)
+    if fresh.isEmpty():
+        return None
     w2 = fresh.write.mode("overwrite")
     if partition_by:
         w2 = w2.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
