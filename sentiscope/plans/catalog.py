@@ -561,7 +561,7 @@ LEDGER_SCHEMA = ("start_time timestamp_ntz, end_time timestamp_ntz, eval_loss do
 
 # ---- streaming (STR-01..07) ---------------------------------------------------------------------
 
-def _landing(spark, sf, name="landing-posts", files_per_day=2):
+def _landing(spark, sf, name="landing-posts", files_per_day=1):
     path = scratch_path(spark, name)
     stream.land_post_events(Tables(spark, sf).raw("events"), path, files_per_day)
     return path
@@ -570,7 +570,7 @@ def _landing(spark, sf, name="landing-posts", files_per_day=2):
 @query("stream_ingest")
 def q_stream_ingest(spark, sf):
     landing, sink = _landing(spark, sf), scratch_path(spark, "stream-ingest")
-    stream.stream_ingest(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=16)
+    stream.stream_ingest(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=10)
     return spark.read.schema(stream.POST_EVENT).parquet(sink).select("id", "date", "sentiment")
 
 
@@ -582,7 +582,7 @@ def q_stream_dedup(spark, sf):
     # The duplicates arrive as extra files in the same landing folder.
     spark.read.parquet(landing + "-dups").write.mode("append").partitionBy("date").parquet(landing)
     sink = scratch_path(spark, "stream-dedup")
-    stream.stream_dedup(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=16)
+    stream.stream_dedup(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=20)
     return spark.read.schema(stream.POST_EVENT).parquet(sink).select("id", "date", "sentiment")
 
 
@@ -597,7 +597,7 @@ def q_stream_daily_counts(spark, sf):
 def q_stream_daily_reputation(spark, sf):
     landing = _landing(spark, sf)
     silver, gold = scratch_path(spark, "stream-silver"), scratch_path(spark, "stream-gold")
-    stream.stream_daily_reputation(spark, landing, silver, gold, scratch_path(spark, "ckpt"), max_files=16)
+    stream.stream_daily_reputation(spark, landing, silver, gold, scratch_path(spark, "ckpt"), max_files=10)
     return stream.latest_days(spark, gold)
 
 
