@@ -598,7 +598,7 @@ def q_stream_daily_reputation(spark, sf):
     landing = _landing(spark, sf)
     silver, gold = scratch_path(spark, "stream-silver"), scratch_path(spark, "stream-gold")
     stream.stream_daily_reputation(spark, landing, silver, gold, scratch_path(spark, "ckpt"), max_files=10)
-    return stream.latest_days(spark, gold)
+    return stream.read_gold(spark, gold)
 
 
 @query("stream_score")

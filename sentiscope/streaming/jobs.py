@@ -8,17 +8,21 @@ to replay:
 
 * dedup and the silver append skip ids already stored for the batch's days
   (anti join against only those day partitions), so a replayed batch adds nothing;
-* windowed counts and day recomputes are appended with their batch id and read
-  back last-write-wins per key (``max_by``), so a path is never read and
-  overwritten by the same job.
+* windowed counts are appended with their batch id and read back
+  last-write-wins per key (``max_by``);
+* recomputed days replace their gold partitions through a staging folder, so a
+  path is never read and overwritten by the same job.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..operators import reputation as rep
+from ..schemas import DAILY_REPUTATION
 from ..operators.ingest import new_only
 from ..operators.scoring import score_posts
 from ..sources.tables import posts_from_events
@@ -149,12 +153,16 @@ def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
 
 # ---- STR-04/06: late rows recompute their day ----------------------------------------------------
 
-def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold_log: str,
+def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold: str,
                             checkpoint: str, max_files: int | None = None,
                             weights=rep.DEFAULT_WEIGHTS) -> None:
-    """Append new posts to silver, then recompute only the days the batch touched.
+    """Append new posts to silver, recompute only the days the batch touched and
+    overwrite those day partitions of the gold table.
 
-    No row is dropped however late it is: its day is recomputed from silver.
+    No row is dropped however late it is: its day is recomputed from silver. The
+    recomputed days go to a fresh staging folder first, then replace their gold
+    partitions (dynamic overwrite), so gold is never read and overwritten by one
+    job; replaying a batch rewrites the same values.
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
@@ -163,14 +171,20 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
         fresh.select(*POST_EVENT.fieldNames()).write.mode("append").partitionBy("date").parquet(silver)
         days = batch.select("date").distinct()
         touched = spark.read.schema(POST_EVENT).parquet(silver).join(days, "date", "left_semi")
-        (rep.daily_reputation(touched, weights)
-         .withColumn("batch_id", F.lit(batch_id).cast("long"))
-         .write.mode("append").parquet(gold_log))
+        stage = f"{gold}-staging/{batch_id}-{uuid.uuid4().hex}"
+        rep.daily_reputation(touched, weights).write.mode("overwrite").partitionBy("date").parquet(stage)
+        (spark.read.schema(DAILY_REPUTATION).parquet(stage)
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("date").parquet(gold))
         batch.unpersist()
 
     _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(upsert), checkpoint)
 
 
+def read_gold(spark: SparkSession, gold: str) -> DataFrame:
+    return spark.read.schema(DAILY_REPUTATION).parquet(gold).select(*DAILY_REPUTATION.fieldNames())
+
+
 def compact_log(spark: SparkSession, log: str, keys: list[str], cols: list[str], out: str) -> None:
     """Rewrite a batch-id log as one row per key (its latest values) into a new folder.
 
@@ -183,13 +197,6 @@ def compact_log(spark: SparkSession, log: str, keys: list[str], cols: list[str],
      .write.mode("overwrite").parquet(out))
 
 
-def latest_days(spark: SparkSession, gold_log: str) -> DataFrame:
-    log = spark.read.parquet(gold_log)
-    cols = ["positive_count", "negative_count", "neutral_count", "reputation_index"]
-    latest = log.groupBy("date").agg(F.max_by(F.struct(*cols), "batch_id").alias("v"))
-    return latest.select("date", *[F.col(f"v.{c}").alias(c) for c in cols])
-
-
 # ---- STR-05: score new rows as they arrive ---------------------------------------------------------
 
 def stream_score(spark: SparkSession, landing: str, schema: T.StructType, sink: str,

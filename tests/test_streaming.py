@@ -21,7 +21,7 @@ def test_stream_reputation_equals_batch_over_many_batches(spark, scratch):
     stream.stream_daily_reputation(spark, landing, f"{scratch}/silver", f"{scratch}/gold",
                                    f"{scratch}/ckpt", max_files=5)
     batch = rep.daily_reputation(Tables(spark, SF001).posts())
-    assert rows(stream.latest_days(spark, f"{scratch}/gold")) == rows(batch)
+    assert rows(stream.read_gold(spark, f"{scratch}/gold")) == rows(batch)
 
 
 def test_available_now_picks_up_only_new_files(spark, scratch):
@@ -61,7 +61,7 @@ def test_closed_days_vs_late_rows(spark, scratch):
     assert [(r.date, r.positive_count, r.negative_count) for r in closed] == [(dt.date(2024, 1, 1), 2, 0)]
     stream.stream_daily_reputation(spark, landing, f"{scratch}/silver", f"{scratch}/gold",
                                    f"{scratch}/ck2", max_files=1)
-    days = {r.date: (r.positive_count, r.negative_count) for r in stream.latest_days(spark, f"{scratch}/gold").collect()}
+    days = {r.date: (r.positive_count, r.negative_count) for r in stream.read_gold(spark, f"{scratch}/gold").collect()}
     assert days[dt.date(2024, 1, 1)] == (2, 1)  # recompute keeps the late row
 
 
@@ -108,10 +108,8 @@ def test_compacted_log_reads_the_same(spark, scratch):
     landing = f"{scratch}/landing"
     _land_day(spark, landing, 1, [1, 2], start_id=0)
     _land_day(spark, landing, 1, [3], start_id=5)
-    stream.stream_daily_reputation(spark, landing, f"{scratch}/silver", f"{scratch}/gold",
-                                   f"{scratch}/ck", max_files=1)
-    before = rows(stream.latest_days(spark, f"{scratch}/gold"))
-    cols = ["positive_count", "negative_count", "neutral_count", "reputation_index"]
-    stream.compact_log(spark, f"{scratch}/gold", ["date"], cols, f"{scratch}/gold2")
-    assert spark.read.parquet(f"{scratch}/gold2").count() == 1
-    assert rows(stream.latest_days(spark, f"{scratch}/gold2")) == before
+    stream.stream_daily_counts(spark, landing, f"{scratch}/log", f"{scratch}/ck", max_files=1)
+    before = rows(stream.latest_counts(spark, f"{scratch}/log"))
+    stream.compact_log(spark, f"{scratch}/log", ["day", "sentiment"], ["count"], f"{scratch}/log2")
+    assert spark.read.parquet(f"{scratch}/log2").count() == 1
+    assert rows(stream.latest_counts(spark, f"{scratch}/log2")) == before == [(dt.date(2024, 1, 1), "positive", 3)]
\ No newline at end of file
