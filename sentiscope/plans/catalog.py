@@ -269,9 +269,20 @@ def q_quality_report(spark, sf):
     return qa.quality_report(pt.select(canonical_label(F.col("sentiment")).alias("label")))
 
 
+def historic_batch(posts_text):
+    """Document rows as a historic batch: dirty day text cleaned (unparsable -> NULL date),
+    reviewer feedback typed by hand (every seventh row is not a valid answer)."""
+    k = F.col("id").cast("bigint")
+    d = dirty_dates(posts_text).select("id", clean_date(F.col("raw_date")).alias("date"))
+    fb = F.when(k % 7 == 0, F.lit("maybe")).when(k % 7 == 1, F.lit("2.0"))
+    return posts_text.select("id", "author_id", "sentiment", fb.alias("user_feedback")).join(d, "id")
+
+
 @query("rejects_by_reason")
 def q_rejects_by_reason(spark, sf):
-    return qa.rejects_by_reason(Tables(spark, sf).posts())
+    t = Tables(spark, sf)
+    batch = conform(t.posts(), POSTS).unionByName(conform(historic_batch(t.posts_text()), POSTS))
+    return qa.rejects_by_reason(batch)
 
 
 # ---- review and updates by key (TOP-01, JON-01/02) --------------------------------

@@ -244,13 +244,26 @@ FROM (SELECT CAST(sum(c) AS BIGINT) AS rows,
              max(CASE WHEN label IS NOT NULL THEN c END) AS max_class
       FROM (SELECT {TEXT_LABEL} AS label, CAST(count(*) AS BIGINT) AS c
             FROM posts_text WHERE sentiment IS NOT NULL GROUP BY 1) t) s""")
-SQL["rejects_by_reason"] = posts_sql("""
+_DIRTY_RAW = """CASE WHEN CAST(id AS BIGINT) % 8 % 4 = 0 THEN ' ' || strftime(date, '%Y-%m-%d')
+                  WHEN CAST(id AS BIGINT) % 8 % 4 = 1 THEN strftime(date, '%d/%m/%Y')
+                  WHEN CAST(id AS BIGINT) % 8 % 4 = 2 THEN strftime(date, '%Y-%m-%d')
+                  WHEN CAST(id AS BIGINT) % 8 = 3 THEN 'n/a'
+                  ELSE strftime(date, '%Y-%m-%d') || ' ' END"""
+_CLEAN = """coalesce(CAST(try_strptime(trim(raw), '%Y-%m-%d') AS DATE),
+                CAST(try_strptime(trim(raw), '%d/%m/%Y') AS DATE))"""
+SQL["rejects_by_reason"] = with_views(f"""
 SELECT reason, CAST(count(*) AS BIGINT) AS n FROM (
   SELECT CASE WHEN date IS NULL THEN 'missing_date'
               WHEN sentiment IS NOT NULL AND sentiment NOT IN ('negative', 'neutral', 'positive') THEN 'unknown_sentiment'
               WHEN user_feedback IS NOT NULL AND user_feedback NOT IN ('0', '1', '2', '0.0', '1.0', '2.0') THEN 'bad_feedback'
               ELSE 'accepted' END AS reason
-  FROM posts) t GROUP BY reason""")
+  FROM (SELECT date, sentiment, user_feedback FROM posts
+        UNION ALL
+        SELECT {_CLEAN} AS date, sentiment,
+               CASE WHEN CAST(id AS BIGINT) % 7 = 0 THEN 'maybe'
+                    WHEN CAST(id AS BIGINT) % 7 = 1 THEN '2.0' END AS user_feedback
+        FROM (SELECT id, sentiment, {_DIRTY_RAW} AS raw FROM posts_text) h) u) t
+GROUP BY reason""", views=("posts", "posts_text"))
 
 # ---- review and updates ----------------------------------------------------------------
 
