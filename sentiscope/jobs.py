@@ -32,6 +32,7 @@ from .operators import updates as upd
 from .operators.scoring import LexiconSoftmax, score_posts
 from .schemas import DAILY_REPUTATION, POSTS, conform
 from .sources import corpus, search_pages, sinks
+from .sources.tables import restrict_to_days
 
 
 @dataclass(frozen=True)
@@ -81,8 +82,7 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
     if stored is None:
         fresh = batch.dropDuplicates(["id"])
     else:
-        days = batch.select("date").distinct()
-        fresh = ing.new_only(batch, stored.join(days, "date", "left_semi"))
+        fresh = ing.new_only(batch, restrict_to_days(stored, batch))
     stage = wh.staging()
     fresh.write.mode("overwrite").parquet(stage)  # materialise once: count and append the same rows
     staged = spark.read.schema(POSTS).parquet(stage)
@@ -103,8 +103,8 @@ def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) ->
     n = scores.count()
     if n == 0:
         return 0
-    days = posts.join(scores.select("id"), "id", "left_semi").select("date").distinct()
-    touched = posts.join(days, "date", "left_semi")
+    # Scored rows are the pending ones: their days are the touched days.
+    touched = restrict_to_days(posts, pending)
     _rewrite_days(spark, wh, upd.apply_scores(touched, scores))
     return n
 
@@ -123,8 +123,7 @@ def save_feedback(spark: SparkSession, wh: Warehouse, answers: DataFrame) -> int
     """FeedbackManager: reviewer answers (id, seq, answer) -> ``user_feedback``; invalid ones rejected."""
     posts = wh.read_posts(spark)
     valid, _ = upd.split_feedback(answers)
-    days = posts.join(valid.select("id"), "id", "left_semi").select("date").distinct()
-    touched = posts.join(days, "date", "left_semi")
+    touched = restrict_to_days(posts, posts.join(valid.select("id"), "id", "left_semi"))
     _rewrite_days(spark, wh, upd.apply_feedback(touched, answers))
     return valid.select("id").distinct().count()
 

@@ -29,6 +29,31 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(want) if have < want else df
 
 
+# Most distinct days an update batch may name for an exact static partition filter.
+MAX_PRUNE_DAYS = 4096
+
+
+def restrict_to_days(table: DataFrame, days: DataFrame, col: str = "date",
+                     bound: int = MAX_PRUNE_DAYS) -> DataFrame:
+    """Rows of a day-partitioned table on the days named by ``days``, read from
+    those day folders only.
+
+    A semi join against a micro-batch or an update set does not prune the scan
+    (dynamic partition pruning needs a selective filter on the other side), so
+    every batch would read the whole table. The distinct days of a batch are a
+    short list bounded by its calendar span: at most ``bound + 1`` are fetched
+    and become a literal ``IN`` partition filter. A batch spanning more days
+    prunes by its [min, max] day (a one-row aggregate) and keeps the semi join,
+    so the result is the same either way. NULL days match nothing, as in a join.
+    """
+    d = days.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
+    listed = [r[0] for r in d.limit(bound + 1).collect()]
+    if len(listed) <= bound:
+        return table.where(F.col(col).isin(listed)) if listed else table.where(F.lit(False))
+    lo, hi = d.agg(F.min(col), F.max(col)).first()
+    return table.where(F.col(col).between(lo, hi)).join(d, col, "left_semi")
+
+
 def posts_from_events(events: DataFrame, keep=()) -> DataFrame:
     """View ``posts``: one post per event; one in ten unscored, feedback in both spellings.
 

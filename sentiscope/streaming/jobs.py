@@ -25,7 +25,7 @@ from ..operators import reputation as rep
 from ..schemas import DAILY_REPUTATION
 from ..operators.ingest import new_only
 from ..operators.scoring import score_posts
-from ..sources.tables import posts_from_events
+from ..sources.tables import posts_from_events, restrict_to_days
 
 POST_EVENT = T.StructType([
     T.StructField("id", T.StringType()),
@@ -72,12 +72,11 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None =
 
 
 def _unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """In-batch dedup, then drop ids already stored on the batch's days (partition-pruned)."""
+    """In-batch dedup, then drop ids already stored on the batch's days (only those
+    day folders are read)."""
     if stored is None:
         return batch.dropDuplicates(["id"])
-    days = batch.select("date").distinct()
-    known = stored.join(days, "date", "left_semi").select("id")
-    return new_only(batch, known)
+    return new_only(batch, restrict_to_days(stored, batch).select("id"))
 
 
 # ---- STR-01: incremental ingest ------------------------------------------------------------
@@ -169,8 +168,7 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
         stored = _read_or_none(spark, silver, POST_EVENT)
         fresh = _unseen(batch, stored)
         fresh.select(*POST_EVENT.fieldNames()).write.mode("append").partitionBy("date").parquet(silver)
-        days = batch.select("date").distinct()
-        touched = spark.read.schema(POST_EVENT).parquet(silver).join(days, "date", "left_semi")
+        touched = restrict_to_days(spark.read.schema(POST_EVENT).parquet(silver), batch)
         stage = f"{gold}-staging/{batch_id}-{uuid.uuid4().hex}"
         rep.daily_reputation(touched, weights).write.mode("overwrite").partitionBy("date").parquet(stage)
         (spark.read.schema(DAILY_REPUTATION).parquet(stage)

@@ -167,3 +167,23 @@ def test_keyword_file_and_split_corpus(spark, scratch):
                                "id string, text string, label int, split string")
     corpus.write_split_corpus(df, f"{scratch}/corpus")
     assert [r.id for r in corpus.read_split_corpus(spark, f"{scratch}/corpus", "test").collect()] == ["2"]
+
+
+def test_restrict_to_days_prunes_and_matches_semi_join(spark, scratch):
+    from pyspark.sql import functions as F
+    from sentiscope.sources.tables import restrict_to_days
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 30).cast("int"))
+    spark.range(3000).select(F.col("id").cast("string").alias("id"), day.alias("date")) \
+        .write.partitionBy("date").parquet(f"{scratch}/t")
+    t = spark.read.parquet(f"{scratch}/t")
+    batch = spark.range(0, 200, 7).select(F.lit("x").alias("id"), day.alias("date")) \
+        .unionByName(spark.sql("SELECT 'y' AS id, CAST(NULL AS DATE) AS date"))
+    want = sorted(r.id for r in t.join(batch.select("date"), "date", "left_semi").collect())
+    listed = restrict_to_days(t, batch)
+    scan = listed._jdf.queryExecution().executedPlan().collectLeaves().head()
+    pf = scan.partitionFilters().toString()
+    assert " IN (" in pf or " INSET " in pf
+    assert sorted(r.id for r in listed.collect()) == want
+    # More distinct days than the bound: range filter plus semi join, same rows.
+    assert sorted(r.id for r in restrict_to_days(t, batch, bound=3).collect()) == want
+    assert restrict_to_days(t, batch.where("date IS NULL")).count() == 0
