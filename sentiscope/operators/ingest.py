@@ -80,8 +80,15 @@ def since_marks(rows: DataFrame, marks: DataFrame, key: str, id_col: str) -> Dat
 
 
 def new_only(batch: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
-    """JON-05 / D8: in-batch dedup, then drop keys already stored (left anti join)."""
-    return batch.dropDuplicates([key]).join(known.select(key), key, "left_anti")
+    """JON-05 / D8: in-batch dedup, then drop keys already stored (left anti join).
+
+    Both sides are reduced to distinct keys first (hash aggregates with map-side
+    combine, so a key copied into a third of all rows is one partial row per
+    task). AQE can split a skewed partition of the probe side but not of the build
+    side; with distinct keys on the build side there is nothing left to split, and
+    the anti join reuses the aggregate's hash partitioning on the key.
+    """
+    return batch.dropDuplicates([key]).join(known.select(key).distinct(), key, "left_anti")
 
 
 def union_batches(*batches: DataFrame) -> DataFrame:
