@@ -24,6 +24,12 @@ SESSION_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Texts run up to ~20k words: keep Arrow batches for the scorer UDF bounded.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Streaming state (windowed counts, watermark dedup) lives in RocksDB on local disk
+    # instead of the executor heap; changelog checkpointing uploads only the changes
+    # of each micro-batch. A restarted query keeps the provider of its checkpoint.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
