@@ -55,13 +55,18 @@ def apply_session_conf(spark: SparkSession) -> None:
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (local runs,
-    tests) a fresh local folder is created and registered.
+    Read from ``spark.checkpoint.dir``; only when it is unset in a local-mode
+    session (local runs, tests) a fresh local folder is created and registered.
+    A cluster session without it fails here: a machine-local folder would not be
+    visible to other executors and would not survive the loss of this machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder (e.g. on HDFS or "
+                               "an object store); checkpoints and written tables go there")
         root = tempfile.mkdtemp(prefix="sentiscope-")
         spark.conf.set("spark.checkpoint.dir", root)
         spark.sparkContext.setCheckpointDir(root)
