@@ -8,7 +8,8 @@ are numbered inside their partition, checkpointed once (so every branch sees the
 same numbering, also after an executor loss), and each partition's offset comes
 from a per-partition count table whose size is bounded by the partition count
 (a proven broadcast bound). For unique keys the order is exactly
-``md5(key || seed), key``.
+``md5(key || seed), key``. The stratified variant (D21) ranks inside each class
+the same way, with the class as the leading sort key.
 """
 
 from __future__ import annotations
@@ -30,26 +31,41 @@ def training_labels(posts: DataFrame, source: str = "feedback_first",
             .where(F.col("label").isNotNull()))
 
 
-def seeded_rank(df: DataFrame, key: str = "id", seed: int = 42) -> DataFrame:
-    """ML-01: 1-based rank in ``md5(key || seed)`` order plus the total ``_n``."""
+def seeded_rank(df: DataFrame, key: str = "id", seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
+    """ML-01: 1-based rank in ``md5(key || seed)`` order plus the total ``_n``; with
+    ``by``, rank and total are per group (a stratum such as the class).
+
+    Groups are contiguous in the global sort ``(by, hash, key, u)``, so a group
+    spans a run of sorted partitions. The count table has one row per
+    (partition, group) present in it, at most partitions + groups rows, and gives
+    each piece its offset inside the group and the first row position it holds
+    in that partition. No window ever holds the rows of a group, so a class
+    with most of the rows is still ranked by every task in parallel.
+    """
     checkpoint_root(df.sparkSession)
+    by = tuple(by)
     h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
     x = df.withColumn("_h", h).withColumn("_u", F.monotonically_increasing_id())
     m = F.monotonically_increasing_id()  # after the sort: partition index in the high bits
-    numbered = (x.orderBy("_h", key, "_u")
+    numbered = (x.orderBy(*by, "_h", key, "_u")
                 .withColumn("_m", m)
                 .withColumn("_p", F.shiftright(F.col("_m"), 33))
                 .withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
                 .drop("_m", "_u")
                 .checkpoint())
-    counts = numbered.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    # One row per partition: the single-partition window is bounded by the partition count.
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-                            F.sum("_c").over(Window.partitionBy()).alias("_n"))
-    return (numbered.join(F.broadcast(offsets), "_p")
-            .withColumn("_rank", F.col("_off") + F.col("_i") + 1)
-            .drop("_h", "_p", "_i", "_off"))
+    counts = numbered.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))
+    group = Window.partitionBy(*by)
+    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(
+        F.col("_p").alias("_op"), *[F.col(b).alias(f"_o_{b}") for b in by], "_first",
+        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
+        F.sum("_c").over(group).alias("_n"))
+    cond = F.col("_p") == F.col("_op")
+    for b in by:
+        cond = cond & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
+    return (numbered.join(F.broadcast(offsets), cond)
+            .withColumn("_rank", F.col("_off") + F.col("_i") - F.col("_first") + 1)
+            .drop("_h", "_p", "_i", "_op", "_first", "_off", *[f"_o_{b}" for b in by]))
 
 
 def split_by_rank(ranked: DataFrame, test_share: float = 0.2, val_share: float = 0.1) -> DataFrame:
@@ -64,8 +80,12 @@ def split_by_rank(ranked: DataFrame, test_share: float = 0.2, val_share: float =
 
 
 def train_val_test_split(labelled: DataFrame, key: str = "id", seed: int = 42,
-                         test_share: float = 0.2, val_share: float = 0.1) -> DataFrame:
-    return split_by_rank(seeded_rank(labelled, key, seed), test_share, val_share)
+                         test_share: float = 0.2, val_share: float = 0.1,
+                         stratify_by: str | None = None) -> DataFrame:
+    """ML-02; random by default (D21). With ``stratify_by`` the same exact cut is made
+    inside every class, so each split keeps the class shares."""
+    by = (stratify_by,) if stratify_by else ()
+    return split_by_rank(seeded_rank(labelled, key, seed, by), test_share, val_share)
 
 
 def split_sizes(split: DataFrame) -> DataFrame:

@@ -238,6 +238,13 @@ def q_train_val_test_split(spark, sf):
     return _split(spark, sf)
 
 
+@query("stratified_split")
+def q_stratified_split(spark, sf):
+    """D21 option: the exact cut inside every class."""
+    return lab.train_val_test_split(_labels(spark, sf), "id", P.SPLIT_SEED, P.TEST_SHARE,
+                                    P.VALIDATION_SHARE, stratify_by="label")
+
+
 @query("split_sizes")
 def q_split_sizes(spark, sf):
     return lab.split_sizes(_split(spark, sf))

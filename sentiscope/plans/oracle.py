@@ -196,23 +196,31 @@ LABEL_CASE = """CASE coalesce(user_feedback, sentiment)
 LABELS_CTE = f"""labels_ AS (
   SELECT id, label FROM (SELECT id, {LABEL_CASE} AS label FROM posts WHERE sentiment IS NOT NULL) t
   WHERE label IS NOT NULL)"""
-SPLIT_CTE = f"""split_ AS (
+def split_cte(name: str, stratum: str | None = None) -> str:
+    """Exact seeded split; with ``stratum`` the rank and the cut are per class."""
+    over = f"PARTITION BY {stratum} " if stratum else ""
+    return f"""{name} AS (
   SELECT id, label,
          CASE WHEN rk <= t THEN 'test' WHEN rk <= t + v THEN 'validation' ELSE 'train' END AS split
   FROM (SELECT id, label, rk, t, ceil(CAST({P.VALIDATION_SHARE} AS DOUBLE) * (CAST(n AS DOUBLE) - t)) AS v
         FROM (SELECT id, label, rk, n, ceil(CAST({P.TEST_SHARE} AS DOUBLE) * CAST(n AS DOUBLE)) AS t
               FROM (SELECT id, label,
-                           row_number() OVER (ORDER BY md5(id || '{P.SPLIT_SEED}'), id) AS rk,
-                           count(*) OVER () AS n
+                           row_number() OVER ({over}ORDER BY md5(id || '{P.SPLIT_SEED}'), id) AS rk,
+                           count(*) OVER ({over.strip()}) AS n
                     FROM labels_) a) b) c)"""
 
 
+SPLIT_CTE = split_cte("split_")
+
+
 def split_sql(body: str) -> str:
     return with_views(body, LABELS_CTE, SPLIT_CTE, views=("posts",))
 
 
 SQL["training_labels"] = with_views("SELECT id, label FROM labels_", LABELS_CTE, views=("posts",))
 SQL["train_val_test_split"] = split_sql("SELECT id, label, split FROM split_")
+SQL["stratified_split"] = with_views("SELECT id, label, split FROM strat_", LABELS_CTE,
+                                     split_cte("strat_", "label"), views=("posts",))
 SQL["split_sizes"] = split_sql(
     "SELECT split, CAST(count(*) AS BIGINT) AS n FROM split_ GROUP BY ROLLUP (split)")
 SQL["split_class_counts"] = split_sql(

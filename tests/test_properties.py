@@ -85,3 +85,17 @@ def test_new_only_is_set_difference_once(spark, batch, known):
     kn = spark.createDataFrame([(i,) for i in known], "id string")
     got = [r.id for r in ing.new_only(b, kn).collect()]
     assert sorted(got) == sorted(set(batch) - set(known))
+
+
+@SETTINGS
+@given(rows=st.lists(st.tuples(IDS, st.integers(0, 2)), min_size=1, max_size=60),
+       hot=st.integers(0, 60))
+def test_stratified_split_is_exact_inside_every_class(spark, rows, hot):
+    rows = rows + [("hot", 1)] * hot  # one key and one class can hold most of the rows
+    df = spark.createDataFrame(rows, "id string, label int")
+    out = lab.train_val_test_split(df, "id", 42, 0.2, 0.1, stratify_by="label")
+    got = Counter((r.label, r.split) for r in out.collect())
+    for c, n in Counter(lbl for _, lbl in rows).items():
+        t = math.ceil(0.2 * n)
+        v = math.ceil(0.1 * (n - t))
+        assert (got[(c, "test")], got[(c, "validation")], got[(c, "train")]) == (t, v, n - t - v)
