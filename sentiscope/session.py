@@ -22,8 +22,10 @@ SESSION_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Texts run up to ~20k words: keep Arrow batches for the scorer UDF bounded.
+    # Texts run up to ~20k words: keep Arrow batches for the scorer UDF bounded, by rows
+    # and by bytes (a batch closes at whichever limit it reaches first).
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
     # Streaming state (windowed counts, watermark dedup) lives in RocksDB on local disk
     # instead of the executor heap; changelog checkpointing uploads only the changes
     # of each micro-batch. A restarted query keeps the provider of its checkpoint.
