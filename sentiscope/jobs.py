@@ -20,11 +20,12 @@ import datetime as dt
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from .operators import ingest as ing
 from .operators import labelling as lab
+from .operators import quality as qa
 from .operators import reputation as rep
 from .operators import review as rv
 from .operators import training as tr
@@ -35,6 +36,11 @@ from .sources import corpus, search_pages, sinks
 from .sources.tables import restrict_to_days
 
 
+# Staged crawl batch: post columns, the reject reason and the outcome folder.
+STAGED = T.StructType(POSTS.fields + [T.StructField("reject_reason", T.StringType()),
+                                      T.StructField("outcome", T.StringType())])
+
+
 @dataclass(frozen=True)
 class Warehouse:
     root: str
@@ -47,6 +53,10 @@ class Warehouse:
     def reputation(self) -> str:
         return f"{self.root}/gold/reputation"
 
+    @property
+    def rejects(self) -> str:
+        return f"{self.root}/rejects"
+
     @property
     def ledger(self) -> str:
         return f"{self.root}/ledger"
@@ -84,11 +94,17 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
     else:
         fresh = ing.new_only(batch, restrict_to_days(stored, batch))
     stage = wh.staging()
-    fresh.write.mode("overwrite").parquet(stage)  # materialise once: count and append the same rows
-    staged = spark.read.schema(POSTS).parquet(stage)
-    n = staged.count()
+    # Materialise once (count and append the same rows); accepted and rejected rows
+    # (e.g. no usable date, D2) leave the landed input in one write.
+    qa.write_outcomes(fresh, stage)
+    staged = spark.read.schema(STAGED).parquet(stage)
+    accepted = staged.where(F.col("outcome") == "accepted").select(*POSTS.fieldNames())
+    n = accepted.count()
     if n:
-        sinks.append(staged, wh.posts, partition_by="date")
+        sinks.append(accepted, wh.posts, partition_by="date")
+    rejected = staged.where(F.col("outcome") == "rejected").drop("outcome")
+    if not rejected.isEmpty():
+        sinks.append(rejected, wh.rejects)
     return n
 
 

@@ -57,6 +57,21 @@ def split_rejects(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
             tagged.where(F.col("reject_reason").isNotNull()))
 
 
+def with_outcome(posts: DataFrame) -> DataFrame:
+    """Rows tagged ``outcome`` (accepted / rejected) and ``reject_reason``."""
+    reason = reject_reason(posts)
+    return posts.select("*", reason.alias("reject_reason"),
+                        F.when(reason.isNull(), F.lit("accepted")).otherwise(F.lit("rejected"))
+                        .alias("outcome"))
+
+
+def write_outcomes(posts: DataFrame, path: str) -> None:
+    """CLN-03 as one job: a single scan writes accepted and rejected rows (with their
+    reason) into the ``outcome=accepted`` / ``outcome=rejected`` folders of one
+    table, instead of two filtered writes that would each read the input again."""
+    with_outcome(posts).write.mode("overwrite").partitionBy("outcome").parquet(path)
+
+
 def rejects_by_reason(posts: DataFrame) -> DataFrame:
     reason = F.coalesce(reject_reason(posts), F.lit("accepted"))
     return posts.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))

@@ -187,3 +187,17 @@ def test_restrict_to_days_prunes_and_matches_semi_join(spark, scratch):
     # More distinct days than the bound: range filter plus semi join, same rows.
     assert sorted(r.id for r in restrict_to_days(t, batch, bound=3).collect()) == want
     assert restrict_to_days(t, batch.where("date IS NULL")).count() == 0
+
+
+def test_outcomes_written_by_one_job_with_reasons(spark, scratch):
+    import datetime as dt
+    from sentiscope.operators import quality as qa
+    rows = [("1", dt.date(2024, 1, 1), "positive", None), ("2", None, "negative", None),
+            ("3", dt.date(2024, 1, 2), "meh", None), ("4", dt.date(2024, 1, 2), None, "2.0"),
+            ("5", dt.date(2024, 1, 3), "neutral", "maybe")]
+    df = spark.createDataFrame(rows, "id string, date date, sentiment string, user_feedback string")
+    qa.write_outcomes(df, f"{scratch}/out")
+    got = {(r.id, r.outcome, r.reject_reason) for r in spark.read.parquet(f"{scratch}/out").collect()}
+    assert got == {("1", "accepted", None), ("2", "rejected", "missing_date"),
+                   ("3", "rejected", "unknown_sentiment"), ("4", "accepted", None),
+                   ("5", "rejected", "bad_feedback")}

@@ -63,3 +63,22 @@ def test_day_rewrite_is_dynamic_even_with_static_session_default(spark, scratch)
         spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     got = {r.id: r.sentiment for r in wh.read_posts(spark).collect()}
     assert got == {"1": "positive", "2": "neutral"}
+
+
+def test_crawl_sends_undated_posts_to_rejects(spark, scratch):
+    import json
+    import os
+    wh = jobs.Warehouse(f"{scratch}/wh")
+    landing = f"{scratch}/pages"
+    os.makedirs(landing)
+    page = {"meta": {"result_count": 2}, "data": [
+        {"id": "11", "text": "good service", "author_id": "7", "created_at": "2024-01-05T10:00:00.000Z",
+         "edit_history_tweet_ids": ["11"]},
+        {"id": "12", "text": "no date", "author_id": "7", "created_at": "yesterday",
+         "edit_history_tweet_ids": ["12"]}]}
+    with open(f"{landing}/page-1.json", "w") as fh:
+        fh.write(json.dumps(page) + "\n")
+    assert jobs.crawl(spark, wh, landing) == 1
+    assert [r.id for r in wh.read_posts(spark).collect()] == ["11"]
+    rej = spark.read.parquet(wh.rejects).collect()
+    assert [(r.id, r.reject_reason) for r in rej] == [("12", "missing_date")]
