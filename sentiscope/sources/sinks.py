@@ -1,16 +1,18 @@
 """Sinks (SNK-01..05): append, versioned publish, partition rewrite.
 
 Parquet has no MERGE: an update rewrites the touched partitions. A job never
-reads and overwrites the same path; it writes a new version and then replaces
-the serving copy from it (dynamic partition overwrite touches only the days
-present in the new data).
+reads and overwrites the same path; it writes a new version, records it in an
+append-only publication log (the switch readers see, atomic per append) and
+then refreshes the plain serving copy from it (dynamic partition overwrite
+touches only the days present in the new data).
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.utils import AnalysisException
 
 from ..schemas import conform
 
@@ -30,16 +32,24 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return r.parquet(path)
 
 
+PUBLISHED_LOG = "version string, published_at timestamp"
+
+
 def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
             partition_by: str | None = None) -> str | None:
     """SNK-03/04/05 with FLT-11 and D18.
 
     The rows are computed once and written to ``root/versions/<id>`` (fixed
-    schema on first write); only when that version holds rows is the serving
-    copy ``root/serving`` overwritten from it, so empty input leaves the served
-    table as it is. With ``partition_by`` only the partitions present in the new
-    version are replaced. Returns the version path, or None when nothing was
-    published.
+    schema on first write). Only when that version holds rows is it published:
+    one row (version, time) is appended to the log ``root/_published``; an
+    append commits as a whole, so a reader of ``serving()`` sees either the old
+    or the new version, never a half-replaced table, even if the driver dies
+    mid-publish. The plain copy ``root/serving`` is then refreshed for readers
+    that only know a path; it can always be rebuilt from the latest logged
+    version. Empty input publishes nothing and leaves both as they are. With
+    ``partition_by`` versions hold only changed partitions: the copy replaces
+    just those (dynamic overwrite) and is itself the served table.
+    Returns the version path, or None when nothing was published.
     """
     if schema is not None:
         df = conform(df, schema)
@@ -52,6 +62,10 @@ def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
     fresh = spark.read.schema(df.schema).parquet(version)
     if fresh.isEmpty():
         return None
+    if not partition_by:
+        (spark.range(1).select(F.lit(version).alias("version"),
+                               F.current_timestamp().alias("published_at"))
+         .write.mode("append").json(f"{root}/_published"))
     w2 = fresh.write.mode("overwrite")
     if partition_by:
         w2 = w2.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
@@ -59,5 +73,17 @@ def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
     return version
 
 
+def latest_version(spark: SparkSession, root: str) -> str | None:
+    """Path of the last published version (one row read from the publication log)."""
+    try:
+        log = spark.read.schema(PUBLISHED_LOG).json(f"{root}/_published")
+    except AnalysisException:
+        return None
+    row = log.agg(F.max_by("version", F.struct("published_at", "version")).alias("v")).first()
+    return row["v"] if row else None
+
+
 def serving(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    return read_table(spark, f"{root}/serving", schema)
+    """The served table: the last published version, else the plain copy."""
+    version = latest_version(spark, root)
+    return read_table(spark, version or f"{root}/serving", schema)

@@ -92,3 +92,28 @@ def test_publish_skips_empty_input_and_replaces_serving(spark, scratch):
     p2 = posts(spark, [("1", D(2024, 1, 2), "negative"), ("2", D(2024, 1, 3), "neutral")])
     sinks.publish(rep.daily_reputation(p2), root)
     assert sinks.serving(spark, root).count() == 2
+
+
+def test_serving_survives_a_failure_while_the_copy_is_refreshed(spark, scratch, monkeypatch):
+    import datetime as dt
+    import pytest
+    from pyspark.sql.readwriter import DataFrameWriter
+    from sentiscope.sources import sinks
+    root = f"{scratch}/pub"
+    one = spark.createDataFrame([(dt.date(2024, 1, 1), "positive")], "date date, sentiment string")
+    two = one.unionByName(spark.createDataFrame([(dt.date(2024, 1, 2), "negative")], one.schema))
+    sinks.publish(rep.daily_reputation(one), root)
+    real = DataFrameWriter.parquet
+
+    def failing(self, path, *a, **k):
+        if path.endswith("/serving"):
+            raise RuntimeError("driver lost while the copy was replaced")
+        return real(self, path, *a, **k)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    with pytest.raises(RuntimeError):
+        sinks.publish(rep.daily_reputation(two), root)
+    monkeypatch.setattr(DataFrameWriter, "parquet", real)
+    assert sinks.serving(spark, root).count() == 2  # the logged version is served
+    assert sinks.publish(rep.daily_reputation(one.limit(0)), root) is None
+    assert sinks.serving(spark, root).count() == 2
