@@ -41,10 +41,17 @@ POST_EVENT = T.StructType([
 # ---- landing zone --------------------------------------------------------------------
 
 def land_post_events(events: DataFrame, path: str, files_per_day: int = 1) -> None:
-    """Posts with their event time, landed as parquet files partitioned by day."""
-    df = posts_from_events(events, keep=("ts",)).withColumn("ts", F.col("ts").cast("timestamp"))
-    (df.select(*POST_EVENT.fieldNames())
-     .repartition(F.col("date"), (F.abs(F.hash("id")) % files_per_day))
+    """Posts with their event time, landed as parquet files partitioned by day.
+
+    Rows are clustered by day (and up to ``files_per_day`` hash pieces of the id)
+    with a ``rebalance`` hint: AQE merges small partitions and splits any
+    partition above the advisory size, so a day holding a third of all posts is
+    written by many tasks instead of one.
+    """
+    df = (posts_from_events(events, keep=("ts",)).withColumn("ts", F.col("ts").cast("timestamp"))
+          .select(*POST_EVENT.fieldNames()))
+    piece = F.pmod(F.xxhash64("id"), F.lit(files_per_day))
+    (df.withColumn("_piece", piece).hint("rebalance", "date", "_piece").drop("_piece")
      .write.mode("overwrite").partitionBy("date").parquet(path))
 
 

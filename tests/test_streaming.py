@@ -112,4 +112,21 @@ def test_compacted_log_reads_the_same(spark, scratch):
     before = rows(stream.latest_counts(spark, f"{scratch}/log"))
     stream.compact_log(spark, f"{scratch}/log", ["day", "sentiment"], ["count"], f"{scratch}/log2")
     assert spark.read.parquet(f"{scratch}/log2").count() == 1
-    assert rows(stream.latest_counts(spark, f"{scratch}/log2")) == before == [(dt.date(2024, 1, 1), "positive", 3)]
\ No newline at end of file
+    assert rows(stream.latest_counts(spark, f"{scratch}/log2")) == before == [(dt.date(2024, 1, 1), "positive", 3)]
+
+def test_landing_splits_a_day_above_the_advisory_size(spark, scratch):
+    import glob
+    # AQE splits a big partition by ranges of map tasks: give the scan several of them,
+    # as a large table has.
+    ev = Tables(spark, SF001).raw("events").repartition(8)
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "1k")
+    try:
+        stream.land_post_events(ev, f"{scratch}/landing")
+    finally:
+        spark.conf.set(key, old)
+    landed = spark.read.parquet(f"{scratch}/landing")
+    assert landed.count() == ev.count()
+    files = [len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{scratch}/landing/date=*")]
+    assert max(files) > 1  # a day bigger than the advisory size is written by several tasks
