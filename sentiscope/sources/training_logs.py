@@ -54,9 +54,11 @@ def write_training_logs(rows: DataFrame, path: str) -> None:
 
     One file per run (the reference's layout) turns thousands of runs into
     thousands of tiny files; here the run id is a field of every row and files
-    are grouped by run day. Range partitioning on the run keeps each task on a
-    contiguous run range (few day folders per task) and splits a busy day.
+    are grouped by run day. A ``rebalance`` on the day clusters each day's rows
+    into few tasks (few files per folder), and AQE splits any partition above the
+    advisory size, so a busy day, or one run with very many rows, is written by
+    several tasks.
     """
     (rows.withColumn("run_day", F.substring("run", 1, 8))
-     .repartitionByRange("run")
+     .hint("rebalance", "run_day")
      .write.mode("overwrite").partitionBy("run_day").json(path))
