@@ -33,7 +33,15 @@ def spread(df: DataFrame) -> DataFrame:
 MAX_PRUNE_DAYS = 4096
 
 
-def restrict_to_days(table: DataFrame, days: DataFrame, col: str = "date",
+def day_list(days: DataFrame, col: str = "date", bound: int = MAX_PRUNE_DAYS) -> list | None:
+    """Distinct non-NULL days of ``days`` when there are at most ``bound`` of them, else None
+    (at most ``bound + 1`` values reach the driver)."""
+    d = days.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
+    listed = [r[0] for r in d.limit(bound + 1).collect()]
+    return listed if len(listed) <= bound else None
+
+
+def restrict_to_days(table: DataFrame, days: DataFrame | list, col: str = "date",
                      bound: int = MAX_PRUNE_DAYS) -> DataFrame:
     """Rows of a day-partitioned table on the days named by ``days``, read from
     those day folders only.
@@ -45,11 +53,12 @@ def restrict_to_days(table: DataFrame, days: DataFrame, col: str = "date",
     and become a literal ``IN`` partition filter. A batch spanning more days
     prunes by its [min, max] day (a one-row aggregate) and keeps the semi join,
     so the result is the same either way. NULL days match nothing, as in a join.
+    ``days`` may also be a list already fetched with ``day_list``.
     """
-    d = days.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
-    listed = [r[0] for r in d.limit(bound + 1).collect()]
-    if len(listed) <= bound:
+    listed = days if isinstance(days, list) else day_list(days, col, bound)
+    if listed is not None:
         return table.where(F.col(col).isin(listed)) if listed else table.where(F.lit(False))
+    d = days.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
     lo, hi = d.agg(F.min(col), F.max(col)).first()
     return table.where(F.col(col).between(lo, hi)).join(d, col, "left_semi")
 

@@ -25,7 +25,7 @@ from ..operators import reputation as rep
 from ..schemas import DAILY_REPUTATION
 from ..operators.ingest import new_only
 from ..operators.scoring import score_posts
-from ..sources.tables import posts_from_events, restrict_to_days
+from ..sources.tables import day_list, posts_from_events, restrict_to_days
 
 POST_EVENT = T.StructType([
     T.StructField("id", T.StringType()),
@@ -78,12 +78,12 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None =
         return None
 
 
-def _unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+def _unseen(batch: DataFrame, stored: DataFrame | None, days: list | None = None) -> DataFrame:
     """In-batch dedup, then drop ids already stored on the batch's days (only those
-    day folders are read)."""
+    day folders are read; ``days`` is the batch's day list when already fetched)."""
     if stored is None:
         return batch.dropDuplicates(["id"])
-    return new_only(batch, restrict_to_days(stored, batch).select("id"))
+    return new_only(batch, restrict_to_days(stored, batch if days is None else days).select("id"))
 
 
 # ---- STR-01: incremental ingest ------------------------------------------------------------
@@ -172,10 +172,12 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
+        days = day_list(batch)  # fetched once for both reads of silver (None: too many days)
         stored = _read_or_none(spark, silver, POST_EVENT)
-        fresh = _unseen(batch, stored)
+        fresh = _unseen(batch, stored, days)
         fresh.select(*POST_EVENT.fieldNames()).write.mode("append").partitionBy("date").parquet(silver)
-        touched = restrict_to_days(spark.read.schema(POST_EVENT).parquet(silver), batch)
+        touched = restrict_to_days(spark.read.schema(POST_EVENT).parquet(silver),
+                                   batch if days is None else days)
         stage = f"{gold}-staging/{batch_id}-{uuid.uuid4().hex}"
         rep.daily_reputation(touched, weights).write.mode("overwrite").partitionBy("date").parquet(stage)
         (spark.read.schema(DAILY_REPUTATION).parquet(stage)
