@@ -61,12 +61,16 @@ def test_high_water_mark_compares_as_bigint(spark):
 
 def test_keyword_paths_agree(spark):
     texts = [("1", "en", "The cat"), ("2", "en", "RT @x the dog"), ("3", "fr", "the"), ("4", "en", "Unique queue"),
-             ("5", "en", "an ox"), ("6", "en", "")]
+             ("5", "en", "an ox"), ("6", "en", ""), ("7", "en", None), ("8", "en", "Théâtre ox-he")]
     posts = spark.createDataFrame(texts, "id string, lang string, text string")
-    kws = ing.keyword_table(spark, ["the", " QUE ", "ox", ""])
-    small = sorted(map(tuple, ing.keyword_match(posts, kws).collect()))
-    big = sorted(map(tuple, ing.keyword_match(posts, kws, max_broadcast=0).collect()))
-    assert small == big == [("ox", "5"), ("que", "4"), ("the", "1")]
+    kws = ing.keyword_table(spark, ["the", " QUE ", "ox", "", "he", "théâ"])
+    want = [("he", "1"), ("he", "8"), ("ox", "5"), ("ox", "8"), ("que", "4"), ("the", "1"), ("théâ", "8")]
+    inline = sorted(map(tuple, ing.keyword_match(posts, kws).collect()))
+    automaton = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0).collect()))
+    # Tiny chunks: every keyword in its own pass, still the same pairs.
+    chunked = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0, chunk_bytes=16).collect()))
+    assert inline == automaton == chunked == want
+    assert ing.keyword_match(posts, ing.keyword_table(spark, [])).count() == 0
 
 
 def test_conform_adds_typed_nulls_and_history(spark):
