@@ -57,6 +57,10 @@ class Warehouse:
     def rejects(self) -> str:
         return f"{self.root}/rejects"
 
+    @property
+    def rewrites(self) -> str:
+        return f"{self.root}/_rewrites"
+
     @property
     def ledger(self) -> str:
         return f"{self.root}/ledger"
@@ -74,10 +78,16 @@ class Warehouse:
             return None
 
 
-def _rewrite_days(spark: SparkSession, wh: Warehouse, changed: DataFrame) -> None:
-    """Replace the day partitions present in ``changed`` (full rows of those days)."""
-    stage = wh.staging()
-    conform(changed, POSTS).write.mode("overwrite").partitionBy("date").parquet(stage)
+REWRITE_LOG = "stage string, state string, at timestamp"
+
+
+def _log_rewrite(spark: SparkSession, wh: Warehouse, stage: str, state: str) -> None:
+    (spark.range(1).select(F.lit(stage).alias("stage"), F.lit(state).alias("state"),
+                           F.current_timestamp().alias("at"))
+     .write.mode("append").json(wh.rewrites))
+
+
+def _apply_stage(spark: SparkSession, wh: Warehouse, stage: str) -> None:
     staged = spark.read.schema(POSTS).parquet(stage)
     # Dynamic overwrite is set on the writer itself: only the staged days are replaced,
     # whatever the session default is.
@@ -85,8 +95,42 @@ def _rewrite_days(spark: SparkSession, wh: Warehouse, changed: DataFrame) -> Non
      .partitionBy("date").parquet(wh.posts))
 
 
+def _rewrite_days(spark: SparkSession, wh: Warehouse, changed: DataFrame) -> None:
+    """Replace the day partitions present in ``changed`` (full rows of those days).
+
+    The new days are written to a staging folder and logged as ``staged`` before
+    they replace the silver days, and logged as ``applied`` after. A job that
+    dies in between leaves a logged stage that ``recover`` applies again
+    (replacing the same days twice gives the same table).
+    """
+    stage = wh.staging()
+    conform(changed, POSTS).write.mode("overwrite").partitionBy("date").parquet(stage)
+    _log_rewrite(spark, wh, stage, "staged")
+    _apply_stage(spark, wh, stage)
+    _log_rewrite(spark, wh, stage, "applied")
+
+
+def recover(spark: SparkSession, wh: Warehouse) -> int:
+    """Apply day rewrites that were staged but never marked applied (the writing job
+    died while replacing silver days); run before a job reads silver. Only the
+    unfinished stages, at most one per failed job, reach the driver."""
+    try:
+        log = spark.read.schema(REWRITE_LOG).json(wh.rewrites)
+    except AnalysisException:
+        return 0
+    done = log.where(F.col("state") == "applied").select("stage")
+    pending = (log.where(F.col("state") == "staged").join(done, "stage", "left_anti")
+               .groupBy("stage").agg(F.min("at").alias("at")))
+    stages = [r.stage for r in pending.orderBy("at", "stage").collect()]
+    for stage in stages:  # oldest first, so a later rewrite of the same day wins
+        _apply_stage(spark, wh, stage)
+        _log_rewrite(spark, wh, stage, "applied")
+    return len(stages)
+
+
 def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = False) -> int:
     """Crawler: landed search pages -> new posts appended (in-batch dedup, known ids skipped)."""
+    recover(spark, wh)
     batch = search_pages.posts_from_pages(search_pages.read_search_pages(spark, landing, multi_line))
     stored = wh.read_posts(spark)
     if stored is None:
@@ -110,6 +154,7 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
 
 def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) -> int:
     """Analisi: score pending posts and write sentiment/confidence back (touched days only)."""
+    recover(spark, wh)
     posts = wh.read_posts(spark)
     pending = posts.where(F.col("sentiment").isNull())
     scores = score_posts(pending, model_factory).withColumn("seq", F.lit(1))
@@ -127,6 +172,7 @@ def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) ->
 
 def calculate(spark: SparkSession, wh: Warehouse, weights=rep.DEFAULT_WEIGHTS) -> str | None:
     """ReputationAnalysis: recompute the daily index and publish it (skipped on empty input)."""
+    recover(spark, wh)
     return sinks.publish(rep.daily_reputation(wh.read_posts(spark), weights), wh.reputation,
                          DAILY_REPUTATION)
 
@@ -137,6 +183,7 @@ def review_queue(spark: SparkSession, wh: Warehouse, threshold: float = 0.8, k:
 
 def save_feedback(spark: SparkSession, wh: Warehouse, answers: DataFrame) -> int:
     """FeedbackManager: reviewer answers (id, seq, answer) -> ``user_feedback``; invalid ones rejected."""
+    recover(spark, wh)
     posts = wh.read_posts(spark)
     valid, _ = upd.split_feedback(answers)
     touched = restrict_to_days(posts, posts.join(valid.select("id"), "id", "left_semi"))

@@ -82,3 +82,25 @@ def test_crawl_sends_undated_posts_to_rejects(spark, scratch):
     assert [r.id for r in wh.read_posts(spark).collect()] == ["11"]
     rej = spark.read.parquet(wh.rejects).collect()
     assert [(r.id, r.reject_reason) for r in rej] == [("12", "missing_date")]
+
+
+def test_day_rewrite_interrupted_is_recovered(spark, scratch, monkeypatch):
+    import datetime as dt
+    import pytest
+    from sentiscope.schemas import POSTS, conform
+    wh = jobs.Warehouse(f"{scratch}/wh")
+    rows = [("1", dt.date(2024, 1, 1), None), ("2", dt.date(2024, 1, 2), None)]
+    conform(spark.createDataFrame(rows, "id string, date date, sentiment string"), POSTS) \
+        .write.partitionBy("date").parquet(wh.posts)
+    changed = wh.read_posts(spark).where(F.col("id") == "2").withColumn("sentiment", F.lit("neutral"))
+
+    def dies(spark_, wh_, stage):
+        raise RuntimeError("driver lost while silver days were replaced")
+
+    monkeypatch.setattr(jobs, "_apply_stage", dies)
+    with pytest.raises(RuntimeError):
+        jobs._rewrite_days(spark, wh, changed)
+    monkeypatch.undo()
+    assert jobs.recover(spark, wh) == 1
+    assert {r.id: r.sentiment for r in wh.read_posts(spark).collect()} == {"1": None, "2": "neutral"}
+    assert jobs.recover(spark, wh) == 0  # applied once, then marked
