@@ -129,7 +129,7 @@ def recover(spark: SparkSession, wh: Warehouse) -> int:
 
 
 def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = False) -> int:
-    """Crawler: landed search pages -> new posts appended (in-batch dedup, known ids skipped)."""
+    """Crawl job: landed search pages -> new posts appended (in-batch dedup, known ids skipped)."""
     recover(spark, wh)
     batch = search_pages.posts_from_pages(search_pages.read_search_pages(spark, landing, multi_line))
     stored = wh.read_posts(spark)
@@ -153,7 +153,7 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
 
 
 def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) -> int:
-    """Analisi: score pending posts and write sentiment/confidence back (touched days only)."""
+    """Score job: score pending posts and write sentiment/confidence back (touched days only)."""
     recover(spark, wh)
     posts = wh.read_posts(spark)
     pending = posts.where(F.col("sentiment").isNull())
@@ -171,7 +171,7 @@ def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) ->
 
 
 def calculate(spark: SparkSession, wh: Warehouse, weights=rep.DEFAULT_WEIGHTS) -> str | None:
-    """ReputationAnalysis: recompute the daily index and publish it (skipped on empty input)."""
+    """Index job: recompute the daily index and publish it (skipped on empty input)."""
     recover(spark, wh)
     return sinks.publish(rep.daily_reputation(wh.read_posts(spark), weights), wh.reputation,
                          DAILY_REPUTATION)
@@ -182,7 +182,7 @@ def review_queue(spark: SparkSession, wh: Warehouse, threshold: float = 0.8, k:
 
 
 def save_feedback(spark: SparkSession, wh: Warehouse, answers: DataFrame) -> int:
-    """FeedbackManager: reviewer answers (id, seq, answer) -> ``user_feedback``; invalid ones rejected."""
+    """Feedback job: reviewer answers (id, seq, answer) -> ``user_feedback``; invalid ones rejected."""
     recover(spark, wh)
     posts = wh.read_posts(spark)
     valid, _ = upd.split_feedback(answers)
@@ -192,7 +192,7 @@ def save_feedback(spark: SparkSession, wh: Warehouse, answers: DataFrame) -> int
 
 
 def train(spark: SparkSession, wh: Warehouse, seed: int = 42, threshold: float = tr.ACCURACY_GATE) -> dict:
-    """SentimentTrainer: labels (feedback first) -> exact split -> fit/select/evaluate ->
+    """Training job: labels (feedback first) -> exact split -> fit/select/evaluate ->
     ledger row (always, before the gate) -> model saved only past the gate."""
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
     labelled = lab.training_labels(wh.read_posts(spark), keep_cols=("id", "text"))
