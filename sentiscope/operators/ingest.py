@@ -85,16 +85,19 @@ def _automaton_match(eligible: DataFrame, words: list[str]) -> DataFrame:
     return eligible.select("id", "_lc").mapInPandas(match, f"keyword string, id {id_type}")
 
 
-def _chunks(kws: DataFrame, total_chars: int, chunk_bytes: int) -> DataFrame:
-    """Keywords tagged with a chunk ``_c`` so that no chunk exceeds ``chunk_bytes``
-    (4 bytes per character at most); the per-chunk sizes are checked, not assumed."""
+def _chunks(kws: DataFrame, total_chars: int, longest: int, chunk_bytes: int) -> tuple[DataFrame, int]:
+    """Keywords tagged with a chunk ``_c`` (of ``k`` chunks) so that no chunk holds more
+    than ``2 * max(chunk_bytes, 4 * longest)`` bytes (4 bytes per character at most).
+    The per-chunk sizes are checked, not assumed; ``k`` doubles until they fit."""
+    limit = 2 * max(chunk_bytes, 4 * longest)  # a chunk can always hold its longest keyword
     k = max(1, -(-4 * total_chars // chunk_bytes))
-    while True:
+    for _ in range(16):
         tagged = kws.withColumn("_c", F.pmod(F.xxhash64("keyword"), F.lit(k)))
         biggest = tagged.groupBy("_c").agg(F.sum(F.length("keyword")).alias("b")).agg(F.max("b")).first()[0]
-        if biggest is None or 4 * biggest <= chunk_bytes:
-            return tagged.withColumn("_k", F.lit(k))
+        if biggest is None or 4 * biggest <= limit:
+            return tagged, k
         k *= 2
+    raise ValueError(f"keyword chunks stay above {limit} bytes")
 
 
 def keyword_match(posts: DataFrame, keywords: DataFrame, lang: str | None = "en",
@@ -104,13 +107,13 @@ def keyword_match(posts: DataFrame, keywords: DataFrame, lang: str | None = "en"
     eligible = eligible_posts(posts, lang).select("id", F.lower(F.col("text")).alias("_lc"))
     kws = normalise_keywords(keywords)
     stats = kws.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("keyword")), F.lit(0)).alias("chars")).first()
+                    F.coalesce(F.sum(F.length("keyword")), F.lit(0)).alias("chars"),
+                    F.coalesce(F.max(F.length("keyword")), F.lit(0)).alias("longest")).first()
     if stats["n"] == 0:
         return eligible.select(F.lit(None).cast("string").alias("keyword"), "id").where(F.lit(False))
     if stats["n"] <= max_inline:
         return _inline_match(eligible, sorted(r[0] for r in kws.collect()))  # checked: <= max_inline
-    tagged = _chunks(kws, int(stats["chars"]), chunk_bytes)
-    k = tagged.select("_k").first()[0]
+    tagged, k = _chunks(kws, int(stats["chars"]), int(stats["longest"]), chunk_bytes)
     parts = []
     for c in range(k):  # each chunk: fetched under the checked byte bound, one map-only pass
         words = sorted(r[0] for r in tagged.where(F.col("_c") == c).select("keyword").collect())

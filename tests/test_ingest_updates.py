@@ -71,6 +71,9 @@ def test_keyword_paths_agree(spark):
     chunked = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0, chunk_bytes=16).collect()))
     assert inline == automaton == chunked == want
     assert ing.keyword_match(posts, ing.keyword_table(spark, [])).count() == 0
+    # A chunk bound smaller than one keyword still terminates (a chunk holds its longest keyword).
+    tiny = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0, chunk_bytes=1).collect()))
+    assert tiny == want
 
 
 def test_conform_adds_typed_nulls_and_history(spark):
