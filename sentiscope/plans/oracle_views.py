@@ -33,7 +33,9 @@ SELECT CAST(d.doc_id AS VARCHAR) AS id,
             WHEN l.toxic = 1 THEN 'negative'
             WHEN l.quality = 1 THEN 'positive'
             ELSE 'neutral' END AS sentiment
-FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+FROM documents d
+LEFT JOIN (SELECT doc_id, max(toxic) AS toxic, max(quality) AS quality
+           FROM labels GROUP BY doc_id) l ON d.doc_id = l.doc_id""",
     "predictions": """
 SELECT event_id AS id, label,
        CASE WHEN event_id % 4 = 0 THEN (label + 1) % 3 ELSE label END AS pred

@@ -91,9 +91,16 @@ def posts_from_events(events: DataFrame, keep=()) -> DataFrame:
 
 
 def posts_text_from_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """View ``posts_text``: documents with a class from the optional label row."""
+    """View ``posts_text``: documents with a class from the optional label row.
+
+    One label per document: the label side is grouped by ``doc_id`` (the same as a
+    plain join while ``doc_id`` is unique in ``labels``). Being unique on the key,
+    it lets Catalyst drop the join from every query that reads no label column, so
+    text-only queries scan ``documents`` alone instead of shuffling all texts.
+    """
     d = documents.alias("d")
-    lab = labels.select("doc_id", "toxic", "quality").alias("l")
+    lab = (labels.groupBy("doc_id")
+           .agg(F.max("toxic").alias("toxic"), F.max("quality").alias("quality")).alias("l"))
     sentiment = (F.when(F.col("l.doc_id").isNull(), F.lit(None).cast("string"))
                  .when(F.col("l.toxic") == 1, "negative")
                  .when(F.col("l.quality") == 1, "positive")
