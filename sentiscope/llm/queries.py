@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from sentiscope.llm import mixing
+from sentiscope.llm.decontam import op9_decontamination
+from sentiscope.llm.mixing import op2_mixing
+from sentiscope.llm.ngram_join import op8_ngram_join
 from sentiscope.llm.substring_dedup import op3_substring_dedup
 
 QUERIES = {
+    "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op8_ngram_join": op8_ngram_join,
+    "op9_decontamination": op9_decontamination,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
