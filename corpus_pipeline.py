@@ -2,21 +2,64 @@
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame that is written as
 Parquet under the shared scratch folder and read again as the next stage's ``docs``.
+All stages but the last return the columns of ``documents``; the last adds ``copy``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sentiscope.llm import decontam, fm_quality, mixing, ngram_join, substring_dedup
 from sentiscope.llm.common import table
 from sentiscope.session import scratch_path
 
-STAGES: list = []
-#: No SQL: stages fit a model and hash text, which DuckDB cannot repeat.
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine does not reject."""
+    model = fm_quality.train(docs, fm_quality.learnable(table(spark, sf_dir, "labels")))
+    return fm_quality.score(docs, model).where("predicted = 1").select(*docs.columns)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies, that with the smallest doc_id."""
+    return ngram_join.drop_near_copies(docs)
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of 20-word windows seen earlier; a document that loses
+    all its words goes, ``n_chars`` follows the text."""
+    out = substring_dedup.remove_repeats(docs, layout=True)
+    out = out.where("n_removed = 0 or n_removed < n_words")
+    changed = F.when(F.col("n_removed") > 0, F.char_length("kept").cast("long")).otherwise(F.col("n_chars"))
+    new = {"text": F.col("kept"), "n_chars": changed}
+    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality),
+    ("ngram_join", near_copies),
+    ("substring_dedup", substrings),
+    ("decontamination", decontaminate),
+    ("mixing", mix),
+]
+
+#: No SQL: stages fit a model and hash texts in ways that DuckDB cannot repeat; the tests
+#: run each stage against a brute-force version instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixed corpus: the rows of the last stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")

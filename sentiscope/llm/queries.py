@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from sentiscope.llm import mixing
 from sentiscope.llm.decontam import op9_decontamination
+from sentiscope.llm.fm_quality import op7_quality
 from sentiscope.llm.mixing import op2_mixing
 from sentiscope.llm.ngram_join import op8_ngram_join
 from sentiscope.llm.substring_dedup import op3_substring_dedup
@@ -11,6 +12,7 @@ from sentiscope.llm.substring_dedup import op3_substring_dedup
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
 }
