@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
-from sentiscope.llm import mixing
+from sentiscope.llm import chat, licenses, line_quality, mixing
 from sentiscope.llm.decontam import op9_decontamination
 from sentiscope.llm.fm_quality import op7_quality
-from sentiscope.llm.mixing import op2_mixing
 from sentiscope.llm.ngram_join import op8_ngram_join
 from sentiscope.llm.substring_dedup import op3_substring_dedup
+from sentiscope.llm.token_counts import op1_token_counts
 
 QUERIES = {
-    "op2_mixing": op2_mixing,
+    "op1_token_counts": op1_token_counts,
+    "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_chat_rotation": chat.op4_chat_rotation,
+    "op6_line_quality": line_quality.op6_line_quality,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
-SQL: dict[str, str] = {"op2_mixing": mixing.SQL}
+#: The others cannot be put in SQL (a tokenizer file, fitted models, edit distances, graph
+#: components) or would take SQL too long on whole tables (op3); tests hold them against
+#: brute force on small fixtures.
+SQL: dict[str, str] = {
+    "op2_mixing": mixing.SQL,
+    "op4_chat_rotation": chat.SQL,
+    "op6_line_quality": line_quality.SQL,
+    "op10_license_scan": licenses.SQL,
+}
