@@ -5,6 +5,7 @@ from __future__ import annotations
 from sentiscope.llm import chat, licenses, line_quality, mixing
 from sentiscope.llm.decontam import op9_decontamination
 from sentiscope.llm.fm_quality import op7_quality
+from sentiscope.llm.langid import op5_language_id
 from sentiscope.llm.ngram_join import op8_ngram_join
 from sentiscope.llm.substring_dedup import op3_substring_dedup
 from sentiscope.llm.token_counts import op1_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_chat_rotation": chat.op4_chat_rotation,
+    "op5_language_id": op5_language_id,
     "op6_line_quality": line_quality.op6_line_quality,
     "op7_quality": op7_quality,
     "op8_ngram_join": op8_ngram_join,
@@ -27,6 +29,7 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op4_chat_rotation": chat.SQL,
+    "op5_language_id": op5_language_id,
     "op6_line_quality": line_quality.SQL,
     "op10_license_scan": licenses.SQL,
 }

@@ -334,7 +334,7 @@ _made: dict[int, Transducer] = {}
 
 def _transducer(file) -> Transducer:
     """One transducer for each worker process, kept from task to task."""
-    if id(file) not in _made and hash(file) not in _made:
+    if hash(file) not in _made:
         _made.clear()
         _made[hash(file)] = Transducer(file)
     return _made[hash(file)]
