@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -28,8 +29,11 @@ def units(total: int, least: int, size: int = UNIT_BYTES) -> int:
     return max(least, math.ceil(total / size))
 
 
-def row_hash(*columns: str | Column) -> Column:
-    return F.xxhash64(*columns)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for a row. A lambda that refers to a column
+    computes it again for each element once the optimizer has put the column's expression
+    in its place (a filter on the result is enough); a lambda's own variable stays one."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
 def id_text(column: str = "doc_id") -> Column:

@@ -23,7 +23,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sentiscope.llm.common import table
+from sentiscope.llm.common import let, table
 
 THRESHOLD = Fraction(4, 5)
 
@@ -102,14 +102,12 @@ def scan(docs: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
     likely = lambda c: F.lower(c).rlike(word)
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n\n"), F.array(text)))
     none = F.array().cast("array<string>")
-    # steps of their own, so that a lambda refers to columns and evaluates nothing twice
+    words = lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), OTHER, " ")), " ")
+    pairs = lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))))
     d = docs.select(rest.alias("rest")).select("rest", F.when(likely(text), units).otherwise(none).alias("units"))
-    d = d.select("rest", F.transform(F.filter("units", likely),
-                                     lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), OTHER, " ")), " ")).alias("words"))
-    pairs = lambda w: F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))
-    d = d.select("rest", F.transform(F.filter("words", lambda w: F.size(w) > 1), pairs).alias("sets"))
-    d = d.select("rest", _match(F.col("sets"), t).alias("found"))
+    sets = F.transform(F.filter("units", likely), lambda u: let(words(u), pairs))
+    d = d.select("rest", _match(F.filter(sets, lambda x: x.isNotNull()), t).alias("found"))
     best = F.array_max("found")
     return d.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in made],
                     best["name"].alias("license"), best["dice"].alias("dice"),

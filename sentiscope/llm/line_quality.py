@@ -23,13 +23,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sentiscope.llm.common import table
+from sentiscope.llm.common import let, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 LEAST_WORDS = 10
 MOST_REPEATED = 20
 MOST_LOST = 30
+WINDOW = 5
 
 # Fixed values of the line rules, in the regular expressions that Spark and DuckDB share.
 CLOSED = r"[.!?:;)\]\x22\x27][\x20\x09-\x0D]*$"
@@ -54,33 +55,36 @@ def line_fails(line: Column) -> Column:
     return punctuation | navigation | low.rlike(BOILERPLATE)
 
 
+def repeated_words(w: Column) -> Column:
+    """Words in windows of ``WINDOW`` words that occur twice or more in the array."""
+    def places(pairs: Column) -> Column:
+        same = lambda p, i: F.coalesce(F.get(pairs, i)["h"] == p["h"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(pairs, lambda p, i: same(p, i - 1) | same(p, i + 1)), lambda p: p["i"]))
+
+    def covered(starts: Column) -> Column:
+        return F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("last")),
+                           lambda a, s: F.struct((a["n"] + F.least(F.lit(WINDOW), s - a["last"])).alias("n"), s.alias("last")),
+                           lambda a: a["n"])
+
+    windows = F.when(F.size(w) >= WINDOW, F.transform(
+        F.sequence(F.lit(0), F.size(w) - WINDOW), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(WINDOW)])))
+    pairs = lambda h: F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return let(windows, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), let(pairs(h), lambda p: covered(places(p))))
+               .otherwise(0))
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """The columns of ``docs`` with ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``lost_words``, ``kept`` and ``cleaned``."""
     made = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "lost_words", "kept", "cleaned")
     rest = F.struct(*[F.col(c) for c in docs.columns if c not in made])
     text = F.coalesce(F.col("rest.text"), F.lit(""))
-    # each step is a projection of its own: what a lambda refers to is a column, not an expression evaluated for each element
-    d = docs.select(rest.alias("rest")).select(
-        "rest", F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("w"),
-        F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
-    n = F.size("w")
-    five = lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(5)])
-    d = d.select("rest", "lines", n.alias("n"), F.aggregate("w", F.lit(0), lambda a, x: a + F.char_length(x)).alias("chars"),
-                 F.when(n >= 5, F.transform(F.sequence(F.lit(0), n - 5), five)).alias("windows"),
-                 F.filter("lines", line_fails).alias("bad"))
-    d = d.withColumn("twice", F.coalesce(F.size(F.array_distinct("windows")) < F.size("windows"), F.lit(False)))
-    placed = F.when(F.col("twice"), F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
-    d = d.withColumn("placed", placed)
-    same = lambda p, j: ((p["h"] == F.get("placed", j - 1)["h"]) | (p["h"] == F.get("placed", j + 1)["h"]))
-    starts = F.sort_array(F.transform(F.filter("placed", lambda p, j: F.coalesce(same(p, j), F.get("placed", j - 1)["h"] == p["h"],
-                                                                                F.get("placed", j + 1)["h"] == p["h"], F.lit(False))),
-                                      lambda p: p["i"]))
-    d = d.withColumn("starts", F.when(F.col("twice"), starts))
-    covered = F.aggregate("starts", F.struct(F.lit(0).alias("n"), F.lit(-5).alias("last")),
-                          lambda a, s: F.struct((a["n"] + F.least(F.lit(5), s - a["last"])).alias("n"), s.alias("last")),
-                          lambda a: a["n"])
-    d = d.withColumn("repeated", F.when(F.col("twice"), covered).otherwise(F.lit(0)).cast("long"))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    counts = let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.struct(
+        F.size(w).alias("n"), F.aggregate(w, F.lit(0), lambda a, x: a + F.char_length(x)).alias("chars"),
+        repeated_words(w).cast("long").alias("repeated")))
+    d = docs.select(rest.alias("rest")).select("rest", counts.alias("counts"), lines.alias("lines"))
+    d = d.select("rest", "counts.*", "lines", F.filter("lines", line_fails).alias("bad"))
     lost = F.aggregate("bad", F.lit(0), lambda a, x: a + _count(x, WORD))
     d = d.withColumn("lost", lost.cast("long"))
     failed = (F.col("n") < LEAST_WORDS) | (100 * F.col("repeated") > MOST_REPEATED * F.col("n"))
