@@ -42,15 +42,8 @@ def fixed_length_ids(tokens: Column, n: int) -> tuple[Column, Column]:
     return padded, mask
 
 
-def count_in(tokens: Column, vocab) -> Column:
-    """Number of tokens found in ``vocab`` (array form)."""
-    lex = F.array(*[F.lit(w) for w in vocab])
-    return F.size(F.filter(tokens, lambda w: F.array_contains(lex, w))).cast("long")
-
-
 def count_words(text: Column, vocab) -> Column:
-    """Same count as ``count_in(words(text), vocab)`` in one regex pass over the text:
-    a vocabulary word matches where it is a whole token (no letter/digit on either side)."""
+    """Number of tokens found in ``vocab``, in one regex pass over the text: a vocabulary word matches where it is a whole token (no letter/digit on either side)."""
     alt = "|".join(sorted(vocab, key=lambda w: (-len(w), w)))
     pattern = f"(?<![a-z0-9])(?:{alt})(?![a-z0-9])"
     return F.coalesce(F.regexp_count(F.lower(text), F.lit(pattern)), F.lit(0)).cast("long")

@@ -30,7 +30,7 @@ from .operators import reputation as rep
 from .operators import review as rv
 from .operators import training as tr
 from .operators import updates as upd
-from .operators.scoring import LexiconSoftmax, score_posts
+from .operators.scoring import score_posts
 from .schemas import DAILY_REPUTATION, POSTS, conform
 from .sources import corpus, search_pages, sinks
 from .sources.tables import restrict_to_days
@@ -134,9 +134,8 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
     batch = search_pages.posts_from_pages(search_pages.read_search_pages(spark, landing, multi_line))
     stored = wh.read_posts(spark)
     if stored is None:
-        fresh = batch.dropDuplicates(["id"])
-    else:
-        fresh = ing.new_only(batch, restrict_to_days(stored, batch))
+        stored = spark.createDataFrame([], POSTS)
+    fresh = ing.new_only(batch, stored.select("id"))  # ids of all days: a copy may carry another date
     stage = wh.staging()
     # Materialise once (count and append the same rows); accepted and rejected rows
     # (e.g. no usable date, D2) leave the landed input in one write.
@@ -152,10 +151,12 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
     return n
 
 
-def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) -> int:
+def analyze(spark: SparkSession, wh: Warehouse, model_factory=None) -> int:
     """Score job: score pending posts and write sentiment/confidence back (touched days only)."""
     recover(spark, wh)
     posts = wh.read_posts(spark)
+    if posts is None:  # FLT-11: nothing was crawled yet
+        return 0
     pending = posts.where(F.col("sentiment").isNull())
     scores = score_posts(pending, model_factory).withColumn("seq", F.lit(1))
     stage = wh.staging()
@@ -173,18 +174,24 @@ def analyze(spark: SparkSession, wh: Warehouse, model_factory=LexiconSoftmax) ->
 def calculate(spark: SparkSession, wh: Warehouse, weights=rep.DEFAULT_WEIGHTS) -> str | None:
     """Index job: recompute the daily index and publish it (skipped on empty input)."""
     recover(spark, wh)
-    return sinks.publish(rep.daily_reputation(wh.read_posts(spark), weights), wh.reputation,
-                         DAILY_REPUTATION)
+    posts = wh.read_posts(spark)
+    if posts is None:
+        return None
+    return sinks.publish(rep.daily_reputation(posts, weights), wh.reputation, DAILY_REPUTATION)
 
 
 def review_queue(spark: SparkSession, wh: Warehouse, threshold: float = 0.8, k: int = 50) -> DataFrame:
-    return rv.review_queue(wh.read_posts(spark), threshold, k)
+    recover(spark, wh)
+    posts = wh.read_posts(spark)
+    return rv.review_queue(spark.createDataFrame([], POSTS) if posts is None else posts, threshold, k)
 
 
 def save_feedback(spark: SparkSession, wh: Warehouse, answers: DataFrame) -> int:
     """Feedback job: reviewer answers (id, seq, answer) -> ``user_feedback``; invalid ones rejected."""
     recover(spark, wh)
     posts = wh.read_posts(spark)
+    if posts is None:
+        return 0
     valid, _ = upd.split_feedback(answers)
     touched = restrict_to_days(posts, posts.join(valid.select("id"), "id", "left_semi"))
     _rewrite_days(spark, wh, upd.apply_feedback(touched, answers))
@@ -194,8 +201,12 @@ def save_feedback(spark: SparkSession, wh: Warehouse, answers: DataFrame) -> int
 def train(spark: SparkSession, wh: Warehouse, seed: int = 42, threshold: float = tr.ACCURACY_GATE) -> dict:
     """Training job: labels (feedback first) -> exact split -> fit/select/evaluate ->
     ledger row (always, before the gate) -> model saved only past the gate."""
+    recover(spark, wh)
+    posts = wh.read_posts(spark)
+    if posts is None or posts.where(F.col("sentiment").isNotNull()).isEmpty():
+        return {"passed": False, "model_path": None}
     start = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
-    labelled = lab.training_labels(wh.read_posts(spark), keep_cols=("id", "text"))
+    labelled = lab.training_labels(posts, keep_cols=("id", "text"))
     corpus_path = f"{wh.root}/corpus/{uuid.uuid4().hex}"
     corpus.write_split_corpus(lab.train_val_test_split(labelled, seed=seed), corpus_path)
     model, result = tr.train_evaluate(corpus.read_split_corpus(spark, corpus_path))

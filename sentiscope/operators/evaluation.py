@@ -54,10 +54,10 @@ def confusion_matrix(pred: DataFrame) -> DataFrame:
         F.round(F.col("n") / F.sum("n").over(w), 6).alias("share"))
 
 
-def misclassified(pred: DataFrame, k: int = 10) -> DataFrame:
-    """FLT-09 + TOP-05: first ``k`` wrong predictions by id."""
-    return (pred.where(F.col("label") != F.col("pred"))
-            .orderBy("id").limit(k)
+def misclassified(pred: DataFrame, k: int | None = None) -> DataFrame:
+    """FLT-09: all wrong predictions; with ``k`` the first by id (TOP-05)."""
+    wrong = pred.where(F.col("label") != F.col("pred"))
+    return ((wrong if k is None else wrong.orderBy("id").limit(k))
             .select("id", "label", "pred",
                     class_name(F.col("label")).alias("label_name"),
                     class_name(F.col("pred")).alias("pred_name")))
@@ -69,9 +69,3 @@ def misclassification_rate(pred: DataFrame) -> DataFrame:
     total = F.count(F.lit(1))
     return pred.agg(wrong.alias("wrong"), total.alias("total"),
                     F.round(F.lit(100.0) * wrong / total, 2).alias("wrong_percent"))
-
-
-def log_loss(prob_true: DataFrame, col: str = "p_true", eps: float = 1e-15) -> DataFrame:
-    """AGG-18: mean of -ln(p of the true class)."""
-    p = F.greatest(F.least(F.col(col), F.lit(1 - eps)), F.lit(eps))
-    return prob_true.agg(F.avg(-F.ln(p)).alias("loss"))

@@ -141,13 +141,25 @@ def since_marks(rows: DataFrame, marks: DataFrame, key: str, id_col: str) -> Dat
 def new_only(batch: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     """JON-05 / D8: in-batch dedup, then drop keys already stored (left anti join).
 
+    Of several copies the largest row stays (by the columns in order, NULL smallest), so
+    the answer does not depend on their order. Rows without a key are no copies of each
+    other: all stay, to be rejected with a reason later.
+
     Both sides are reduced to distinct keys first (hash aggregates with map-side
     combine, so a key copied into a third of all rows is one partial row per
     task). AQE can split a skewed partition of the probe side but not of the build
     side; with distinct keys on the build side there is nothing left to split, and
     the anti join reuses the aggregate's hash partitioning on the key.
     """
-    return batch.dropDuplicates([key]).join(known.select(key).distinct(), key, "left_anti")
+    return one_per_key(batch, key).join(known.select(key).distinct(), key, "left_anti").select(
+        *batch.columns).unionByName(batch.where(F.col(key).isNull()))
+
+
+def one_per_key(batch: DataFrame, key: str = "id") -> DataFrame:
+    """One row of each key, the largest; rows without a key are left out."""
+    rest = [c for c in batch.columns if c != key]
+    best = batch.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(F.struct(*rest)).alias("_r"))
+    return best.select(*[F.col(c) if c == key else F.col(f"_r.`{c}`").alias(c) for c in batch.columns])
 
 
 def union_batches(*batches: DataFrame) -> DataFrame:

@@ -112,17 +112,18 @@ def reputation_bands(posts: DataFrame, lo, hi, weights=rep.DEFAULT_WEIGHTS) -> D
 
 
 def latest_negative(posts: DataFrame, lo, hi, k: int = 10) -> DataFrame:
-    """TOP-02 with FLT-04: latest negative posts, id breaks ties (D24)."""
+    """TOP-02 with FLT-04: latest negative posts with their text, id breaks ties (D24)."""
     return (in_date_range(posts, lo, hi).where(F.col("sentiment") == "negative")
-            .select("author_id", "date", "id")
+            .select("author_id", "date", "text", "id")
             .orderBy(F.col("date").desc(), F.col("id").asc()).limit(k))
 
 
-def sample_posts(posts: DataFrame, lo, hi, k: int = 20) -> DataFrame:
-    """TOP-06: a repeatable sample of posts in range (md5 order)."""
-    return (in_date_range(posts, lo, hi)
-            .select("id", "sentiment", F.md5(F.col("id")).alias("_h"))
-            .orderBy("_h", "id").limit(k).drop("_h"))
+def sample_posts(posts: DataFrame, lo, hi, k: int | None = None) -> DataFrame:
+    """TOP-06: text and class of every post in range; with ``k`` a repeatable sample (md5 order)."""
+    rows = in_date_range(posts, lo, hi).select("id", "text", "sentiment")
+    if k is None:
+        return rows
+    return rows.withColumn("_h", F.md5("id")).orderBy("_h", "id").limit(k).drop("_h")
 
 
 # Display names of the ledger columns in the training table panel.
@@ -154,10 +155,13 @@ def last_training_run(runs: DataFrame, lo, hi) -> DataFrame:
 
 
 def last_accuracy(runs: DataFrame, lo, hi) -> DataFrame:
-    """AGG-10: last non-null accuracy by start time (D15), with the gauge band."""
+    """AGG-10: last non-null accuracy by start time (D15; end time, then the larger value,
+    break ties), with the gauge band."""
     r = in_time_range(runs, lo, hi).where(F.col("eval_accuracy").isNotNull())
-    v = F.max_by("eval_accuracy", "start_time")
-    return r.agg(v.alias("last_accuracy"), F.max("start_time").alias("at"))
+    order = [c for c in ("start_time", "end_time", "eval_accuracy") if c in runs.columns]
+    v = F.max_by("eval_accuracy", F.struct(*order))
+    return r.agg(v.alias("last_accuracy"), F.max("start_time").alias("at")).withColumn(
+        "accuracy_band", bands.band(F.col("last_accuracy"), bands.ACCURACY_STEPS))
 
 
 def accuracy_bands(runs: DataFrame, lo, hi) -> DataFrame:

@@ -45,18 +45,12 @@ def reject_reason(posts: DataFrame) -> F.Column:
     sent_ok = F.col("sentiment").isNull() | F.col("sentiment").isin(*CLASS_NAMES)
     fb_ok = F.col("user_feedback").isNull() | F.col("user_feedback").isin(
         *[k for k in LABEL_SPELLINGS if k[0].isdigit()])
-    return (F.when(F.col("date").isNull(), F.lit("missing_date"))
+    return (F.when(F.col("id").isNull(), F.lit("missing_id"))
+            .when(F.col("date").isNull(), F.lit("missing_date"))
             .when(~sent_ok, F.lit("unknown_sentiment"))
             .when(~fb_ok, F.lit("bad_feedback")))
 
 
-def split_rejects(posts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted, rejected-with-reason) from one tagged frame."""
-    tagged = posts.withColumn("reject_reason", reject_reason(posts))
-    return (tagged.where(F.col("reject_reason").isNull()).drop("reject_reason"),
-            tagged.where(F.col("reject_reason").isNotNull()))
-
-
 def with_outcome(posts: DataFrame) -> DataFrame:
     """Rows tagged ``outcome`` (accepted / rejected) and ``reject_reason``."""
     reason = reject_reason(posts)

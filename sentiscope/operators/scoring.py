@@ -5,10 +5,11 @@ Two back ends share one output shape ``struct<label string, score double>``
 
 * ``lexicon_scores``: built-in array functions only, fully JVM-side; the
   deterministic scorer used to value-check the score -> write back -> index path.
+* ``softmax_scores``: the default model, the same way: a softmax over lexicon counts.
 * ``score_udf``: an iterator ``pandas_udf`` over Arrow batches; the model is
   built once per Python worker (lazy single load) and applied to whole batches.
   Any callable ``texts -> (labels, scores)`` can be plugged in through
-  ``model_factory``; the default is a softmax over lexicon evidence.
+  ``model_factory``.
 
 The score is a column of the same row, so predictions never need to be matched
 back to rows by position (JON-04).
@@ -21,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.labels import CLASS_NAMES
 from ..functions.text import NEGATIVE_WORDS, POSITIVE_WORDS, count_words
@@ -40,8 +41,19 @@ def lexicon_scores(posts: DataFrame, text_col: str = "text") -> DataFrame:
                         F.round(conf, 6).alias("confidence"))
 
 
+def softmax_scores(text: Column) -> Column:
+    """Default model: logits (negative, neutral, positive) = (#neg words, bias, #pos words);
+    the first of equal classes wins."""
+    g, p = (count_words(text, v).cast("double") for v in (NEGATIVE_WORDS, POSITIVE_WORDS))
+    logits = (g, F.lit(NEUTRAL_BIAS), p)
+    top = F.greatest(*logits)
+    label = F.when(g == top, CLASS_NAMES[0]).when(F.lit(NEUTRAL_BIAS) == top, CLASS_NAMES[1]).otherwise(CLASS_NAMES[2])
+    total = sum((F.exp(z - top) for z in logits[1:]), F.exp(logits[0] - top))
+    return F.struct(label.alias("label"), (F.lit(1.0) / total).alias("score"))
+
+
 class LexiconSoftmax:
-    """Default model: logits (negative, neutral, positive) = (#neg words, bias, #pos words)."""
+    """The default model as a plug-in: an example of a callable for ``score_udf``."""
 
     _split = re.compile(r"[^a-z0-9]+")
 
@@ -73,10 +85,10 @@ def score_udf(model_factory: Callable[[], Callable] = LexiconSoftmax):
     return _score
 
 
-def score_posts(posts: DataFrame, model_factory: Callable[[], Callable] = LexiconSoftmax,
+def score_posts(posts: DataFrame, model_factory: Callable[[], Callable] | None = None,
                 text_col: str = "text") -> DataFrame:
     """ML-05: score rows (e.g. the pending ones); label and confidence of the top class (SCL-10)."""
-    s = score_udf(model_factory)(F.col(text_col))
+    s = softmax_scores(F.col(text_col)) if model_factory is None else score_udf(model_factory)(F.col(text_col))
     return (posts.select("id", s.alias("_s"))
             .select("id", F.col("_s.label").alias("sentiment"),
                     F.round(F.col("_s.score"), 6).alias("confidence")))

@@ -17,8 +17,9 @@ from ..functions.labels import canonical_feedback
 
 
 def last_write_per_key(updates: DataFrame, key: str, seq: str, cols: list[str]) -> DataFrame:
-    """WIN-03: one row per key with the values of its highest ``seq``."""
-    latest = updates.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(seq)).alias("_u"))
+    """WIN-03: one row per key with the values of its highest ``seq`` (of equal ones, the
+    largest values)."""
+    latest = updates.groupBy(key).agg(F.max(F.struct(seq, *[c for c in cols if c != seq])).alias("_u"))
     return latest.select(key, *[F.col(f"_u.{c}").alias(c) for c in cols])
 
 

@@ -151,12 +151,12 @@ def q_reputation_bands(spark, sf):
 
 @query("latest_negative")
 def q_latest_negative(spark, sf):
-    return mon.latest_negative(Tables(spark, sf).posts(), P.DAY_LO, P.DAY_HI, P.TOP_NEGATIVE)
+    return mon.latest_negative(Tables(spark, sf).posts_text(), P.DAY_LO, P.DAY_HI, P.TOP_NEGATIVE)
 
 
 @query("sample_posts")
 def q_sample_posts(spark, sf):
-    return mon.sample_posts(Tables(spark, sf).posts(), P.DAY_LO, P.DAY_HI, P.SAMPLE_SIZE)
+    return mon.sample_posts(Tables(spark, sf).posts_text(), P.DAY_LO, P.DAY_HI)
 
 
 # ---- run ledger panels -----------------------------------------------------------
@@ -213,6 +213,11 @@ def q_misclassified(spark, sf):
     return ev.misclassified(Tables(spark, sf).predictions(), 10)
 
 
+@query("misclassified_all")
+def q_misclassified_all(spark, sf):
+    return ev.misclassified(Tables(spark, sf).predictions())
+
+
 @query("misclassification_rate")
 def q_misclassification_rate(spark, sf):
     return ev.misclassification_rate(Tables(spark, sf).predictions())
@@ -280,23 +285,23 @@ def historic_batch(posts_text):
     """Document rows as a historic batch: dirty day text cleaned (unparsable -> NULL date),
     reviewer feedback typed by hand (every seventh row is not a valid answer)."""
     k = F.col("id").cast("bigint")
-    d = dirty_dates(posts_text).select("id", clean_date(F.col("raw_date")).alias("date"))
     fb = F.when(k % 7 == 0, F.lit("maybe")).when(k % 7 == 1, F.lit("2.0"))
-    return posts_text.select("id", "author_id", "sentiment", fb.alias("user_feedback")).join(d, "id")
+    return posts_text.select("id", "author_id", "sentiment", fb.alias("user_feedback"),
+                             clean_date(raw_date()).alias("date"))
 
 
 @query("rejects_by_reason")
 def q_rejects_by_reason(spark, sf):
     t = Tables(spark, sf)
-    batch = conform(t.posts(), POSTS).unionByName(conform(historic_batch(t.posts_text()), POSTS))
-    return qa.rejects_by_reason(batch)
+    return qa.rejects_by_reason(ing.union_batches(t.posts(), historic_batch(t.posts_text())))
 
 
 # ---- review and updates by key (TOP-01, JON-01/02) --------------------------------
 
 @query("review_queue")
 def q_review_queue(spark, sf):
-    return rv.review_queue(Tables(spark, sf).posts(), P.REVIEW_THRESHOLD, P.REVIEW_LIMIT)
+    t = Tables(spark, sf)
+    return rv.review_queue(t.posts(), P.REVIEW_THRESHOLD, P.REVIEW_LIMIT, t.posts_text())
 
 
 def score_updates(posts):
@@ -378,24 +383,24 @@ def q_json_field(spark, sf):
 @query("argmax_label")
 def q_argmax_label(spark, sf):
     emb = Tables(spark, sf).raw("embeddings")
-    pred = argmax(F.slice("embedding", 1, 3))
+    pred = argmax(F.col("embedding"))
     return emb.select("vec_id", "label", pred.alias("pred"), class_name(pred).alias("pred_name"))
 
 
-def dirty_dates(posts_text):
+def raw_date():
+    """The day of a document in one of four spellings, some of them no date."""
     k = F.pmod(F.col("id").cast("bigint"), F.lit(8))
     iso = F.date_format("date", "yyyy-MM-dd")
-    raw = (F.when(k % 4 == 0, F.concat(F.lit(" "), iso))
-           .when(k % 4 == 1, F.date_format("date", "dd/MM/yyyy"))
-           .when(k % 4 == 2, iso)
-           .when(k == 3, F.lit("n/a"))
-           .otherwise(F.concat(iso, F.lit(" "))))
-    return posts_text.select("id", raw.alias("raw_date"))
+    return (F.when(k % 4 == 0, F.concat(F.lit(" "), iso))
+            .when(k % 4 == 1, F.date_format("date", "dd/MM/yyyy"))
+            .when(k % 4 == 2, iso)
+            .when(k == 3, F.lit("n/a"))
+            .otherwise(F.concat(iso, F.lit(" "))))
 
 
 @query("clean_dates")
 def q_clean_dates(spark, sf):
-    d = dirty_dates(Tables(spark, sf).posts_text())
+    d = Tables(spark, sf).posts_text().select("id", raw_date().alias("raw_date"))
     return d.select("id", "raw_date", clean_date(F.col("raw_date")).alias("date"))
 
 
@@ -604,10 +609,23 @@ def q_stream_dedup(spark, sf):
     return spark.read.schema(stream.POST_EVENT).parquet(sink).select("id", "date", "sentiment")
 
 
+@query("stream_upsert")
+def q_stream_upsert(spark, sf):
+    posts = Tables(spark, sf).posts()
+    landing, log = scratch_path(spark, "landing-updates"), scratch_path(spark, "stream-updates")
+    updates = score_updates(posts).unionByName(feedback_answers(posts), allowMissingColumns=True)
+    # dealt by a hash, so that the writes of one id come in different batches, in any order
+    (updates.withColumn("seq", F.col("seq").cast("long")).repartition(6, F.xxhash64("id", "seq"))
+     .select(*stream.UPDATE_EVENT.fieldNames()).write.parquet(landing))
+    stream.stream_upsert(spark, landing, log, scratch_path(spark, "ckpt"), max_files=2)
+    return stream.upserted(spark, posts, log).select("id", "sentiment", "confidence", "user_feedback")
+
+
 @query("stream_daily_counts")
 def q_stream_daily_counts(spark, sf):
-    landing, sink = _landing(spark, sf), scratch_path(spark, "stream-counts")
-    stream.stream_daily_counts(spark, landing, sink, scratch_path(spark, "ckpt"))
+    landing, sink = _landing(spark, sf, files_per_day=2), scratch_path(spark, "stream-counts")
+    # many batches, and the files of a day in no order: late posts are counted too
+    stream.stream_daily_counts(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=7)
     return stream.latest_counts(spark, sink)
 
 

@@ -44,6 +44,10 @@ RANGE = f"date BETWEEN DATE '{P.DAY_LO}' AND DATE '{P.DAY_HI}'"
 RUN_RANGE = (f"start_time BETWEEN TIMESTAMP '{P.RUN_LO}' AND TIMESTAMP '{P.RUN_HI}'")
 
 
+def text_sql(body: str, *ctes: str) -> str:
+    return with_views(body, *ctes, views=("posts_text",))
+
+
 def posts_sql(body: str, *ctes: str) -> str:
     return with_views(body, *ctes, views=("posts",))
 
@@ -115,11 +119,10 @@ SELECT {rnd('m', 6)} AS mean_reputation_index,
 FROM (SELECT (SELECT avg(reputation_index) FROM daily) AS m,
              (SELECT avg(confidence) FROM posts WHERE {RANGE}) AS c) t""",
     DAILY_CTE.replace("WHERE date IS NOT NULL", f"WHERE date IS NOT NULL AND {RANGE}"))
-SQL["latest_negative"] = posts_sql(f"""
-SELECT author_id, date, id FROM posts WHERE sentiment = 'negative' AND {RANGE}
+SQL["latest_negative"] = text_sql(f"""
+SELECT author_id, date, text, id FROM posts_text WHERE sentiment = 'negative' AND {RANGE}
 ORDER BY date DESC, id ASC LIMIT {P.TOP_NEGATIVE}""")
-SQL["sample_posts"] = posts_sql(f"""
-SELECT id, sentiment FROM posts WHERE {RANGE} ORDER BY md5(id), id LIMIT {P.SAMPLE_SIZE}""")
+SQL["sample_posts"] = text_sql(f"SELECT id, text, sentiment FROM posts_text WHERE {RANGE}")
 
 _renames = ", ".join([
     'start_time AS "Start time"', 'end_time AS "End Time"', 'eval_loss AS "Loss Evaluation"',
@@ -131,8 +134,10 @@ ORDER BY start_time DESC, end_time DESC LIMIT {P.TOP_RUNS}""")
 SQL["last_training_run"] = runs_sql(f"""
 SELECT * FROM training_runs WHERE {RUN_RANGE} ORDER BY start_time DESC, end_time DESC LIMIT 1""")
 SQL["last_accuracy"] = runs_sql(f"""
-SELECT arg_max(eval_accuracy, start_time) AS last_accuracy, max(start_time) AS at
-FROM training_runs WHERE {RUN_RANGE} AND eval_accuracy IS NOT NULL""")
+SELECT last_accuracy, "at", {band_sql('last_accuracy', B.ACCURACY_STEPS)} AS accuracy_band
+FROM (SELECT eval_accuracy AS last_accuracy, start_time AS "at" FROM training_runs
+      WHERE {RUN_RANGE} AND eval_accuracy IS NOT NULL
+      ORDER BY start_time DESC, end_time DESC, eval_accuracy DESC LIMIT 1) t""")
 SQL["accuracy_bands"] = runs_sql(f"""
 SELECT start_time, eval_accuracy, {band_sql('eval_accuracy', B.ACCURACY_STEPS)} AS accuracy_band
 FROM training_runs WHERE {RUN_RANGE}""")
@@ -152,9 +157,6 @@ def pred_sql(body: str, *ctes: str) -> str:
     return with_views(body, *ctes, views=("predictions",))
 
 
-def text_sql(body: str, *ctes: str) -> str:
-    return with_views(body, *ctes, views=("posts_text",))
-
 
 NAMES = "['negative', 'neutral', 'positive']"
 
@@ -183,6 +185,7 @@ FROM (SELECT label, pred, CAST(count(*) AS BIGINT) AS n FROM predictions GROUP B
 SQL["misclassified"] = pred_sql(f"""
 SELECT id, label, pred, {name_sql('label')} AS label_name, {name_sql('pred')} AS pred_name
 FROM predictions WHERE label <> pred ORDER BY id LIMIT 10""")
+SQL["misclassified_all"] = SQL["misclassified"].replace(" ORDER BY id LIMIT 10", "")
 SQL["misclassification_rate"] = pred_sql(f"""
 SELECT wrong, total, {rnd('100.0 * wrong / total', 2)} AS wrong_percent
 FROM (SELECT CAST(count_if(label <> pred) AS BIGINT) AS wrong, CAST(count(*) AS BIGINT) AS total FROM predictions) t""")
@@ -275,11 +278,13 @@ GROUP BY reason""", views=("posts", "posts_text"))
 
 # ---- review and updates ----------------------------------------------------------------
 
-SQL["review_queue"] = posts_sql(f"""
-SELECT id, sentiment, confidence FROM posts
-WHERE sentiment IS NOT NULL AND confidence IS NOT NULL AND user_feedback IS NULL
-  AND confidence < {P.REVIEW_THRESHOLD}
-ORDER BY confidence ASC, id ASC LIMIT {P.REVIEW_LIMIT}""")
+SQL["review_queue"] = with_views(f"""
+SELECT q.id, t.text, q.sentiment, q.confidence, q.user_feedback
+FROM (SELECT * FROM posts
+      WHERE sentiment IS NOT NULL AND confidence IS NOT NULL AND user_feedback IS NULL
+        AND confidence < {P.REVIEW_THRESHOLD}
+      ORDER BY confidence ASC, id ASC LIMIT {P.REVIEW_LIMIT}) q
+LEFT JOIN posts_text t ON q.id = t.id""", views=("posts", "posts_text"))
 SQL["apply_scores"] = posts_sql("""
 SELECT p.id, coalesce(u.sentiment, p.sentiment) AS sentiment, coalesce(u.confidence, p.confidence) AS confidence
 FROM posts p LEFT JOIN (
@@ -315,8 +320,7 @@ SQL["append_new_only"] = posts_sql("SELECT id, date, sentiment FROM posts WHERE
 # ---- scalar functions and cleaning ---------------------------------------------------------
 
 SQL["json_field"] = "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"
-_lg = "list_slice(embedding, 1, 3)"
-_am = f"CAST(list_position({_lg}, list_max({_lg})) - 1 AS INTEGER)"
+_am = "CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER)"
 SQL["argmax_label"] = f"SELECT vec_id, label, {_am} AS pred, {name_sql(_am)} AS pred_name FROM embeddings"
 SQL["clean_dates"] = text_sql("""
 SELECT id, raw_date,
@@ -432,6 +436,9 @@ SQL["stream_ingest"] = posts_sql("SELECT id, date, sentiment FROM posts")
 SQL["stream_dedup"] = SQL["stream_ingest"]
 SQL["stream_daily_counts"] = SQL["counts_by_day_class"]
 SQL["stream_daily_reputation"] = SQL["daily_reputation"]
+SQL["stream_upsert"] = f"""
+SELECT s.id, s.sentiment, s.confidence, f.user_feedback
+FROM ({SQL["apply_scores"]}) s JOIN ({SQL["apply_feedback"]}) f ON s.id = f.id"""
 SQL["stream_score"] = SQL["score_posts"]
 SQL["stream_closed_days"] = daily_sql(
     "SELECT * FROM daily WHERE CAST(date AS TIMESTAMP) + INTERVAL 2 DAY <= (SELECT max(ts) FROM events)")

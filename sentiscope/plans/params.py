@@ -13,7 +13,6 @@ REVIEW_THRESHOLD = 0.8
 REVIEW_LIMIT = 50
 TOP_NEGATIVE = 10
 TOP_RUNS = 10
-SAMPLE_SIZE = 20
 LAST_DAYS = 7
 SPLIT_SEED = 42
 TEST_SHARE = 0.2

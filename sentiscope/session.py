@@ -14,13 +14,12 @@ import uuid
 from pyspark.sql import SparkSession
 
 # Settings every job relies on: UTC clock (D20), runtime re-planning with
-# skew-join splitting, dynamic partition overwrite for day-level rewrites.
+# skew-join splitting. Day-level rewrites ask for dynamic partition overwrite themselves.
 SESSION_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Texts run up to ~20k words: keep Arrow batches for the scorer UDF bounded, by rows
     # and by bytes (a batch closes at whichever limit it reaches first).

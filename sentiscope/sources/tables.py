@@ -17,49 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use every core for CPU-heavy per-row work when the scan yields fewer splits
-    than the cluster's parallelism (e.g. one large row group). At scale the input
-    has far more splits than cores and this is a no-op, so no shuffle is added."""
-    try:
-        want = df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # sessions without RDD access (e.g. Spark Connect): leave the plan as is
-        return df
-    return df.repartition(want) if have < want else df
+def restrict_to_days(table: DataFrame, days: DataFrame, col: str = "date") -> DataFrame:
+    """Rows of a day-partitioned table on the days named by ``days``.
 
-
-# Most distinct days an update batch may name for an exact static partition filter.
-MAX_PRUNE_DAYS = 4096
-
-
-def day_list(days: DataFrame, col: str = "date", bound: int = MAX_PRUNE_DAYS) -> list | None:
-    """Distinct non-NULL days of ``days`` when there are at most ``bound`` of them, else None
-    (at most ``bound + 1`` values reach the driver)."""
-    d = days.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
-    listed = [r[0] for r in d.limit(bound + 1).collect()]
-    return listed if len(listed) <= bound else None
-
-
-def restrict_to_days(table: DataFrame, days: DataFrame | list, col: str = "date",
-                     bound: int = MAX_PRUNE_DAYS) -> DataFrame:
-    """Rows of a day-partitioned table on the days named by ``days``, read from
-    those day folders only.
-
-    A semi join against a micro-batch or an update set does not prune the scan
-    (dynamic partition pruning needs a selective filter on the other side), so
-    every batch would read the whole table. The distinct days of a batch are a
-    short list bounded by its calendar span: at most ``bound + 1`` are fetched
-    and become a literal ``IN`` partition filter. A batch spanning more days
-    prunes by its [min, max] day (a one-row aggregate) and keeps the semi join,
-    so the result is the same either way. NULL days match nothing, as in a join.
-    ``days`` may also be a list already fetched with ``day_list``.
+    A semi join alone does not prune the scan, so the table is first cut to the
+    [min, max] day, a one-row aggregate that becomes a partition filter. NULL days
+    match nothing, as in a join.
     """
-    listed = days if isinstance(days, list) else day_list(days, col, bound)
-    if listed is not None:
-        return table.where(F.col(col).isin(listed)) if listed else table.where(F.lit(False))
     d = days.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
     lo, hi = d.agg(F.min(col), F.max(col)).first()
+    if lo is None:
+        return table.where(F.lit(False))
     return table.where(F.col(col).between(lo, hi)).join(d, col, "left_semi")
 
 
@@ -157,7 +125,7 @@ class Tables:
         return posts_from_events(self.raw("events"))
 
     def posts_text(self) -> DataFrame:
-        return posts_text_from_documents(spread(self.raw("documents")), self.raw("labels"))
+        return posts_text_from_documents(self.raw("documents"), self.raw("labels"))
 
     def predictions(self) -> DataFrame:
         return predictions_from_events(self.raw("events"))

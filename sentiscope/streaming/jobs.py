@@ -6,10 +6,11 @@ scores. Here the file source's checkpoint is the high-water mark
 and every sink is either a file sink or a ``foreachBatch`` writer that is safe
 to replay:
 
-* dedup and the silver append skip ids already stored for the batch's days
-  (anti join against only those day partitions), so a replayed batch adds nothing;
-* windowed counts are appended with their batch id and read back
-  last-write-wins per key (``max_by``);
+* dedup and the silver append skip ids already stored on any day (anti join on the id
+  column alone), so a replayed batch adds nothing and the result does not depend on where
+  batches were cut; rows without an id or a date are rejects, kept by batch;
+* windowed counts and updates by key are written under their batch id (a replay replaces its
+  own folder) and read back last-write-wins per key;
 * recomputed days replace their gold partitions through a staging folder, so a
   path is never read and overwritten by the same job.
 """
@@ -21,11 +22,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.labels import canonical_feedback
 from ..operators import reputation as rep
 from ..schemas import DAILY_REPUTATION
-from ..operators.ingest import new_only
+from ..operators.ingest import new_only, one_per_key
+from ..operators.quality import reject_reason
 from ..operators.scoring import score_posts
-from ..sources.tables import day_list, posts_from_events, restrict_to_days
+from ..operators.updates import apply_feedback, apply_scores, last_write_per_key
+from ..sources.tables import posts_from_events, restrict_to_days
 
 POST_EVENT = T.StructType([
     T.StructField("id", T.StringType()),
@@ -78,12 +82,19 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None =
         return None
 
 
-def _unseen(batch: DataFrame, stored: DataFrame | None, days: list | None = None) -> DataFrame:
-    """In-batch dedup, then drop ids already stored on the batch's days (only those
-    day folders are read; ``days`` is the batch's day list when already fetched)."""
-    if stored is None:
-        return batch.dropDuplicates(["id"])
-    return new_only(batch, restrict_to_days(stored, batch if days is None else days).select("id"))
+def _unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """In-batch dedup of the rows with an id and a date, then drop ids already stored on any
+    day (a copy may carry another date; only the id column is read)."""
+    usable = batch.where(F.col("id").isNotNull() & F.col("date").isNotNull())
+    return one_per_key(usable) if stored is None else new_only(usable, stored.select("id"))
+
+
+def _reject(batch: DataFrame, sink: str, batch_id: int) -> None:
+    """Rows that cannot be stored, with their reason, in the batch's own folder: a replay
+    replaces it."""
+    bad = batch.where(F.col("id").isNull() | F.col("date").isNull())
+    (bad.withColumn("reject_reason", reject_reason(bad))
+     .write.mode("overwrite").parquet(f"{sink}-rejects/batch={batch_id}"))
 
 
 # ---- STR-01: incremental ingest ------------------------------------------------------------
@@ -97,7 +108,8 @@ def stream_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 # ---- STR-02: drop posts already seen ----------------------------------------------------------
 
 def dedup_writer(spark: SparkSession, sink: str):
-    """``foreachBatch`` function: append only ids not stored yet on the batch's days.
+    """``foreachBatch`` function: append only ids not stored yet; the others are dropped,
+    rows without id or date go to ``<sink>-rejects``.
 
     A replayed batch (task or driver retry after a failure) finds its rows
     already stored and appends nothing.
@@ -105,7 +117,9 @@ def dedup_writer(spark: SparkSession, sink: str):
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         fresh = _unseen(batch, _read_or_none(spark, sink, POST_EVENT))
-        fresh.select(*POST_EVENT.fieldNames()).write.mode("append").partitionBy("date").parquet(sink)
+        (fresh.select(*POST_EVENT.fieldNames()).hint("rebalance", "date")
+         .write.mode("append").partitionBy("date").parquet(sink))
+        _reject(batch, sink, batch_id)
         batch.unpersist()
 
     return upsert
@@ -135,17 +149,20 @@ COUNTS_LOG = "day date, sentiment string, count long, batch_id long"
 
 
 def stream_daily_counts(spark: SparkSession, landing: str, sink: str, checkpoint: str,
-                        watermark: str = "1 day", max_files: int | None = None) -> None:
-    """Update mode: each batch emits the running count of every touched (day, class)."""
+                        max_files: int | None = None) -> None:
+    """Update mode: each batch emits the running count of every touched (day, class).
+
+    There is no watermark: a post counts for its day however late it comes. The state is
+    one number for each day and class, so it grows with the calendar, not with posts.
+    """
     counts = (post_stream(spark, landing, max_files)
-              .withWatermark("ts", watermark)
               .groupBy(F.window("ts", "1 day"), "sentiment")
               .agg(F.count(F.lit(1)).alias("count")))
 
     def log(batch: DataFrame, batch_id: int) -> None:
         (batch.select(F.to_date(F.col("window.start")).alias("day"), "sentiment", "count",
                       F.lit(batch_id).cast("long").alias("batch_id"))
-         .write.mode("append").parquet(sink))
+         .write.mode("overwrite").parquet(f"{sink}/batch={batch_id}"))
 
     _run(counts.writeStream.outputMode("update").foreachBatch(log), checkpoint)
 
@@ -172,12 +189,11 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        days = day_list(batch)  # fetched once for both reads of silver (None: too many days)
-        stored = _read_or_none(spark, silver, POST_EVENT)
-        fresh = _unseen(batch, stored, days)
-        fresh.select(*POST_EVENT.fieldNames()).write.mode("append").partitionBy("date").parquet(silver)
-        touched = restrict_to_days(spark.read.schema(POST_EVENT).parquet(silver),
-                                   batch if days is None else days)
+        fresh = _unseen(batch, _read_or_none(spark, silver, POST_EVENT))
+        (fresh.select(*POST_EVENT.fieldNames()).hint("rebalance", "date")
+         .write.mode("append").partitionBy("date").parquet(silver))
+        _reject(batch, silver, batch_id)
+        touched = restrict_to_days(spark.read.schema(POST_EVENT).parquet(silver), batch)
         stage = f"{gold}-staging/{batch_id}-{uuid.uuid4().hex}"
         rep.daily_reputation(touched, weights).write.mode("overwrite").partitionBy("date").parquet(stage)
         (spark.read.schema(DAILY_REPUTATION).parquet(stage)
@@ -204,6 +220,48 @@ def compact_log(spark: SparkSession, log: str, keys: list[str], cols: list[str],
      .write.mode("overwrite").parquet(out))
 
 
+# ---- STR-06: scores and feedback by key, in micro-batches -------------------------------------------
+
+UPDATE_EVENT = T.StructType([
+    T.StructField("id", T.StringType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("sentiment", T.StringType()),
+    T.StructField("confidence", T.DoubleType()),
+    T.StructField("answer", T.StringType()),
+])
+
+
+def stream_upsert(spark: SparkSession, landing: str, log: str, checkpoint: str,
+                  max_files: int | None = None) -> None:
+    """Updates by key as they arrive: score rows have a ``sentiment``, feedback rows an
+    ``answer``. A batch is reduced to its last write of each id and kind and kept in
+    its own folder of ``log``, so a batch costs what it holds, whatever is stored, and a
+    replay replaces what it wrote. ``upserted`` applies the log."""
+    def upsert(batch: DataFrame, batch_id: int) -> None:
+        keyed = batch.where(F.col("id").isNotNull())
+        scores = last_write_per_key(keyed.where(F.col("sentiment").isNotNull()), "id", "seq",
+                                    ["seq", "sentiment", "confidence"])
+        answers = last_write_per_key(_valid_answers(keyed), "id", "seq", ["seq", "answer"])
+        (scores.unionByName(answers, allowMissingColumns=True)
+         .write.mode("overwrite").parquet(f"{log}/batch={batch_id}"))
+
+    _run(post_stream(spark, landing, max_files, UPDATE_EVENT).writeStream.foreachBatch(upsert), checkpoint)
+
+
+def _valid_answers(updates: DataFrame) -> DataFrame:
+    """An answer outside the accepted ones is no write, so it must not hide an earlier one."""
+    return updates.where(canonical_feedback(F.col("answer")).isNotNull())
+
+
+def upserted(spark: SparkSession, posts: DataFrame, log: str) -> DataFrame:
+    """``posts`` with every streamed update applied, the last write of each id winning."""
+    updates = _read_or_none(spark, log, UPDATE_EVENT)
+    if updates is None:
+        return posts
+    scored = apply_scores(posts, updates.where(F.col("sentiment").isNotNull()))
+    return apply_feedback(scored, updates.where(F.col("answer").isNotNull()))
+
+
 # ---- STR-05: score new rows as they arrive ---------------------------------------------------------
 
 def stream_score(spark: SparkSession, landing: str, schema: T.StructType, sink: str,

@@ -55,12 +55,9 @@ def test_day_rewrite_is_dynamic_even_with_static_session_default(spark, scratch)
     rows = [("1", dt.date(2024, 1, 1), "positive"), ("2", dt.date(2024, 1, 2), "negative")]
     base = conform(spark.createDataFrame(rows, "id string, date date, sentiment string"), POSTS)
     base.write.partitionBy("date").parquet(wh.posts)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
-    try:
-        changed = wh.read_posts(spark).where(F.col("id") == "2").withColumn("sentiment", F.lit("neutral"))
-        jobs._rewrite_days(spark, wh, changed)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
+    changed = wh.read_posts(spark).where(F.col("id") == "2").withColumn("sentiment", F.lit("neutral"))
+    jobs._rewrite_days(spark, wh, changed)
     got = {r.id: r.sentiment for r in wh.read_posts(spark).collect()}
     assert got == {"1": "positive", "2": "neutral"}
 
@@ -104,3 +101,33 @@ def test_day_rewrite_interrupted_is_recovered(spark, scratch, monkeypatch):
     assert jobs.recover(spark, wh) == 1
     assert {r.id: r.sentiment for r in wh.read_posts(spark).collect()} == {"1": None, "2": "neutral"}
     assert jobs.recover(spark, wh) == 0  # applied once, then marked
+
+
+def test_jobs_on_an_empty_warehouse_stop_early(spark, scratch):
+    wh = jobs.Warehouse(f"{scratch}/none")
+    answers = spark.createDataFrame([("1", 1, "2")], "id string, seq int, answer string")
+    assert jobs.analyze(spark, wh) == 0
+    assert jobs.calculate(spark, wh) is None
+    assert jobs.review_queue(spark, wh).collect() == []
+    assert jobs.save_feedback(spark, wh, answers) == 0
+    assert jobs.train(spark, wh)["passed"] is False
+
+
+def test_a_second_corpus_leaves_no_old_split(spark, scratch):
+    from sentiscope.sources import corpus
+    schema = "id string, text string, label int, split string"
+    for rows in ([("1", "a", 0, "train"), ("2", "b", 1, "test")], [("3", "c", 0, "train")]):
+        corpus.write_split_corpus(spark.createDataFrame(rows, schema), f"{scratch}/c")
+    assert [r.id for r in spark.read.parquet(f"{scratch}/c").collect()] == ["3"]
+
+
+def test_ties_do_not_depend_on_row_order(spark):
+    from sentiscope.operators import ingest, monitoring, updates
+    rows = [("1", 1, "b", 0.1), ("1", 1, "a", 0.9)]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "id string, seq int, sentiment string, confidence double").coalesce(1)
+        assert [r.sentiment for r in updates.last_write_per_key(df, "id", "seq", ["sentiment", "confidence"]).collect()] == ["b"]
+        assert [r.sentiment for r in ingest.new_only(df, df.limit(0)).collect()] == ["b"]
+        runs = df.selectExpr("timestamp_ntz'2024-01-01 00:00:00' AS start_time",
+                             "timestamp_ntz'2024-01-01 01:00:00' AS end_time", "confidence AS eval_accuracy")
+        assert monitoring.last_accuracy(runs, "2024-01-01 00:00:00", "2024-01-02 00:00:00").first().last_accuracy == 0.9

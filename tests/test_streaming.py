@@ -130,3 +130,50 @@ def test_landing_splits_a_day_above_the_advisory_size(spark, scratch):
     assert landed.count() == ev.count()
     files = [len(glob.glob(f"{d}/*.parquet")) for d in glob.glob(f"{scratch}/landing/date=*")]
     assert max(files) > 1  # a day bigger than the advisory size is written by several tasks
+
+
+def _post(i, day, sentiment="positive", date="same"):
+    t = dt.datetime(2024, 1, day, 1)
+    return (i, "u", sentiment, 0.9, None, t, t.date() if date == "same" else date)
+
+
+def test_copies_on_other_days_are_one_post_whatever_the_batches(spark, scratch):
+    given = [_post("1", 1), _post("1", 2), _post("2", 1), _post("2", 1)]
+    for name, cut in (("one", [given]), ("two", [given[:1] + given[2:3], given[1:2] + given[3:]])):
+        write = stream.dedup_writer(spark, f"{scratch}/{name}")
+        for n, part in enumerate(cut):
+            write(spark.createDataFrame(part, stream.POST_EVENT), n)
+        assert sorted(r.id for r in spark.read.parquet(f"{scratch}/{name}").collect()) == ["1", "2"]
+
+
+def test_rows_without_id_or_date_are_rejects_once(spark, scratch):
+    given = [_post("1", 1), _post("2", 1, date=None), _post(None, 1), _post(None, 2)]
+    write = stream.dedup_writer(spark, f"{scratch}/sink")
+    for _ in range(2):  # a replay
+        write(spark.createDataFrame(given, stream.POST_EVENT), 0)
+    assert [r.id for r in spark.read.parquet(f"{scratch}/sink").collect()] == ["1"]
+    bad = spark.read.parquet(f"{scratch}/sink-rejects").collect()
+    assert sorted(r.reject_reason for r in bad) == ["missing_date", "missing_id", "missing_id"]
+
+
+def test_late_posts_are_counted(spark, scratch):
+    landing = f"{scratch}/landing"
+    for n, day in enumerate([1, 7, 1, 2]):
+        _land_day(spark, landing, day, [n], start_id=10 * n)
+    stream.stream_daily_counts(spark, landing, f"{scratch}/log", f"{scratch}/ck", max_files=1)
+    assert {(r.date.day, r["count"]) for r in stream.latest_counts(spark, f"{scratch}/log").collect()} == {(1, 2), (2, 1), (7, 1)}
+
+
+def test_upserts_in_micro_batches_last_write_wins(spark, scratch):
+    from sentiscope.schemas import POSTS, conform
+    posts = conform(spark.createDataFrame([("1", None), ("2", "neutral"), ("3", None)], "id string, sentiment string"), POSTS)
+    given = [("1", 2, "negative", 0.8, None), ("1", 1, "positive", 0.7, None), ("2", 1, None, None, "2"),
+             ("2", 2, None, None, "x"), (None, 1, "neutral", 0.5, None), ("9", 1, "neutral", 0.5, None)]
+    landing, log = f"{scratch}/landing", f"{scratch}/log"
+    for row in given:  # a file each
+        spark.createDataFrame([row], stream.UPDATE_EVENT).coalesce(1).write.mode("append").parquet(landing)
+    for _ in range(2):  # the second run finds nothing new
+        stream.stream_upsert(spark, landing, log, f"{scratch}/ck", max_files=1)
+    got = {r.id: (r.sentiment, r.confidence, r.user_feedback) for r in stream.upserted(spark, posts, log).collect()}
+    assert got == {"1": ("negative", 0.8, None), "2": ("neutral", None, "2"), "3": (None, None, None)}
+    assert stream.upserted(spark, posts, f"{scratch}/none").count() == 3
