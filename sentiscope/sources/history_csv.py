@@ -5,11 +5,14 @@ Two readers:
 * ``read_history_csv_strict``: Spark's CSV reader with ``multiLine`` for clean,
   RFC-quoted files.
 * ``read_history_csv``: tolerant reader for hand-edited files with unclosed or
-  stray quotes. Each file is read whole (``wholetext``), cut into records at a
-  line break that is followed by a record header (``name,@handle,date,``), and
-  the four fields are taken apart with regular expressions. A broken quote then
-  only affects its own record instead of swallowing the next one. Files are read
-  in parallel; one file must fit in a task, so writers bound the file size
+  stray quotes. Each file is read whole (``wholetext``) and cut into records by one
+  pattern, whose alternatives are tried in this order for the last field: a well-formed quoted
+  field (it may hold line breaks and anything that looks like a record), the rest of the
+  line, and, where a quote is never closed, everything up to the next line that starts like
+  a record (a name, a field with ``@``, a short field). A line that is no record at all
+  becomes a row with its text alone. So every line of a file is in some row, whatever
+  its date looks like; rows without a usable date are rejected later, with a reason.
+  Files are read in parallel; one file must fit in a task, so writers bound the file size
   (``maxRecordsPerFile``).
 """
 
@@ -18,10 +21,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 HEADER = "author,author account,date,text"
-_DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})"
-# A line break that starts a new record: "<author>,<@handle>,<date>," follows it.
-RECORD_BREAK = r"\r?\n(?=[^\n,]*,[^\n,]*@\w+,\s*" + _DATE + ",)"
-FIELDS = r"(?s)^([^,]*),([^,]*),([^,]*),(.*)$"
+_QUOTED = r'"(?:[^"]++|"")*+"'
+_FIELD = rf'(?:{_QUOTED}|[^",\r\n]*+)'
+# How a line starts that begins a record: a name, a handle and a short third field.
+_START = rf'(?:{_FIELD}|[^,\r\n]*+),[^,\r\n]*@[^,\r\n]*,[^,\r\n]{{0,40}},'
+_TEXT = (rf'(?:{_QUOTED}(?=[ \t]*(?:\r?\n|\z))'  # quoted as it should be
+         r'|(?!")[^\r\n]*+'                        # not quoted: the rest of the line
+         rf'|(?s:.*?)(?=\r?\n{_START}|\z))')      # never closed: up to the next record
+RECORD = rf'(?m)^(?:{_FIELD},{_FIELD},{_FIELD},{_TEXT}|[^\r\n]++)'
+FIELDS = rf'^({_FIELD}),({_FIELD}),({_FIELD}),((?s:.*))$'
 
 CSV_SCHEMA = T.StructType([
     T.StructField("author", T.StringType()),
@@ -40,13 +48,14 @@ def _unquote(c: F.Column) -> F.Column:
 
 def read_history_csv(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.col("value"), r"(\r?\n)+$", "")
-    recs = files.select(F.explode(F.split(body, RECORD_BREAK)).alias("rec"))
-    recs = recs.where(~F.col("rec").startswith(HEADER) & (F.length(F.trim("rec")) > 0))
+    body = F.regexp_replace(F.col("value"), r"(\r?\n)+\z", "")
+    recs = files.select(F.explode(F.regexp_extract_all(body, F.lit(RECORD), F.lit(0))).alias("rec"))
+    recs = recs.where((F.trim("rec") != HEADER) & (F.length(F.trim("rec")) > 0))
+    whole = F.col("rec").rlike(FIELDS)
     out = []
     for i, name in enumerate(CSV_SCHEMA.fieldNames(), start=1):
-        v = F.regexp_extract("rec", FIELDS, i)
-        out.append((_unquote(v) if name == "text" else v).alias(name))
+        v = F.when(whole, _unquote(F.regexp_extract("rec", FIELDS, i)))
+        out.append((v.otherwise(F.col("rec")) if name == "text" else v).alias(name))
     return recs.select(*out)
 
 

@@ -205,3 +205,32 @@ def test_outcomes_written_by_one_job_with_reasons(spark, scratch):
     assert got == {("1", "accepted", None), ("2", "rejected", "missing_date"),
                    ("3", "rejected", "unknown_sentiment"), ("4", "accepted", None),
                    ("5", "rejected", "bad_feedback")}
+
+
+def test_tolerant_csv_loses_no_record(spark, scratch):
+    import os
+    from sentiscope.sources import history_csv as hcsv
+    lines = ['author,author account,date,text',
+             'Ann,@ann,n/a,first record without a date',
+             '"Smith, Jo",@jo,2025-01-02,"quoted, with ""marks"" and',
+             'Bob,@bob,2025-01-03,a line that looks like a record"',
+             'Cyd,@cyd ,2025-01-04,blank after the handle',
+             'Dee,@dee,2025-1-5,odd date',
+             'Eve,@eve,2025-01-06,"never closed',
+             'second line',
+             'Flo,@flo,2025-01-07,a "stray" quote',
+             'no record at all',
+             'Gus,gus,2025-01-08,no at sign']
+    os.makedirs(f"{scratch}/csv")
+    with open(f"{scratch}/csv/a.csv", "w") as f:
+        f.write("\n".join(lines) + "\n")
+    got = {tuple(r) for r in hcsv.read_history_csv(spark, f"{scratch}/csv").collect()}
+    assert got == {
+        ("Ann", "@ann", "n/a", "first record without a date"),
+        ("Smith, Jo", "@jo", "2025-01-02", 'quoted, with "marks" and\nBob,@bob,2025-01-03,a line that looks like a record'),
+        ("Cyd", "@cyd ", "2025-01-04", "blank after the handle"),
+        ("Dee", "@dee", "2025-1-5", "odd date"),
+        ("Eve", "@eve", "2025-01-06", "never closed\nsecond line"),
+        ("Flo", "@flo", "2025-01-07", 'a "stray" quote'),
+        (None, None, None, "no record at all"),
+        ("Gus", "gus", "2025-01-08", "no at sign")}
