@@ -18,6 +18,7 @@ from ..operators import evaluation as ev
 from ..operators import ingest as ing
 from ..operators import labelling as lab
 from ..operators import monitoring as mon
+from ..operators import naive_bayes as nb
 from ..operators import quality as qa
 from ..operators import reputation as rep
 from ..operators import review as rv
@@ -555,6 +556,16 @@ def q_train_evaluate(spark, sf):
     return spark.createDataFrame([result], RESULT_SCHEMA)
 
 
+@query("naive_bayes_predictions")
+def q_naive_bayes_predictions(spark, sf):
+    return nb.predict_split(_text_split(spark, sf))
+
+
+@query("naive_bayes_macro_f1")
+def q_naive_bayes_macro_f1(spark, sf):
+    return ev.macro_f1(nb.predict_split(_text_split(spark, sf)))
+
+
 @query("train_gate")
 def q_train_gate(spark, sf):
     import datetime as dt

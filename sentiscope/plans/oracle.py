@@ -430,6 +430,31 @@ SELECT strftime(start_time, '%Y-%m-%d %H:%M:%S') AS start_time,
        CAST({rnd('eval_runtime * eval_samples_per_second', 0)} AS BIGINT) AS eval_rows
 FROM training_runs""")
 
+# ---- a classifier in closed form -----------------------------------------------------------------
+
+_NB = (f"labels_ AS (SELECT id, {TEXT_LABEL} AS label FROM posts_text WHERE sentiment IS NOT NULL)", SPLIT_CTE,
+       f"tok AS (SELECT s.id, s.label, s.split, {TOKENS} AS w FROM split_ s JOIN posts_text p ON s.id = p.id)", """
+seen AS (SELECT t AS token, label, count(*) AS c FROM (SELECT label, unnest(w) AS t FROM tok WHERE split = 'train') x GROUP BY ALL),
+cls AS (
+  SELECT r.label AS pred, ln(r.n) AS prior,
+         ln(coalesce((SELECT sum(c) FROM seen WHERE seen.label = r.label), 0) + (SELECT count(DISTINCT token) FROM seen)) AS total
+  FROM (SELECT label, count(*) AS n FROM tok WHERE split = 'train' GROUP BY label) r),
+ev AS (
+  SELECT t.id, s.label AS pred, sum(t.n * ln(s.c + 1)) AS e
+  FROM (SELECT id, t AS token, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM tok WHERE split = 'test') x GROUP BY ALL) t
+  JOIN seen s ON t.token = s.token GROUP BY ALL),
+sc AS (
+  SELECT k.id, k.label, c.pred, c.prior + coalesce(ev.e, 0) - len(k.w) * c.total AS s
+  FROM (SELECT * FROM tok WHERE split = 'test') k CROSS JOIN cls c LEFT JOIN ev ON ev.id = k.id AND ev.pred = c.pred),
+predictions AS (
+  SELECT id, label, pred FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, pred) AS r FROM sc) x WHERE r = 1)""")
+SQL["naive_bayes_predictions"] = text_sql("SELECT id, label, CAST(pred AS INTEGER) AS pred FROM predictions", *_NB)
+SQL["naive_bayes_macro_f1"] = text_sql(f"""
+SELECT {rnd('avg(2.0 * tp / (support + predicted))', 6)} AS macro_f1, CAST(count(*) AS BIGINT) AS classes
+FROM (SELECT cls, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS predicted
+      FROM (SELECT label AS cls, CASE WHEN label = pred THEN 1 ELSE 0 END AS tp, 1 AS support, 0 AS predicted FROM predictions
+            UNION ALL SELECT pred, 0, 0, 1 FROM predictions) x GROUP BY cls) y""", *_NB)
+
 # ---- streaming ---------------------------------------------------------------------------------------
 
 SQL["stream_ingest"] = posts_sql("SELECT id, date, sentiment FROM posts")

@@ -136,3 +136,14 @@ def test_scorers_golden_sentences(spark):
         got = {r.id: (r.sentiment, r.confidence) for r in scored.collect()}
         assert got["neg"][0] == "negative" and got["pos"][0] == "positive"
         assert all(0.0 < c <= 1.0 for _, c in got.values())
+
+
+def test_naive_bayes_by_hand(spark):
+    from sentiscope.operators.naive_bayes import predict_split
+    rows = [("1", "good good day", 2, "train"), ("2", "bad day", 0, "train"), ("3", "bad bad", 0, "train"),
+            ("4", "good", 2, "test"), ("5", "bad day", 2, "test"), ("6", "unknown", 1, "test"), ("7", None, 0, "test")]
+    df = spark.createDataFrame(rows, "id string, text string, label int, split string")
+    got = {r.id: (r.label, r.pred) for r in predict_split(df).collect()}
+    # class 0 has two of three rows and four words, class 2 one row and three; three words in all
+    assert got["4"] == (2, 2) and got["5"] == (2, 0) and got["6"][1] == 0 and set(got) == {"4", "5", "6", "7"}
+    assert predict_split(df.limit(0)).collect() == []
