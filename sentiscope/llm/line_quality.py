@@ -122,8 +122,11 @@ j AS (
   FROM l WHERE len(regexp_extract_all(line, '{WORD}')) > 0),
 lines AS (
   SELECT r, count(*) - count(DISTINCT line) AS dup, sum(CASE WHEN bad THEN n ELSE 0 END) AS lost FROM j GROUP BY r),
-g AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
-h AS (SELECT r, i, count(*) OVER (PARTITION BY r, w[i:i + 4]) AS c FROM g),
+g AS (
+  SELECT r, unnest(range(1, len(w) - 3)) AS i,
+         unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS five
+  FROM d WHERE len(w) >= 5),
+h AS (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS c FROM g),
 s AS (SELECT r, i, lead(i) OVER (PARTITION BY r ORDER BY i) AS nxt FROM h WHERE c > 1),
 rep AS (SELECT r, sum(least(5, coalesce(nxt - i, 5))) AS n FROM s GROUP BY r),
 x AS (
