@@ -37,17 +37,26 @@ def reputation_index(pos: Column, neu: Column, neg: Column, weights=DEFAULT_WEIG
     return F.when(total > 0, F.round(raw, 2)).otherwise(F.lit(0.0))
 
 
+def class_counts(posts: DataFrame) -> DataFrame:
+    """Posts of each class by day (D1-D3); counts of parts of a table add up to its own."""
+    s = F.col("sentiment")
+    return (posts.where(F.col("date").isNotNull())
+            .groupBy("date")
+            .agg(F.count_if(s == "positive").alias("positive_count"),
+                 F.count_if(s == "negative").alias("negative_count"),
+                 F.count_if(s == "neutral").alias("neutral_count")))
+
+
 def daily_reputation(posts: DataFrame, weights=DEFAULT_WEIGHTS) -> DataFrame:
     """AGG-03: every day with at least one post gets a row (D1); NULL dates are rejects (D2).
 
     Unscored and unknown classes count nowhere but keep their day (D3).
     """
-    s = F.col("sentiment")
-    counts = (posts.where(F.col("date").isNotNull())
-              .groupBy("date")
-              .agg(F.count_if(s == "positive").alias("positive_count"),
-                   F.count_if(s == "negative").alias("negative_count"),
-                   F.count_if(s == "neutral").alias("neutral_count")))
+    return with_index(class_counts(posts), weights)
+
+
+def with_index(counts: DataFrame, weights=DEFAULT_WEIGHTS) -> DataFrame:
+    """Class counts by day with their index."""
     return counts.select(
         "date", "positive_count", "negative_count", "neutral_count",
         reputation_index(F.col("positive_count"), F.col("neutral_count"),

@@ -24,7 +24,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.labels import canonical_feedback
 from ..operators import reputation as rep
-from ..schemas import DAILY_REPUTATION
+from ..schemas import DAILY_REPUTATION, conform
 from ..operators.ingest import new_only, one_per_key
 from ..operators.quality import reject_reason
 from ..operators.scoring import score_posts
@@ -174,28 +174,40 @@ def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
             .withColumnRenamed("day", "date"))
 
 
-# ---- STR-04/06: late rows recompute their day ----------------------------------------------------
+DELTAS = "date date, positive_count long, negative_count long, neutral_count long"
+
+
+# ---- STR-04: late rows are added to their day ----------------------------------------------------
 
 def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold: str,
                             checkpoint: str, max_files: int | None = None,
                             weights=rep.DEFAULT_WEIGHTS) -> None:
-    """Append new posts to silver, recompute only the days the batch touched and
-    overwrite those day partitions of the gold table.
-
-    No row is dropped however late it is: its day is recomputed from silver. The
-    recomputed days go to a fresh staging folder first, then replace their gold
-    partitions (dynamic overwrite), so gold is never read and overwritten by one
-    job; replaying a batch rewrites the same values.
+    """Keep the new posts of each batch, and overwrite the gold partitions of the days it
+    touched with the sum of the class counts of all batches.
+
+    No row is dropped however late it is. A batch writes its new posts to
+    ``<silver>/batch=<id>`` and their class counts by day to ``<gold>-deltas/batch=<id>``;
+    of what is stored it reads the id column (for the dedup) and the counts of the
+    touched days, a few numbers a batch, however many posts a day has. A replay
+    leaves its own folder out of the dedup and replaces it, so it writes the same
+    again. The new days go to a fresh staging folder first, so gold is never
+    read and overwritten by one job.
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        fresh = _unseen(batch, _read_or_none(spark, silver, POST_EVENT))
+        stored = _read_or_none(spark, silver, T.StructType(POST_EVENT.fields + [T.StructField("batch", T.LongType())]))
+        fresh = _unseen(batch, None if stored is None else stored.where(F.col("batch") != batch_id))
+        mine, deltas = f"{silver}/batch={batch_id}", f"{gold}-deltas"
         (fresh.select(*POST_EVENT.fieldNames()).hint("rebalance", "date")
-         .write.mode("append").partitionBy("date").parquet(silver))
+         .write.mode("overwrite").partitionBy("date").parquet(mine))
         _reject(batch, silver, batch_id)
-        touched = restrict_to_days(spark.read.schema(POST_EVENT).parquet(silver), batch)
+        (rep.class_counts(spark.read.schema(POST_EVENT).parquet(mine))
+         .write.mode("overwrite").parquet(f"{deltas}/batch={batch_id}"))
+        counts = restrict_to_days(spark.read.schema(DELTAS).parquet(deltas), batch)
+        total = counts.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("positive_count", "negative_count", "neutral_count")])
         stage = f"{gold}-staging/{batch_id}-{uuid.uuid4().hex}"
-        rep.daily_reputation(touched, weights).write.mode("overwrite").partitionBy("date").parquet(stage)
+        (conform(rep.with_index(total, weights), DAILY_REPUTATION)
+         .write.mode("overwrite").partitionBy("date").parquet(stage))
         (spark.read.schema(DAILY_REPUTATION).parquet(stage)
          .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy("date").parquet(gold))

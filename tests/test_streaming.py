@@ -177,3 +177,17 @@ def test_upserts_in_micro_batches_last_write_wins(spark, scratch):
     got = {r.id: (r.sentiment, r.confidence, r.user_feedback) for r in stream.upserted(spark, posts, log).collect()}
     assert got == {"1": ("negative", 0.8, None), "2": ("neutral", None, "2"), "3": (None, None, None)}
     assert stream.upserted(spark, posts, f"{scratch}/none").count() == 3
+
+
+def test_reputation_batches_replay_and_late_days(spark, scratch):
+    landing = f"{scratch}/landing"
+    for n, (day, sentiment) in enumerate([(1, "positive"), (7, "negative"), (1, "negative"), (1, "positive")]):
+        _land_day(spark, landing, day, [n], sentiment=sentiment, start_id=10 * n)
+    _land_day(spark, landing, 9, [1], start_id=0)  # a copy of the first post on another day
+    args = (spark, landing, f"{scratch}/silver", f"{scratch}/gold")
+    stream.stream_daily_reputation(*args, f"{scratch}/ck", max_files=1)
+    want = rows(stream.read_gold(spark, f"{scratch}/gold"))
+    assert [(r[0].day, r[1], r[2]) for r in want if r[1] + r[2]] == [(1, 2, 1), (7, 0, 1)]
+    # the same batches once more over what they stored, as after the loss of the checkpoint
+    stream.stream_daily_reputation(*args, f"{scratch}/ck-new", max_files=1)
+    assert rows(stream.read_gold(spark, f"{scratch}/gold")) == want
