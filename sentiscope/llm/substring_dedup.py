@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -84,7 +85,9 @@ class _Batch:
 
     def __init__(self, rows: pa.Table, window: int, parts: int):
         self.window, self.block, self.parts = window, window // 2, parts
-        self.rows = rows
+        # a batch is read three times; its rows come in any order, and places in it must not change
+        order = pa.compute.sort_indices(rows.select(["doc_id", "text"]), [("doc_id", "ascending"), ("text", "ascending")])
+        self.rows = rows = rows.take(order)
         first, words, self.cuts = [0], [], []
         for piece in K.pieces(rows.combine_chunks(), "text") if rows.num_rows else ():
             f, starts, ends, h, _ = K.words(piece.column("text"))

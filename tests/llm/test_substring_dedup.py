@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 
 from helpers import SCHEMA, SF001, repeats_removed, rows, words
@@ -51,6 +52,18 @@ def test_layout_spans_and_clashing_columns(spark):
     assert out[2].batch == 1 and out[2].rest == [1] and out[2].part == 2
 
 
+def test_a_batch_does_not_depend_on_the_order_of_its_rows():
+    rng = random.Random(5)
+    given = [(rng.choice([None, 1, 2, 3]), rng.choice([None, "", " ".join(rng.choice("abc") for _ in range(30))]), i) for i in range(40)]
+    made = []
+    for rows_ in (given, given[::-1]):
+        t = pa.table({"doc_id": pa.array([r[0] for r in rows_], pa.int64()), "text": pa.array([r[1] for r in rows_], pa.string()),
+                      "rest": pa.array([{"n": r[2]} for r in rows_])})
+        b = M._Batch(t, 4, 3)
+        made.append((b.first.tolist(), b.hashes.tolist(), b.windows(b.probes()[0][:5])[0].tolist()))
+    assert made[0] == made[1]
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert M.remove_repeats(df).collect() == []
