@@ -8,10 +8,16 @@ set of word bigrams A is compared with each template's set B: Dice = 2 |A and B|
 ``t / (2 - t)`` of B, so a unit without one of a few anchor words, computed from the templates,
 is not looked at. Both tests leave no match out.
 
+A *notice* inside other words does not hang on lines: it is a run of words of the whole text
+whose bigrams match a template by the same Dice, between the template's size bounds. Only
+runs that begin and end with a bigram of the template are compared (without an outer bigram that
+the template lacks, Dice is larger). Of runs that overlap, the one of larger Dice stays, then
+the longer. A notice counts as a unit more, unless a matching unit of its name holds its words.
+
 All of it is columns over one row: no shuffle, no Python.
 
 Defined cases: a null or empty text, and one of fewer than two words, matches nothing;
-equal units of a document count once; of equal Dice the first name wins; repeated rows
+equal units of a document count once, as do equal notices; of equal Dice the first name wins; repeated rows
 match alike; an empty table gives an empty table; ``license``, ``dice``, ``licenses``
 and ``n_matches`` replace columns of these names, others pass through.
 """
@@ -79,19 +85,64 @@ def anchors(templates=TEMPLATES, t: Fraction = THRESHOLD) -> list[str]:
     return chosen
 
 
-def _match(units: Column, t: Fraction) -> Column:
-    """The matches of a column of bigram sets: (dice, minus place in TEMPLATES, name)."""
+def _known(t: Fraction) -> Column:
+    """The templates: bigrams, their number and bounds, minus place in TEMPLATES, name."""
     ordered = sorted(TEMPLATES)
-    known = F.array(*[F.struct(F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
-                               F.lit(-i).alias("place"), F.lit(name).alias("name"))
-                      for i, (name, text) in enumerate(ordered) for b in [bigrams(text)] for lo, hi in [bounds(len(b), t)]])
-    dice = lambda a, x: (F.lit(2.0) * F.size(F.array_intersect(a, x["b"])) / (F.size(a) + x["n"]))
-    best = lambda a: F.array_max(F.transform(
-        F.filter(known, lambda x: F.size(a).between(x["lo"], x["hi"])),
-        lambda x: F.struct(dice(a, x).alias("dice"), x["place"].alias("place"), x["name"].alias("name"))))
+    return F.array(*[F.struct(F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
+                              F.lit(-i).alias("place"), F.lit(name).alias("name"))
+                     for i, (name, text) in enumerate(ordered) for b in [bigrams(text)] for lo, hi in [bounds(len(b), t)]])
+
+
+def _dice(a: Column, x: Column) -> Column:
+    return F.lit(2.0) * F.size(F.array_intersect(a, x["b"])) / (F.size(a) + x["n"])
+
+
+def _match(units: Column, t: Fraction) -> Column:
+    """The matches of a column of units, each its bigram set ``a`` and words ``said``:
+    (dice, minus place in TEMPLATES, name, said)."""
+    best = lambda u: F.array_max(F.transform(
+        F.filter(_known(t), lambda x: F.size(u["a"]).between(x["lo"], x["hi"])),
+        lambda x: F.struct(_dice(u["a"], x).alias("dice"), x["place"].alias("place"), x["name"].alias("name"), u["said"].alias("said"))))
     return F.filter(F.transform(units, best), lambda m: F.coalesce(m["dice"] >= float(t), F.lit(False)))
 
 
+def _pairs(w: Column) -> Column:
+    """The bigrams of an array of words, in order."""
+    return F.when(F.size(w) > 1, F.transform(
+        F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))
+
+
+def _notices(words: Column, t: Fraction) -> Column:
+    """The notices in the words of a text, as ``_match`` gives units."""
+    every = F.array(*map(F.lit, sorted({b for _, text in TEMPLATES for b in bigrams(text)})))
+
+    def runs(w, pairs, x, hit):
+        """Runs of one template: (-dice, -words, -place, first and last bigram, name)."""
+        at = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda s: F.get(hit, s)
+                      & (F.size(F.filter(F.slice(hit, s + 1, x["hi"]), lambda h: h)) >= x["lo"]))
+        last = lambda s: F.least(s + x["hi"], F.size(pairs)) - 1
+        ends = lambda s: F.when(last(s) >= s + x["lo"] - 1, F.filter(
+            F.sequence(s + x["lo"] - 1, last(s)), lambda e: F.get(hit, e)))
+        made = F.flatten(F.transform(at, lambda s: F.transform(ends(s), lambda e: F.struct(
+            (-_dice(F.array_distinct(F.slice(pairs, s + 1, e - s + 1)), x)).alias("less"), (s - e).alias("short"),
+            (-x["place"]).alias("place"), s.alias("s"), e.alias("e"), x["name"].alias("name")))))
+        return F.filter(made, lambda r: r["less"] <= -float(t))
+
+    def of_text(w, pairs):
+        some = F.array_intersect(pairs, every)  # distinct
+        near = F.filter(_known(t), lambda x: F.size(F.array_intersect(some, x["b"])) >= x["lo"])
+        found = F.array_sort(F.flatten(F.transform(near, lambda x: let(
+            F.transform(pairs, lambda p: F.array_contains(x["b"], p)), lambda hit: runs(w, pairs, x, hit)))))
+        none = F.filter(found, lambda r: F.lit(False))
+        apart = F.aggregate(found, none, lambda kept, r: F.when(
+            F.exists(kept, lambda k: (k["s"] <= r["e"] + 1) & (r["s"] <= k["e"] + 1)), kept).otherwise(F.array_append(kept, r)))
+        return F.array_distinct(F.transform(apart, lambda r: F.struct(
+            (-r["less"]).alias("dice"), (-r["place"]).alias("place"), r["name"].alias("name"),
+            F.array_join(F.slice(w, r["s"] + 1, r["e"] - r["s"] + 2), " ").alias("said"))))
+
+    return let(words, lambda w: let(_pairs(w), lambda pairs: of_text(w, pairs)))
+
+
 def scan(docs: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
     """The columns of ``docs`` with ``license`` (the best match, or null), its ``dice``,
     all names in ``licenses`` and ``n_matches``, the matching units."""
@@ -103,11 +154,15 @@ def scan(docs: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n\n"), F.array(text)))
     none = F.array().cast("array<string>")
     words = lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), OTHER, " ")), " ")
-    pairs = lambda w: F.when(F.size(w) > 1, F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1)))))
-    d = docs.select(rest.alias("rest")).select("rest", F.when(likely(text), units).otherwise(none).alias("units"))
-    sets = F.transform(F.filter("units", likely), lambda u: let(words(u), pairs))
-    d = d.select("rest", _match(F.filter(sets, lambda x: x.isNotNull()), t).alias("found"))
+    d = docs.select(rest.alias("rest")).select("rest", F.when(likely(text), units).otherwise(none).alias("units"),
+                                               F.when(likely(text), text).alias("whole"))
+    sets = F.transform(F.filter("units", likely), lambda u: let(words(u), lambda w: F.struct(
+        F.array_distinct(_pairs(w)).alias("a"), F.array_join(w, " ").alias("said"))))
+    d = d.select("rest", _match(F.filter(sets, lambda x: x["a"].isNotNull()), t).alias("units"), _notices(words(F.col("whole")), t).alias("notices"))
+    spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    fresh = lambda units, notices: F.filter(notices, lambda x: ~F.exists(
+        units, lambda u: (u["name"] == x["name"]) & spaced(u["said"]).contains(spaced(x["said"]))))
+    d = d.select("rest", let(F.struct("units", F.coalesce("notices", F.filter("units", lambda u: F.lit(False))).alias("notices")), lambda f: F.concat(f["units"], fresh(f["units"], f["notices"]))).alias("found"))
     best = F.array_max("found")
     return d.select(*[F.col(f"rest.`{c}`").alias(c) for c in docs.columns if c not in made],
                     best["name"].alias("license"), best["dice"].alias("dice"),
