@@ -17,7 +17,9 @@ the words met last.
 
 Words are runs between white space, led by the vocabulary's word mark; a run over ``LONGEST``
 characters is scored in stretches of that length. A character without a piece counts as
-one unknown piece.
+one unknown piece. Sums are scaled by ``exp(SCALE)`` a character; a word whose sum still
+leaves the range of float64 in some language, as a run of characters that fitting has not seen
+does, is summed in logarithms.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; so is every
 text if there is nothing to learn from; languages that tie go by name; rows with a null language
@@ -45,6 +47,10 @@ SEED = 11
 UNDETERMINED = "und"
 #: Words scored at once, and slots of a worker's table of words.
 BLOCK = 16_384
+#: A smaller scaled total may have lost sums below float64's range, and is made again in
+#: logarithms. Such a sum is under 3e-308 and grows by at most exp(SCALE * LONGEST) * LONGEST,
+#: 4e168, to the word's end, so that above this all of them are under 1e-16 of the total.
+FLOOR = 1e-120
 SLOTS = 1 << 18
 
 
@@ -139,6 +145,29 @@ class Lattice:
             beta[self.out_of[k][head]] = np.add.reduceat(beta[self.into[k]] * weight[k], head, axis=0)
         return beta
 
+    def log_forward(self, weight: np.ndarray) -> np.ndarray:
+        """``forward`` in logarithms, of weights in logarithms."""
+        alpha = np.full((self.cells, weight.shape[1]), -np.inf)
+        alpha[self.first] = 0
+        for a, b in zip(self.steps, self.steps[1:]):
+            if a < b:
+                into = self.into[a:b]
+                head = np.flatnonzero(np.append(True, into[1:] != into[:-1]))
+                alpha[into[head]] = np.logaddexp.reduceat(alpha[self.out_of[a:b]] + weight[a:b], head, axis=0)
+        return alpha
+
+    def log_backward(self, weight: np.ndarray) -> np.ndarray:
+        beta = np.full((self.cells, weight.shape[1]), -np.inf)
+        beta[self.first + self.size] = 0
+        place = self.end - self.length
+        order = np.lexsort((self.out_of, -place))
+        cuts = np.flatnonzero(np.append(True, np.diff(place[order]) != 0)) if len(order) else order
+        for a, b in zip(cuts, np.append(cuts[1:], len(order))):
+            k = order[a:b]
+            head = np.flatnonzero(np.append(True, np.diff(self.out_of[k]) != 0))
+            beta[self.out_of[k][head]] = np.logaddexp.reduceat(beta[self.into[k]] + weight[k], head, axis=0)
+        return beta
+
     def total(self, alpha: np.ndarray) -> np.ndarray:
         return alpha[self.first + self.size]
 
@@ -152,15 +181,29 @@ class Model:
     def weights(self, lattice: Lattice) -> np.ndarray:
         return self.p[lattice.ident] * np.exp(SCALE * lattice.length)[:, None]
 
+    def log_weights(self, lattice: Lattice) -> np.ndarray:
+        return np.log(self.p)[lattice.ident] + SCALE * lattice.length[:, None]
+
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Logarithm of each word's probability in each language."""
         out = np.empty((len(words), len(self.languages)))
         for i in range(0, len(words), BLOCK):
             lat = Lattice(self.pieces, words[i:i + BLOCK])
-            out[i:i + BLOCK] = np.log(lat.total(lat.forward(self.weights(lat)))) - SCALE * lat.size[:, None]
+            total = lat.total(lat.forward(self.weights(lat)))
+            small = low(total)
+            made = np.log(np.where(small[:, None], 1, total))
+            if small.any():
+                lat_low = Lattice(self.pieces, [words[i + k] for k in np.flatnonzero(small)])
+                made[small] = lat_low.total(lat_low.log_forward(self.log_weights(lat_low)))
+            out[i:i + BLOCK] = made - SCALE * lat.size[:, None]
         return out
 
 
+def low(total: np.ndarray) -> np.ndarray:
+    """Words whose scaled total in any language is too small to be right."""
+    return ~(total >= FLOOR).all(1)
+
+
 def stretches(word: str) -> list[str]:
     marked = MARK + word
     return [marked[i:i + LONGEST] for i in range(0, len(marked), LONGEST)]
@@ -176,10 +219,20 @@ def fit(pieces: Pieces, languages: list[str], words: list[str], counts: np.ndarr
             lat = Lattice(pieces, words[i:i + BLOCK])
             w = m.weights(lat)
             alpha, beta = lat.forward(w), lat.backward(w)
-            share = counts[i:i + BLOCK] / lat.total(alpha)
+            total = lat.total(alpha)
+            small = low(total)
+            share = np.where(small[:, None], 0, counts[i:i + BLOCK]) / np.where(small[:, None], 1, total)
             use = alpha[lat.out_of] * w * beta[lat.into] * share[lat.word]
             for k in range(n):
                 expected[:, k] += np.bincount(lat.ident, use[:, k], minlength=v)
+            if small.any():
+                at = i + np.flatnonzero(small)
+                lat = Lattice(pieces, [words[j] for j in at])
+                w = m.log_weights(lat)
+                alpha, beta = lat.log_forward(w), lat.log_backward(w)
+                use = np.exp(alpha[lat.out_of] + w + beta[lat.into] - lat.total(alpha)[lat.word]) * counts[at][lat.word]
+                for k in range(n):
+                    expected[:, k] += np.bincount(lat.ident, use[:, k], minlength=v)
         together = expected.sum(1) + 0.01
         smooth = expected + PRIOR * (together / together.sum())[:, None]
         m = Model(pieces, languages, smooth / smooth.sum(0))

@@ -68,3 +68,51 @@ def test_held_out_accuracy(spark):
     assert len(out) == len(truth)
     held = [r for r in out if r.held_out]
     assert sum(r.lang_pred == truth[r.doc_id].lang for r in held) >= 0.95 * len(held)
+
+
+@pytest.fixture(scope="module")
+def large():
+    """Two languages of a million and of 200 000 expected pieces, smoothed as ``fit`` does."""
+    pieces = M.Pieces([*PIECES, *"cdefghijklmnopqrstuvwxyz"])
+    expected = np.zeros((pieces.size + 1, 2))
+    expected[:pieces.size] = np.random.default_rng(2).random((pieces.size, 2))
+    expected = expected / expected.sum(0) * [1e6, 2e5]
+    together = expected.sum(1) + 0.01
+    smooth = expected + M.PRIOR * (together / together.sum())[:, None]
+    return M.Model(pieces, ["x", "y"], smooth / smooth.sum(0))
+
+
+def test_a_run_of_characters_not_seen_stays_in_range(large):
+    for n in (20, 38, 44, 64):
+        got = large.word_scores(["ไ" * n, "▁ab"])
+        assert np.allclose(got[0], n * np.log(large.p[-1]), rtol=1e-9)
+    mixed = large.word_scores(["ไ" * 50 + "abc" * 4])[0]
+    assert np.allclose(mixed, 50 * np.log(large.p[-1]) + large.word_scores(["abc" * 4])[0], rtol=1e-9)
+
+
+def test_one_such_run_does_not_decide_a_text(spark, large):
+    rng = random.Random(5)
+    pick = large.p[:-1, 0] / large.p[:-1, 0].sum()
+    names = [*PIECES, *"cdefghijklmnopqrstuvwxyz"]
+    text = " ".join("".join(rng.choices(names, pick, k=6)).replace("▁", "") for _ in range(2000))
+    df = spark.createDataFrame([(1, text), (2, text + " " + "ไ" * 64), (3, "ไ" * 64)], "doc_id long, text string")
+    out = {r.doc_id: r for r in M.predict(df, large).collect()}
+    assert out[1].lang_pred == out[2].lang_pred == "x"
+    assert all(0 <= r.score <= 1 for r in out.values())
+
+
+def test_fitting_with_a_run_of_characters_of_one_language():
+    words = ["▁ab", "▁abb", "ไ" * 64, "é" * 64]
+    counts = np.array([[40_000_000, 0], [10_000_000, 50_000], [0, 1], [1, 0]], float)
+    made = M.fit(M.Pieces([*PIECES, *(chr(0x4E00 + i) for i in range(30_000))]), ["x", "y"], words, counts)
+    assert np.isfinite(made.p).all() and np.allclose(made.p.sum(0), 1)
+    assert np.isfinite(made.word_scores(words)).all()
+
+
+def test_logarithms_equal_scaled_sums(model, monkeypatch):
+    words = ["▁" + w for w in ("abba", "ébab", "zz", "", "aabbaé")]
+    counts = np.random.default_rng(3).integers(1, 5, (5, 2)).astype(float)
+    scores, made = model.word_scores(words), M.fit(M.Pieces(PIECES), ["x", "y"], words, counts)
+    monkeypatch.setattr(M, "FLOOR", np.inf)
+    assert np.allclose(model.word_scores(words), scores, rtol=1e-12)
+    assert np.allclose(M.fit(M.Pieces(PIECES), ["x", "y"], words, counts).p, made.p, rtol=1e-9)
