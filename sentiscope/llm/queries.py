@@ -29,7 +29,6 @@ QUERIES = {
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
     "op4_chat_rotation": chat.SQL,
-    "op5_language_id": op5_language_id,
     "op6_line_quality": line_quality.SQL,
     "op10_license_scan": licenses.SQL,
 }

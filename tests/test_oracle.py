@@ -40,6 +40,12 @@ def test_every_key_has_an_oracle_or_is_a_known_rows_check():
     assert set(KEYS) - set(ORACLE) == SLOW
 
 
+def test_every_oracle_is_text_of_a_registered_query():
+    made = entry.oracle_sql()
+    assert {k for k, v in made.items() if not isinstance(v, str)} == set()
+    assert set(made) <= set(entry.queries())
+
+
 @pytest.mark.parametrize("key", [k for k in KEYS if k in ORACLE])
 def test_query_matches_oracle(spark, duck, key):
     sdf = entry.queries()[key](spark, SF01)
