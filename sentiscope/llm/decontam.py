@@ -3,15 +3,16 @@
 A text is contaminated by an item if it holds the item's words, lower case, with at most
 ``floor(error * words)`` word insertions, deletions or replacements (k). An item is split into
 k + 1 pieces of nearly equal length; k edits leave one piece whole, so every match
-contains an exact piece. Texts are scanned once for the first words of any piece, and
+contains an exact piece. Texts are scanned for the first words of any piece, and
 around each hit the whole item is verified with Myers' bit-parallel distance, one bit
-for each of its words.
+for each of its words. Items of short pieces (all have fewer than 8 words) are scanned for
+by a width of their own, so that they do not shorten the pieces that the others are found by.
 
 Items are a stated query set: they are taken in blocks of bounded size, by a hash, and
 each block is broadcast and run over all texts. Nothing is shuffled.
 
-Defined cases: null and empty texts match nothing; items under ``min_words`` words have
-no passage to tell and match nothing; equal items with different ids all match; repeated
+Defined cases: null and empty texts and items match nothing; items of one to six words match
+exactly (their budget is 0), and a caller can leave out those under ``min_words``; equal items with different ids all match; repeated
 rows match alike; empty tables give an empty table; extra columns are not read.
 """
 
@@ -27,10 +28,12 @@ from sentiscope.llm import words as K
 from sentiscope.llm.common import table, text_bytes, units
 
 ERROR = 0.15
-MIN_WORDS = 8
+MIN_WORDS = 1
 #: Text of the items that are broadcast at once, about.
 BLOCK_BYTES = 8 << 20
 _FILTER_BITS = 22
+#: Pieces of this many words and more are scanned for together.
+_LONG_PIECE = 4
 
 
 def budget(words: int, error: float = ERROR) -> int:
@@ -43,26 +46,20 @@ def split(words: int, parts: int) -> list[tuple[int, int]]:
     return list(zip(cuts, cuts[1:]))
 
 
-class Items:
-    """One block of items: the words of each, and the keys of their pieces."""
+class Probe:
+    """The keys of pieces, (item, start, end): the first words of each, as many as the shortest has."""
 
-    def __init__(self, ids: list, texts: list[str], error: float, min_words: int):
-        first, _, _, h, _ = K.words(pa.array(texts, pa.string()))
-        self.items = [(i, h[a:b], budget(b - a, error))
-                      for i, a, b in zip(ids, first[:-1], first[1:]) if b - a >= min_words]
-        cuts = [(n, a, b) for n, (_, w, k) in enumerate(self.items) for a, b in split(len(w), k + 1)]
-        self.width = min((b - a for _, a, b in cuts), default=1)
-        keys = np.array([K.windows(self.items[n][1][a:a + self.width], self.width)[0] for n, a, _ in cuts], np.uint64)
+    def __init__(self, items: list, cuts: list[tuple[int, int, int]]):
+        self.width = min(b - a for _, a, b in cuts)
+        keys = np.array([K.windows(items[n][1][a:a + self.width], self.width)[0] for n, a, _ in cuts], np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
         self.item = np.array([n for n, _, _ in cuts], np.int64)[order]
         self.offset = np.array([a for _, a, _ in cuts], np.int64)[order]
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.keys >> np.uint64(64 - _FILTER_BITS)] = True
-        self.masks: dict[int, dict[int, int]] = {}
 
     def hits(self, first: np.ndarray, h: np.ndarray) -> set[tuple[int, int, int]]:
-        """(text, item, word at which the item would start) for every exact piece hit."""
         at = K.inside(first, len(h), self.width)
         key = K.windows(h, self.width)[at] if len(at) else np.zeros(0, np.uint64)
         good = self.filter[key >> np.uint64(64 - _FILTER_BITS)]
@@ -75,6 +72,25 @@ class Items:
         row = np.searchsorted(first, at, side="right") - 1
         return set(zip(row.tolist(), self.item[piece].tolist(), (at - self.offset[piece]).tolist()))
 
+
+class Items:
+    """One block of items: the words of each, and the keys of their pieces."""
+
+    def __init__(self, ids: list, texts: list[str], error: float, min_words: int):
+        first, _, _, h, _ = K.words(pa.array(texts, pa.string()))
+        self.items = [(i, h[a:b], budget(b - a, error))
+                      for i, a, b in zip(ids, first[:-1], first[1:]) if b - a >= min_words]
+        kinds: dict[int, list[tuple[int, int, int]]] = {}
+        for n, (_, w, k) in enumerate(self.items):
+            cut = split(len(w), k + 1)
+            kinds.setdefault(min(_LONG_PIECE, *(b - a for a, b in cut)), []).extend((n, a, b) for a, b in cut)
+        self.probes = [Probe(self.items, kinds[x]) for x in sorted(kinds)]
+        self.masks: dict[int, dict[int, int]] = {}
+
+    def hits(self, first: np.ndarray, h: np.ndarray) -> set[tuple[int, int, int]]:
+        """(text, item, word at which the item would start) for every exact piece hit."""
+        return set().union(*(p.hits(first, h) for p in self.probes))
+
     def mask(self, n: int) -> dict[int, int]:
         if n not in self.masks:
             made: dict[int, int] = {}
@@ -110,6 +126,8 @@ def matches(block: Items, texts: pa.Array) -> dict[tuple[int, int], tuple[int, i
     first, _, _, h, _ = K.words(texts)
     found: dict[tuple[int, int], tuple[int, int]] = {}
     for row, n, start in sorted(block.hits(first, h)):
+        if found.get((row, n), (1, 0))[0] == 0:  # a later start has no earlier end
+            continue
         _, w, k = block.items[n]
         lo, hi = max(int(first[row]), start - k), min(int(first[row + 1]), start + len(w) + k)
         d, end = best_distance(block.mask(n), len(w), h[lo:hi].tolist())

@@ -90,3 +90,20 @@ def test_a_long_text(spark):
     d = spark.createDataFrame([(1, text)], SCHEMA)
     b = spark.createDataFrame([(9, item)], "item_id long, text string")
     assert [(r.doc_id, r.item_id, r.distance, r.end_word) for r in M.contaminations(d, b).collect()] == [(1, 9, 0, 200040)]
+
+
+def test_short_items_match(spark):
+    items = [(1, "Paris"), (2, "the capital"), (3, "who wrote Hamlet now ?"), (4, "one two three four five six seven"), (5, " "),
+             (6, " ".join(f"w{i}" for i in range(30)))]
+    docs = [(1, "in paris, or in PARIS and Paris again"), (2, "What is the capital of it"), (3, "so who wrote hamlet now ? nobody"), (4, "a one two three x five six seven b"),
+            (5, "who wrote hamlet then ?"), (6, items[5][1].replace("w4", "x")), (7, "parisian the one capital"), (8, "")]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    want = sorted((i, j, e) for i, t in docs for j, x in items
+                  for w in [words(x.lower())] if w
+                  for e in [edit_distance_inside(w, words(t.lower()))] if e <= M.budget(len(w)))
+    assert {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (6, 6, 1)} == set(want)
+    found = M.contaminations(d, b).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in found) == want
+    assert [r.end_word for r in found if r.doc_id == 1] == [5]
+    assert sorted(r.doc_id for r in M.drop_contaminated(d, b).collect()) == [5, 7, 8]
+    assert sorted(r.doc_id for r in M.drop_contaminated(d, b, min_words=8).collect()) == [1, 2, 3, 4, 5, 7, 8]
