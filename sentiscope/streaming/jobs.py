@@ -248,14 +248,20 @@ def stream_upsert(spark: SparkSession, landing: str, log: str, checkpoint: str,
     """Updates by key as they arrive: score rows have a ``sentiment``, feedback rows an
     ``answer``. A batch is reduced to its last write of each id and kind and kept in
     its own folder of ``log``, so a batch costs what it holds, whatever is stored, and a
-    replay replaces what it wrote. ``upserted`` applies the log."""
+    replay replaces what it wrote. ``upserted`` applies the log. Rows without id, with an
+    answer that is not accepted (their score, if any, is still written) or with nothing to
+    write go to ``<log>-rejects``, a folder for each batch."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()
         keyed = batch.where(F.col("id").isNotNull())
         scores = last_write_per_key(keyed.where(F.col("sentiment").isNotNull()), "id", "seq",
                                     ["seq", "sentiment", "confidence"])
         answers = last_write_per_key(_valid_answers(keyed), "id", "seq", ["seq", "answer"])
         (scores.unionByName(answers, allowMissingColumns=True)
          .write.mode("overwrite").parquet(f"{log}/batch={batch_id}"))
+        (batch.withColumn("reject_reason", _update_reject_reason()).where(F.col("reject_reason").isNotNull())
+         .write.mode("overwrite").parquet(f"{log}-rejects/batch={batch_id}"))
+        batch.unpersist()
 
     _run(post_stream(spark, landing, max_files, UPDATE_EVENT).writeStream.foreachBatch(upsert), checkpoint)
 
@@ -265,6 +271,13 @@ def _valid_answers(updates: DataFrame) -> DataFrame:
     return updates.where(canonical_feedback(F.col("answer")).isNotNull())
 
 
+def _update_reject_reason() -> F.Column:
+    """FLT-10: why an update, or its answer, is not written (NULL = accepted)."""
+    return (F.when(F.col("id").isNull(), F.lit("missing_id"))
+            .when(F.col("answer").isNotNull() & canonical_feedback(F.col("answer")).isNull(), F.lit("bad_feedback"))
+            .when(F.col("sentiment").isNull() & F.col("answer").isNull(), F.lit("missing_value")))
+
+
 def upserted(spark: SparkSession, posts: DataFrame, log: str) -> DataFrame:
     """``posts`` with every streamed update applied, the last write of each id winning."""
     updates = _read_or_none(spark, log, UPDATE_EVENT)

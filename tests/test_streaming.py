@@ -179,6 +179,23 @@ def test_upserts_in_micro_batches_last_write_wins(spark, scratch):
     assert stream.upserted(spark, posts, f"{scratch}/none").count() == 3
 
 
+def test_updates_that_are_not_written_are_kept_with_their_reason(spark, scratch):
+    given = [("1", 1, "positive", 0.7, None), ("2", 1, None, None, "2"), ("2", 2, None, None, "x"), (None, 1, "neutral", 0.5, None),
+             ("3", 1, "negative", 0.9, "7"), ("4", 1, None, None, None), (None, 2, None, None, "9")]
+    landing, log = f"{scratch}/landing", f"{scratch}/log"
+    for row in given:  # a file each
+        spark.createDataFrame([row], stream.UPDATE_EVENT).coalesce(1).write.mode("append").parquet(landing)
+    stream.stream_upsert(spark, landing, log, f"{scratch}/ck", max_files=3)
+    want = {("2", 2, "x", "bad_feedback"), (None, 1, None, "missing_id"), ("3", 1, "7", "bad_feedback"),
+            ("4", 1, None, "missing_value"), (None, 2, "9", "missing_id")}
+    kept = lambda: sorted(((r.id, r.seq, r.answer, r.reject_reason) for r in spark.read.parquet(f"{log}-rejects").collect()), key=str)
+    assert kept() == sorted(want, key=str)
+    assert {(r.id, r.sentiment, r.answer) for r in spark.read.parquet(log).collect()} == {
+        ("1", "positive", None), ("2", None, "2"), ("3", "negative", None)}
+    stream.stream_upsert(spark, landing, log, f"{scratch}/ck-new", max_files=3)  # a replay replaces them
+    assert kept() == sorted(want, key=str)
+
+
 def test_reputation_batches_replay_and_late_days(spark, scratch):
     landing = f"{scratch}/landing"
     for n, (day, sentiment) in enumerate([(1, "positive"), (7, "negative"), (1, "negative"), (1, "positive")]):
