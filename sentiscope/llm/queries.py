@@ -9,6 +9,7 @@ from sentiscope.llm.langid import op5_language_id
 from sentiscope.llm.ngram_join import op8_ngram_join
 from sentiscope.llm.substring_dedup import op3_substring_dedup
 from sentiscope.llm.token_counts import op1_token_counts
+from sentiscope.llm.whitening import op13_whitening
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -21,10 +22,11 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": licenses.op10_license_scan,
+    "op13_whitening": op13_whitening,
 }
 
 #: The others cannot be put in SQL (a tokenizer file, fitted models, edit distances, graph
-#: components) or would take SQL too long on whole tables (op3); tests hold them against
+#: components, eigenvectors) or would take SQL too long on whole tables (op3); tests hold them against
 #: brute force on small fixtures.
 SQL: dict[str, str] = {
     "op2_mixing": mixing.SQL,
