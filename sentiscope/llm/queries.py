@@ -7,6 +7,7 @@ from sentiscope.llm.decontam import op9_decontamination
 from sentiscope.llm.fm_quality import op7_quality
 from sentiscope.llm.langid import op5_language_id
 from sentiscope.llm.ngram_join import op8_ngram_join
+from sentiscope.llm.packing import op12_packing
 from sentiscope.llm.substring_dedup import op3_substring_dedup
 from sentiscope.llm.token_counts import op1_token_counts
 from sentiscope.llm.whitening import op13_whitening
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": licenses.op10_license_scan,
+    "op12_packing": op12_packing,
     "op13_whitening": op13_whitening,
 }
 
