@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from sentiscope.llm import chat, licenses, line_quality, mixing
+from sentiscope.llm.alignment import op11_alignment
 from sentiscope.llm.decontam import op9_decontamination
 from sentiscope.llm.fm_quality import op7_quality
 from sentiscope.llm.langid import op5_language_id
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_decontamination": op9_decontamination,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_alignment": op11_alignment,
     "op12_packing": op12_packing,
     "op13_whitening": op13_whitening,
 }
