@@ -36,6 +36,11 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
+def whole_row(df: DataFrame) -> Column:
+    """All columns in one struct, so that columns made beside it clash with none of them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def id_text(column: str = "doc_id") -> Column:
     """An id as decimal text (null: empty), as the crc32 folds take it."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

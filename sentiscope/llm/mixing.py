@@ -15,15 +15,16 @@ otherwise.
 
 Defined cases: a null or empty text has size 0 and is taken 0 words; a source without
 words has target 0; a null source is a source; a null doc_id draws by its text; equal
-rows draw alike; an empty table gives an empty one. ``size``, ``source_size``,
-``target``, ``copies`` and ``taken`` replace columns of these names.
+rows draw alike; an empty table gives an empty one. In the plan ``size``, ``source_size``,
+``target``, ``copies`` and ``taken`` replace columns of these names, in the mix ``copy`` does; all others
+come through as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sentiscope.llm.common import table
+from sentiscope.llm.common import table, whole_row
 from sentiscope.session import scratch_path
 
 WEIGHTS = (5, 2, 1)
@@ -32,6 +33,8 @@ SHARE, MOST = 150, 200
 SEED = 20240229
 #: Sources up to which their table is broadcast (a name, three numbers: under 20 MB).
 BROADCAST_ROWS = 100_000
+#: Places that the rows of a source are spread over where that table is joined.
+PLACES = 32
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -70,28 +73,38 @@ def source_targets(docs: DataFrame, weights=WEIGHTS, share: int = SHARE, most: i
     return s.select("source", "source_size", target.alias("target"))
 
 
-def mix_plan(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
-    """The rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
+def _rated(docs: DataFrame, seed: int, shares: dict) -> DataFrame:
+    """``row`` (the caller's columns, whatever their names), ``size``, ``source_size``, ``target`` and ``copies``."""
     spark = docs.sparkSession
     path = scratch_path(spark, "mix-targets")
-    source_targets(docs, **shares).withColumnRenamed("source", "_source").write.parquet(path)
+    source_targets(docs, **shares).withColumnRenamed("source", "of").write.parquet(path)
     targets = spark.read.parquet(path)
+    here = docs.select(whole_row(docs).alias("row"), F.col("source").alias("key"), n_words().alias("size"), draw(seed).alias("u"))
+    same = F.col("key").eqNullSafe(F.col("of"))
     if targets.count() <= BROADCAST_ROWS:
         targets = F.broadcast(targets)
-    made = ("size", "source_size", "target", "copies", "taken")
-    here = docs.select(*[c for c in docs.columns if c not in made], n_words().alias("size"))
+    else:  # texts are shuffled: a source's rows go to several places, the targets to all of them
+        here = here.withColumn("place", F.pmod(F.xxhash64("u", "size"), F.lit(PLACES)))
+        targets = targets.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(PLACES - 1))))
+        same = same & (F.col("place") == F.col("at"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    copies = F.floor("rate") + (draw(seed) < F.col("rate") - F.floor("rate")).cast("long")
-    return (here.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-            .withColumn("rate", rate).withColumn("copies", copies).drop("rate")
-            .withColumn("taken", F.col("copies") * F.col("size")))
+    rated = here.join(targets, same).withColumn("rate", rate)
+    copies = F.floor("rate") + (F.col("u") < F.col("rate") - F.floor("rate")).cast("long")
+    return rated.select("row", "size", "source_size", "target", copies.alias("copies"))
+
+
+def mix_plan(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
+    """The rows of ``docs`` with ``size``, ``source_size``, ``target``, ``copies`` and ``taken``."""
+    made = ("size", "source_size", "target", "copies", "taken")
+    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in made]
+    return _rated(docs, seed, shares).select(*rest, *made[:4], (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, seed: int = SEED, **shares) -> DataFrame:
     """The mix itself: each row as often as it is taken, numbered by ``copy`` from 1 on."""
-    plan = mix_plan(docs, **options)
-    keep = [c for c in docs.columns if c in plan.columns and c not in ("size", "source_size", "target", "copies", "taken", "copy")]
-    return plan.where("copies > 0").select(*keep, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    rest = [F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "copy"]
+    return (_rated(docs, seed, shares).where("copies > 0")
+            .select(*rest, F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")))
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
