@@ -1,6 +1,8 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A text is contaminated by an item if it holds the item's words, lower case, with at most
+Texts and items are compared by their plain words: compatibility forms are made one (NFKC), letters lower
+case, and punctuation and symbols separate words like white space does. A text is
+contaminated by an item if it holds the item's words with at most
 ``floor(error * words)`` word insertions, deletions or replacements (k). An item is split into
 k + 1 pieces of nearly equal length; k edits leave one piece whole, so every match
 contains an exact piece. Texts are scanned for the first words of any piece, and
@@ -9,23 +11,23 @@ for each of its words. Items of short pieces (all have fewer than 8 words) are s
 by a width of their own, so that they do not shorten the pieces that the others are found by.
 
 Items are a stated query set: they are taken in blocks of bounded size, by a hash, and
-each block is broadcast and run over all texts. Nothing is shuffled.
+each block is broadcast; a text meets all blocks one after the other in one pass. Nothing is shuffled.
 
-Defined cases: null and empty texts and items match nothing; items of one to six words match
-exactly (their budget is 0), and a caller can leave out those under ``min_words``; equal items with different ids all match; repeated
-rows match alike; empty tables give an empty table; extra columns are not read.
+Defined cases: null and empty texts and items, and items of punctuation alone, match nothing; items of one to six
+words match exactly (their budget is 0), and a caller can leave out those under ``min_words``; equal items with
+different ids all match; repeated rows match alike; empty tables give an empty table; extra columns are not
+read, and ``drop_contaminated`` gives all columns back as they were, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from sentiscope.llm import words as K
-from sentiscope.llm.common import table, text_bytes, units
+from sentiscope.llm.common import table, text_bytes, units, whole_row
 
 ERROR = 0.15
 MIN_WORDS = 1
@@ -36,6 +38,11 @@ _FILTER_BITS = 22
 _LONG_PIECE = 4
 
 
+def plain(texts: pa.Array) -> pa.Array:
+    """Texts as their plain words: NFKC, lower case, blanks for punctuation and symbols."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.utf8_normalize(texts, "NFKC")), pattern=r"[\pP\pS]+", replacement=" ")
+
+
 def budget(words: int, error: float = ERROR) -> int:
     return int(error * words)
 
@@ -77,7 +84,7 @@ class Items:
     """One block of items: the words of each, and the keys of their pieces."""
 
     def __init__(self, ids: list, texts: list[str], error: float, min_words: int):
-        first, _, _, h, _ = K.words(pa.array(texts, pa.string()))
+        first, _, _, h, _ = K.words(plain(pa.array(texts, pa.string())))
         self.items = [(i, h[a:b], budget(b - a, error))
                       for i, a, b in zip(ids, first[:-1], first[1:]) if b - a >= min_words]
         kinds: dict[int, list[tuple[int, int, int]]] = {}
@@ -121,9 +128,8 @@ def best_distance(mask: dict[int, int], m: int, text: list[int]) -> tuple[int, i
     return best, end
 
 
-def matches(block: Items, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
-    """(text, item) -> (distance, end word) of the verified matches in a piece of a column."""
-    first, _, _, h, _ = K.words(texts)
+def matches(block: Items, first: np.ndarray, h: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
+    """(text, item) -> (distance, end word) of the verified matches in the words of a piece of a column."""
     found: dict[tuple[int, int], tuple[int, int]] = {}
     for row, n, start in sorted(block.hits(first, h)):
         if found.get((row, n), (1, 0))[0] == 0:  # a later start has no earlier end
@@ -137,58 +143,62 @@ def matches(block: Items, texts: pa.Array) -> dict[tuple[int, int], tuple[int, i
     return found
 
 
-def _scan(items):
+def _scan(blocks):
     def scan(batches):
-        block = items.value
         for batch in batches:
             for piece in K.pieces(batch):
-                if found := matches(block, piece.column("text")):
-                    yield pa.RecordBatch.from_arrays([
-                        piece.column("doc_id").take(pa.array([r for r, _ in found])),
-                        pa.array([block.items[n][0] for _, n in found], pa.int64()),
-                        pa.array([d for d, _ in found.values()], pa.int32()),
-                        pa.array([e for _, e in found.values()], pa.int32())],
-                        names=["doc_id", "item_id", "distance", "end_word"])
+                first, _, _, h, _ = K.words(plain(piece.column("text")))
+                for block in blocks:
+                    if found := matches(block.value, first, h):
+                        yield pa.RecordBatch.from_arrays([
+                            piece.column("doc_id").take(pa.array([r for r, _ in found])),
+                            pa.array([block.value.items[n][0] for _, n in found], pa.int64()),
+                            pa.array([d for d, _ in found.values()], pa.int32()),
+                            pa.array([e for _, e in found.values()], pa.int32())],
+                            names=["doc_id", "item_id", "distance", "end_word"])
     return scan
 
 
-def _clean(items, names: list[str]):
+def _clean(blocks):
     def clean(batches):
-        block = items.value
         for batch in batches:
-            for piece in K.pieces(batch, "_lower"):
+            for piece in K.pieces(batch):
+                first, _, _, h, _ = K.words(plain(piece.column("text")))
                 stay = np.ones(piece.num_rows, bool)
-                stay[[r for r, _ in matches(block, piece.column("_lower"))]] = False
-                yield piece.select(names).filter(pa.array(stay))
+                for block in blocks:
+                    stay[[r for r, _ in matches(block.value, first, h)]] = False
+                yield piece.select(["row"]).filter(pa.array(stay))
     return clean
 
 
-def item_blocks(benchmark: DataFrame, error: float, min_words: int):
-    """The items, a broadcast block at a time."""
-    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower("text").alias("text"))
-             .where("text is not null").distinct())
-    blocks = units(text_bytes(items), 1, BLOCK_BYTES)
+def item_blocks(benchmark: DataFrame, error: float, min_words: int) -> list:
+    """The items, in broadcast blocks of bounded size."""
+    items = (benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null").distinct())
+    blocks, out = units(text_bytes(items), 1, BLOCK_BYTES), []
     for n in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n).collect()
-        yield benchmark.sparkSession.sparkContext.broadcast(
-            Items([r.item_id for r in mine], [r.text for r in mine], error, min_words))
+        out.append(benchmark.sparkSession.sparkContext.broadcast(
+            Items([r.item_id for r in mine], [r.text for r in mine], error, min_words)))
+    return out
 
 
 def contaminations(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, min_words: int = MIN_WORDS) -> DataFrame:
-    """``doc_id``, ``item_id``, ``distance`` (words) and ``end_word`` (where the best match
+    """``doc_id``, ``item_id``, ``distance`` (plain words) and ``end_word`` (the plain word after which the best match
     ends), a row for each document row and item that it holds."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
-    found = [texts.mapInArrow(_scan(block), "doc_id long, item_id long, distance int, end_word int")
-             for block in item_blocks(benchmark, error, min_words)]
-    return reduce(DataFrame.unionByName, found)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return texts.mapInArrow(_scan(item_blocks(benchmark, error, min_words)), "doc_id long, item_id long, distance int, end_word int")
+
+
+def documents_per_item(found: DataFrame) -> DataFrame:
+    """``item_id`` and the number of document rows that hold it: shows items too short or common to mean anything."""
+    return found.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, error: float = ERROR, min_words: int = MIN_WORDS) -> DataFrame:
     """The rows of ``docs`` that hold no item."""
-    names, kinds = docs.columns, docs.schema
-    for block in item_blocks(benchmark, error, min_words):
-        docs = docs.withColumn("_lower", F.lower("text")).mapInArrow(_clean(block, names), kinds)
-    return docs
+    rows = docs.select(whole_row(docs).alias("row"))
+    kept = rows.select("row", "row.text").mapInArrow(_clean(item_blocks(benchmark, error, min_words)), rows.schema)
+    return kept.select("row.*")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import pytest
 
@@ -6,6 +7,12 @@ from helpers import SCHEMA, SF001, edit_distance_inside, words
 from sentiscope.llm import decontam as M
 
 
+def plain_words(text):
+    """NFKC, lower case, cut at white space, punctuation and symbols."""
+    low = unicodedata.normalize("NFKC", text or "").lower()
+    return "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in low).split()
+
+
 def test_myers_equals_dynamic_programming():
     rng = random.Random(1)
     for _ in range(400):
@@ -49,14 +56,14 @@ def edited(spark):
                 del w[at:at + 1]
             else:
                 w.insert(at, "qq")
-        docs.append((n, " ".join(["aa"] * rng.randint(0, 20) + w + ["bb"] * rng.randint(0, 20)).upper()))
+        docs.append((n, " ".join(["aa"] * rng.randint(0, 20) + w + ["bb"] * rng.randint(0, 20)).upper().replace(" ", rng.choice([" ", ", ", " \u2014", " (?"]), 9)))
     docs += [(None, None), (5, ""), (6, " "), (None, docs[0][1]), (0, docs[0][1])]
     want, bad = [], set()
     for d, t in docs:
         for i, x in set(items):
-            w = words((x or "").lower())
+            w = plain_words(x)
             if len(w) >= M.MIN_WORDS:
-                e = edit_distance_inside(w, words((t or "").lower()))
+                e = edit_distance_inside(w, plain_words(t))
                 if e <= M.budget(len(w)):
                     want.append((d, i, e))
                     bad.add(t)
@@ -67,12 +74,12 @@ def edited(spark):
 def test_edited_passages_equal_brute_force(spark, edited, block, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_BYTES", block)
     docs, items, want, bad = edited
-    d = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as item_id", "2 as _lower")
+    d = spark.createDataFrame(docs, SCHEMA).selectExpr("*", "1 as item_id", "2 as _lower", "3 as row", "4 as stay")
     b = spark.createDataFrame(items, "item_id long, text string").selectExpr("*", "1 as doc_id")
     got = sorted(((r.doc_id, r.item_id, r.distance) for r in M.contaminations(d, b).collect()), key=str)
     assert got == want
-    clean = M.drop_contaminated(d.drop("_lower"), b)
-    assert clean.columns == ["doc_id", "text", "item_id"]
+    clean = M.drop_contaminated(d, b)
+    assert clean.columns == d.columns and {tuple(r)[2:] for r in clean.collect()} <= {(1, 2, 3, 4)}
     assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=str) == sorted(
         [x for x in docs if x[1] not in bad], key=str)
 
@@ -99,11 +106,22 @@ def test_short_items_match(spark):
             (5, "who wrote hamlet then ?"), (6, items[5][1].replace("w4", "x")), (7, "parisian the one capital"), (8, "")]
     d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
     want = sorted((i, j, e) for i, t in docs for j, x in items
-                  for w in [words(x.lower())] if w
-                  for e in [edit_distance_inside(w, words(t.lower()))] if e <= M.budget(len(w)))
+                  for w in [plain_words(x)] if w
+                  for e in [edit_distance_inside(w, plain_words(t))] if e <= M.budget(len(w)))
     assert {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (6, 6, 1)} == set(want)
     found = M.contaminations(d, b).collect()
     assert sorted((r.doc_id, r.item_id, r.distance) for r in found) == want
-    assert [r.end_word for r in found if r.doc_id == 1] == [5]
+    assert [r.end_word for r in found if r.doc_id == 1] == [2]
     assert sorted(r.doc_id for r in M.drop_contaminated(d, b).collect()) == [5, 7, 8]
     assert sorted(r.doc_id for r in M.drop_contaminated(d, b, min_words=8).collect()) == [1, 2, 3, 4, 5, 7, 8]
+
+
+def test_punctuation_and_spelling_forms_do_not_hide_an_item(spark):
+    items = [(1, "What is the capital of France"), (2, "one two three four five six seven eight nine ten"), (3, "the price is 100 euros"), (4, "?!")]
+    docs = [(1, "Quiz: What is the capital of France? Paris."), (2, "(one) two, three four; five six seven eight, nine 'ten'"),
+            (3, "So the price \u2014 is \uff11\uff10\uff10 Euros!"), (4, "?! ?!"), (5, "What is the capital, of Spain")]
+    d, b = spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(items, "item_id long, text string")
+    found = M.contaminations(d, b)
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in found.collect()) == [(1, 1, 0), (2, 2, 0), (3, 3, 0)]
+    assert sorted(tuple(r) for r in M.documents_per_item(found).collect()) == [(1, 1), (2, 1), (3, 1)]
+    assert sorted(r.doc_id for r in M.drop_contaminated(d, b).collect()) == [4, 5]
