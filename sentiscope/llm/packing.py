@@ -29,7 +29,6 @@ empty table gives an empty one; columns besides doc_id and text are not read.
 from __future__ import annotations
 
 import math
-import random
 import zlib
 from functools import reduce
 
@@ -118,17 +117,18 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
 
 
 class _Bins:
-    """Bins by their free space; the tightest that takes a length is found by the bits of a number."""
+    """Bins by their free space; the tightest that takes a length is found by the bits of a number. Bins
+    too full for any of the lengths to come are not entered."""
 
-    def __init__(self, free: list[int], capacity: int):
+    def __init__(self, free: np.ndarray, capacity: int, least: int):
         self.capacity, self.count = capacity, len(free)
-        self.by: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.by: dict[int, list[int]] = {}
         self.mask = 0
-        for b, f in enumerate(free):
-            self.by[f].append(b)
-        for f, have in enumerate(self.by):
-            if have:
-                self.mask |= 1 << f
+        some = np.flatnonzero(free >= least)
+        for b, f in zip(some.tolist(), free[some].tolist()):
+            self.by.setdefault(f, []).append(b)
+        for f in self.by:
+            self.mask |= 1 << f
 
     def put(self, length: int) -> int:
         fit = self.mask >> length
@@ -141,17 +141,16 @@ class _Bins:
         else:
             b, free = self.count, self.capacity - length
             self.count += 1
-        self.by[free].append(b)
+        self.by.setdefault(free, []).append(b)
         self.mask |= 1 << free
         return b
 
 
-def best_fit(lengths: np.ndarray, order, solution: np.ndarray, free: list[int], capacity: int) -> np.ndarray:
+def best_fit(lengths: np.ndarray, order: np.ndarray, solution: np.ndarray, free: np.ndarray, capacity: int) -> np.ndarray:
     """Puts the places of ``order`` one by one into the fullest bin that takes them."""
-    bins = _Bins(free, capacity)
-    put = bins.put
-    order = np.asarray(order)
-    solution[order] = [put(n) for n in lengths[order].tolist()]
+    mine = lengths[order]
+    put = _Bins(free, capacity, int(mine.min(initial=capacity))).put
+    solution[order] = [put(n) for n in mine.tolist()]
     return solution
 
 
@@ -165,20 +164,20 @@ def score(solution: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[int
     return len(fill), 1 - float(np.mean((fill / capacity) ** 2))
 
 
-def _without(solution: np.ndarray, lengths: np.ndarray, gone: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, list[int]]:
+def _without(solution: np.ndarray, lengths: np.ndarray, gone: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(new numbers of the bins that stay, displaced places, free space of those bins)."""
     number = np.cumsum(~gone) - 1
-    free = (capacity - _fills(solution, lengths)[~gone]).tolist()
+    free = capacity - _fills(solution, lengths)[~gone]
     return number, np.flatnonzero(gone[solution]), free
 
 
-def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """Whole well-filled bins of ``a`` put into ``b``: b's bins with the same pieces go, their other pieces are best-fitted."""
     fill = _fills(a, lengths)
     full = np.argsort(-fill, kind="stable")[:max(1, int(len(fill) * rng.uniform(0.3, 0.95)))]
     share = rng.uniform(0.2, 0.8)
     taken = np.zeros(len(fill), bool)
-    taken[full[np.array([rng.random() < share for _ in range(len(full))], bool)]] = True
+    taken[full[rng.random(len(full)) < share]] = True
     injected = taken[a]
     gone = np.zeros(int(b.max()) + 1, bool)
     gone[b[injected]] = True
@@ -186,32 +185,32 @@ def crossover(a: np.ndarray, b: np.ndarray, lengths: np.ndarray, capacity: int,
     child = number[b]
     child[injected] = (np.cumsum(taken) - 1)[a[injected]] + len(free)
     displaced = np.flatnonzero(gone[b] & ~injected)
-    return best_fit(lengths, displaced, child, free + (capacity - fill[taken]).tolist(), capacity)
+    return best_fit(lengths, displaced, child, np.append(free, capacity - fill[taken]), capacity)
 
 
-def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: random.Random) -> np.ndarray:
+def mutate(a: np.ndarray, lengths: np.ndarray, capacity: int, rng: np.random.Generator) -> np.ndarray:
     """The emptiest bins and some others are opened and their pieces best-fitted, longest first."""
     fill = _fills(a, lengths)
     worst = np.argsort(fill, kind="stable")[:max(1, len(fill) // 100)]
     gone = np.zeros(len(fill), bool)
     gone[worst] = True
-    gone[[rng.randrange(len(fill)) for _ in range(max(3, len(fill) // 20))]] = True
+    gone[rng.integers(0, len(fill), max(3, len(fill) // 20))] = True
     number, displaced, free = _without(a, lengths, gone, capacity)
     return best_fit(lengths, displaced, number[a], free, capacity)
 
 
-def _fresh(lengths: np.ndarray, capacity: int, rng: random.Random, blur: float) -> np.ndarray:
+def _fresh(lengths: np.ndarray, capacity: int, rng: np.random.Generator, blur: float) -> np.ndarray:
     """Best fit in falling order of lengths that are blurred by this share of a sequence."""
     order = np.arange(len(lengths))
     if blur:
-        order = np.argsort(-(lengths + np.array([rng.uniform(-1, 1) for _ in range(len(lengths))]) * blur * capacity), kind="stable")
-    return best_fit(lengths, order, np.zeros(len(lengths), np.int64), [], capacity)
+        order = np.argsort(-(lengths + rng.uniform(-1, 1, len(lengths)) * blur * capacity), kind="stable")
+    return best_fit(lengths, order, np.zeros(len(lengths), np.int64), np.zeros(0, np.int64), capacity)
 
 
 def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], seed: int, children: int = CHILDREN,
            size: int = POPULATION) -> list[np.ndarray]:
     """The population after one epoch, best first; ends at once when a solution reaches the bound."""
-    rng = random.Random(seed)
+    rng = np.random.default_rng(seed)
     low = lower_bound(lengths, capacity)
     population = list(population)
     if not population:
@@ -219,13 +218,13 @@ def evolve(lengths: np.ndarray, capacity: int, population: list[np.ndarray], see
         if score(population[0], lengths, capacity)[0] == low:
             return population
     while len(population) < size:
-        population.append(_fresh(lengths, capacity, rng, rng.choice([0.01, 0.03, 0.1])))
+        population.append(_fresh(lengths, capacity, rng, float(rng.choice([0.01, 0.03, 0.1]))))
     ranked = sorted(((score(s, lengths, capacity), n, s) for n, s in enumerate(population)), key=lambda x: x[:2])
     for n in range(len(population), len(population) + children):
         if ranked[0][0][0] <= low:
             break
-        pick = lambda: min(rng.sample(range(len(ranked)), min(2, len(ranked))))
-        child = crossover(ranked[pick()][2], ranked[pick()][2], lengths, capacity, rng)
+        one, two = (int(x) for x in rng.integers(0, len(ranked), (2, 2)).min(axis=1))  # each the better of two
+        child = crossover(ranked[one][2], ranked[two][2], lengths, capacity, rng)
         if rng.random() < 0.5:
             child = mutate(child, lengths, capacity, rng)
         got = score(child, lengths, capacity)
@@ -267,7 +266,7 @@ def solve(problems: DataFrame, fields: int, capacity: int = CAPACITY, islands: i
     done = []
     for epoch in range(epochs):
         path = scratch_path(spark, f"packing-epoch{epoch}")
-        state.repartition(tasks, "field", "island").mapInArrow(_epoch(capacity, seed + epoch), _STATE).write.parquet(path)
+        state.repartition(tasks, F.xxhash64("field", "island")).mapInArrow(_epoch(capacity, seed + epoch), _STATE).write.parquet(path)
         grown = spark.read.parquet(path)
         done.append(grown.select("field", "best", "bins", F.struct("bins", "waste", F.lit(-epoch).alias("epoch"), "island").alias("rank")))
         left = grown.groupBy("field").agg(F.min("bins").alias("bins"), F.min("low").alias("low")).where("bins > low").select("field")

@@ -113,8 +113,8 @@ def test_bound_and_search_against_all_packings():
 
 @pytest.mark.parametrize("low,high", [(1, 1023), (200, 500), (300, 380), (512, 1000)])
 def test_children_are_packings_and_improve(low, high):
-    rng = random.Random(4)
-    lengths = np.array(sorted((rng.randint(low, high) for _ in range(500)), reverse=True))
+    rng = np.random.default_rng(4)
+    lengths = np.sort(rng.integers(low, high + 1, 500))[::-1].copy()
     first = M._fresh(lengths, 1024, rng, 0.0)
     grown = M.evolve(lengths, 1024, [], 5)
     for s in [first, *grown, M.crossover(grown[0], first, lengths, 1024, rng), M.mutate(first, lengths, 1024, rng)]:
@@ -126,8 +126,8 @@ def test_children_are_packings_and_improve(low, high):
 
 
 def test_a_child_keeps_the_whole_bins_it_is_given():
-    rng = random.Random(6)
-    lengths = np.array(sorted((rng.randint(100, 700) for _ in range(60)), reverse=True))
+    rng = np.random.default_rng(6)
+    lengths = np.sort(rng.integers(100, 701, 60))[::-1].copy()
     a, b = (M._fresh(lengths, 1024, rng, 0.2) for _ in range(2))
     child = M.crossover(a, b, lengths, 1024, rng)
     bins = lambda s: {tuple(np.flatnonzero(s == j)) for j in range(s.max() + 1)}
