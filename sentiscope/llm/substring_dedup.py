@@ -8,15 +8,17 @@ Method. With blocks of ``window // 2`` words, every occurrence of a window holds
 whole block of the grid 0, b, 2b, ... of its own text. So the grid blocks are the
 index, and every rolling window of b words probes it: if a sequence of ``window`` words
 occurs twice, each occurrence has a probe that hits a grid block of the other. Hits are
-then extended: neighbouring window starts around a hit are compared on their full word
-sequence, and runs of them are the maximal exact repeats.
+then extended: neighbouring window starts around a hit are compared on 128-bit hashes of their
+words, and runs of them are the maximal exact repeats.
 
 Work is dealt twice. Texts are dealt to *batches* by a hash of the row, and stay there;
 hashes are dealt from the batches to *parts* by value. A batch sends each distinct hash
 once, so a passage that a third of all texts share costs one entry for each batch, not
-one for each occurrence, and a part answers with one bit for each entry. Both counts
-grow with the input, so batches and parts stay of one size. A batch is recomputed from its own rows alone, so a
-lost executor changes nothing.
+one for each occurrence, and a part answers with one bit for each entry. Batches and parts
+grow with the square root of the input once it is large (``sizes``), so that a message never holds less than
+some ``MESSAGE`` entries, whatever the input. A batch is recomputed from its own rows alone, so a
+lost executor changes nothing. Rows of equal id and text are judged once and their answer is joined back to
+each of them, so no batch gathers the repeats of a row.
 
 Defined cases: a null or empty text has no words and loses none; a null doc_id sorts
 after all others; equal rows (same doc_id and start) are not earlier than each other,
@@ -27,18 +29,24 @@ and ``removed`` are replaced.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from sentiscope.llm import common
 from sentiscope.llm import words as K
-from sentiscope.llm.common import partitions, text_bytes, units
+from sentiscope.llm.common import partitions, text_bytes
+from sentiscope.session import scratch_path
 
 WINDOW = 20
 #: Rolling windows that one part compares, about, at six bytes a word.
 PART_BYTES = 12 << 20
+#: Entries of a message that batches and parts of a large input are sized for.
+MESSAGE = 64
 NULL_ID = np.iinfo(np.int64).max
 
 _SENT = "kind int, part long, batch long, a binary, b binary, c binary, d binary"
@@ -112,18 +120,24 @@ class _Batch:
         return at[total[at + self.window - self.block + 1] > total[at]]
 
     def windows(self, at: np.ndarray):
-        """Full hashes of the windows at these starts, with doc_id and start of each."""
+        """Both halves of the hashes of the windows at these starts, with part, doc_id and start of each, sorted."""
         with np.errstate(over="ignore"):
-            h = np.zeros(len(at), np.uint64)
-            for k, c in enumerate(K.constants(self.window, 4000)):
-                h += self.hashes[at + k] * c
+            h, g = np.zeros((2, len(at)), np.uint64)
+            for k, (c, d) in enumerate(zip(K.constants(self.window, 4000), K.constants(self.window, 5000))):
+                word = self.hashes[at + k]
+                h += word * c
+                g += K.mix(word) * d
         row = np.searchsorted(self.first, at, side="right") - 1
         ids = self.rows.column("doc_id").cast(pa.int64()).fill_null(NULL_ID).to_numpy()
         place = (at - self.first[row]).astype(np.uint32)
         h = K.mix(h)
         part = (h % np.uint64(self.parts)).astype(np.int64)
-        order = np.lexsort((place, ids[row], h, part))
-        return h[order], part[order], ids[row][order], place[order], at[order]
+        order = np.lexsort((place, ids[row], g, h, part))
+        return h[order], g[order], part[order], ids[row][order], place[order], at[order]
+
+
+def _heads(h: np.ndarray, g: np.ndarray) -> np.ndarray:
+    return np.append(True, (h[1:] != h[:-1]) | (g[1:] != g[:-1])) if len(h) else np.zeros(0, bool)
 
 
 def _send_probes(window: int, parts: int):
@@ -183,11 +197,11 @@ def _send_windows(window: int, parts: int):
         number = key[0].as_py()
         # the starts go to the batch itself, under a part number of its own
         out = [(STARTS, -1 - number, number, np.packbits(mask).tobytes(), None, None, None)]
-        h, part, ids, place, _ = batch.windows(near)
-        one = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+        h, g, part, ids, place, _ = batch.windows(near)
+        one = np.flatnonzero(_heads(h, g))
         for p, i, j in _by_part(part[one]):
             k = one[i:j]  # the earliest of each sequence in this batch
-            out.append((WINDOWS, p, number, _planes(h[k]), _planes(ids[k]), _planes(place[k]), None))
+            out.append((WINDOWS, p, number, _planes(h[k]), _planes(ids[k]), _planes(place[k]), _planes(g[k])))
         return _rows(out)
     return send
 
@@ -200,11 +214,11 @@ def _match_windows(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
     h = [_unplanes(x, np.uint64) for x in cols["a"]]
     size = [len(x) for x in h]
     h = np.concatenate(h)
+    g = np.concatenate([_unplanes(x, np.uint64) for x in cols["d"]])
     ids = np.concatenate([_unplanes(x, np.int64) for x in cols["b"]])
     place = np.concatenate([_unplanes(x, np.uint32) for x in cols["c"]])
-    order = np.lexsort((place, ids, h))
-    head = np.append(True, h[order][1:] != h[order][:-1])
-    starts = np.flatnonzero(head)
+    order = np.lexsort((place, ids, g, h))
+    starts = np.flatnonzero(_heads(h[order], g[order]))
     least = order[np.repeat(starts, np.diff(np.append(starts, len(order))))]
     late = np.empty(len(order), bool)
     late[order] = (ids[least] != ids[order]) | (place[least] != place[order])
@@ -219,11 +233,10 @@ def _remove(window: int, parts: int, schema: pa.Schema, layout: bool):
         batch = _Batch(rows, window, parts)
         n = len(batch.hashes)
         mask = _bits(next(iter(_answers(answers, STARTS).values())), n)
-        h, part, ids, place, at = batch.windows(np.flatnonzero(mask))
+        h, g, part, ids, place, at = batch.windows(np.flatnonzero(mask))
         cover = np.zeros(n + 1, np.int32)
         if len(h):
-            head = np.append(True, h[1:] != h[:-1])
-            starts = np.flatnonzero(head)
+            starts = np.flatnonzero(_heads(h, g))
             count = np.diff(np.append(starts, len(h)))
             first = np.repeat(starts, count)
             late = np.repeat(_marked(part[starts], _answers(answers, WINDOWS)), count)
@@ -288,36 +301,82 @@ def _cut(piece: pa.Table, first, starts, ends, gone, layout, schema) -> pa.Table
                                  for f in schema], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
-    """The columns of ``docs`` but for its text, and ``kept`` (the words that stay, joined by one space; with
-    ``layout``, the text as it was without the removed words), ``n_words``, ``n_removed``
-    and ``removed``: the maximal runs of removed words as [start, end) word positions."""
-    if window < 4 or window % 2:
-        raise ValueError("window must be an even number of four words or more")
-    spark = docs.sparkSession
-    made = ("kept", "n_words", "n_removed", "removed")
-    others = [c for c in docs.columns if c not in ("doc_id", "text", *made)]
-    total, least = text_bytes(docs), partitions(spark)
-    batches, parts = units(total, least), units(total, least, PART_BYTES)
-    rest = F.struct(*others) if others else F.lit(0)
-    dealt = (docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"),
-                         "doc_id", "text", rest.alias("rest"))
-             .repartition(least, "batch"))
+def sizes(total: int, least: int) -> tuple[int, int]:
+    """(batches, parts) for texts of so many bytes. A batch holds ``UNIT_BYTES``, or more if its entries, dealt to all
+    parts, would come to less than ``MESSAGE`` a part; a part compares what three batches hold."""
+    batch = max(common.UNIT_BYTES, math.isqrt(2 * MESSAGE * total))
+    return max(least, math.ceil(total / batch)), max(least, math.ceil(total / max(PART_BYTES, 3 * batch)))
+
+
+def _judged(docs: DataFrame, window: int, layout: bool) -> DataFrame:
+    """``rest``, ``kept``, ``n_words``, ``n_removed`` and ``removed`` for the rows (``rest doc_id text``) of ``docs``, no two of
+    which have the same id and text."""
+    batches, parts = sizes(text_bytes(docs), partitions(docs.sparkSession))
+    dealt = (docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).alias("batch"), "doc_id", "text", "rest")
+             .repartition(partitions(docs.sparkSession), "batch"))
     slim = dealt.select("batch", "doc_id", "text")
     hits = (slim.groupBy("batch").applyInArrow(_send_probes(window, parts), _SENT)
             .groupBy("part").applyInArrow(_match_probes, _SENT))
     late = (slim.groupBy("batch").cogroup(hits.groupBy("batch"))
             .applyInArrow(_send_windows(window, parts), _SENT)
             .groupBy("part").applyInArrow(_match_windows, _SENT))
-    span = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
     schema = T.StructType([f for f in dealt.schema if f.name in ("doc_id", "rest")])
-    for name, kind in zip(made, (T.StringType(), T.LongType(), T.LongType(), T.ArrayType(span))):
+    for name, kind in zip(_MADE, _KINDS):
         schema = schema.add(name, kind)
-    out = (dealt.groupBy("batch").cogroup(late.groupBy("batch"))
-           .applyInArrow(_remove(window, parts, to_arrow_schema(schema), layout), schema))
-    kept = [F.col(f"rest.`{c}`").alias(c) if c in others else F.col(c)
-            for c in docs.columns if c not in (*made, "text")]
-    return out.select(*kept, *made)
+    return (dealt.groupBy("batch").cogroup(late.groupBy("batch"))
+            .applyInArrow(_remove(window, parts, to_arrow_schema(schema), layout), schema))
+
+
+_MADE = ("kept", "n_words", "n_removed", "removed")
+_KINDS = (T.StringType(), T.LongType(), T.LongType(),
+          T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))
+
+
+def _relaxed(kind: T.DataType) -> T.DataType:
+    """The type with nulls allowed everywhere, so that rows of different making have one type."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, _relaxed(f.dataType)) for f in kind])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(_relaxed(kind.elementType))
+    return T.MapType(kind.keyType, _relaxed(kind.valueType)) if isinstance(kind, T.MapType) else kind
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, layout: bool = False) -> DataFrame:
+    """The columns of ``docs`` but for its text, and ``kept`` (the words that stay, joined by one space; with
+    ``layout``, the text as it was without the removed words), ``n_words``, ``n_removed``
+    and ``removed``: the maximal runs of removed words as [start, end) word positions."""
+    if window < 4 or window % 2:
+        raise ValueError("window must be an even number of four words or more")
+    spark = docs.sparkSession
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *_MADE)]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(0)
+    rows = docs.select("doc_id", "text", rest.alias("rest"))
+    rows = rows.withColumn("rest", F.col("rest").cast(_relaxed(rows.schema["rest"].dataType)))
+    key = F.xxhash64("text")
+    path = scratch_path(spark, "repeated-rows")
+    rows.groupBy("doc_id", key.alias("h")).count().where("count > 1").select(F.col("doc_id").alias("of"), "h").write.parquet(path)
+    repeated = spark.read.parquet(path)
+    if repeated.isEmpty():
+        out = _judged(rows, window, layout)
+    else:
+        same = rows.doc_id.eqNullSafe(repeated.of) & (key == repeated.h)
+        many = rows.join(repeated, same)
+        one = many.groupBy("of", "h").agg(F.first("text").alias("text"))
+        named = F.struct(F.lit(True).alias("single"), "rest", F.lit(None).cast("long").alias("h"))
+        again = F.struct(F.lit(False).alias("single"), F.lit(None).cast(rows.schema["rest"].dataType).alias("rest"), "h")
+        tagged = T.StructType([T.StructField("single", T.BooleanType()), T.StructField("rest", rows.schema["rest"].dataType), T.StructField("h", T.LongType())])
+        judged = _judged(rows.join(repeated, same, "left_anti").select("doc_id", "text", named.cast(tagged).alias("rest"))
+                         .unionByName(one.select(F.col("of").alias("doc_id"), "text", again.cast(tagged).alias("rest"))), window, layout)
+        path = scratch_path(spark, "judged-rows")
+        judged.write.parquet(path)
+        judged = spark.read.parquet(path)
+        answer = judged.where("not rest.single").select(F.col("doc_id").alias("id"), F.col("rest.h").alias("of_h"), *_MADE)
+        back = many.select("doc_id", "h", "rest").join(answer, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("of_h")))
+        out = (judged.where("rest.single").select("doc_id", F.col("rest.rest").alias("rest"), *_MADE)
+               .unionByName(back.select("doc_id", "rest", *_MADE)))
+    kept = [F.col(f"rest.`{c}`").alias(c) if c in others else F.col(f"`{c}`")
+            for c in docs.columns if c not in (*_MADE, "text")]
+    return out.select(*kept, *_MADE)
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

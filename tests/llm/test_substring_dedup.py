@@ -60,7 +60,7 @@ def test_a_batch_does_not_depend_on_the_order_of_its_rows():
         t = pa.table({"doc_id": pa.array([r[0] for r in rows_], pa.int64()), "text": pa.array([r[1] for r in rows_], pa.string()),
                       "rest": pa.array([{"n": r[2]} for r in rows_])})
         b = M._Batch(t, 4, 3)
-        made.append((b.first.tolist(), b.hashes.tolist(), b.windows(b.probes()[0][:5])[0].tolist()))
+        made.append((b.first.tolist(), b.hashes.tolist(), [x.tolist() for x in b.windows(b.probes()[0][:5])]))
     assert made[0] == made[1]
 
 
@@ -76,3 +76,31 @@ def test_odd_window_is_refused(spark):
 
 def test_words_cut():
     assert words("a\x1cb c") == ["a\x1cb", "c"]
+
+
+@pytest.mark.parametrize("total", [0, 10 ** 8, 3 * 10 ** 10, 10 ** 12, 10 ** 14])
+def test_messages_keep_their_size_whatever_the_input(total):
+    batches, parts = M.sizes(total, 200)
+    if total >= 10 ** 10:
+        words_of_a_batch = total / batches / 6
+        assert words_of_a_batch / parts >= 60  # entries of a message
+        assert total / batches <= 120 << 20 and total / parts <= 360 << 20  # what one task holds at 100 TB
+        assert batches * parts * 6 * 60 <= total  # messages of all batches against the input
+    else:
+        assert batches >= 200 and parts >= 200
+
+
+def test_repeats_of_a_row_are_judged_once(spark):
+    hot = " ".join(f"h{i}" for i in range(30))
+    given = [(5, f"x {hot}")] * 300 + [(None, hot)] * 40 + [(2, f"{hot} y"), (9, None), (9, None), (9, ""), (7, "a b")]
+    df = spark.createDataFrame(given, SCHEMA).selectExpr("*", "monotonically_increasing_id() as rest", "1 as h", "2 as of", "3 as single", "4 as id").repartition(5)
+    out = M.remove_repeats(df)
+    assert _digest(out.fillna("", ["kept"])) == repeats_removed(given, 20)
+    assert len({r.rest for r in out.collect()}) == len(given) and {(r.h, r.of, r.single, r.id) for r in out.collect()} == {(1, 2, 3, 4)}
+
+
+def test_windows_differ_by_both_halves_of_their_hash():
+    t = pa.table({"doc_id": pa.array([1]), "text": pa.array([" ".join(f"w{i}" for i in range(30))])})
+    b = M._Batch(t, 4, 3)
+    h, g, *_ = b.windows(b.probes()[0][:20])
+    assert len(set(h.tolist())) == len(set(g.tolist())) == 20 and not set(h.tolist()) & set(g.tolist())
