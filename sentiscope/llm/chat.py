@@ -14,8 +14,8 @@ splits the turns of a conversation that holds a great share of the table.
 Defined cases: a null role speaks as the user ``unknown`` and has no rendering of its own; a
 null text is empty; a null conv_id is a conversation; a conversation with system turns only
 has no rendering; turns of the same number stay and are ordered by role and text;
-repeated rows are repeated turns; control marks inside a text are broken up with a
-blank; an empty table gives an empty table; extra columns are not read.
+repeated rows are repeated turns; control marks inside a text or a name are broken up with a
+blank, and a name's line breaks and other control characters are blanks (``perspective`` keeps the role as it is); an empty table gives an empty table; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,20 +29,31 @@ UNKNOWN = "unknown"
 
 # Fixed values of the chat markup.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
+CONTROL = r"[\x00-\x1F\x7F]"
+
+
+def _safe(c: F.Column) -> F.Column:
+    """Text in which no control mark of the markup is left."""
+    return F.replace(c, F.lit("<|im_"), F.lit("< |im_"))
+
+
+def _safe_name(c: F.Column) -> F.Column:
+    """A name on one line: control characters are blanks, so it cannot end its turn's head."""
+    return _safe(F.regexp_replace(c, CONTROL, " "))
 
 
 def rotate(conversations: DataFrame) -> DataFrame:
     """``conv_id``, ``perspective``, ``turn``, ``chat_role``, ``name``, ``rendered`` and the
     loss span [``loss_start``, ``loss_end``) in characters of ``rendered`` (empty: 0, 0)."""
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"),
-                                 F.replace(F.coalesce("text", F.lit("")), F.lit("<|im_"), F.lit("< |im_")).alias("said"))
+                                 _safe(F.coalesce("text", F.lit(""))).alias("said"))
     speakers = (conversations.where(F.col("role").isNotNull() & (F.col("role") != SYSTEM))
                 .select(F.col("conv_id").alias("_conv"), F.col("role").alias("perspective")).distinct())
     each = turns.join(speakers, F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
     own = F.col("speaker") == F.col("perspective")
     system = F.col("speaker") == SYSTEM
     role = F.when(system, SYSTEM).when(own, "assistant").otherwise("user")
-    name = F.when(~system & ~own, F.col("speaker"))
+    name = F.when(~system & ~own, _safe_name(F.col("speaker")))
     head = F.concat(F.lit(OPEN), F.col("chat_role"), F.coalesce(F.concat(F.lit(" name="), F.col("name")), F.lit("")), F.lit("\n"))
     body = F.concat(F.col("said"), F.lit(CLOSE))
     trained = F.col("chat_role") == "assistant"
@@ -80,7 +91,7 @@ s AS (SELECT DISTINCT conv_id, role AS perspective FROM conversations WHERE role
 e AS (
   SELECT t.*, s.perspective,
          CASE WHEN speaker = '{SYSTEM}' THEN '{SYSTEM}' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS chat_role,
-         CASE WHEN speaker <> '{SYSTEM}' AND speaker <> perspective THEN speaker END AS name
+         CASE WHEN speaker <> '{SYSTEM}' AND speaker <> perspective THEN replace(regexp_replace(speaker, '{CONTROL}', ' ', 'g'), '<|im_', '< |im_') END AS name
   FROM t JOIN s ON t.conv_id IS NOT DISTINCT FROM s.conv_id),
 h AS (SELECT *, '{OPEN}' || chat_role || coalesce(' name=' || name, '') || chr(10) AS head FROM e)
 SELECT conv_id, perspective, turn, chat_role, name, head || said || '{CLOSE}' || chr(10) AS rendered,
