@@ -617,7 +617,7 @@ def q_stream_dedup(spark, sf):
     spark.read.parquet(landing + "-dups").write.mode("append").partitionBy("date").parquet(landing)
     sink = scratch_path(spark, "stream-dedup")
     stream.stream_dedup(spark, landing, sink, scratch_path(spark, "ckpt"), max_files=20)
-    return spark.read.schema(stream.POST_EVENT).parquet(sink).select("id", "date", "sentiment")
+    return stream.read_posts(spark, sink).select("id", "date", "sentiment")
 
 
 @query("stream_upsert")

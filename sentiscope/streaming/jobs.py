@@ -6,10 +6,12 @@ scores. Here the file source's checkpoint is the high-water mark
 and every sink is either a file sink or a ``foreachBatch`` writer that is safe
 to replay:
 
-* dedup and the silver append skip ids already stored on any day (anti join on the id
-  column alone), so a replayed batch adds nothing and the result does not depend on where
-  batches were cut; rows without an id or a date are rejects, kept by batch;
-* windowed counts and updates by key are written under their batch id (a replay replaces its
+* ids already seen are kept as keyed state in the RocksDB store (``dropDuplicates`` by id), so a
+  batch costs what it holds, however many posts are stored; the first batch with an id wins, and
+  in it the largest row. Rows without an id or a date are rejects;
+* posts, counts and class-count deltas are committed as segments (``sources.segments``): a replayed
+  batch is committed once, and segments are merged while the stream runs;
+* updates by key are written under their batch id (a replay replaces its
   own folder) and read back last-write-wins per key;
 * recomputed days replace their gold partitions through a staging folder, so a
   path is never read and overwritten by the same job.
@@ -19,16 +21,20 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.utils import AnalysisException
 
 from ..functions.labels import canonical_feedback
 from ..operators import reputation as rep
 from ..schemas import DAILY_REPUTATION, conform
-from ..operators.ingest import new_only, one_per_key
+from ..operators.ingest import one_per_key
 from ..operators.quality import reject_reason
 from ..operators.scoring import score_posts
 from ..operators.updates import apply_feedback, apply_scores, last_write_per_key
+from ..sources import segments as seg
 from ..sources.tables import posts_from_events, restrict_to_days
 
 POST_EVENT = T.StructType([
@@ -82,19 +88,65 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None =
         return None
 
 
-def _unseen(batch: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """In-batch dedup of the rows with an id and a date, then drop ids already stored on any
-    day (a copy may carry another date; only the id column is read)."""
-    usable = batch.where(F.col("id").isNotNull() & F.col("date").isNotNull())
-    return one_per_key(usable) if stored is None else new_only(usable, stored.select("id"))
+def _largest_per_id(batches):
+    """Of the copies of an id in a partition the largest row, by the columns in order, NULL smallest."""
+    got = [b for b in batches if b.num_rows]
+    if got:
+        t = pa.Table.from_batches(got)
+        order = pc.sort_indices(t, [("id", "ascending"), *((c, "descending") for c in t.column_names if c != "id")], null_placement="at_end")
+        ids = t.column("id").combine_chunks().take(order).dictionary_encode().indices.to_numpy()
+        first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
+        yield from t.take(order.take(pa.array(first))).combine_chunks().to_batches()
 
 
-def _reject(batch: DataFrame, sink: str, batch_id: int) -> None:
-    """Rows that cannot be stored, with their reason, in the batch's own folder: a replay
-    replaces it."""
+def first_seen(posts: DataFrame) -> DataFrame:
+    """STR-02: posts whose id no earlier batch had, and the rows that cannot be stored with their reason.
+
+    The ids seen are keyed state of the stream; what a batch reads and writes of it are its own
+    ids. Copies within a batch are reduced to one by a rule before they meet the state, so the answer does not
+    depend on the order in which tasks finish.
+    """
+    usable = F.col("id").isNotNull() & F.col("date").isNotNull()
+    one = posts.where(usable).repartition("id").mapInArrow(_largest_per_id, posts.schema)
+    return (one.dropDuplicates(["id"]).withColumn("reject_reason", F.lit(None).cast("string"))
+            .unionByName(posts.where(~usable).withColumn("reject_reason", reject_reason(posts))))
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The identity of the state that a checkpoint holds; a new checkpoint has seen nothing."""
+    return spark.read.json(f"{checkpoint}/metadata").first()["id"]
+
+
+def _new_posts(batch: DataFrame, stored: seg.Manifest, root: str, stream: str | None) -> DataFrame:
+    """Rows of a batch to be stored. The state of ``stream`` has seen what that stream stored; rows that others stored
+    (its checkpoint was lost, or there is none) are looked up by id."""
+    foreign = [s for s in stored.live if stream is None or s.origin != stream]
+    usable = batch.where(F.col("id").isNotNull() & F.col("date").isNotNull()).select(*POST_EVENT.fieldNames())
+    if stream is None:
+        usable = one_per_key(usable)
+    if not foreign:
+        return usable
+    known = seg.read_segments(batch.sparkSession, root, foreign, POST_EVENT).select("id")
+    return usable.join(known.distinct(), "id", "left_anti").select(*POST_EVENT.fieldNames())
+
+
+REJECTS = T.StructType(POST_EVENT.fields + [T.StructField("reject_reason", T.StringType())])
+
+
+def _reject(batch: DataFrame, sink: str, stream: str | None, batch_id: int) -> None:
+    """Rows that cannot be stored, with their reason."""
     bad = batch.where(F.col("id").isNull() | F.col("date").isNull())
-    (bad.withColumn("reject_reason", reject_reason(bad))
-     .write.mode("overwrite").parquet(f"{sink}-rejects/batch={batch_id}"))
+    bad = bad.drop("reject_reason").withColumn("reject_reason", reject_reason(bad))
+    seg.append(bad, f"{sink}-rejects", REJECTS, stream, batch_id)
+
+
+def read_posts(spark: SparkSession, sink: str) -> DataFrame:
+    """What a stream of posts has stored."""
+    return seg.read(spark, sink, POST_EVENT)
+
+
+def read_rejects(spark: SparkSession, sink: str) -> DataFrame:
+    return seg.read(spark, f"{sink}-rejects", REJECTS)
 
 
 # ---- STR-01: incremental ingest ------------------------------------------------------------
@@ -107,19 +159,16 @@ def stream_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
 
 # ---- STR-02: drop posts already seen ----------------------------------------------------------
 
-def dedup_writer(spark: SparkSession, sink: str):
-    """``foreachBatch`` function: append only ids not stored yet; the others are dropped,
-    rows without id or date go to ``<sink>-rejects``.
-
-    A replayed batch (task or driver retry after a failure) finds its rows
-    already stored and appends nothing.
-    """
+def dedup_writer(spark: SparkSession, sink: str, checkpoint: str | None = None):
+    """``foreachBatch`` function: commits the posts not stored yet to ``sink`` and rows without id or date
+    to ``<sink>-rejects``. A batch that is committed already adds nothing. Without a checkpoint there is no state,
+    and the ids stored are read instead."""
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        stream = stream_id(spark, checkpoint) if checkpoint else None
+        stored = seg.latest(spark, sink)
         batch = batch.persist()
-        fresh = _unseen(batch, _read_or_none(spark, sink, POST_EVENT))
-        (fresh.select(*POST_EVENT.fieldNames()).hint("rebalance", "date")
-         .write.mode("append").partitionBy("date").parquet(sink))
-        _reject(batch, sink, batch_id)
+        _reject(batch, sink, stream, batch_id)
+        seg.append(_new_posts(batch, stored, sink, stream), sink, POST_EVENT, stream, batch_id, partition_by="date")
         batch.unpersist()
 
     return upsert
@@ -127,8 +176,8 @@ def dedup_writer(spark: SparkSession, sink: str):
 
 def stream_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                  max_files: int | None = None) -> None:
-    _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(dedup_writer(spark, sink)),
-         checkpoint)
+    _run(first_seen(post_stream(spark, landing, max_files)).writeStream
+         .foreachBatch(dedup_writer(spark, sink, checkpoint)), checkpoint)
 
 
 def dedup_within_watermark(src: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -145,7 +194,13 @@ def stream_dedup_watermark(spark: SparkSession, landing: str, sink: str, checkpo
 
 # ---- STR-03: tumbling day counts per class -----------------------------------------------------
 
-COUNTS_LOG = "day date, sentiment string, count long, batch_id long"
+COUNTS_LOG = T.StructType([T.StructField("day", T.DateType()), T.StructField("sentiment", T.StringType()),
+                           T.StructField("count", T.LongType()), T.StructField("batch_id", T.LongType())])
+
+
+def _last_counts(log: DataFrame) -> DataFrame:
+    return (log.groupBy("day", "sentiment").agg(F.max(F.struct("batch_id", "count")).alias("v"))
+            .select("day", "sentiment", "v.count", "v.batch_id"))
 
 
 def stream_daily_counts(spark: SparkSession, landing: str, sink: str, checkpoint: str,
@@ -153,28 +208,30 @@ def stream_daily_counts(spark: SparkSession, landing: str, sink: str, checkpoint
     """Update mode: each batch emits the running count of every touched (day, class).
 
     There is no watermark: a post counts for its day however late it comes. The state is
-    one number for each day and class, so it grows with the calendar, not with posts.
+    one number for each day and class, so it grows with the calendar, not with posts. The log's segments are
+    merged to the last count of each key.
     """
     counts = (post_stream(spark, landing, max_files)
               .groupBy(F.window("ts", "1 day"), "sentiment")
               .agg(F.count(F.lit(1)).alias("count")))
 
     def log(batch: DataFrame, batch_id: int) -> None:
-        (batch.select(F.to_date(F.col("window.start")).alias("day"), "sentiment", "count",
-                      F.lit(batch_id).cast("long").alias("batch_id"))
-         .write.mode("overwrite").parquet(f"{sink}/batch={batch_id}"))
+        rows = batch.select(F.to_date(F.col("window.start")).alias("day"), "sentiment", "count", F.lit(batch_id).cast("long").alias("batch_id"))
+        seg.append(rows, sink, COUNTS_LOG, stream_id(spark, checkpoint), batch_id, merge=_last_counts)
 
     _run(counts.writeStream.outputMode("update").foreachBatch(log), checkpoint)
 
 
 def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
-    log = spark.read.schema(COUNTS_LOG).parquet(sink)
-    return (log.groupBy("day", "sentiment")
-            .agg(F.max_by("count", "batch_id").alias("count"))
-            .withColumnRenamed("day", "date"))
+    return _last_counts(seg.read(spark, sink, COUNTS_LOG)).select(F.col("day").alias("date"), "sentiment", "count")
 
 
-DELTAS = "date date, positive_count long, negative_count long, neutral_count long"
+CLASS_COUNTS = ("positive_count", "negative_count", "neutral_count")
+DELTAS = T.StructType([T.StructField("date", T.DateType()), *(T.StructField(c, T.LongType()) for c in CLASS_COUNTS)])
+
+
+def _summed(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("date").agg(*[F.sum(c).alias(c) for c in CLASS_COUNTS])
 
 
 # ---- STR-04: late rows are added to their day ----------------------------------------------------
@@ -185,26 +242,20 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
     """Keep the new posts of each batch, and overwrite the gold partitions of the days it
     touched with the sum of the class counts of all batches.
 
-    No row is dropped however late it is. A batch writes its new posts to
-    ``<silver>/batch=<id>`` and their class counts by day to ``<gold>-deltas/batch=<id>``;
-    of what is stored it reads the id column (for the dedup) and the counts of the
-    touched days, a few numbers a batch, however many posts a day has. A replay
-    leaves its own folder out of the dedup and replaces it, so it writes the same
-    again. The new days go to a fresh staging folder first, so gold is never
+    No row is dropped however late it is. A batch commits its new posts to ``silver`` and their class counts by
+    day to ``<gold>-deltas``, whose segments are merged to sums; of what is stored it reads the
+    counts of the touched days, however many posts a day has. A replay commits nothing anew and writes the
+    same gold days again. The new days go to a fresh staging folder first, so gold is never
     read and overwritten by one job.
     """
     def upsert(batch: DataFrame, batch_id: int) -> None:
+        stream, deltas = stream_id(spark, checkpoint), f"{gold}-deltas"
         batch = batch.persist()
-        stored = _read_or_none(spark, silver, T.StructType(POST_EVENT.fields + [T.StructField("batch", T.LongType())]))
-        fresh = _unseen(batch, None if stored is None else stored.where(F.col("batch") != batch_id))
-        mine, deltas = f"{silver}/batch={batch_id}", f"{gold}-deltas"
-        (fresh.select(*POST_EVENT.fieldNames()).hint("rebalance", "date")
-         .write.mode("overwrite").partitionBy("date").parquet(mine))
-        _reject(batch, silver, batch_id)
-        (rep.class_counts(spark.read.schema(POST_EVENT).parquet(mine))
-         .write.mode("overwrite").parquet(f"{deltas}/batch={batch_id}"))
-        counts = restrict_to_days(spark.read.schema(DELTAS).parquet(deltas), batch)
-        total = counts.groupBy("date").agg(*[F.sum(c).alias(c) for c in ("positive_count", "negative_count", "neutral_count")])
+        _reject(batch, silver, stream, batch_id)
+        fresh = _new_posts(batch, seg.latest(spark, silver), silver, stream)  # the same in a replay: a stream's own segments do not count
+        seg.append(fresh, silver, POST_EVENT, stream, batch_id, partition_by="date")
+        seg.append(rep.class_counts(fresh), deltas, DELTAS, stream, batch_id, merge=_summed)
+        total = _summed(restrict_to_days(seg.read(spark, deltas, DELTAS), batch))
         stage = f"{gold}-staging/{batch_id}-{uuid.uuid4().hex}"
         (conform(rep.with_index(total, weights), DAILY_REPUTATION)
          .write.mode("overwrite").partitionBy("date").parquet(stage))
@@ -213,25 +264,13 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
          .partitionBy("date").parquet(gold))
         batch.unpersist()
 
-    _run(post_stream(spark, landing, max_files).writeStream.foreachBatch(upsert), checkpoint)
+    _run(first_seen(post_stream(spark, landing, max_files)).writeStream.foreachBatch(upsert), checkpoint)
 
 
 def read_gold(spark: SparkSession, gold: str) -> DataFrame:
     return spark.read.schema(DAILY_REPUTATION).parquet(gold).select(*DAILY_REPUTATION.fieldNames())
 
 
-def compact_log(spark: SparkSession, log: str, keys: list[str], cols: list[str], out: str) -> None:
-    """Rewrite a batch-id log as one row per key (its latest values) into a new folder.
-
-    The read side (``max_by`` over ``batch_id``) gives the same answer before and
-    after; compaction only bounds the log's growth. Readers switch to ``out``.
-    """
-    df = spark.read.parquet(log)
-    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols, "batch_id"), "batch_id").alias("v"))
-    (latest.select(*keys, *[F.col(f"v.{c}").alias(c) for c in cols + ["batch_id"]])
-     .write.mode("overwrite").parquet(out))
-
-
 # ---- STR-06: scores and feedback by key, in micro-batches -------------------------------------------
 
 UPDATE_EVENT = T.StructType([

@@ -1,10 +1,14 @@
 """Streaming: stream = batch, incremental pickup, closed days vs. late rows."""
 
 import datetime as dt
+import os
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from sentiscope.operators import reputation as rep
+from sentiscope.sources import segments as seg
 from sentiscope.sources.tables import Tables
 from sentiscope.streaming import jobs as stream
 
@@ -71,7 +75,7 @@ def test_dedup_stream_is_replay_safe(spark, scratch):
     _land_day(spark, landing, 1, [1, 2], start_id=0)  # the same posts landed again
     _land_day(spark, landing, 2, [1], start_id=5)
     stream.stream_dedup(spark, landing, f"{scratch}/sink", f"{scratch}/ck", max_files=1)
-    assert sorted(r.id for r in spark.read.parquet(f"{scratch}/sink").collect()) == ["0", "1", "5"]
+    assert sorted(r.id for r in stream.read_posts(spark, f"{scratch}/sink").collect()) == ["0", "1", "5"]
 
 
 def test_watermark_dedup_drops_repeats_within_delay(spark, scratch):
@@ -92,7 +96,7 @@ def test_update_mode_counts_over_ordered_batches(spark, scratch):
     got = {(r.date.day, r.sentiment): r["count"] for r in stream.latest_counts(spark, f"{scratch}/log").collect()}
     assert got == {(1, "positive"): 3, (1, "negative"): 1, (2, "positive"): 2}
     # three batches were logged; the read side keeps the latest count per key
-    assert spark.read.parquet(f"{scratch}/log").select("batch_id").distinct().count() == 3
+    assert seg.read(spark, f"{scratch}/log", stream.COUNTS_LOG).select("batch_id").distinct().count() == 3
 
 
 def test_dedup_writer_replay_adds_nothing(spark, scratch):
@@ -101,18 +105,23 @@ def test_dedup_writer_replay_adds_nothing(spark, scratch):
     write = stream.dedup_writer(spark, f"{scratch}/sink")
     write(batch, 0)
     write(batch, 0)  # the same micro-batch again, as after a failure
-    assert spark.read.parquet(f"{scratch}/sink").count() == 3
+    assert stream.read_posts(spark, f"{scratch}/sink").count() == 3
 
 
-def test_compacted_log_reads_the_same(spark, scratch):
+def test_merged_logs_read_the_same_and_stay_small(spark, scratch):
     landing = f"{scratch}/landing"
-    _land_day(spark, landing, 1, [1, 2], start_id=0)
-    _land_day(spark, landing, 1, [3], start_id=5)
+    for n in range(20):
+        _land_day(spark, landing, 1 + n % 3, [n], start_id=10 * n, sentiment="positive" if n % 4 else "negative")
     stream.stream_daily_counts(spark, landing, f"{scratch}/log", f"{scratch}/ck", max_files=1)
-    before = rows(stream.latest_counts(spark, f"{scratch}/log"))
-    stream.compact_log(spark, f"{scratch}/log", ["day", "sentiment"], ["count"], f"{scratch}/log2")
-    assert spark.read.parquet(f"{scratch}/log2").count() == 1
-    assert rows(stream.latest_counts(spark, f"{scratch}/log2")) == before == [(dt.date(2024, 1, 1), "positive", 3)]
+    got = {(r.date.day, r.sentiment): r["count"] for r in stream.latest_counts(spark, f"{scratch}/log").collect()}
+    want = Counter((1 + n % 3, "positive" if n % 4 else "negative") for n in range(20))
+    assert got == dict(want)
+    live = seg.latest(spark, f"{scratch}/log").live
+    assert len(live) <= 7 * 2 and max(s.tier for s in live) == 1
+    folders = [n for n in os.listdir(f"{scratch}/log") if n.startswith("segment=")]
+    assert len(folders) <= len(live) + 2 * seg.FAN  # merged ones go after some versions
+    assert len(os.listdir(f"{scratch}/log/_manifest")) <= seg.KEEP + 2
+
 
 def test_landing_splits_a_day_above_the_advisory_size(spark, scratch):
     import glob
@@ -143,7 +152,7 @@ def test_copies_on_other_days_are_one_post_whatever_the_batches(spark, scratch):
         write = stream.dedup_writer(spark, f"{scratch}/{name}")
         for n, part in enumerate(cut):
             write(spark.createDataFrame(part, stream.POST_EVENT), n)
-        assert sorted(r.id for r in spark.read.parquet(f"{scratch}/{name}").collect()) == ["1", "2"]
+        assert sorted(r.id for r in stream.read_posts(spark, f"{scratch}/{name}").collect()) == ["1", "2"]
 
 
 def test_rows_without_id_or_date_are_rejects_once(spark, scratch):
@@ -151,8 +160,8 @@ def test_rows_without_id_or_date_are_rejects_once(spark, scratch):
     write = stream.dedup_writer(spark, f"{scratch}/sink")
     for _ in range(2):  # a replay
         write(spark.createDataFrame(given, stream.POST_EVENT), 0)
-    assert [r.id for r in spark.read.parquet(f"{scratch}/sink").collect()] == ["1"]
-    bad = spark.read.parquet(f"{scratch}/sink-rejects").collect()
+    assert [r.id for r in stream.read_posts(spark, f"{scratch}/sink").collect()] == ["1"]
+    bad = stream.read_rejects(spark, f"{scratch}/sink").collect()
     assert sorted(r.reject_reason for r in bad) == ["missing_date", "missing_id", "missing_id"]
 
 
@@ -208,3 +217,73 @@ def test_reputation_batches_replay_and_late_days(spark, scratch):
     # the same batches once more over what they stored, as after the loss of the checkpoint
     stream.stream_daily_reputation(*args, f"{scratch}/ck-new", max_files=1)
     assert rows(stream.read_gold(spark, f"{scratch}/gold")) == want
+
+
+def test_copies_in_one_batch_leave_the_largest_row_and_old_ids_stay_out(spark, scratch):
+    landing, sink, ck = f"{scratch}/landing", f"{scratch}/sink", f"{scratch}/ck"
+    one = [_post("1", 1, "negative"), _post("1", 1, "positive"), _post("1", 2, "neutral"), _post("2", 1, None), _post(None, 3), _post("3", 4, date=None)]
+    spark.createDataFrame(one, stream.POST_EVENT).repartition(3).write.parquet(landing)
+    stream.stream_dedup(spark, landing, sink, ck)
+    spark.createDataFrame([_post("1", 9, "positive"), _post("4", 1)], stream.POST_EVENT).write.mode("append").parquet(landing)
+    stream.stream_dedup(spark, landing, sink, ck)
+    got = {(r.id, r.sentiment, r.date.day) for r in stream.read_posts(spark, sink).collect()}
+    assert got == {("1", "positive", 1), ("2", None, 1), ("4", "positive", 1)}
+    assert sorted(r.reject_reason for r in stream.read_rejects(spark, sink).collect()) == ["missing_date", "missing_id"]
+
+
+def test_a_batch_reads_nothing_of_what_is_stored(spark, scratch, monkeypatch):
+    """The files a batch opens are its own and the manifest, however much is stored."""
+    landing, sink, ck = f"{scratch}/landing", f"{scratch}/sink", f"{scratch}/ck"
+    read = []
+    real = seg.read_segments
+    monkeypatch.setattr(seg, "read_segments", lambda spark_, root, segments, schema: read.append((root, len(list(segments)))) or real(spark_, root, segments, schema))
+    for n in range(5):
+        spark.createDataFrame([_post(str(10 * n + k), 1 + k) for k in range(10)], stream.POST_EVENT).coalesce(1).write.mode("append").parquet(landing)
+        stream.stream_dedup(spark, landing, sink, ck)
+    assert read == []
+    assert real(spark, sink, seg.latest(spark, sink).live, stream.POST_EVENT).count() == 50
+
+
+def test_a_lost_checkpoint_does_not_store_posts_twice(spark, scratch):
+    landing, sink = f"{scratch}/landing", f"{scratch}/sink"
+    spark.createDataFrame([_post(str(k), 1) for k in range(5)], stream.POST_EVENT).coalesce(1).write.parquet(landing)
+    stream.stream_dedup(spark, landing, sink, f"{scratch}/ck")
+    spark.createDataFrame([_post("3", 2), _post("9", 2)], stream.POST_EVENT).coalesce(1).write.mode("append").parquet(landing)
+    stream.stream_dedup(spark, landing, sink, f"{scratch}/ck-new")  # one batch, cut otherwise
+    assert sorted(r.id for r in stream.read_posts(spark, sink).collect()) == ["0", "1", "2", "3", "4", "9"]
+    spark.createDataFrame([_post("9", 3), _post("0", 3), _post("10", 3)], stream.POST_EVENT).coalesce(1).write.mode("append").parquet(landing)
+    stream.stream_dedup(spark, landing, sink, f"{scratch}/ck-new")
+    assert sorted(r.id for r in stream.read_posts(spark, sink).collect()) == ["0", "1", "10", "2", "3", "4", "9"]
+
+
+@pytest.mark.parametrize("dies", ["silver", "gold-deltas"])
+def test_a_batch_that_died_half_way_is_counted_once(spark, scratch, monkeypatch, dies):
+    landing = f"{scratch}/landing"
+    _land_day(spark, landing, 1, [1, 2, 3], start_id=0)
+    args = (spark, landing, f"{scratch}/silver", f"{scratch}/gold", f"{scratch}/ck")
+    real = seg.append
+
+    def append(df, root, *a, **k):
+        made = real(df, root, *a, **k)
+        if root.endswith(dies):
+            raise RuntimeError("the driver is lost after this commit")
+        return made
+
+    monkeypatch.setattr(seg, "append", append)
+    with pytest.raises(Exception):
+        stream.stream_daily_reputation(*args)
+    monkeypatch.undo()
+    stream.stream_daily_reputation(*args)
+    assert [(r.date.day, r.positive_count) for r in stream.read_gold(spark, f"{scratch}/gold").collect()] == [(1, 3)]
+    assert stream.read_posts(spark, f"{scratch}/silver").count() == 3
+
+
+def test_silver_segments_stay_few_over_many_batches(spark, scratch):
+    landing = f"{scratch}/landing"
+    for n in range(18):
+        _land_day(spark, landing, 1 + n % 4, [n], start_id=10 * n)
+    stream.stream_daily_reputation(spark, landing, f"{scratch}/silver", f"{scratch}/gold", f"{scratch}/ck", max_files=1)
+    for root in (f"{scratch}/silver", f"{scratch}/gold-deltas"):
+        assert len(seg.latest(spark, root).live) <= 8
+    assert stream.read_posts(spark, f"{scratch}/silver").count() == 18
+    assert {(r.date.day, r.positive_count) for r in stream.read_gold(spark, f"{scratch}/gold").collect()} == {(1, 5), (2, 5), (3, 4), (4, 4)}
