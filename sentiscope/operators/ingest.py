@@ -1,30 +1,17 @@
 """Ingest: keyword search, high-water marks, dedup on append (FLT-07/08, JON-05..07, AGG-20, SET-01).
 
 The keyword match (JON-06) is a containment test of every keyword against every
-post. It is never run as a join, so no (post, keyword) pair is formed unless it
-matches:
-
-* a short list (checked count) is inlined into the plan as literals, one
-  ``instr`` per keyword inside whole-stage codegen, and the hits are exploded:
-  a map-only projection over the posts;
-* a long list is matched by an Aho-Corasick automaton in ``mapInPandas``: one
-  scan of each text finds every keyword it contains, whatever the list size.
-  The list reaches the tasks as broadcast chunks of bounded bytes (checked per
-  chunk before it is fetched); each chunk is one map-only pass over the posts.
+post, by the rare-gram index of ``operators.keywords``: no (post, keyword) pair is formed unless they share
+the keyword's rarest gram, and lists of any length go the same way.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .keywords import match
+
 REPOST = "^RT @"
-# Keywords inlined as literals into the plan; longer lists use the automaton.
-MAX_INLINE_KEYWORDS = 256
-# Bytes of keyword text shipped to the tasks per automaton pass.
-AUTOMATON_CHUNK_BYTES = 32 << 20
 
 
 def eligible_posts(posts: DataFrame, lang: str | None = "en") -> DataFrame:
@@ -47,82 +34,11 @@ def normalise_keywords(df: DataFrame) -> DataFrame:
     return df.select(k.alias("keyword")).where(F.length("keyword") > 0).distinct()
 
 
-def _inline_match(eligible: DataFrame, words: list[str]) -> DataFrame:
-    lc = F.col("_lc")
-    hits = F.array_compact(F.array(*[F.when(F.instr(lc, F.lit(w)) > 0, F.lit(w)) for w in words]))
-    return eligible.select(F.explode(hits).alias("keyword"), "id")
-
-
-def _contained(words: list[str]):
-    """texts -> keywords contained in each; Aho-Corasick when available, else a plain scan."""
-    try:
-        import ahocorasick
-    except ImportError:  # executors without the package: same answer, slower
-        return lambda text: {w for w in words if w in text}
-    auto = ahocorasick.Automaton()
-    for w in words:
-        auto.add_word(w, w)
-    auto.make_automaton()
-    return lambda text: {w for _, w in auto.iter(text)}
-
-
-def _automaton_match(eligible: DataFrame, words: list[str]) -> DataFrame:
-    spark = eligible.sparkSession
-    shipped = spark.sparkContext.broadcast(words)
-    id_type = eligible.schema["id"].dataType.simpleString()
-
-    def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        contained = _contained(shipped.value)  # built once per task
-        for pdf in batches:
-            kw, ids = [], []
-            for i, text in zip(pdf["id"], pdf["_lc"]):
-                if isinstance(text, str) and text:
-                    for w in contained(text):
-                        kw.append(w)
-                        ids.append(i)
-            yield pd.DataFrame({"keyword": pd.Series(kw, dtype=object), "id": pd.Series(ids, dtype=object)})
-
-    return eligible.select("id", "_lc").mapInPandas(match, f"keyword string, id {id_type}")
-
-
-def _chunks(kws: DataFrame, total_chars: int, longest: int, chunk_bytes: int) -> tuple[DataFrame, int]:
-    """Keywords tagged with a chunk ``_c`` (of ``k`` chunks) so that no chunk holds more
-    than ``2 * max(chunk_bytes, 4 * longest)`` bytes (4 bytes per character at most).
-    The per-chunk sizes are checked, not assumed; ``k`` doubles until they fit."""
-    limit = 2 * max(chunk_bytes, 4 * longest)  # a chunk can always hold its longest keyword
-    k = max(1, -(-4 * total_chars // chunk_bytes))
-    for _ in range(16):
-        tagged = kws.withColumn("_c", F.pmod(F.xxhash64("keyword"), F.lit(k)))
-        biggest = tagged.groupBy("_c").agg(F.sum(F.length("keyword")).alias("b")).agg(F.max("b")).first()[0]
-        if biggest is None or 4 * biggest <= limit:
-            return tagged, k
-        k *= 2
-    raise ValueError(f"keyword chunks stay above {limit} bytes")
-
-
-def keyword_match(posts: DataFrame, keywords: DataFrame, lang: str | None = "en",
-                  max_inline: int = MAX_INLINE_KEYWORDS,
-                  chunk_bytes: int = AUTOMATON_CHUNK_BYTES) -> DataFrame:
-    """JON-06 + FLT-07: one row per (keyword, post) where the lower-cased text contains the keyword."""
-    eligible = eligible_posts(posts, lang).select("id", F.lower(F.col("text")).alias("_lc"))
-    kws = normalise_keywords(keywords)
-    stats = kws.agg(F.count(F.lit(1)).alias("n"),
-                    F.coalesce(F.sum(F.length("keyword")), F.lit(0)).alias("chars"),
-                    F.coalesce(F.max(F.length("keyword")), F.lit(0)).alias("longest")).first()
-    if stats["n"] == 0:
-        return eligible.select(F.lit(None).cast("string").alias("keyword"), "id").where(F.lit(False))
-    if stats["n"] <= max_inline:
-        return _inline_match(eligible, sorted(r[0] for r in kws.collect()))  # checked: <= max_inline
-    tagged, k = _chunks(kws, int(stats["chars"]), int(stats["longest"]), chunk_bytes)
-    parts = []
-    for c in range(k):  # each chunk: fetched under the checked byte bound, one map-only pass
-        words = sorted(r[0] for r in tagged.where(F.col("_c") == c).select("keyword").collect())
-        if words:
-            parts.append(_automaton_match(eligible, words))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def keyword_match(posts: DataFrame, keywords: DataFrame, lang: str | None = "en") -> DataFrame:
+    """JON-06 + FLT-07: one row per (keyword, post) where the lower-cased text contains the keyword. Null and
+    empty texts contain none; an id that comes in several rows counts once."""
+    texts = eligible_posts(posts, lang).select("id", F.lower("text").alias("lc"))
+    return match(texts, normalise_keywords(keywords))
 
 
 def high_water_marks(matched: DataFrame, key: str = "keyword", id_col: str = "id") -> DataFrame:

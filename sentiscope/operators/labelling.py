@@ -1,23 +1,23 @@
 """Training labels, the exact seeded split and split profiles (ML-01..03, AGG-11..13, AGG-19).
 
-Exact split without one big partition (a distributed ``zipWithIndex``): rows are
-sorted globally by ``(md5(key || seed), key, u)`` where ``u`` is a per-row unique
-tiebreak. Range partitioning of that sort splits any group, even a key copied
-into a third of all rows, because ``u`` differs between copies. The sorted rows
-are numbered inside their partition, checkpointed once (so every branch sees the
-same numbering, also after an executor loss), and each partition's offset comes
-from a per-partition count table whose size is bounded by the partition count
-(a proven broadcast bound). For unique keys the order is exactly
-``md5(key || seed), key``. The stratified variant (D21) ranks inside each class
-the same way, with the class as the leading sort key.
+Exact split by radix selection: rows have a place in the order of ``md5(key || seed)`` (copies of
+a key: of a hash of the whole row), but they are never sorted. The two cuts, after the test
+share and after the validation share, are found from counts: rows are counted by the first digits
+of their hash, and only the bucket that holds a cut is counted again by the next
+digits, until a cut lies between two buckets. Then one comparison with the cuts gives each row its
+split where it lies: no exchange of rows, no checkpoint. If a cut falls into rows that are equal in
+every column, so many of them as the cut asks for go to its left; which ones cannot be told apart. The
+stratified variant (D21) selects the cuts of all classes at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.labels import canonical_label, label_source
-from ..session import checkpoint_root
+from ..session import scratch_path
 
 SPLITS = ("train", "validation", "test")
 
@@ -31,66 +31,111 @@ def training_labels(posts: DataFrame, source: str = "feedback_first",
             .where(F.col("label").isNotNull()))
 
 
-def seeded_rank(df: DataFrame, key: str = "id", seed: int = 42, by: tuple[str, ...] = ()) -> DataFrame:
-    """ML-01: 1-based rank in ``md5(key || seed)`` order plus the total ``_n``; with
-    ``by``, rank and total are per group (a stratum such as the class).
-
-    Groups are contiguous in the global sort ``(by, hash, key, u)``, so a group
-    spans a run of sorted partitions. The count table has one row per
-    (partition, group) present in it, at most partitions + groups rows, and gives
-    each piece its offset inside the group and the first row position it holds
-    in that partition. No window ever holds the rows of a group, so a class
-    with most of the rows is still ranked by every task in parallel.
-    """
-    checkpoint_root(df.sparkSession)
-    by = tuple(by)
-    h = F.md5(F.concat(F.col(key).cast("string"), F.lit(str(seed))))
-    x = df.withColumn("_h", h).withColumn("_u", F.monotonically_increasing_id())
-    m = F.monotonically_increasing_id()  # after the sort: partition index in the high bits
-    numbered = (x.orderBy(*by, "_h", key, "_u")
-                .withColumn("_m", m)
-                .withColumn("_p", F.shiftright(F.col("_m"), 33))
-                .withColumn("_i", F.col("_m").bitwiseAND(F.lit((1 << 33) - 1)))
-                .drop("_m", "_u")
-                .checkpoint())
-    counts = numbered.groupBy("_p", *by).agg(F.count(F.lit(1)).alias("_c"), F.min("_i").alias("_first"))
-    group = Window.partitionBy(*by)
-    before = group.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("_p").alias("_op"), *[F.col(b).alias(f"_o_{b}") for b in by], "_first",
-        F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_off"),
-        F.sum("_c").over(group).alias("_n"))
-    cond = F.col("_p") == F.col("_op")
-    for b in by:
-        cond = cond & F.col(b).eqNullSafe(F.col(f"_o_{b}"))
-    return (numbered.join(F.broadcast(offsets), cond)
-            .withColumn("_rank", F.col("_off") + F.col("_i") - F.col("_first") + 1)
-            .drop("_h", "_p", "_i", "_op", "_first", "_off", *[f"_o_{b}" for b in by]))
-
-
-def split_by_rank(ranked: DataFrame, test_share: float = 0.2, val_share: float = 0.1) -> DataFrame:
-    """ML-02: test = first ceil(test_share*n), validation = next ceil(val_share*(n-test))."""
-    n = F.col("_n").cast("double")
+#: Hexadecimal digits that one count tells apart, and those of the key's and the row's hash.
+DIGITS, KEY_DIGITS, ROW_DIGITS = 4, 32, 16
+#: Copies of one row that are made in one place.
+CHUNK = 100_000
+
+
+def _place(df: DataFrame, key: str, seed: int, digits: int) -> F.Column:
+    """ML-01: a row's place in the seeded order as hexadecimal text; only as much of it as is asked for."""
+    h = F.md5(F.coalesce(F.concat(F.col(key).cast("string"), F.lit(str(seed))), F.lit("")))
+    if digits <= KEY_DIGITS:
+        return F.substring(h, 1, digits)
+    return F.substring(F.concat(h, F.lower(F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns])), ROW_DIGITS, "0"))), 1, digits)
+
+
+def _held(counted: DataFrame, by: list[str]) -> DataFrame:
+    """The buckets (``p``, ``c`` rows) in which the targets lie: ``below`` rows come before the bucket."""
+    group = Window.partitionBy(*by, "which")  # at most 16 ** DIGITS rows
+    cum = F.col("start") + F.sum("c").over(group.orderBy("p"))
+    return (counted.withColumn("cum", cum).where("target BETWEEN cum - c + 1 AND cum")
+            .select(*by, "which", "target", "p", (F.col("cum") - F.col("c")).alias("below"), "c"))
+
+
+def split_cuts(df: DataFrame, key: str = "id", seed: int = 42, test_share: float = 0.2, val_share: float = 0.1,
+               by: tuple[str, ...] = ()) -> DataFrame:
+    """ML-02: for each group of ``by`` the cuts 0 (test) and 1 (validation): rows whose place begins with ``p`` or less
+    come before it, ``target`` of them, and of the ``c`` rows that begin with ``p`` only ``target - below`` do."""
+    spark = df.sparkSession
+    groups = [f"_by{n}" for n in range(len(by))]
+    own = [F.col(b).alias(g) for b, g in zip(by, groups)]
+
+    def kept(cuts: DataFrame) -> DataFrame:
+        path = scratch_path(spark, "split-cuts")
+        cuts.write.parquet(path)
+        return spark.read.parquet(path)
+
+    counted = df.groupBy(*own, _place(df, key, seed, DIGITS).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    n = F.sum("c").over(Window.partitionBy(*groups)).cast("double")
     t = F.ceil(F.lit(float(test_share)) * n)
     v = F.ceil(F.lit(float(val_share)) * (n - t))
-    split = (F.when(F.col("_rank") <= t, "test")
-             .when(F.col("_rank") <= t + v, "validation")
-             .otherwise("train"))
-    return ranked.withColumn("split", split).drop("_rank", "_n")
+    counted = (counted.withColumn("t", t).withColumn("v", v)
+               .select("*", F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("t").alias("target")),
+                                              F.struct(F.lit(1).alias("which"), (F.col("t") + F.col("v")).alias("target")))).alias("cut"))
+               .select(*groups, "p", "c", "cut.which", "cut.target", F.lit(0).cast("long").alias("start")))
+    cuts = kept(_held(counted, groups))
+    done, digits = [], DIGITS
+    while True:
+        inside = (F.col("below") + F.col("c") != F.col("target")) & (digits < KEY_DIGITS + ROW_DIGITS)
+        done.append(cuts.where(~inside))
+        open_ = cuts.where(inside)
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, done)
+        digits += DIGITS
+        x = df.select(*own, _place(df, key, seed, digits).alias("x"))
+        o = open_.select(*[F.col(g).alias(f"_o{n}") for n, g in enumerate(groups)], "which", "target", F.col("p").alias("prefix"), F.col("below").alias("start"))
+        on = F.substring("x", 1, digits - DIGITS) == F.col("prefix")
+        for n, g in enumerate(groups):
+            on = on & F.col(g).eqNullSafe(F.col(f"_o{n}"))
+        counted = x.join(o, on).groupBy(*groups, "which", "target", "start", F.col("x").alias("p")).agg(F.count(F.lit(1)).alias("c"))
+        cuts = kept(_held(counted, groups))
 
 
 def train_val_test_split(labelled: DataFrame, key: str = "id", seed: int = 42,
                          test_share: float = 0.2, val_share: float = 0.1,
                          stratify_by: str | None = None) -> DataFrame:
-    """ML-02; random by default (D21). With ``stratify_by`` the same exact cut is made
-    inside every class, so each split keeps the class shares."""
+    """ML-02: test = first ceil(test_share*n) rows in the seeded order, validation = next ceil(val_share*(n-test)); random by
+    default (D21). With ``stratify_by`` the same exact cut is made inside every class, so each split keeps the class shares."""
     by = (stratify_by,) if stratify_by else ()
-    return split_by_rank(seeded_rank(labelled, key, seed, by), test_share, val_share)
+    cuts = split_cuts(labelled, key, seed, test_share, val_share, by)
+    whole = KEY_DIGITS + ROW_DIGITS
+    wide = cuts.groupBy(*[F.col(f"_by{n}") for n in range(len(by))]).agg(
+        *[F.max(F.when(F.col("which") == w, F.col(c))).alias(f"_{c}{w}") for w in (0, 1) for c in ("p", "below", "target")],
+        F.max(F.when((F.length("p") == whole) & (F.col("below") + F.col("c") != F.col("target")), F.col("p"))).alias("_equal"),
+        F.max(F.length("p")).alias("_digits"))
+    path = scratch_path(labelled.sparkSession, "split-groups")
+    wide.write.parquet(path)
+    wide = labelled.sparkSession.read.parquet(path)
+    digits, equal = wide.agg(F.max("_digits"), F.max("_equal")).first()
+    if digits is None:
+        return labelled.withColumn("split", F.lit("train"))  # no row, or no share
+    names = [f"_{c}{w}" for w in (0, 1) for c in ("p", "below", "target")] + ["_equal"]
+    x = labelled.withColumn("_x", _place(labelled, key, seed, digits))
+    if by:
+        x = x.join(wide.drop("_digits"), F.col(by[0]).eqNullSafe(F.col("_by0")), "left")
+    else:  # one row: constants of the plan
+        row = wide.first()
+        x = x.select("*", *[F.lit(row[n]).cast(wide.schema[n].dataType).alias(n) for n in names])
+    before = lambda w: F.coalesce(F.substring("_x", F.lit(1), F.length(f"_p{w}")) <= F.col(f"_p{w}"), F.lit(False))
+    name = lambda first, second: F.when(first, "test").when(second, "validation").otherwise("train").alias("split")
+    if equal is None:
+        return x.select(*labelled.columns, name(before(0), before(1)))
+    cut = F.coalesce(F.col("_x") == F.col("_equal"), F.lit(False)) | F.coalesce(F.col("_x") == F.col("_p0"), F.lit(False))
+    same = x.where(cut).groupBy(*[F.col(f"`{c}`") for c in labelled.columns], "_x", *names).agg(F.count(F.lit(1)).alias("_c"))
+    order = Window.partitionBy("_x").orderBy(F.to_json(F.struct(*[F.col(f"`{c}`") for c in labelled.columns])))  # rows of one hash: as good as one
+    same = same.withColumn("_at", F.sum("_c").over(order) - F.col("_c"))
+    made = (same.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_c") - 1) / CHUNK))))
+            .repartition("_x", "_k").withColumn("_i", F.explode(F.sequence(F.col("_k") * CHUNK + 1, F.least("_c", (F.col("_k") + 1) * CHUNK)))))
+    left = lambda w: F.when(F.col("_x") == F.col(f"_p{w}"), F.col(f"_below{w}") + F.col("_at") + F.col("_i") <= F.col(f"_target{w}")).otherwise(before(w))
+    return (x.where(~cut).select(*labelled.columns, name(before(0), before(1)))
+            .unionByName(made.select(*labelled.columns, name(left(0), left(1)))))
 
 
 def split_sizes(split: DataFrame) -> DataFrame:
     """AGG-13: rows per split and the grand total (split NULL)."""
-    return split.rollup("split").agg(F.count(F.lit(1)).alias("n"))
+    per = split.groupBy("split").agg(F.count(F.lit(1)).alias("c"))  # a few rows a task; only these are rolled up
+    return per.rollup("split").agg(F.sum("c").alias("n"))
 
 
 def split_class_counts(split: DataFrame) -> DataFrame:
@@ -100,7 +145,8 @@ def split_class_counts(split: DataFrame) -> DataFrame:
 
 def distribution_matrix(split: DataFrame) -> DataFrame:
     """AGG-12: class x split with row and column totals (cube, then pivot on split)."""
-    c = split.cube("label", "split").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g"))
+    per = split.groupBy("label", "split").agg(F.count(F.lit(1)).alias("c"))
+    c = per.cube("label", "split").agg(F.sum("c").alias("n"), F.grouping_id().alias("g"))
     cells = c.select(
         F.when(F.col("g").bitwiseAND(2) == 0, F.col("label")).alias("label"),
         F.when(F.col("g").bitwiseAND(1) == 0, F.col("split")).otherwise(F.lit("total")).alias("col"),

@@ -350,6 +350,14 @@ def q_keyword_match(spark, sf):
     return ing.keyword_match(Tables(spark, sf).posts_text(), ing.keyword_table(spark, P.KEYWORDS))
 
 
+@query("keyword_match_list")
+def q_keyword_match_list(spark, sf):
+    """A long list, read from a keyword file: the first word of every document."""
+    posts, path = Tables(spark, sf).posts_text(), scratch_path(spark, "keywords")
+    posts.select(F.regexp_extract("text", r"[^\x20\x09-\x0D]+", 0).alias("value")).where(F.length("value") > 0).write.text(path)
+    return ing.keyword_match(posts, corpus.read_keywords(spark, path))
+
+
 @query("high_water_marks")
 def q_high_water_marks(spark, sf):
     matched = ing.keyword_match(Tables(spark, sf).posts_text(), ing.keyword_table(spark, P.KEYWORDS))

@@ -308,6 +308,10 @@ MATCH_CTE = """matched AS (
   SELECT k.keyword, p.id FROM posts_text p JOIN kw k ON instr(lower(p.text), k.keyword) > 0
   WHERE p.lang = 'en' AND NOT coalesce(regexp_matches(p.text, '^RT @'), false))"""
 SQL["keyword_match"] = text_sql("SELECT keyword, id FROM matched", KW_CTE, MATCH_CTE)
+LIST_CTE = r"""kw(keyword) AS (
+  SELECT DISTINCT lower(trim(regexp_extract(text, '[^\x20\x09-\x0D]+'))) FROM documents
+  WHERE length(regexp_extract(text, '[^\x20\x09-\x0D]+')) > 0)"""
+SQL["keyword_match_list"] = text_sql("SELECT keyword, id FROM matched", LIST_CTE, MATCH_CTE)
 SQL["high_water_marks"] = text_sql(
     "SELECT keyword, max(CAST(id AS BIGINT)) AS last_id FROM matched GROUP BY keyword", KW_CTE, MATCH_CTE)
 SQL["incremental_since_id"] = """

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -59,21 +60,35 @@ def test_high_water_mark_compares_as_bigint(spark):
     assert new.count() == 2
 
 
-def test_keyword_paths_agree(spark):
+def _contained(posts, keywords):
+    return sorted({(k, i) for i, lang, t in posts if lang == "en" and t and not t.startswith("RT @") for k in keywords if k in t.lower()}, key=str)
+
+
+def test_keywords_of_every_length_are_found(spark):
     texts = [("1", "en", "The cat"), ("2", "en", "RT @x the dog"), ("3", "fr", "the"), ("4", "en", "Unique queue"),
-             ("5", "en", "an ox"), ("6", "en", ""), ("7", "en", None), ("8", "en", "Théâtre ox-he")]
+             ("5", "en", "an ox"), ("6", "en", ""), ("7", "en", None), ("8", "en", "Théâtre ox-he"), ("9", "en", "x" * 50000 + "the cat"),
+             ("10", "en", "日本語のテキスト"), ("1", "en", "the cat again"), (None, "en", "oxen")]
     posts = spark.createDataFrame(texts, "id string, lang string, text string")
-    kws = ing.keyword_table(spark, ["the", " QUE ", "ox", "", "he", "théâ"])
-    want = [("he", "1"), ("he", "8"), ("ox", "5"), ("ox", "8"), ("que", "4"), ("the", "1"), ("théâ", "8")]
-    inline = sorted(map(tuple, ing.keyword_match(posts, kws).collect()))
-    automaton = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0).collect()))
-    # Tiny chunks: every keyword in its own pass, still the same pairs.
-    chunked = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0, chunk_bytes=16).collect()))
-    assert inline == automaton == chunked == want
+    words = ["the", " QUE ", "ox", "", "he", "théâ", "x", "é", "日本", "語", "the cat", "unique queue", "xxthe c", "nowhere", "cat\u0000", "ne q"]
+    kws = ing.keyword_table(spark, words)
+    want = _contained(texts, {w.strip().lower() for w in words} - {""})
+    assert sorted(map(tuple, ing.keyword_match(posts, kws).collect()), key=str) == sorted(want, key=str)
     assert ing.keyword_match(posts, ing.keyword_table(spark, [])).count() == 0
-    # A chunk bound smaller than one keyword still terminates (a chunk holds its longest keyword).
-    tiny = sorted(map(tuple, ing.keyword_match(posts, kws, max_inline=0, chunk_bytes=1).collect()))
-    assert tiny == want
+    assert ing.keyword_match(posts.limit(0), kws).count() == 0
+
+
+def test_thousands_of_keywords_and_split_grams(spark):
+    from sentiscope.operators import keywords as kw
+    rng = random.Random(3)
+    texts = [(str(i), "en", " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 6))) for _ in range(40))) for i in range(60)]
+    words = sorted({"".join(rng.choice("abcé ") for _ in range(rng.randint(1, 9))).strip() for _ in range(3000)} - {""})
+    posts = spark.createDataFrame(texts, "id string, lang string, text string").repartition(3)
+    lc = posts.select("id", F.lower("text").alias("lc"))
+    kws = spark.createDataFrame([(w,) for w in words], "keyword string")
+    want = _contained(texts, words)
+    assert len(want) > 3000
+    for split in (1, 7, 10 ** 6):  # hot grams in many places, or none
+        assert sorted(map(tuple, kw.match(lc, kws, split).collect()), key=str) == want
 
 
 def test_conform_adds_typed_nulls_and_history(spark):

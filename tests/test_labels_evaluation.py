@@ -1,6 +1,8 @@
 """Labels, splits, metrics, quality: D10-D12, D21, D24 and split properties."""
 
+import hashlib
 import math
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -37,13 +39,47 @@ def test_split_sizes_are_exact_and_add_up(spark):
         assert sizes.get("train", 0) == n - t - v and sizes[None] == n
 
 
-def test_split_rank_matches_one_global_order(spark):
-    df = spark.range(500).select(F.col("id").cast("string").alias("id"))
-    ranked = lab.seeded_rank(df, "id", 42).select("id", "_rank")
-    w = __import__("pyspark.sql", fromlist=["Window"]).Window.orderBy(
-        F.md5(F.concat(F.col("id"), F.lit("42"))), "id")
-    ref = df.select("id", F.row_number().over(w).alias("_rank"))
-    assert ranked.exceptAll(ref).count() == 0 and ref.exceptAll(ranked).count() == 0
+def _by_global_order(rows, seed, test, val):
+    """The split by its definition: sort by md5(key || seed), cut by position."""
+    order = sorted(rows, key=lambda k: hashlib.md5(f"{k}{seed}".encode()).hexdigest())
+    n = len(order)
+    t = math.ceil(test * n)
+    v = math.ceil(val * (n - t))
+    return {**{k: "test" for k in order[:t]}, **{k: "validation" for k in order[t:t + v]}, **{k: "train" for k in order[t + v:]}}
+
+
+def test_split_equals_one_global_order(spark):
+    for n, test, val in ((0, 0.2, 0.1), (1, 0.2, 0.1), (500, 0.2, 0.1), (3000, 0.5, 0.999), (300, 0.0, 0.0), (300, 1.0, 0.5), (300, 0.0, 0.3)):
+        df = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit(1).alias("split_"))
+        got = {r.id: r.split for r in lab.train_val_test_split(df, "id", 7, test, val).collect()}
+        assert got == _by_global_order([str(i) for i in range(n)], 7, test, val)
+
+
+def test_stratified_split_equals_one_order_in_each_class(spark):
+    rows = [(str(i), (None, "a", "b", "b", "c")[i % 5] if i else "single") for i in range(800)]
+    df = spark.createDataFrame(rows, "id string, label string")
+    got = {r.id: r.split for r in lab.train_val_test_split(df, "id", 42, 0.2, 0.1, "label").collect()}
+    want = {}
+    for c in {r[1] for r in rows}:
+        want |= _by_global_order([i for i, x in rows if x == c], 42, 0.2, 0.1)
+    assert got == want
+
+
+def test_split_exchanges_no_rows(spark):
+    df = spark.range(5000).select(F.col("id").cast("string").alias("id"), F.lit("x").alias("text"))
+    plan = lab.train_val_test_split(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+
+
+def test_a_cut_inside_rows_that_are_all_alike_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(lab, "CHUNK", 7)
+    for rows in ([("k", 1)] * 100, [("k", 1)] * 50 + [("k", 2)] * 50, [(None, 1)] * 30 + [("z", i) for i in range(30)], [("a", 1)] * 3):
+        df = spark.createDataFrame(rows, "id string, label int").repartition(4)
+        out = lab.train_val_test_split(df).collect()
+        t = math.ceil(0.2 * len(rows))
+        v = math.ceil(0.1 * (len(rows) - t))
+        assert Counter(r.split for r in out) == {k: c for k, c in (("test", t), ("validation", v), ("train", len(rows) - t - v)) if c}
+        assert Counter((r.id, r.label) for r in out) == Counter(rows)
 
 
 def test_log_split_rule_matches_reference_runs():
@@ -120,9 +156,6 @@ def test_split_survives_a_key_copied_into_a_third_of_the_rows(spark):
     df = spark.range(n).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("id"),
         (F.col("id") % 3).cast("int").alias("label")).repartition(7)
-    ranked = lab.seeded_rank(df)
-    r = ranked.agg(F.min("_rank"), F.max("_rank"), F.countDistinct("_rank"), F.max("_n")).first()
-    assert tuple(r) == (1, n, n, n)
     sizes = {x.split: x.n for x in lab.split_sizes(lab.train_val_test_split(df)).collect()}
     assert sizes["test"] == 600 and sizes["validation"] == 240 and sizes["train"] == 2160
 
