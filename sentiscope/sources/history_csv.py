@@ -5,30 +5,24 @@ Two readers:
 * ``read_history_csv_strict``: Spark's CSV reader with ``multiLine`` for clean,
   RFC-quoted files.
 * ``read_history_csv``: tolerant reader for hand-edited files with unclosed or
-  stray quotes. Each file is read whole (``wholetext``) and cut into records by one
-  pattern, whose alternatives are tried in this order for the last field: a well-formed quoted
+  stray quotes. A record's last field is, in this order: a well-formed quoted
   field (it may hold line breaks and anything that looks like a record), the rest of the
   line, and, where a quote is never closed, everything up to the next line that starts like
   a record (a name, a field with ``@``, a short field). A line that is no record at all
   becomes a row with its text alone. So every line of a file is in some row, whatever
   its date looks like; rows without a usable date are rejected later, with a reason.
-  Files are read in parallel; one file must fit in a task, so writers bound the file size
-  (``maxRecordsPerFile``).
+  A file is read by as many tasks as it has splits (``csv_ranges``).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from .csv_ranges import records
+
 HEADER = "author,author account,date,text"
 _QUOTED = r'"(?:[^"]++|"")*+"'
 _FIELD = rf'(?:{_QUOTED}|[^",\r\n]*+)'
-# How a line starts that begins a record: a name, a handle and a short third field.
-_START = rf'(?:{_FIELD}|[^,\r\n]*+),[^,\r\n]*@[^,\r\n]*,[^,\r\n]{{0,40}},'
-_TEXT = (rf'(?:{_QUOTED}(?=[ \t]*(?:\r?\n|\z))'  # quoted as it should be
-         r'|(?!")[^\r\n]*+'                        # not quoted: the rest of the line
-         rf'|(?s:.*?)(?=\r?\n{_START}|\z))')      # never closed: up to the next record
-RECORD = rf'(?m)^(?:{_FIELD},{_FIELD},{_FIELD},{_TEXT}|[^\r\n]++)'
 FIELDS = rf'^({_FIELD}),({_FIELD}),({_FIELD}),((?s:.*))$'
 
 CSV_SCHEMA = T.StructType([
@@ -47,9 +41,7 @@ def _unquote(c: F.Column) -> F.Column:
 
 
 def read_history_csv(spark: SparkSession, path: str) -> DataFrame:
-    files = spark.read.text(path, wholetext=True)
-    body = F.regexp_replace(F.col("value"), r"(\r?\n)+\z", "")
-    recs = files.select(F.explode(F.regexp_extract_all(body, F.lit(RECORD), F.lit(0))).alias("rec"))
+    recs = records(spark, path)
     recs = recs.where((F.trim("rec") != HEADER) & (F.length(F.trim("rec")) > 0))
     whole = F.col("rec").rlike(FIELDS)
     out = []
@@ -64,11 +56,9 @@ def read_history_csv_strict(spark: SparkSession, path: str) -> DataFrame:
             .option("escape", '"').csv(path))
 
 
-def write_history_csv(df: DataFrame, path: str, max_records_per_file: int = 5_000) -> None:
-    """RFC quoting (doubled quotes), values kept byte for byte; files stay small enough
-    for the whole-file tolerant reader (one file per task, well under 2 GB)."""
+def write_history_csv(df: DataFrame, path: str) -> None:
+    """RFC quoting (doubled quotes), values kept byte for byte."""
     (df.select(*CSV_SCHEMA.fieldNames()).write.mode("overwrite")
      .option("header", True).option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-     .option("maxRecordsPerFile", max_records_per_file)
      .csv(path))
