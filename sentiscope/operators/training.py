@@ -105,10 +105,22 @@ def train_evaluate(split: DataFrame, reg_params=(0.0, 0.01), max_iter: int = 50)
     result = {"eval_loss": m["eval_loss"], "eval_accuracy": m["eval_accuracy"], "eval_f1": m["eval_f1"],
               "eval_runtime": runtime,
               "eval_samples_per_second": (m["rows"] / runtime) if runtime > 0 else None,
-              "test_rows": m["rows"], "reg_param": float(best_reg), "val_f1": float(best_score)}
+              "test_rows": m["rows"], "reg_param": float(best_reg), "val_f1": float(best_score),
+              # the optimiser's passes over the training rows stand for epochs and steps
+              "epoch": float(best.summary.totalIterations), "eval_steps_per_second": 1 / runtime if runtime > 0 else None,
+              "history": [float(x) for x in best.summary.objectiveHistory]}
     return model, result
 
 
+def log_rows(result: dict, seconds: float) -> list[dict]:
+    """A run's log: a row for each step of the optimiser, one of the evaluation, one of the whole run."""
+    history = result["history"]
+    steps = [{"step": n, "epoch": float(n), "loss": x} for n, x in enumerate(history)]
+    evaluation = {k: result[k] for k in ("epoch", "eval_loss", "eval_accuracy", "eval_f1", "eval_runtime", "eval_samples_per_second", "eval_steps_per_second")}
+    done = {"train_runtime": seconds, "train_steps_per_second": len(history) / seconds if seconds > 0 else None, "train_loss": history[-1] if history else None}
+    return [*steps, {**evaluation, "step": len(history)}, {**done, "epoch": result["epoch"], "step": len(history)}]
+
+
 def score_with_model(model: PipelineModel, posts: DataFrame) -> DataFrame:
     """ML-05 with a fitted Spark ML model: same output as the UDF scorer
     (lower-case label and the probability of the top class)."""

@@ -1,28 +1,25 @@
-"""Sinks (SNK-01..05): append, versioned publish, partition rewrite.
+"""Sinks (SNK-01..05): append, publish as a version of a manifest.
 
-Parquet has no MERGE: an update rewrites the touched partitions. A job never
-reads and overwrites the same path; it writes a new version, records it in an
-append-only publication log (the switch readers see, atomic per append) and
-then refreshes the plain serving copy from it (dynamic partition overwrite
-touches only the days present in the new data).
+Parquet has no MERGE and a job never reads and overwrites the same path: a publish writes its rows
+once, as a new segment, and then the manifest that names it (``segments``), which is the switch that
+readers see.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, types as T
 
 from ..schemas import conform
+from . import segments
 
 
 def append(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """SNK-01/02: bag append; no dedup here (see ``ingest.new_only``)."""
-    w = df.write.mode("append")
+    """SNK-01/02: bag append; no dedup here (see ``ingest.new_only``). Rows are clustered by the partition column, so a
+    task writes few folders; a large one is split over several tasks again."""
     if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+        df.hint("rebalance", partition_by).write.mode("append").partitionBy(partition_by).parquet(path)
+    else:
+        df.write.mode("append").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
@@ -32,58 +29,20 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | None = Non
     return r.parquet(path)
 
 
-PUBLISHED_LOG = "version string, published_at timestamp"
-
+def publish(df: DataFrame, root: str, schema: T.StructType | None = None) -> str | None:
+    """SNK-03/04/05 with FLT-11 and D18: ``df`` becomes the whole served table.
 
-def publish(df: DataFrame, root: str, schema: T.StructType | None = None,
-            partition_by: str | None = None) -> str | None:
-    """SNK-03/04/05 with FLT-11 and D18.
-
-    The rows are computed once and written to ``root/versions/<id>`` (fixed
-    schema on first write). Only when that version holds rows is it published:
-    one row (version, time) is appended to the log ``root/_published``; an
-    append commits as a whole, so a reader of ``serving()`` sees either the old
-    or the new version, never a half-replaced table, even if the driver dies
-    mid-publish. The plain copy ``root/serving`` is then refreshed for readers
-    that only know a path; it can always be rebuilt from the latest logged
-    version. Empty input publishes nothing and leaves both as they are. With
-    ``partition_by`` versions hold only changed partitions: the copy replaces
-    just those (dynamic overwrite) and is itself the served table.
-    Returns the version path, or None when nothing was published.
+    The rows are computed and written once. Only a version that holds rows is committed, by a manifest
+    that appears as a whole, so a reader of ``serving()`` sees either the old or the new version, never a
+    half-replaced table, wherever the driver dies. Returns the version's path, or None when nothing
+    was published and the old version stays.
     """
     if schema is not None:
         df = conform(df, schema)
-    version = f"{root}/versions/{uuid.uuid4().hex}"
-    w = df.write.mode("overwrite")
-    if partition_by:
-        w = w.partitionBy(partition_by)
-    w.parquet(version)
-    spark = df.sparkSession
-    fresh = spark.read.schema(df.schema).parquet(version)
-    if fresh.isEmpty():
-        return None
-    if not partition_by:
-        (spark.range(1).select(F.lit(version).alias("version"),
-                               F.current_timestamp().alias("published_at"))
-         .write.mode("append").json(f"{root}/_published"))
-    w2 = fresh.write.mode("overwrite")
-    if partition_by:
-        w2 = w2.option("partitionOverwriteMode", "dynamic").partitionBy(partition_by)
-    w2.parquet(f"{root}/serving")
-    return version
-
-
-def latest_version(spark: SparkSession, root: str) -> str | None:
-    """Path of the last published version (one row read from the publication log)."""
-    try:
-        log = spark.read.schema(PUBLISHED_LOG).json(f"{root}/_published")
-    except AnalysisException:
-        return None
-    row = log.agg(F.max_by("version", F.struct("published_at", "version")).alias("v")).first()
-    return row["v"] if row else None
+    made = segments.replace(df, root, df.schema)
+    return None if made is None else f"{root}/{made.live[0].path}"
 
 
 def serving(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """The served table: the last published version, else the plain copy."""
-    version = latest_version(spark, root)
-    return read_table(spark, version or f"{root}/serving", schema)
+    """The served table: the last published version."""
+    return segments.read(spark, root, schema)

@@ -8,6 +8,8 @@ uses the superset schema and ``_metadata.file_path``; no driver-side listing.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..schemas import TRAINING_LOG
@@ -33,6 +35,14 @@ def read_training_logs(spark: SparkSession, path: str, multi_line: bool = True)
         row_kind().alias("kind"), *TRAINING_LOG.fieldNames())
 
 
+def write_run_log(spark: SparkSession, rows: list[dict], path: str, start) -> str:
+    """SNK-08: the log of one run as a JSON array, the run's time in the name alone."""
+    out = f"{path}/train_log{start:%Y%m%d_%H%M%S}.json"
+    kept = [{k: v for k, v in r.items() if v is not None} for r in rows]
+    spark.createDataFrame([(json.dumps(kept, indent=1),)], "value string").coalesce(1).write.mode("overwrite").text(out)
+    return out
+
+
 def log_rows_from_runs(runs: DataFrame) -> DataFrame:
     """Evaluation and summary rows of each ledger run, tagged with its run directory."""
     secs = (F.unix_timestamp(F.col("end_time").cast("timestamp"))

@@ -73,7 +73,8 @@ def post_stream(spark: SparkSession, landing: str, max_files: int | None = None,
     return r.parquet(landing)
 
 
-def _run(writer, checkpoint: str) -> None:
+def run_available(writer, checkpoint: str) -> None:
+    """Runs a stream over what has landed and is not committed yet, then ends."""
     q = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
 
@@ -88,12 +89,18 @@ def _read_or_none(spark: SparkSession, path: str, schema: T.StructType | None =
         return None
 
 
+def _sort_key(column: pa.ChunkedArray) -> pa.ChunkedArray:
+    """A column to sort by; a list of texts as one text."""
+    return pc.binary_join(column.cast(pa.list_(pa.string())), "\x00") if pa.types.is_list(column.type) else column
+
+
 def _largest_per_id(batches):
     """Of the copies of an id in a partition the largest row, by the columns in order, NULL smallest."""
     got = [b for b in batches if b.num_rows]
     if got:
         t = pa.Table.from_batches(got)
-        order = pc.sort_indices(t, [("id", "ascending"), *((c, "descending") for c in t.column_names if c != "id")], null_placement="at_end")
+        keys = pa.table({c: _sort_key(t.column(c)) for c in t.column_names})
+        order = pc.sort_indices(keys, [("id", "ascending"), *((c, "descending") for c in t.column_names if c != "id")], null_placement="at_end")
         ids = t.column("id").combine_chunks().take(order).dictionary_encode().indices.to_numpy()
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         yield from t.take(order.take(pa.array(first))).combine_chunks().to_batches()
@@ -154,7 +161,7 @@ def read_rejects(spark: SparkSession, sink: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                   max_files: int | None = None) -> None:
     src = post_stream(spark, landing, max_files)
-    _run(src.writeStream.format("parquet").partitionBy("date").option("path", sink), checkpoint)
+    run_available(src.writeStream.format("parquet").partitionBy("date").option("path", sink), checkpoint)
 
 
 # ---- STR-02: drop posts already seen ----------------------------------------------------------
@@ -176,7 +183,7 @@ def dedup_writer(spark: SparkSession, sink: str, checkpoint: str | None = None):
 
 def stream_dedup(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                  max_files: int | None = None) -> None:
-    _run(first_seen(post_stream(spark, landing, max_files)).writeStream
+    run_available(first_seen(post_stream(spark, landing, max_files)).writeStream
          .foreachBatch(dedup_writer(spark, sink, checkpoint)), checkpoint)
 
 
@@ -189,7 +196,7 @@ def dedup_within_watermark(src: DataFrame, delay: str = "2 days") -> DataFrame:
 def stream_dedup_watermark(spark: SparkSession, landing: str, sink: str, checkpoint: str,
                            delay: str = "2 days", max_files: int | None = None) -> None:
     out = dedup_within_watermark(post_stream(spark, landing, max_files), delay)
-    _run(out.writeStream.format("parquet").partitionBy("date").option("path", sink), checkpoint)
+    run_available(out.writeStream.format("parquet").partitionBy("date").option("path", sink), checkpoint)
 
 
 # ---- STR-03: tumbling day counts per class -----------------------------------------------------
@@ -219,7 +226,7 @@ def stream_daily_counts(spark: SparkSession, landing: str, sink: str, checkpoint
         rows = batch.select(F.to_date(F.col("window.start")).alias("day"), "sentiment", "count", F.lit(batch_id).cast("long").alias("batch_id"))
         seg.append(rows, sink, COUNTS_LOG, stream_id(spark, checkpoint), batch_id, merge=_last_counts)
 
-    _run(counts.writeStream.outputMode("update").foreachBatch(log), checkpoint)
+    run_available(counts.writeStream.outputMode("update").foreachBatch(log), checkpoint)
 
 
 def latest_counts(spark: SparkSession, sink: str) -> DataFrame:
@@ -264,7 +271,7 @@ def stream_daily_reputation(spark: SparkSession, landing: str, silver: str, gold
          .partitionBy("date").parquet(gold))
         batch.unpersist()
 
-    _run(first_seen(post_stream(spark, landing, max_files)).writeStream.foreachBatch(upsert), checkpoint)
+    run_available(first_seen(post_stream(spark, landing, max_files)).writeStream.foreachBatch(upsert), checkpoint)
 
 
 def read_gold(spark: SparkSession, gold: str) -> DataFrame:
@@ -302,7 +309,7 @@ def stream_upsert(spark: SparkSession, landing: str, log: str, checkpoint: str,
          .write.mode("overwrite").parquet(f"{log}-rejects/batch={batch_id}"))
         batch.unpersist()
 
-    _run(post_stream(spark, landing, max_files, UPDATE_EVENT).writeStream.foreachBatch(upsert), checkpoint)
+    run_available(post_stream(spark, landing, max_files, UPDATE_EVENT).writeStream.foreachBatch(upsert), checkpoint)
 
 
 def _valid_answers(updates: DataFrame) -> DataFrame:
@@ -331,7 +338,7 @@ def upserted(spark: SparkSession, posts: DataFrame, log: str) -> DataFrame:
 def stream_score(spark: SparkSession, landing: str, schema: T.StructType, sink: str,
                  checkpoint: str, max_files: int | None = None) -> None:
     src = post_stream(spark, landing, max_files, schema)
-    _run(score_posts(src).writeStream.format("parquet").option("path", sink), checkpoint)
+    run_available(score_posts(src).writeStream.format("parquet").option("path", sink), checkpoint)
 
 
 # ---- STR-07: closed days only (append mode) ------------------------------------------------------
@@ -352,4 +359,4 @@ def stream_closed_days(spark: SparkSession, landing: str, sink: str, checkpoint:
         "positive_count", "negative_count", "neutral_count",
         rep.reputation_index(F.col("positive_count"), F.col("neutral_count"),
                              F.col("negative_count"), weights).alias("reputation_index"))
-    _run(out.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)
+    run_available(out.writeStream.outputMode("append").format("parquet").option("path", sink), checkpoint)

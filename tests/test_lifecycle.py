@@ -1,5 +1,9 @@
 """The daily lifecycle end to end on a warehouse folder: crawl, analyze, calculate, review, feedback, train."""
 
+import json
+import os
+
+import pytest
 from pyspark.sql import functions as F
 
 from sentiscope import jobs
@@ -28,38 +32,129 @@ def test_lifecycle(spark, scratch):
     assert jobs.analyze(spark, wh) == 0
 
     assert jobs.calculate(spark, wh) is not None
-    served = spark.read.parquet(f"{wh.reputation}/serving")
+    served = jobs.served(spark, wh, "reputation")
     expected = rep.daily_reputation(wh.read_posts(spark))
     assert sorted(map(tuple, served.collect())) == sorted(map(tuple, expected.collect()))
 
     queue = jobs.review_queue(spark, wh)
     ids = [r.id for r in queue.collect()]
     assert 0 < len(ids) <= 50
-    answers = spark.createDataFrame([(i, 1, "2") for i in ids] + [(ids[0], 2, "x")],
+    answers = spark.createDataFrame([(i, 1, "2") for i in ids] + [(ids[0], 2, "x"), (None, 3, "1"), ("nobody", 4, "1"), (ids[1], 5, None)],
                                     "id string, seq int, answer string")
     assert jobs.save_feedback(spark, wh, answers) == len(ids)
     posts = wh.read_posts(spark)
     assert posts.where(F.col("user_feedback") == "2").count() == len(ids)
     assert posts.count() == n_en
+    lost = jobs.seg.read(spark, wh.feedback_rejects, jobs.FEEDBACK_REJECTS).collect()
+    assert sorted((r.seq, r.reject_reason) for r in lost) == [(2, "bad_feedback"), (3, "missing_id"), (4, "unknown_post"), (5, "bad_feedback")]
+    assert jobs.served(spark, wh, "posts").where(F.col("user_feedback") == "2").count() == len(ids)
 
     result = jobs.train(spark, wh)
     assert 0.0 <= result["eval_accuracy"] <= 1.0
     assert (result["model_path"] is not None) == result["passed"]
-    assert spark.read.parquet(wh.ledger).count() == 1
+    run, = jobs.served(spark, wh, "ledger").collect()
+    assert run.eval_accuracy == result["eval_accuracy"] and run.epoch > 0 and run.eval_steps_per_second > 0
+    log = jobs.logs.read_training_logs(spark, wh.logs).collect()
+    assert {r.kind for r in log} == {"step", "eval", "summary"} and {r.run_time for r in log} == {run.start_time}
+    steps = sorted((r.step, r.loss) for r in log if r.kind == "step")
+    assert len(steps) == run.epoch + 1 and steps[-1][1] <= steps[0][1]
+
+
+def _land(spark, path, rows, name):
+    """A landed page: (id, text, day)."""
+    os.makedirs(path, exist_ok=True)
+    data = [{"id": i, "text": t, "author_id": "7", "created_at": f"2024-01-{d:02d}T10:00:00.000Z", "edit_history_tweet_ids": [i]} for i, t, d in rows]
+    with open(f"{path}/{name}.json", "w") as fh:
+        fh.write(json.dumps({"meta": {"result_count": len(data)}, "data": data}) + "\n")
+
+
+def test_updates_touch_only_the_files_that_hold_an_id(spark, scratch):
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    for n in range(3):
+        _land(spark, landing, [(str(1000 * n + k), "fine", 1 + 3 * n + k % 3) for k in range(30)], f"p{n}")
+        assert jobs.crawl(spark, wh, landing) == 30
+    before = set(wh.read_posts(spark).inputFiles())
+    assert len(before) == 9  # three days in each of three segments
+    assert len(jobs.seg.touched(spark, wh.posts, spark.createDataFrame([("1004",), ("1007",)], "id string"))) <= 2
+    answers = spark.createDataFrame([("1004", 1, "2"), ("1007", 1, "0"), ("77777", 1, "1")], "id string, seq int, answer string")
+    assert jobs.save_feedback(spark, wh, answers) == 2
+    after = set(wh.read_posts(spark).inputFiles())
+    assert len(before - after) == len(after - before) == 1  # both ids are of one day: its file was written anew, no other
+    posts = {r.id: r.user_feedback for r in wh.read_posts(spark).collect()}
+    assert len(posts) == 90 and {i: f for i, f in posts.items() if f} == {"1004": "2", "1007": "0"}
+    assert jobs.analyze(spark, wh) == 90 and jobs.analyze(spark, wh) == 0
+    assert wh.read_posts(spark).where("sentiment IS NULL").count() == 0 and wh.read_posts(spark).count() == 90
+
+
+def test_an_update_that_dies_before_its_commit_changes_nothing(spark, scratch, monkeypatch):
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    _land(spark, landing, [("1", "good", 1), ("2", "bad", 2)], "a")
+    jobs.crawl(spark, wh, landing)
+    monkeypatch.setattr(jobs.seg, "_commit", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+    with pytest.raises(RuntimeError):
+        jobs.analyze(spark, wh)
+    monkeypatch.undo()
+    assert {r.sentiment for r in wh.read_posts(spark).collect()} == {None}
+    assert jobs.analyze(spark, wh) == 2
 
 
-def test_day_rewrite_is_dynamic_even_with_static_session_default(spark, scratch):
-    import datetime as dt
-    from sentiscope.schemas import POSTS, conform
-    wh = jobs.Warehouse(f"{scratch}/wh")
-    rows = [("1", dt.date(2024, 1, 1), "positive"), ("2", dt.date(2024, 1, 2), "negative")]
-    base = conform(spark.createDataFrame(rows, "id string, date date, sentiment string"), POSTS)
-    base.write.partitionBy("date").parquet(wh.posts)
-    assert spark.conf.get("spark.sql.sources.partitionOverwriteMode").lower() == "static"
-    changed = wh.read_posts(spark).where(F.col("id") == "2").withColumn("sentiment", F.lit("neutral"))
-    jobs._rewrite_days(spark, wh, changed)
-    got = {r.id: r.sentiment for r in wh.read_posts(spark).collect()}
-    assert got == {"1": "positive", "2": "neutral"}
+def test_readers_see_a_job_whole_or_not_at_all(spark, scratch, monkeypatch):
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    _land(spark, landing, [("1", "good", 1)], "a")
+    jobs.crawl(spark, wh, landing)
+    jobs.calculate(spark, wh)
+    real = jobs.publish_snapshot
+    monkeypatch.setattr(jobs, "publish_snapshot", lambda *a: (_ for _ in ()).throw(RuntimeError("driver lost")))
+    with pytest.raises(RuntimeError):
+        jobs.analyze(spark, wh)  # committed, not published
+    assert [r.sentiment for r in jobs.served(spark, wh, "posts").collect()] == [None]
+    monkeypatch.setattr(jobs, "publish_snapshot", real)
+    jobs.calculate(spark, wh)
+    assert [r.sentiment for r in jobs.served(spark, wh, "posts").collect()] != [None]
+
+
+def test_crawl_by_keywords_and_marks(spark, scratch, monkeypatch):
+    from sentiscope.sources import corpus
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    with open(f"{scratch}/keywords.txt", "w") as f:
+        f.write("Brand\n\nother firm \n")
+    words = lambda: corpus.read_keywords(spark, f"{scratch}/keywords.txt")
+    _land(spark, landing, [("100", "my brand", 1), ("101", "nothing", 1), ("102", "RT @x brand", 1), ("103", "the OTHER FIRM", 2)], "a")
+    real = jobs.seg._commit
+    calls = []
+
+    def once(spark_, root, m):
+        if root == wh.posts and not calls:
+            calls.append(1)
+            raise RuntimeError("driver lost before the batch is committed")
+        real(spark_, root, m)
+
+    monkeypatch.setattr(jobs.seg, "_commit", once)
+    with pytest.raises(Exception):
+        jobs.crawl(spark, wh, landing, keywords=words())
+    assert wh.read_posts(spark) is None and wh.read_marks(spark).count() == 0
+    assert jobs.crawl(spark, wh, landing, keywords=words()) == 2
+    marks = lambda: {r.keyword: r.last_id for r in wh.read_marks(spark).collect()}
+    assert marks() == {"brand": 100, "other firm": 103}
+    # 99 lies below its mark, 100 is known, 104 is new
+    _land(spark, landing, [("99", "brand of old", 3), ("100", "my brand", 1), ("104", "brand new", 3)], "b")
+    assert jobs.crawl(spark, wh, landing, keywords=words()) == 1
+    assert marks() == {"brand": 104, "other firm": 103}
+    assert sorted(r.id for r in wh.read_posts(spark).collect()) == ["100", "103", "104"]
+    lost = {(r.id, r.reject_reason) for r in jobs.seg.read(spark, wh.rejects, jobs.REJECTS).collect()}
+    assert lost == {("101", "no_new_match"), ("102", "repost"), ("99", "no_new_match")}
+
+
+def test_a_lost_crawl_checkpoint_stores_no_post_twice(spark, scratch):
+    import shutil
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    _land(spark, landing, [("1", "good", 1), ("2", "bad", 2)], "a")
+    jobs.crawl(spark, wh, landing)
+    jobs.analyze(spark, wh)  # rewritten files still count as that crawl's
+    shutil.move(f"{wh.root}/_checkpoints", f"{wh.root}/_lost")
+    _land(spark, landing, [("2", "bad", 2), ("3", "new", 3)], "b")
+    assert jobs.crawl(spark, wh, landing) == 1
+    assert sorted(r.id for r in wh.read_posts(spark).collect()) == ["1", "2", "3"]
 
 
 def test_crawl_sends_undated_posts_to_rejects(spark, scratch):
@@ -77,32 +172,10 @@ def test_crawl_sends_undated_posts_to_rejects(spark, scratch):
         fh.write(json.dumps(page) + "\n")
     assert jobs.crawl(spark, wh, landing) == 1
     assert [r.id for r in wh.read_posts(spark).collect()] == ["11"]
-    rej = spark.read.parquet(wh.rejects).collect()
+    rej = jobs.seg.read(spark, wh.rejects, jobs.REJECTS).collect()
     assert [(r.id, r.reject_reason) for r in rej] == [("12", "missing_date")]
 
 
-def test_day_rewrite_interrupted_is_recovered(spark, scratch, monkeypatch):
-    import datetime as dt
-    import pytest
-    from sentiscope.schemas import POSTS, conform
-    wh = jobs.Warehouse(f"{scratch}/wh")
-    rows = [("1", dt.date(2024, 1, 1), None), ("2", dt.date(2024, 1, 2), None)]
-    conform(spark.createDataFrame(rows, "id string, date date, sentiment string"), POSTS) \
-        .write.partitionBy("date").parquet(wh.posts)
-    changed = wh.read_posts(spark).where(F.col("id") == "2").withColumn("sentiment", F.lit("neutral"))
-
-    def dies(spark_, wh_, stage):
-        raise RuntimeError("driver lost while silver days were replaced")
-
-    monkeypatch.setattr(jobs, "_apply_stage", dies)
-    with pytest.raises(RuntimeError):
-        jobs._rewrite_days(spark, wh, changed)
-    monkeypatch.undo()
-    assert jobs.recover(spark, wh) == 1
-    assert {r.id: r.sentiment for r in wh.read_posts(spark).collect()} == {"1": None, "2": "neutral"}
-    assert jobs.recover(spark, wh) == 0  # applied once, then marked
-
-
 def test_jobs_on_an_empty_warehouse_stop_early(spark, scratch):
     wh = jobs.Warehouse(f"{scratch}/none")
     answers = spark.createDataFrame([("1", 1, "2")], "id string, seq int, answer string")

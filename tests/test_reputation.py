@@ -94,26 +94,35 @@ def test_publish_skips_empty_input_and_replaces_serving(spark, scratch):
     assert sinks.serving(spark, root).count() == 2
 
 
-def test_serving_survives_a_failure_while_the_copy_is_refreshed(spark, scratch, monkeypatch):
+def test_a_publish_that_dies_leaves_the_old_version(spark, scratch, monkeypatch):
     import datetime as dt
     import pytest
-    from pyspark.sql.readwriter import DataFrameWriter
-    from sentiscope.sources import sinks
+    from sentiscope.sources import segments, sinks
     root = f"{scratch}/pub"
     one = spark.createDataFrame([(dt.date(2024, 1, 1), "positive")], "date date, sentiment string")
     two = one.unionByName(spark.createDataFrame([(dt.date(2024, 1, 2), "negative")], one.schema))
     sinks.publish(rep.daily_reputation(one), root)
-    real = DataFrameWriter.parquet
+    real = segments._commit
 
-    def failing(self, path, *a, **k):
-        if path.endswith("/serving"):
-            raise RuntimeError("driver lost while the copy was replaced")
-        return real(self, path, *a, **k)
+    def dies(*a):
+        raise RuntimeError("driver lost before the manifest is written")
 
-    monkeypatch.setattr(DataFrameWriter, "parquet", failing)
+    monkeypatch.setattr(segments, "_commit", dies)
     with pytest.raises(RuntimeError):
         sinks.publish(rep.daily_reputation(two), root)
-    monkeypatch.setattr(DataFrameWriter, "parquet", real)
-    assert sinks.serving(spark, root).count() == 2  # the logged version is served
+    assert sinks.serving(spark, root).count() == 1  # all rows are written, and none is seen
+    monkeypatch.setattr(segments, "_commit", real)
+    sinks.publish(rep.daily_reputation(two), root)
+    assert sinks.serving(spark, root).count() == 2
     assert sinks.publish(rep.daily_reputation(one.limit(0)), root) is None
     assert sinks.serving(spark, root).count() == 2
+
+
+def test_old_versions_go_after_some_publishes(spark, scratch):
+    import os
+    from sentiscope.sources import segments, sinks
+    p = posts(spark, [("1", D(2024, 1, 1), "positive")])
+    for _ in range(8):
+        sinks.publish(rep.daily_reputation(p), f"{scratch}/rep")
+    assert len([n for n in os.listdir(f"{scratch}/rep") if n.startswith("segment=")]) <= segments.KEEP + 1
+    assert len(os.listdir(f"{scratch}/rep/_manifest")) <= segments.KEEP + 2
