@@ -8,6 +8,7 @@ top-k has a unique last sort key.
 from __future__ import annotations
 
 from ..functions import bands as B
+from ..operators.naive_bayes import SETTINGS
 from . import params as P
 from .oracle_views import rnd, with_views
 
@@ -459,6 +460,52 @@ FROM (SELECT cls, sum(tp) AS tp, sum(support) AS support, sum(predicted) AS pred
       FROM (SELECT label AS cls, CASE WHEN label = pred THEN 1 ELSE 0 END AS tp, 1 AS support, 0 AS predicted FROM predictions
             UNION ALL SELECT pred, 0, 0, 1 FROM predictions) x GROUP BY cls) y""", *_NB)
 
+_ALPHAS = "alpha(k, a) AS (VALUES " + ", ".join(f"({k}, CAST({a!r} AS DOUBLE))" for k, a in enumerate(SETTINGS)) + ")"
+_TRAIN = _NB[:3] + (_NB[3].split("cls AS (")[0].rstrip().rstrip(","), _ALPHAS, f"""
+rows_ AS (SELECT label AS pred, count(*) AS n FROM tok WHERE split = 'train' GROUP BY label),
+known AS (SELECT (SELECT count(DISTINCT token) FROM seen) AS v),
+cls AS (SELECT r.pred, ln(r.n) AS prior, CAST(coalesce((SELECT sum(c) FROM seen WHERE seen.label = r.pred), 0) AS DOUBLE) AS tokens FROM rows_ r),
+ev AS (
+  SELECT t.id, k, s.label AS pred, sum(t.n * (ln(s.c + a) - ln(a))) AS e
+  FROM (SELECT id, t AS token, count(*) AS n FROM (SELECT id, unnest(w) AS t FROM tok WHERE split <> 'train') x GROUP BY ALL) t
+  JOIN seen s ON t.token = s.token CROSS JOIN alpha GROUP BY ALL),
+sc AS (
+  SELECT x.id, x.label, x.split, alpha.k, c.pred, c.prior + coalesce(ev.e, 0) + len(x.w) * (ln(a) - ln(c.tokens + a * v)) AS s
+  FROM (SELECT * FROM tok WHERE split <> 'train') x CROSS JOIN cls c CROSS JOIN alpha CROSS JOIN known
+  LEFT JOIN ev ON ev.id = x.id AND ev.pred = c.pred AND ev.k = alpha.k),
+top AS (SELECT *, max(s) OVER (PARTITION BY id, k) AS m, row_number() OVER (PARTITION BY id, k ORDER BY s DESC, pred) AS r FROM sc),
+pr AS (
+  SELECT id, label, split, k, max(CASE WHEN r = 1 THEN pred END) AS pred,
+         coalesce(sum(CASE WHEN pred = label THEN exp(s - m) END), 0) / sum(exp(s - m)) AS p_true
+  FROM top GROUP BY ALL),
+f1 AS (
+  SELECT split, k, {rnd('avg(f)', 6)} AS f1
+  FROM (SELECT split, k, cls, 2.0 * sum(tp) / sum(n) AS f
+        FROM (SELECT split, k, label AS cls, CASE WHEN label = pred THEN 1 ELSE 0 END AS tp, 1 AS n FROM pr
+              UNION ALL SELECT split, k, pred, 0, 1 FROM pr) x GROUP BY ALL) y GROUP BY ALL),
+mt AS (
+  SELECT split, k, {rnd('sum(-ln(greatest(least(p_true, 1 - 1e-15), 1e-15))) / count(*)', 6)} AS loss,
+         {rnd('sum(CASE WHEN label = pred THEN 1.0 ELSE 0.0 END) / count(*)', 6)} AS acc, count(*) AS n
+  FROM pr GROUP BY ALL),
+best AS (SELECT k FROM f1 WHERE split = 'validation' ORDER BY f1 DESC, k LIMIT 1),
+res AS (
+  SELECT loss AS eval_loss, acc AS eval_accuracy, f.f1 AS eval_f1, CAST(n AS BIGINT) AS test_rows, a AS smoothing, w.f1 AS val_f1
+  FROM best JOIN mt ON mt.k = best.k AND mt.split = 'test' JOIN f1 f ON f.k = best.k AND f.split = 'test'
+  JOIN f1 w ON w.k = best.k AND w.split = 'validation' JOIN alpha ON alpha.k = best.k)""",)
+SQL["train_evaluate"] = text_sql("SELECT * FROM res", *_TRAIN)
+SQL["train_gate"] = text_sql("""
+SELECT g AS threshold, eval_loss, eval_accuracy, eval_f1, test_rows, smoothing, eval_accuracy >= g AS passed,
+       CASE WHEN eval_accuracy >= g THEN (SELECT count(*) FROM seen) ELSE 0 END AS model_rows,
+       CASE WHEN eval_accuracy >= g THEN eval_accuracy END AS reloaded_accuracy
+FROM res CROSS JOIN (VALUES """ + ", ".join(f"(CAST({g} AS DOUBLE))" for g in P.GATES) + ") gates(g)", *_TRAIN)
+SQL["split_corpus"] = text_sql("SELECT split, label, CAST(count(*) AS BIGINT) AS n FROM split_ GROUP BY split, label", *_NB[:2])
+
+# ---- the jobs over a warehouse ------------------------------------------------------------------
+
+SQL["crawl_posts"] = text_sql("SELECT DISTINCT p.id, p.date, p.author_id FROM matched m JOIN posts_text p ON p.id = m.id", KW_CTE, MATCH_CTE)
+SQL["crawl_marks"] = SQL["high_water_marks"]
+SQL["feedback_files"] = SQL["apply_feedback"]
+
 # ---- streaming ---------------------------------------------------------------------------------------
 
 SQL["stream_ingest"] = posts_sql("SELECT id, date, sentiment FROM posts")

@@ -20,3 +20,5 @@ VALIDATION_SHARE = 0.1
 MAX_LENGTH = 128
 KEYWORDS = ("the", "que", "der")
 WEIGHTS_TEXT = "2,1,3"
+# Accuracies that the training query asks of a model: the fixed one, and one that any model passes.
+GATES = (0.9, 0.0)

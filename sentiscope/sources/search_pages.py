@@ -34,7 +34,7 @@ def posts_from_pages(rows: DataFrame) -> DataFrame:
     return conform(shaped, POSTS)
 
 
-def land_search_pages(posts_text: DataFrame, path: str, page_span: int = 4, lang: str = "en") -> None:
+def land_search_pages(posts_text: DataFrame, path: str, page_span: int = 4, lang: str = "en", mode: str = "overwrite") -> None:
     """Write search pages derived from a post table: one page per block of ``page_span`` rows.
 
     The server-side filter (language) decides what lands in ``data``; a block
@@ -53,4 +53,4 @@ def land_search_pages(posts_text: DataFrame, path: str, page_span: int = 4, lang
     n = F.size("data")
     out = pages.select(F.struct(n.cast("long").alias("result_count")).alias("meta"),
                        F.when(n > 0, F.col("data")).alias("data"))
-    out.write.mode("overwrite").option("ignoreNullFields", True).json(path)
+    out.write.mode(mode).option("ignoreNullFields", True).json(path)

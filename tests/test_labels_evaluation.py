@@ -180,3 +180,49 @@ def test_naive_bayes_by_hand(spark):
     # class 0 has two of three rows and four words, class 2 one row and three; three words in all
     assert got["4"] == (2, 2) and got["5"] == (2, 0) and got["6"][1] == 0 and set(got) == {"4", "5", "6", "7"}
     assert predict_split(df.limit(0)).collect() == []
+
+
+def _bayes(rows, alpha, target):
+    """Naive Bayes by its formulas: {id: (label, pred, p_true)}."""
+    train = [r for r in rows if r[3] == "train"]
+    labels = sorted({r[2] for r in train})
+    counts = {c: Counter(w for r in train if r[2] == c for w in (r[1] or "").split()) for c in labels}
+    v = len({w for c in labels for w in counts[c]})
+    out = {}
+    for i, text, label, split in rows:
+        if split != target:
+            continue
+        s = {c: math.log(sum(r[2] == c for r in train)) + sum(
+            math.log((counts[c][w] + alpha) / (sum(counts[c].values()) + alpha * v)) for w in (text or "").split()) for c in labels}
+        m = max(s.values())
+        z = sum(math.exp(x - m) for x in s.values())
+        out[i] = (label, min(c for c in labels if s[c] == m), math.exp(s[label] - m) / z if label in s else 0.0)
+    return out
+
+
+def test_naive_bayes_settings_probabilities_and_reload(spark, scratch):
+    import random
+    from sentiscope.operators import naive_bayes as nb
+    rng = random.Random(2)
+    rows = [(str(i), " ".join(rng.choice("abcdefgh"[c:c + 5]) for _ in range(rng.randint(0, 8))) or None, c if i % 40 else 3, ("train", "train", "validation", "test")[i % 4])
+            for i, c in ((i, rng.randrange(3)) for i in range(200))]
+    df = spark.createDataFrame(rows, "id string, text string, label int, split string")
+    pred = nb.predict(nb.fit(df.where("split = 'train'")), df.where("split = 'validation'"), nb.SETTINGS)
+    for k, a in enumerate(nb.SETTINGS):
+        want = _bayes(rows, a, "validation")
+        got = {r.id: r for r in pred.where(F.col("setting") == k).collect()}
+        assert set(got) == set(want)
+        for i, (label, p, own) in want.items():
+            assert got[i].label == label and abs(got[i].p_true - own) < 1e-9 and (got[i].pred == p or abs(own - 0.5) < 1e-9)
+    model, result = nb.train_evaluate(df)
+    tried = {r.setting: r for r in nb.metrics(pred).collect()}
+    assert result["val_f1"] == max(r.eval_f1 for r in tried.values()) and result["smoothing"] in nb.SETTINGS
+    nb.save_model(model, f"{scratch}/model")
+    again, smoothing = nb.load_model(spark, f"{scratch}/model")
+    test = df.where("split = 'test'")
+    one, two = (sorted(map(tuple, nb.predict(m, test, (smoothing,)).collect())) for m in (model, again))
+    assert one == two and smoothing == result["smoothing"]
+    done = nb.metrics(nb.predict(again, test, (smoothing,))).first()
+    assert (done.eval_loss, done.eval_accuracy, done.eval_f1, done["rows"]) == tuple(result[k] for k in ("eval_loss", "eval_accuracy", "eval_f1", "test_rows"))
+    empty = nb.train_evaluate(df.limit(0))[1]
+    assert empty["test_rows"] == 0 and empty["eval_accuracy"] is None

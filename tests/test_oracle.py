@@ -14,7 +14,8 @@ from sentiscope.plans.catalog import QUERIES  # noqa: E402
 
 from conftest import SF001, SF01  # noqa: E402
 
-SLOW = {"train_evaluate", "train_gate"}
+# an optimiser's fit and its wall times have no SQL
+SLOW = {"train_logistic"}
 # the queries of the optional subpackage have tests of their own
 KEYS = sorted(QUERIES)
 ORACLE = {k: v for k, v in entry.oracle_sql().items() if k in QUERIES}
@@ -58,8 +59,6 @@ def test_query_matches_oracle(spark, duck, key):
     assert digest(sdf.columns, srows)[0] == digest(dcols, drows)[0]
 
 
-def test_training_gate_shape(spark):
-    df = entry.queries()["train_gate"](spark, SF001)
-    r = df.collect()
-    assert len(r) == 1 and 0.0 <= r[0].eval_accuracy <= 1.0
-    assert (r[0].model_path is not None) == r[0].passed
+def test_logistic_training_shape(spark):
+    r, = entry.queries()["train_logistic"](spark, SF001).collect()
+    assert 0.0 <= r.eval_accuracy <= 1.0 and r.eval_samples_per_second > 0 and r.test_rows > 0
