@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame, functions as F
 
 from sentiscope.llm import words as K
@@ -160,32 +161,52 @@ def fit(first: np.ndarray, index: np.ndarray, value: np.ndarray, y: np.ndarray,
     return m
 
 
+def _described(batches):
+    """The features of each text, in place of the text."""
+    for batch in batches:
+        for piece in K.pieces(batch, most=K.PIECE_BYTES // 2):
+            first, index, value = features(piece.column("text"))
+            offsets = pa.array(first.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([
+                piece.column("rank"), piece.column("label"), pa.ListArray.from_arrays(offsets, pa.array(index.astype(np.int32))),
+                pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.float32)))], names=["rank", "label", "index", "value"])
+
+
 def _fit_rows(rows: pa.Table) -> pa.Table:
     rows = rows.sort_by("rank").combine_chunks()
-    cut = [(*features(p.column("text")), p.column("label").to_numpy()) for p in K.pieces(rows)] if rows.num_rows else []
-    if cut:
-        first = np.append(0, np.cumsum(np.concatenate([np.diff(c[0]) for c in cut])))
-        m = fit(first, *(np.concatenate([c[k] for c in cut]) for k in (1, 2)), np.concatenate([c[3] for c in cut]))
-    else:
-        m = fit(np.zeros(1, int), np.zeros(0, int), np.zeros(0), np.zeros(0))
+    index, value = (rows.column(c).combine_chunks() for c in ("index", "value"))
+    first = np.append(0, np.cumsum(pa.compute.list_value_length(index).to_numpy(zero_copy_only=False))).astype(np.int64)
+    m = fit(first, index.flatten().to_numpy().astype(np.int64), value.flatten().to_numpy(), rows.column("label").to_numpy())
     flat = np.concatenate([[m.bias], m.weights, m.vectors.ravel()]).astype(np.float32)
     return pa.table({"model": pa.array([flat.tobytes()], pa.binary())})
 
 
+#: Times the sample that is expected to pass the first cut.
+CUT = 4
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
-    """A machine fitted on at most ``sample`` of the documents that have a 0/1 label."""
+    """A machine fitted on at most ``sample`` of the documents that have a 0/1 label, the smallest by a hash of the id.
+
+    Ids are cut by their hash before they are ranked, so the ranking meets some ``CUT`` times the sample whatever the
+    number of labels; what the fitting task gathers are the sampled documents' features, not their texts.
+    """
     known = (labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label"))
              .withColumn("rank", F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED))))
     # ids only: a document table row is looked up first, so that the bound counts rows that exist
-    chosen = (known.join(docs.select("doc_id").distinct(), "doc_id").orderBy("rank", "doc_id").limit(sample))
+    real = known.join(docs.select("doc_id").distinct(), "doc_id")
+    n = real.count()
+    least = -2 ** 63 + (2 ** 64 - 1) * min(1.0, CUT * sample / max(1, n))  # of the range of a hash
+    chosen = real.where(F.col("rank") <= F.lit(min(2 ** 63 - 1, int(least)))).orderBy("rank", "doc_id").limit(sample)
     picked = chosen.select(F.col("doc_id").alias("_id"), "label", "rank")  # at most `sample` rows of 24 bytes
     texts = docs.select("doc_id", "text").join(F.broadcast(picked), F.col("doc_id") == F.col("_id"))
     one = texts.groupBy("doc_id").agg(F.max("text").alias("text"), F.first("label").alias("label"), F.first("rank").alias("rank"))
+    made = one.select("rank", "label", "text").mapInArrow(_described, "rank long, label double, index array<int>, value array<float>")
 
     def together(rows: pa.Table) -> pa.Table:
         return _fit_rows(rows)
 
-    row = one.groupBy(F.lit(1).alias("one")).applyInArrow(together, "model binary").first()
+    row = made.groupBy(F.lit(1).alias("one")).applyInArrow(together, "model binary").first()
     flat = np.frombuffer(row.model, np.float32) if row else np.zeros(1 + N_FEATURES * (RANK + 1), np.float32)
     return Machine(float(flat[0]), flat[1:1 + N_FEATURES], flat[1 + N_FEATURES:].reshape(N_FEATURES, RANK))
 

@@ -239,14 +239,30 @@ def fit(pieces: Pieces, languages: list[str], words: list[str], counts: np.ndarr
     return m
 
 
+#: Times the sample of a language that is expected to pass the first cut.
+CUT = 4
+
+
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """``lang`` and ``text`` of at most ``sample`` documents of each language, the smallest by a hash of id and text.
+
+    Repeated rows count as one. Rows are cut by their hash before they are ranked, so the ranking meets some ``CUT`` times the
+    sample of a language, however many rows it has.
+    """
+    known = docs.where("lang is not null and text is not null").select("lang", "doc_id", "text", F.xxhash64("doc_id", "text", F.lit(SEED)).alias("h"))
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    least = F.lit(float(-2 ** 63)) + F.lit(float(2 ** 64)) * F.least(F.lit(1.0), F.lit(float(CUT * sample)) / F.col("n"))
+    cut = (known.join(F.broadcast(sizes), "lang")  # a row for each language: the model itself has a column for each
+           .where(F.col("h").cast("double") <= least)
+           .groupBy("lang", "h").agg(F.min("doc_id").alias("doc_id"), F.first("text").alias("text")))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
+    return cut.withColumn("n", rank).where(F.col("n") <= sample).select("lang", "text")
+
+
 def train(docs: DataFrame, vocabulary: list[str], sample: int = SAMPLE) -> Model | None:
     """A model of the languages of ``docs``, from at most ``sample`` documents of each."""
     spark = docs.sparkSession
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)), "doc_id"))
-    known = docs.where("lang is not null and text is not null")
-    chosen = known.select("doc_id", "lang").withColumn("n", rank).where(F.col("n") <= sample)
-    picked = chosen.select(F.col("doc_id").alias("_id")).distinct()  # at most `sample` ids a language
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(picked), F.col("doc_id").eqNullSafe(F.col("_id")))
+    texts = sampled(docs, sample)
     counts = (texts.select("lang", F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("word"))
               .groupBy("word", "lang").agg(F.count(F.lit(1)).alias("n")))
     shared = spark.sparkContext.broadcast(vocabulary)

@@ -116,3 +116,13 @@ def test_logarithms_equal_scaled_sums(model, monkeypatch):
     monkeypatch.setattr(M, "FLOOR", np.inf)
     assert np.allclose(model.word_scores(words), scores, rtol=1e-12)
     assert np.allclose(M.fit(M.Pieces(PIECES), ["x", "y"], words, counts).p, made.p, rtol=1e-9)
+
+
+def test_the_sample_is_bounded_whatever_ids_repeat(spark):
+    """Null and repeated ids bring no more rows than the bound; repeated rows count once."""
+    given = [(None, f"word{i} la la", "xx") for i in range(300)] + [(7, "the same text", "yy")] * 200 + [(i, f"text {i}", "yy") for i in range(50)]
+    df = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    vocabulary = ["<unk>", "▁", *"abcdefghijklmnopqrstuvwxyz0123456789"]
+    assert M.train(df, vocabulary, 10).languages == ["xx", "yy"]
+    out = {r.lang: r.n for r in M.sampled(df, 10).groupBy("lang").agg({"*": "count"}).withColumnRenamed("count(1)", "n").collect()}
+    assert out == {"xx": 10, "yy": 10}
