@@ -70,12 +70,12 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     fs, p = _fs(spark, path)
     return bool(fs.exists(p))
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)
 
@@ -88,7 +88,7 @@ def latest(spark: SparkSession, root: str) -> Manifest:
     """The highest finished manifest; an empty one where there is none."""
     for name in sorted((n for n in _names(spark, f"{root}/_manifest") if n.isdigit()), reverse=True):
         path = _manifest_path(root, int(name))
-        if not _exists(spark, f"{path}/_SUCCESS"):
+        if not exists(spark, f"{path}/_SUCCESS"):
             continue  # its writer died
         rows = spark.read.schema(_ROW).json(path).collect()  # a row for each segment: bounded by the tiers
         live = tuple(Segment(r.path, r.tier, r.origin, tuple(r.without or ())) for r in rows if r.path and r.dead_since is None)
@@ -110,8 +110,8 @@ def _commit(spark: SparkSession, root: str, m: Manifest) -> None:
     rows += [(*head, p, None, None, since, m.extra, None) for p, since in m.dead]
     rows = rows or [(*head, None, None, None, None, m.extra, None)]
     path = _manifest_path(root, m.version)
-    if _exists(spark, path) and not _exists(spark, f"{path}/_SUCCESS"):
-        _delete(spark, path)  # left by a writer that died
+    if exists(spark, path) and not exists(spark, f"{path}/_SUCCESS"):
+        delete(spark, path)  # left by a writer that died
     spark.createDataFrame(rows, _ROW).coalesce(1).write.mode("errorifexists").json(path)
 
 
@@ -297,7 +297,7 @@ def replace(df: DataFrame, root: str, schema: T.StructType, partition_by: str |
     path = _name(version, version, 0)
     _write(df.select(*schema.fieldNames()), f"{root}/{path}", partition_by)
     if read_segments(spark, root, [Segment(path)], schema).isEmpty():
-        _delete(spark, f"{root}/{path}")
+        delete(spark, f"{root}/{path}")
         return None
     dead = (*m.dead, *((s.path, version) for s in m.live))
     made = Manifest(version, m.stream, m.batch, (Segment(path),), dead)
@@ -310,8 +310,8 @@ def _finish(spark: SparkSession, root: str, m: Manifest, keep: int) -> None:
     old = [p for p, since in m.dead if since <= m.version - keep]
     _commit(spark, root, m._replace(dead=tuple((p, since) for p, since in m.dead if p not in old)))
     for p in old:
-        _delete(spark, f"{root}/{p}")
-        _delete(spark, f"{root}/_index/{p}")
+        delete(spark, f"{root}/{p}")
+        delete(spark, f"{root}/_index/{p}")
     for name in _names(spark, f"{root}/_manifest"):
         if name.isdigit() and int(name) < m.version - keep:
-            _delete(spark, _manifest_path(root, int(name)))
+            delete(spark, _manifest_path(root, int(name)))
