@@ -66,3 +66,44 @@ def test_stages_take_nulls_and_repeated_rows(spark):
     for name, stage in P.STAGES:
         out = stage(spark, docs, SF001)
         assert out.columns[:5] == COLUMNS and out.count() > 0, name
+
+
+def test_a_lost_run_goes_on_after_its_last_stage(spark, monkeypatch):
+    import os
+    import uuid
+    from sentiscope.session import checkpoint_root
+    done, run_id = [], uuid.uuid4().hex
+    real = list(P.STAGES)
+
+    def counted(name, stage, dies):
+        def f(*a):
+            done.append(name)
+            if dies:
+                raise RuntimeError("driver lost")
+            return stage(*a)
+        return f
+
+    monkeypatch.setattr(P, "STAGES", [(n, counted(n, f, n == "decontamination")) for n, f in real])
+    try:
+        P.run(spark, SF001, run_id)
+        raise AssertionError("not lost")
+    except RuntimeError:
+        pass
+    assert done == [n for n, _ in real[:4]]
+    monkeypatch.setattr(P, "STAGES", [(n, counted(n, f, False)) for n, f in real])
+    out = P.run(spark, SF001, run_id, keep=False)
+    assert done == [n for n, _ in real[:4]] + [n for n, _ in real[3:]]
+    assert rows(out, "doc_id", "copy") == rows(P.run(spark, SF001), "doc_id", "copy")
+    assert "mixing" in os.listdir(f"{checkpoint_root(spark)}/pipeline-{run_id}")
+    assert "decontamination" not in os.listdir(f"{checkpoint_root(spark)}/pipeline-{run_id}")
+    assert rows(P.run(spark, SF001, run_id), "doc_id", "copy") == rows(out, "doc_id", "copy") and len(done) == 4 + 2 + 5
+
+
+def test_stages_leave_other_columns_alone(spark):
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(60)
+    names = ["rate", "_source", "_h", "_id", "_th", "_lower", "batch", "rest", "row", "label", "rank"]
+    docs = docs.selectExpr("*", *[f"concat('{n}', doc_id) as `{n}`" for n in names])
+    for name, stage in P.STAGES:
+        out = stage(spark, docs, SF001)
+        assert out.columns[:len(docs.columns)] == docs.columns, name
+        assert all(r[n] == f"{n}{r.doc_id}" for r in out.collect() for n in names), name
