@@ -149,6 +149,16 @@ def latest_training_runs(runs: DataFrame, lo, hi, k: int = 10) -> DataFrame:
     return top.withColumnsRenamed({k2: v for k2, v in RUN_RENAMES.items() if k2 in runs.columns})
 
 
+def positions(delivered: DataFrame) -> DataFrame:
+    """SRT-01/02: the rows of a small sorted result with their ``position`` as delivered (from 1)."""
+    return delivered.coalesce(1).withColumn("position", F.monotonically_increasing_id() + 1)
+
+
+def first_rows(df: DataFrame, k: int = 5, key: str = "id") -> DataFrame:
+    """TOP-07: the first rows by key, for a log; a top-k of each task, no sort of the table."""
+    return df.orderBy(key).limit(k)
+
+
 def last_training_run(runs: DataFrame, lo, hi) -> DataFrame:
     """TOP-04: the latest run (D14: ordered, not an arbitrary row)."""
     return in_time_range(runs, lo, hi).orderBy(F.col("start_time").desc(), F.col("end_time").desc()).limit(1)

@@ -25,7 +25,7 @@ from ..operators import review as rv
 from ..operators import scoring as sc
 from ..operators import training as tr
 from ..operators import updates as upd
-from ..schemas import DAILY_REPUTATION, POSTS, conform
+from ..schemas import DAILY_REPUTATION, POSTS, conform, schema_report
 from ..session import scratch_path
 from ..sources import corpus
 from ..sources import history_csv as hcsv
@@ -85,6 +85,24 @@ def q_scan_posts(spark, sf):
             .select("id", "date", "sentiment", "confidence"))
 
 
+@query("first_posts")
+def q_first_posts(spark, sf):
+    return mon.first_rows(Tables(spark, sf).posts().select("id", "date", "sentiment"))
+
+
+@query("sorted_counts")
+def q_sorted_counts(spark, sf):
+    return mon.positions(rep.counts_by_day_class(Tables(spark, sf).posts()).orderBy("date", "sentiment"))
+
+
+@query("schema_check")
+def q_schema_check(spark, sf):
+    """The posts as a job has stored them against the schema they should have."""
+    path = scratch_path(spark, "posts-table")
+    seg.append(conform(Tables(spark, sf).posts(), POSTS), path, POSTS, partition_by="date")
+    return schema_report(seg.read(spark, path), POSTS)
+
+
 @query("pending_posts")
 def q_pending_posts(spark, sf):
     return Tables(spark, sf).posts().where(F.col("sentiment").isNull()).select("id", "author_id", "date")
@@ -169,6 +187,12 @@ def q_latest_training_runs(spark, sf):
     return mon.latest_training_runs(Tables(spark, sf).training_runs(), P.RUN_LO, P.RUN_HI, P.TOP_RUNS)
 
 
+@query("sorted_training_runs")
+def q_sorted_training_runs(spark, sf):
+    runs = mon.latest_training_runs(Tables(spark, sf).training_runs(), P.RUN_LO, P.RUN_HI, P.TOP_RUNS)
+    return mon.positions(runs).select("position", F.col("Start time").alias("start_time"), F.col("Evaluation sample/s").alias("speed"))
+
+
 @query("last_training_run")
 def q_last_training_run(spark, sf):
     return mon.last_training_run(Tables(spark, sf).training_runs(), P.RUN_LO, P.RUN_HI)

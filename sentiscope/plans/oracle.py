@@ -81,6 +81,11 @@ FROM (SELECT date, count_if(sentiment = 'positive') AS p, count_if(sentiment = '
 
 SQL["scan_posts"] = posts_sql(
     f"SELECT id, date, sentiment, confidence FROM posts WHERE {RANGE} AND sentiment IS NOT NULL")
+SQL["first_posts"] = posts_sql("SELECT id, date, sentiment FROM posts ORDER BY id LIMIT 5")
+SQL["sorted_counts"] = posts_sql("""
+SELECT date, sentiment, count, row_number() OVER (ORDER BY date NULLS FIRST, sentiment NULLS FIRST) AS position
+FROM (SELECT date, sentiment, CAST(count(*) AS BIGINT) AS count FROM posts GROUP BY date, sentiment) c""")
+SQL["schema_check"] = "SELECT 8 AS columns, 8 AS expected, true AS matches, CAST(count(*) AS BIGINT) AS rows FROM events"
 SQL["pending_posts"] = posts_sql("SELECT id, author_id, date FROM posts WHERE sentiment IS NULL")
 SQL["posts_in_range"] = posts_sql(f"SELECT id, date, sentiment FROM posts WHERE {RANGE}")
 SQL["posts_last_30_days"] = posts_sql("""
@@ -132,6 +137,9 @@ _renames = ", ".join([
 SQL["latest_training_runs"] = runs_sql(f"""
 SELECT {_renames} FROM training_runs WHERE {RUN_RANGE}
 ORDER BY start_time DESC, end_time DESC LIMIT {P.TOP_RUNS}""")
+SQL["sorted_training_runs"] = runs_sql(f"""
+SELECT row_number() OVER (ORDER BY eval_samples_per_second, start_time DESC) AS position, start_time, eval_samples_per_second AS speed
+FROM (SELECT * FROM training_runs WHERE {RUN_RANGE} ORDER BY start_time DESC, end_time DESC LIMIT {P.TOP_RUNS}) t""")
 SQL["last_training_run"] = runs_sql(f"""
 SELECT * FROM training_runs WHERE {RUN_RANGE} ORDER BY start_time DESC, end_time DESC LIMIT 1""")
 SQL["last_accuracy"] = runs_sql(f"""

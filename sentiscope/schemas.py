@@ -85,3 +85,9 @@ def schema_matches(df: DataFrame, target: T.StructType) -> bool:
     got = [(f.name, f.dataType.simpleString()) for f in df.schema.fields]
     want = [(f.name, f.dataType.simpleString()) for f in target.fields]
     return got == want
+
+
+def schema_report(df: DataFrame, target: T.StructType) -> DataFrame:
+    """DQ-06: one row: columns found and expected, whether names, order and types agree, and the rows checked."""
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(
+        F.lit(len(df.columns)).alias("columns"), F.lit(len(target.fields)).alias("expected"), F.lit(schema_matches(df, target)).alias("matches"), "rows")
