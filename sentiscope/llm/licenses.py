@@ -34,7 +34,7 @@ from sentiscope.llm.common import let, table
 THRESHOLD = Fraction(4, 5)
 
 # The notices of common licences, as their publishers word them.
-TEMPLATES = (
+NOTICES = (
     ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("All rights reserved", "All rights reserved."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -57,6 +57,20 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+# Whole short licences, and how the bodies of long ones begin.
+BODIES = (
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ Terms and conditions for use, reproduction, and distribution"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc."),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. The software is provided \"as is\" and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness. In no event shall the author be liable for any special, direct, indirect, or consequential damages or any damages whatsoever resulting from loss of use, data or profits, whether in an action of contract, negligence or other tortious action, arising out of or in connection with the use or performance of this software."),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. The software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement. In no event shall the authors or copyright holders be liable for any claim, damages or other liability, whether in an action of contract, tort or otherwise, arising from, out of or in connection with the software or the use or other dealings in the software."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0 1. Definitions 1.1. Contributor means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software."),
+)
+TEMPLATES = (*NOTICES, *BODIES)
 OTHER = r"[^\p{L}\p{N}]+"
 
 
@@ -85,9 +99,9 @@ def anchors(templates=TEMPLATES, t: Fraction = THRESHOLD) -> list[str]:
     return chosen
 
 
-def _known(t: Fraction) -> Column:
-    """The templates: bigrams, their number and bounds, minus place in TEMPLATES, name."""
-    ordered = sorted(TEMPLATES)
+def _known(t: Fraction, templates) -> Column:
+    """The templates: bigrams, their number and bounds, minus their place in order, name."""
+    ordered = sorted(templates)
     return F.array(*[F.struct(F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"),
                               F.lit(-i).alias("place"), F.lit(name).alias("name"))
                      for i, (name, text) in enumerate(ordered) for b in [bigrams(text)] for lo, hi in [bounds(len(b), t)]])
@@ -97,11 +111,11 @@ def _dice(a: Column, x: Column) -> Column:
     return F.lit(2.0) * F.size(F.array_intersect(a, x["b"])) / (F.size(a) + x["n"])
 
 
-def _match(units: Column, t: Fraction) -> Column:
+def _match(units: Column, t: Fraction, templates) -> Column:
     """The matches of a column of units, each its bigram set ``a`` and words ``said``:
-    (dice, minus place in TEMPLATES, name, said)."""
+    (dice, minus the template's place in order, name, said)."""
     best = lambda u: F.array_max(F.transform(
-        F.filter(_known(t), lambda x: F.size(u["a"]).between(x["lo"], x["hi"])),
+        F.filter(_known(t, templates), lambda x: F.size(u["a"]).between(x["lo"], x["hi"])),
         lambda x: F.struct(_dice(u["a"], x).alias("dice"), x["place"].alias("place"), x["name"].alias("name"), u["said"].alias("said"))))
     return F.filter(F.transform(units, best), lambda m: F.coalesce(m["dice"] >= float(t), F.lit(False)))
 
@@ -112,9 +126,9 @@ def _pairs(w: Column) -> Column:
         F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))
 
 
-def _notices(words: Column, t: Fraction) -> Column:
+def _notices(words: Column, t: Fraction, templates=TEMPLATES) -> Column:
     """The notices in the words of a text, as ``_match`` gives units."""
-    every = F.array(*map(F.lit, sorted({b for _, text in TEMPLATES for b in bigrams(text)})))
+    every = F.array(*map(F.lit, sorted({b for _, text in templates for b in bigrams(text)})))
 
     def runs(w, pairs, x, hit):
         """Runs of one template: (-dice, -words, -place, first and last bigram, name)."""
@@ -130,7 +144,7 @@ def _notices(words: Column, t: Fraction) -> Column:
 
     def of_text(w, pairs):
         some = F.array_intersect(pairs, every)  # distinct
-        near = F.filter(_known(t), lambda x: F.size(F.array_intersect(some, x["b"])) >= x["lo"])
+        near = F.filter(_known(t, templates), lambda x: F.size(F.array_intersect(some, x["b"])) >= x["lo"])
         found = F.array_sort(F.flatten(F.transform(near, lambda x: let(
             F.transform(pairs, lambda p: F.array_contains(x["b"], p)), lambda hit: runs(w, pairs, x, hit)))))
         none = F.filter(found, lambda r: F.lit(False))
@@ -143,13 +157,13 @@ def _notices(words: Column, t: Fraction) -> Column:
     return let(words, lambda w: let(_pairs(w), lambda pairs: of_text(w, pairs)))
 
 
-def scan(docs: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
-    """The columns of ``docs`` with ``license`` (the best match, or null), its ``dice``,
+def scan(docs: DataFrame, t: Fraction = THRESHOLD, templates=TEMPLATES) -> DataFrame:
+    """``templates``: (name, text) of each template, as literals of the plan. The columns of ``docs`` with ``license`` (the best match, or null), its ``dice``,
     all names in ``licenses`` and ``n_matches``, the matching units."""
     made = ("license", "dice", "licenses", "n_matches")
     rest = F.struct(*[F.col(c) for c in docs.columns if c not in made])
     text = F.col("rest.text")
-    word = r"(?<![\p{L}\p{N}])(?:" + "|".join(anchors(t=t)) + r")(?![\p{L}\p{N}])"
+    word = r"(?<![\p{L}\p{N}])(?:" + "|".join(anchors(templates, t)) + r")(?![\p{L}\p{N}])"
     likely = lambda c: F.lower(c).rlike(word)
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n\n"), F.array(text)))
     none = F.array().cast("array<string>")
@@ -158,7 +172,7 @@ def scan(docs: DataFrame, t: Fraction = THRESHOLD) -> DataFrame:
                                                F.when(likely(text), text).alias("whole"))
     sets = F.transform(F.filter("units", likely), lambda u: let(words(u), lambda w: F.struct(
         F.array_distinct(_pairs(w)).alias("a"), F.array_join(w, " ").alias("said"))))
-    d = d.select("rest", _match(F.filter(sets, lambda x: x["a"].isNotNull()), t).alias("units"), _notices(words(F.col("whole")), t).alias("notices"))
+    d = d.select("rest", _match(F.filter(sets, lambda x: x["a"].isNotNull()), t, templates).alias("units"), _notices(words(F.col("whole")), t, templates).alias("notices"))
     spaced = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     fresh = lambda units, notices: F.filter(notices, lambda x: ~F.exists(
         units, lambda u: (u["name"] == x["name"]) & spaced(u["said"]).contains(spaced(x["said"]))))

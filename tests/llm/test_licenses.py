@@ -11,12 +11,12 @@ def test_query_equals_sql(spark):
 
 def test_every_template_is_found_and_its_variants(spark):
     given = []
-    for name, text in M.TEMPLATES:
+    for name, text in M.NOTICES:
         given += [text, text.upper(), "Some prose before it.\n" + text.replace(" ", "  ") + "\nand after.", text + " Thanks."]
     df = spark.createDataFrame(list(enumerate(given)), SCHEMA)
     out = {r.doc_id: r for r in M.scan(df).collect()}
     for i in range(len(given)):
-        name = M.TEMPLATES[i // 4][0]
+        name = M.NOTICES[i // 4][0]
         if i % 4 < 3:
             assert out[i].license == name and out[i].dice == 1.0
     same_as_sql(M.scan(df).select("doc_id", "license", "dice", "n_matches"), M.SQL, documents=df)
@@ -66,13 +66,13 @@ def test_notices_inside_lines(spark):
 
 def test_notices_equal_brute_force(spark):
     rng = random.Random(4)
-    pool = sorted({w for _, x in M.TEMPLATES for w in M.re.findall(r"[^\W_]+", x.lower())})
+    pool = sorted({w for _, x in M.NOTICES for w in M.re.findall(r"[^\W_]+", x.lower())})
     given = []
     for n in range(60):
         w = []
         for _ in range(rng.randint(1, 3)):
             w += [f"q{rng.randint(0, 9)}" for _ in range(rng.randint(3, 25))]
-            part = M.re.findall(r"[^\W_]+", rng.choice(M.TEMPLATES)[1])[:50]
+            part = M.re.findall(r"[^\W_]+", rng.choice(M.NOTICES)[1])[:50]
             for _ in range(rng.randint(0, 4)):
                 part.insert(rng.randrange(len(part)), rng.choice(pool))
                 del part[rng.randrange(len(part))]
@@ -81,7 +81,7 @@ def test_notices_equal_brute_force(spark):
 
     def brute(text):
         w, found = text.lower().split(), []
-        for place, (name, x) in enumerate(sorted(M.TEMPLATES)):
+        for place, (name, x) in enumerate(sorted(M.NOTICES)):
             b = set(M.bigrams(x))
             low, high = M.bounds(len(b))
             for s in range(len(w)):
@@ -98,6 +98,27 @@ def test_notices_equal_brute_force(spark):
 
     df = spark.createDataFrame(given, SCHEMA)
     plain = {r.doc_id: {(x.name, x.dice, x.said) for x in r.found or []} for r in df.select(
-        "doc_id", M._notices(M.F.split(M.F.lower("text"), " "), M.THRESHOLD).alias("found")).collect()}
+        "doc_id", M._notices(M.F.split(M.F.lower("text"), " "), M.THRESHOLD, M.NOTICES).alias("found")).collect()}
     want = {i: brute(t) for i, t in given}
     assert sum(map(len, want.values())) > 40 and plain == want
+
+
+def test_whole_licences_and_the_heads_of_long_ones(spark):
+    body = dict(M.BODIES)
+    wrapped = lambda t: t.replace(". ", ".\n\n")
+    given = [("MIT License\n\nCopyright (c) 2024 Somebody\n\n" + wrapped(body["MIT"]), "MIT"), ("Copyright 2020\n" + wrapped(body["ISC"]), "ISC"),
+             (wrapped(body["BSD-2-Clause"]) + "\n\nThis software is provided by somebody.", "BSD-2-Clause"),
+             (wrapped(body["BSD-3-Clause"]) + "\n\nThis software is provided by somebody.", "BSD-3-Clause"),
+             ("                Apache License\n           Version 2.0, January 2004\n        http://www.apache.org/licenses/\n\n"
+              "   TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n   1. Definitions.\n\n" + "long body follows here " * 50, "Apache-2.0"),
+             (body["GPL-3.0"].upper() + "\n\nPreamble\n" + "and so on " * 80, "GPL-3.0")]
+    out = {r.doc_id: r for r in M.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(given)], SCHEMA)).collect()}
+    for i, (text, name) in enumerate(given):
+        assert name in out[i].licenses, (name, out[i])
+
+
+def test_templates_are_an_argument(spark):
+    own = (("House-1", "This text belongs to the house and stays in the house."), ("House-2", "Anybody may take this text away with them."))
+    given = [(1, "Chapter one is long and says many other things before. This text belongs to the house and stays in the house. The end comes after many more words than these."), (2, "ANYBODY may take this text away with them"), (3, "Released under the MIT License.")]
+    out = {r.doc_id: (r.license, r.dice) for r in M.scan(spark.createDataFrame(given, SCHEMA), templates=own).collect()}
+    assert out == {1: ("House-1", 1.0), 2: ("House-2", 1.0), 3: (None, None)}
