@@ -68,7 +68,6 @@ def test_one_file_is_read_by_many_tasks(spark, scratch):
     text = "author,author account,date,text\n" + "".join(rng.choice(ATOMS) + rng.choice(["\n", "\r\n"]) for _ in range(3000))
     with open(f"{scratch}/a.csv", "w", newline="") as f:
         f.write(text)
-    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes") if spark.conf.get(k, None)}
     spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
     spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
@@ -76,8 +75,8 @@ def test_one_file_is_read_by_many_tasks(spark, scratch):
         got = sorted(r.rec for r in C.records(spark, f"{scratch}/a.csv").collect())
         rows = hcsv.read_history_csv(spark, f"{scratch}/a.csv").count()
     finally:
-        for k, v in old.items():
-            spark.conf.set(k, v)
+        for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes"):
+            spark.conf.unset(k)
     want = whole(text)
     assert got == sorted(want)
     assert rows == len([x for x in want if x.strip() and x != hcsv.HEADER])
