@@ -220,7 +220,7 @@ def test_naive_bayes_settings_probabilities_and_reload(spark, scratch):
     nb.save_model(model, f"{scratch}/model")
     again, smoothing = nb.load_model(spark, f"{scratch}/model")
     test = df.where("split = 'test'")
-    one, two = (sorted(map(tuple, nb.predict(m, test, (smoothing,)).collect())) for m in (model, again))
+    one, two = (sorted((r.id, r.label, r.pred, round(r.p_true, 9)) for r in nb.predict(m, test, (smoothing,)).collect()) for m in (model, again))
     assert one == two and smoothing == result["smoothing"]
     done = nb.metrics(nb.predict(again, test, (smoothing,))).first()
     assert (done.eval_loss, done.eval_accuracy, done.eval_f1, done["rows"]) == tuple(result[k] for k in ("eval_loss", "eval_accuracy", "eval_f1", "test_rows"))
