@@ -160,12 +160,11 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
         accepted = rows.where("reject_reason IS NULL")
         if seg.append(accepted, wh.posts, POSTS, name, batch_id, partition_by="date", extra=extra, index_by="id"):
             stored.append(accepted.count())
+        publish_snapshot(spark, wh)  # with every batch: files that merging has replaced are deleted some versions later
         rows.unpersist()
 
     seen = stream.first_seen(posts)
     stream.run_available(seen.writeStream.foreachBatch(commit), checkpoint)
-    if stored:
-        publish_snapshot(spark, wh)
     return sum(stored)
 
 

@@ -204,3 +204,14 @@ def test_ties_do_not_depend_on_row_order(spark):
         runs = df.selectExpr("timestamp_ntz'2024-01-01 00:00:00' AS start_time",
                              "timestamp_ntz'2024-01-01 01:00:00' AS end_time", "confidence AS eval_accuracy")
         assert monitoring.last_accuracy(runs, "2024-01-01 00:00:00", "2024-01-02 00:00:00").first().last_accuracy == 0.9
+
+
+def test_the_published_snapshot_is_readable_while_a_crawl_merges(spark, scratch, monkeypatch):
+    monkeypatch.setattr(jobs.seg, "FAN", 2)
+    monkeypatch.setattr(jobs.seg.append, "__defaults__", tuple(2 if d == 8 else 1 if d == 4 else d for d in jobs.seg.append.__defaults__))
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    for n in range(6):  # merged at once, and what was merged away deleted one version later
+        _land(spark, landing, [(str(10 * n + k), "fine", 1 + k) for k in range(2)], f"p{n}")
+        assert jobs.crawl(spark, wh, landing) == 2
+        assert jobs.served(spark, wh, "posts").count() == 2 * n + 2
+    assert len(jobs.seg.latest(spark, wh.posts).live) <= 3
