@@ -21,10 +21,12 @@ character like any other.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  (used as pa.compute)
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _FIELD = r'(?:"(?:[^"]++|"")*+"|[^",]*+)'
@@ -35,6 +37,8 @@ _BLANK = re.compile(r"[ \t]*\r?\Z")
 LAST_BREAK, LAST_BREAKS = r"\r\z", r"(\r?\n)*\r?\z"
 #: Number of the last of a record's four fields.
 LAST = 3
+#: Bytes of a file that a task holds at once, about, and what a line counts besides its own bytes.
+PART, LINE = 4 << 20, 64
 
 
 class Lines:
@@ -229,60 +233,76 @@ def cut(lines: Lines, entry: int, owner: int, last: int, place: int, leaves: int
 # ---- Spark jobs ------------------------------------------------------------------------
 
 
+def _runs(column: pa.Array):
+    """(value, from, to) of the runs of equal values in a column."""
+    ends = pa.compute.run_end_encode(column)
+    first = 0
+    for value, last in zip(ends.values.to_pylist(), ends.run_ends.to_pylist()):
+        yield value, first, last
+        first = last
+
+
 def _ranges(batches):
-    """(file, start, lines) of the ranges that a task reads."""
-    key, lines = None, []
+    """(file, start, part, lines) of the ranges that a task reads, one at a time; a split is cut into parts at lines, always the same."""
+    key, part, lines, held = None, 0, [], 0
     for batch in batches:
-        files, starts, values = (batch.column(c).to_pylist() for c in ("file", "start", "value"))
-        for k, v in zip(zip(files, starts), values):
-            if k != key:
-                if key:
-                    yield *key, lines
-                key, lines = k, []
-            lines.append(v)
-    if key:
-        yield *key, lines
+        for file, a, b in _runs(batch.column("file")):
+            for start, c, d in _runs(batch.column("start").slice(a, b - a)):
+                if (file, start) != key:
+                    if lines:
+                        yield *key, part, lines
+                    key, part, lines, held = (file, start), 0, [], 0
+                values = batch.column("value").slice(a + c, d - c)
+                for v, n in zip(values, pa.compute.binary_length(values).to_pylist()):
+                    if held >= PART:
+                        yield *key, part, lines
+                        part, lines, held = part + 1, [], 0
+                    lines.append(v.as_py())
+                    held += n + LINE
+    if lines:
+        yield *key, part, lines
 
 
 def _describe(batches):
-    for file, start, lines in _ranges(batches):
-        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start], pa.int64()), pa.array([json.dumps(Lines(lines).describe())])],
-                                         names=["file", "start", "map"])
+    for file, start, part, lines in _ranges(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start], pa.int64()), pa.array([part], pa.int32()), pa.array([json.dumps(Lines(lines).describe())])],
+                                         names=["file", "start", "part", "map"])
 
 
 def _compose(rows: pa.Table) -> pa.Table:
-    rows = rows.sort_by("start")
+    rows = rows.sort_by([("start", "ascending"), ("part", "ascending")])
     made = compose([json.loads(x) for x in rows.column("map").to_pylist()])
-    return pa.Table.from_arrays([rows.column("file"), rows.column("start"), pa.array(range(len(made)), pa.int32()),
+    return pa.Table.from_arrays([rows.column("file"), rows.column("start"), rows.column("part"), pa.array(range(len(made)), pa.int32()),
                                  *(pa.array(c, pa.int32()) for c in zip(*made))], schema=_ENTRIES)
 
 
-_ENTRIES = pa.schema([("file", pa.string()), ("start", pa.int64()), *((c, pa.int32()) for c in ("number", "entry", "owner", "last", "place", "leaves", "to_end"))])
+_ENTRY = ("number", "entry", "owner", "last", "place", "leaves", "to_end")
+_ENTRIES = pa.schema([("file", pa.string()), ("start", pa.int64()), ("part", pa.int32()), *((c, pa.int32()) for c in _ENTRY)])
 
 
 def _cut(entries):
     def run(batches):
         known = entries.value
-        for file, start, lines in _ranges(batches):
-            number, *entry = known[file, start]
-            out = [(file, number if o < -1 else o, number, t, o == -3) for o, t in cut(Lines(lines), *entry)]
-            for i in range(0, len(out), 10_000):
-                columns = list(zip(*out[i:i + 10_000]))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()),
-                                                  pa.array(columns[3], pa.string()), pa.array(columns[4], pa.bool_())],
+        for file, start, part, lines in _ranges(batches):
+            number, *entry = known[file, start, part]
+            made = cut(Lines(lines), *entry)
+            while some := list(itertools.islice(made, 1000)):
+                owner, rec = zip(*some)
+                yield pa.RecordBatch.from_arrays([pa.array([file] * len(some), pa.string()), pa.array([number if o < -1 else o for o in owner], pa.int32()),
+                                                  pa.array([number] * len(some), pa.int32()), pa.array(rec, pa.string()), pa.array([o == -3 for o in owner], pa.bool_())],
                                                  names=["file", "owner", "number", "rec", "to_end"])
     return run
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """``rec``: the records of all files below a path, as text. Ranges are the splits that Spark makes of the files
-    (``spark.sql.files.maxPartitionBytes``)."""
+    """``rec``: the records of all files below a path, as text. Ranges are parts of the splits that Spark makes of the files
+    (``spark.sql.files.maxPartitionBytes``); a task holds one of them, however large its splits are."""
     lines = (spark.read.option("lineSep", "\n").text(path)
              .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start")))
-    found = lines.mapInArrow(_describe, "file string, start long, map string").groupBy("file").applyInArrow(
-        _compose, "file string, start long, number int, entry int, owner int, last int, place int, leaves int, to_end int").toArrow().to_pylist()
-    # a row for each range, some 100 bytes: bounded by the number of splits, which the driver keeps a list of anyway
-    entries = spark.sparkContext.broadcast({(r["file"], r["start"]): (r["number"], r["entry"], r["owner"], r["last"], r["place"], r["leaves"], r["to_end"]) for r in found})
+    found = lines.mapInArrow(_describe, "file string, start long, part int, map string").groupBy("file").applyInArrow(
+        _compose, "file string, start long, part int, " + ", ".join(f"{c} int" for c in _ENTRY)).toArrow().to_pylist()
+    # a row for each range of PART bytes, some 100 bytes
+    entries = spark.sparkContext.broadcast({(r["file"], r["start"], r["part"]): tuple(r[c] for c in _ENTRY) for r in found})
     made = lines.mapInArrow(_cut(entries), "file string, owner int, number int, rec string, to_end boolean")
     pieces = (made.where("owner >= 0").groupBy("file", "owner")
               .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("number", "rec"))), lambda x: x["rec"]), "\n").alias("rec"), F.max("to_end").alias("to_end")))

@@ -80,3 +80,35 @@ def test_one_file_is_read_by_many_tasks(spark, scratch):
     want = whole(text)
     assert got == sorted(want)
     assert rows == len([x for x in want if x.strip() and x != hcsv.HEADER])
+
+
+def test_a_task_holds_one_part_of_its_split(spark, scratch, monkeypatch):
+    """A split is cut into parts of a bounded size, the same in both passes, and gives the same records."""
+    import pyarrow as pa
+    rng = random.Random(2)
+    text = "".join(rng.choice(ATOMS) + "\n" for _ in range(2000))
+    lines = text.split("\n")[:-1]
+    batches = lambda step: iter([pa.RecordBatch.from_pydict({"value": lines[i:i + step], "file": ["f"] * len(lines[i:i + step]),
+                                                             "start": pa.array([0 if i < 1200 else 9] * len(lines[i:i + step]), pa.int64())}) for i in range(0, len(lines), step)])
+    monkeypatch.setattr(C, "PART", 2000)
+    parts = [(start, part, got) for _, start, part, got in C._ranges(batches(100))]
+    assert parts == [(start, part, got) for _, start, part, got in C._ranges(batches(40))]
+    assert sum((got for _, _, got in parts), []) == lines
+    assert max(sum(len(x) + C.LINE for x in got) for _, _, got in parts) < 2200
+    assert [p for s, p, _ in parts if s == 9] == list(range(len([1 for s, _, _ in parts if s == 9])))
+    found = C._compose(pa.concat_tables(pa.Table.from_batches([b]) for b in C._describe(batches(100)))).to_pylist()
+    assert len(found) == len(parts) > 20
+
+    class Entries:
+        value = {(r["file"], r["start"], r["part"]): tuple(r[c] for c in C._ENTRY) for r in found}
+
+    rows = [r for b in C._cut(Entries)(batches(100)) for r in b.to_pylist()]
+    made, pieces = [], {}
+    for r in rows:
+        made += [r["rec"]] if r["owner"] < 0 else []
+        if r["owner"] >= 0:
+            pieces.setdefault(r["owner"], []).append((r["number"], r["rec"], r["to_end"]))
+    for p in pieces.values():
+        rec = "\n".join(x for _, x, _ in sorted(p))
+        made.append(re.sub((C.LAST_BREAKS if any(e for *_, e in p) else C.LAST_BREAK).replace("z", "Z"), "", rec))
+    assert sorted(x for x in made if x) == sorted(whole(text))
