@@ -1,8 +1,8 @@
 """Ingest: keyword search, high-water marks, dedup on append (FLT-07/08, JON-05..07, AGG-20, SET-01).
 
 The keyword match (JON-06) is a containment test of every keyword against every
-post, by the rare-gram index of ``operators.keywords``: no (post, keyword) pair is formed unless they share
-the keyword's rarest gram, and lists of any length go the same way.
+post, by the walk over prefixes of ``operators.keywords``: what is formed is the (post, keyword) pairs that match
+and hardly any other, and lists of any length go the same way.
 """
 
 from __future__ import annotations

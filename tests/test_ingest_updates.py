@@ -249,3 +249,54 @@ def test_tolerant_csv_loses_no_record(spark, scratch):
         ("Flo", "@flo", "2025-01-07", 'a "stray" quote'),
         (None, None, None, "no record at all"),
         ("Gus", "gus", "2025-01-08", "no at sign")}
+
+
+def _sent(texts, words):
+    """What the tasks send for a list of texts: (bytes, ids) rows."""
+    import numpy as np
+    import pyarrow as pa
+    from sentiscope.operators import keywords as kw
+    bits, most = 20, max(len(w.encode()) for w in words)
+    filter_ = np.zeros(1 << (bits - 6), np.uint64)
+    for b in kw._enter(bits)([pa.RecordBatch.from_pydict({"kb": pa.array([w.encode() for w in words], pa.binary())})]):
+        np.bitwise_or.at(filter_, b.column("word").to_numpy(), b.column("value").to_numpy().view(np.uint64))
+
+    class Shared:
+        value = (filter_, bits, most)
+
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(len(texts))], "lc": texts, "place": pa.array([0] * len(texts), pa.int64())})
+    return [(r["kb"].decode(errors="replace"), r["ids"]) for b in kw._occur(Shared)([batch]) for r in b.to_pylist()]
+
+
+def test_a_keyword_is_sent_once_for_all_texts_of_a_piece():
+    """Keywords that share all their grams: what is sent is the pairs there are, whatever the list's length."""
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(3, 12))) for _ in range(1500)})
+    texts = ["".join(rng.choice("ab") for _ in range(300)) for _ in range(50)]
+    sent = _sent(texts, words)
+    pairs = {(w, str(i)) for i, t in enumerate(texts) for w in words if w in t}
+    got = [(w, i) for w, ids in sent for i in ids]
+    assert len(got) == len(set(got)) and pairs <= set(got) and len(got) < 1.01 * len(pairs)
+    assert len(sent) == len({w for w, _ in got}) <= 1.01 * len(words)
+
+
+def test_equal_codes_of_long_keywords_are_told_apart(monkeypatch):
+    import numpy as np
+    from sentiscope.operators import keywords as kw
+    real = kw._longer
+    monkeypatch.setattr(kw, "_longer", lambda code, byte, size: real(code, byte, size) if size <= kw.EXACT else np.full(len(code), size, np.uint64))
+    words = ["brand of cars", "brand of bikes", "cars of brand", "other firm"]
+    texts = ["brand of cars, brand of bikes, cars of brand, brand of cars, brand of bikes", "cars of brand brand of cars", "no other firm"]
+    got = [(w, i) for w, ids in _sent(texts, words) for i in ids]
+    assert len(got) == len(set(got))
+    assert {(w, i) for w, i in got if w in words} == {(w, str(i)) for i, t in enumerate(texts) for w in words if w in t}
+
+
+def test_ids_in_several_rows_match_once(spark):
+    from sentiscope.operators import keywords as kw
+    rows = [("1", "the cat"), ("1", "a cat"), (None, "cat"), (None, "the"), ("2", "the dog"), ("3", "dog")]
+    texts = spark.createDataFrame(rows, "id string, lc string").repartition(3)
+    kws = spark.createDataFrame([("cat",), ("the",), ("dog",), ("bird",)], "keyword string")
+    want = sorted({(k, i) for i, t in rows for k in ("cat", "the", "dog") if k in t}, key=str)
+    for split in (1, 10 ** 6):
+        assert sorted(map(tuple, kw.match(texts, kws, split).collect()), key=str) == want
