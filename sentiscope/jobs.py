@@ -114,12 +114,13 @@ def served(spark: SparkSession, wh: Warehouse, name: str) -> DataFrame:
 # ---- jobs ------------------------------------------------------------------------------
 
 
-def _matching(batch: DataFrame, keywords: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """FLT-07, JON-06/07, FLT-08: (ids of the posts that hold a keyword and lie above its mark, the marks after them)."""
+def _matching(batch: DataFrame, keywords: DataFrame, marks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """FLT-07, JON-06/07, FLT-08: (ids of the posts that hold a keyword and lie above its mark, the marks after them, what both
+    are made of, kept until it is unpersisted)."""
     found = ing.keyword_match(batch, keywords, lang=None)
-    fresh = ing.since_marks(found, marks, "keyword", "id")
+    fresh = ing.since_marks(found, marks, "keyword", "id").persist()
     both = ing.high_water_marks(fresh).unionByName(marks)
-    return fresh.select("id").distinct(), both.groupBy("keyword").agg(F.max("last_id").alias("last_id"))
+    return fresh.select("id").distinct(), both.groupBy("keyword").agg(F.max("last_id").alias("last_id")), fresh
 
 
 def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = False, keywords: DataFrame | None = None) -> int:
@@ -138,7 +139,9 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
     def commit(batch: DataFrame, batch_id: int) -> None:
         name = stream.stream_id(spark, checkpoint)
         before = seg.latest(spark, wh.posts)
-        rows = conform(batch, REJECTS).withColumn("reject_reason", qa.reject_reason(batch))
+        # each read of ``batch`` reads its pages and asks the state again, so it is read once
+        rows = conform(batch, REJECTS).withColumn("reject_reason", qa.reject_reason(batch)).persist()
+        held = [rows]
         foreign = [s for s in before.live if s.origin is not None and s.origin != name]
         if foreign:  # another checkpoint's posts: this one's state has not seen them
             known = seg.read_segments(spark, wh.posts, foreign, POSTS).select("id").distinct()
@@ -146,7 +149,8 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
         extra = None
         if keywords is not None:
             usable = rows.where("reject_reason IS NULL")
-            ids, marks = _matching(usable, keywords, wh.read_marks(spark))
+            ids, marks, fresh = _matching(usable, keywords, wh.read_marks(spark))
+            held.append(fresh)
             extra = f"marks-{uuid.uuid4().hex[:12]}"
             marks.write.parquet(f"{wh.posts}/_marks/{extra}")
             extra = f"_marks/{extra}"
@@ -155,13 +159,15 @@ def crawl(spark: SparkSession, wh: Warehouse, landing: str, multi_line: bool = F
                       .when(F.coalesce(F.col("text").rlike(ing.REPOST), F.lit(False)), F.lit("repost"))
                       .when(F.col("_hit").isNull(), F.lit("no_new_match")))
             rows = rows.join(ids, "id", "left").withColumn("reject_reason", reason).select(*REJECTS.fieldNames())
-        rows = rows.persist()
+        if rows is not held[0]:
+            held.append(rows.persist())
         seg.append(rows.where("reject_reason IS NOT NULL"), wh.rejects, REJECTS, name, batch_id)
         accepted = rows.where("reject_reason IS NULL")
         if seg.append(accepted, wh.posts, POSTS, name, batch_id, partition_by="date", extra=extra, index_by="id"):
             stored.append(accepted.count())
         publish_snapshot(spark, wh)  # with every batch: files that merging has replaced are deleted some versions later
-        rows.unpersist()
+        for df in held:
+            df.unpersist()
 
     seen = stream.first_seen(posts)
     stream.run_available(seen.writeStream.foreachBatch(commit), checkpoint)

@@ -215,3 +215,22 @@ def test_the_published_snapshot_is_readable_while_a_crawl_merges(spark, scratch,
         assert jobs.crawl(spark, wh, landing) == 2
         assert jobs.served(spark, wh, "posts").count() == 2 * n + 2
     assert len(jobs.seg.latest(spark, wh.posts).live) <= 3
+
+
+def test_a_crawl_reads_its_batch_once(spark, scratch, monkeypatch):
+    """The pages and the state of a batch are read once, however often the job uses its rows."""
+    wh, landing = jobs.Warehouse(f"{scratch}/wh"), f"{scratch}/pages"
+    _land(spark, landing, [(str(k), "my brand" if k % 2 else "nothing", 1 + k % 3) for k in range(40)], "a")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    real = jobs.stream.first_seen
+    monkeypatch.setattr(jobs.stream, "first_seen", lambda posts: (lambda df: df.mapInArrow(counted, df.schema))(real(posts)))
+    words = spark.createDataFrame([("brand",), ("firm",)], "keyword string")
+    assert jobs.crawl(spark, wh, landing, keywords=words) == 20
+    assert read.value == 40
+    assert {r.keyword: r.last_id for r in wh.read_marks(spark).collect()} == {"brand": 39}
